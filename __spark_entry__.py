@@ -11,8 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.sales import load_sales
+from tessera.sources.sales import load_sales, schema_catalog, customers_from
 from tessera.operators import sales as S
+from tessera.operators import report as R
+from tessera.operators import quality as Q
+from tessera.operators import listing as L
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -53,12 +56,70 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "payment_breakdown": _sales(lambda t: S.payment_breakdown(t["orders"])),
         "order_totals": _sales(lambda t: S.order_totals(t["order_items"])),
         "order_total_reconciliation": _sales(lambda t: S.order_total_reconciliation(t["orders"], t["order_items"])),
+        # report
+        "sales_report_lines": _sales(lambda t: R.sales_report_lines(
+            t, generated_on=REPORT_STAMP, low_stock_threshold=DRIVER_LOW_STOCK)),
+        # catalog and data quality
+        "schema_catalog": _sales(schema_catalog),
+        "null_violations": _sales(_null_violations),
+        "duplicate_order_items": _sales(lambda t: Q.unique_violations(t["order_items"], ["order_item_id"])),
+        "orphan_counts": _sales(lambda t: Q.orphan_counts([
+            ("orders.customer_id", t["orders"], t["customers"], "customer_id", "customer_id"),
+            ("order_items.order_id", t["order_items"], t["orders"], "order_id", "order_id"),
+            ("order_items.product_id", t["order_items"], t["products"], "product_id", "product_id")])),
+        "orders_without_items": _sales(lambda t: Q.orphans(t["orders"], t["order_items"], "order_id")
+                                       .drop("shipping_address")),
+        "append_customers": _append_customers,
+        # object listing
+        "folders": lambda spark, d: L.folders(_page_keys(spark, d)),
+        "files": lambda spark, d: L.files(_page_keys(spark, d)),
+        "listing_lines": lambda spark, d: L.listing_lines(_page_keys(spark, d)),
+        "supported_files": lambda spark, d: L.supported_files(_page_keys(spark, d)),
     }
     return q
 
 
+# Fixed header stamp for the registered report (P8 is injectable).
+REPORT_STAMP = "2024-01-01 00:00:00"
+
+NOT_NULL = {
+    "customers": ["first_name", "last_name", "email", "registration_date"],
+    "products": ["name", "category", "price", "stock_quantity", "created_date"],
+    "orders": ["customer_id", "order_date", "total_amount", "status"],
+    "order_items": ["order_id", "product_id", "quantity", "price_per_unit"],
+}
+
+
+def _null_violations(t):
+    from functools import reduce
+    from pyspark.sql import functions as F
+    parts = [Q.null_violations(t[name], cols).select(F.lit(name).alias("table_name"), "*")
+             for name, cols in NOT_NULL.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _page_keys(spark, sf_dir):
+    return L.keys_from_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _append_customers(spark, sf_dir):
+    """Q4 on driver data: re-insert every customer (all rejected: email
+    exists) together with the suppliers as new customers (inserted)."""
+    t = load_sales(spark, sf_dir)
+    sup = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+        "s_suppkey AS c_custkey", "s_name AS c_name", "s_nationkey AS c_nationkey", "'' AS c_mktsegment")
+    new = customers_from(sup, spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    cols = ["first_name", "last_name", "email", "state"]
+    batch = t["customers"].select(*cols).unionByName(new.select(*cols))
+    return Q.append_with_keys(t["customers"], batch, "customer_id", "email")
+
+
 def oracle_sql() -> dict[str, str]:
     from oracle.sales_sql import SQL as SALES
+    from oracle.quality_sql import SQL as QUALITY
+    from oracle.report_sql import report_sql
     out = {}
     out.update(SALES)
+    out["sales_report_lines"] = report_sql(REPORT_STAMP, DRIVER_LOW_STOCK)
+    out.update(QUALITY)
     return out

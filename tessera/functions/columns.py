@@ -38,9 +38,9 @@ def round_half_up_money(num, den, scale: int = 2) -> Column:
 
 
 def fmt_fixed(c, digits: int) -> Column:
-    """``%.{digits}f`` of an exact decimal value. Formatting happens on a
-    decimal so that cents never go through binary floating point."""
-    return F.format_string(f"%.{digits}f", col_(c).cast(f"decimal(38,{digits})"))
+    """``%.{digits}f`` of a value, rounded half-up on an exact decimal so that
+    cents never go through binary floating point (plain notation)."""
+    return col_(c).cast(f"decimal(38,{digits})").cast("string")
 
 
 def fmt_or_na(c, digits: int) -> Column:
