@@ -16,6 +16,7 @@ from tessera.operators import sales as S
 from tessera.operators import report as R
 from tessera.operators import quality as Q
 from tessera.operators import listing as L
+from tessera.operators import indexing as D
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -75,10 +76,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "files": lambda spark, d: L.files(_page_keys(spark, d)),
         "listing_lines": lambda spark, d: L.listing_lines(_page_keys(spark, d)),
         "supported_files": lambda spark, d: L.supported_files(_page_keys(spark, d)),
+        # document indexing
+        "chunk_documents": lambda spark, d: D.chunk_documents(_doc_objects(spark, d)),
+        "chunk_documents_200": lambda spark, d: D.chunk_documents(_doc_objects(spark, d), max_tokens=200),
     }
     return q
 
 
+def _doc_objects(spark, sf_dir):
+    """Documents as objects keyed ``source/lang/doc_id.txt``."""
+    return L.keys_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 # Fixed header stamp for the registered report (P8 is injectable).
 REPORT_STAMP = "2024-01-01 00:00:00"
 
@@ -122,4 +131,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(SALES)
     out["sales_report_lines"] = report_sql(REPORT_STAMP, DRIVER_LOW_STOCK)
     out.update(QUALITY)
+    from oracle.text_sql import SQL as TEXT
+    out.update(TEXT)
     return out
