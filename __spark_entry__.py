@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.sales import load_sales, schema_catalog, customers_from
 from tessera.operators import sales as S
@@ -17,6 +18,10 @@ from tessera.operators import report as R
 from tessera.operators import quality as Q
 from tessera.operators import listing as L
 from tessera.operators import indexing as D
+from tessera.operators import annotate as AN
+from tessera.operators import retrieval as T
+from tessera.plans import answering as ANS
+from tessera.plans.indexing_run import index_documents
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -79,10 +84,85 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # document indexing
         "chunk_documents": lambda spark, d: D.chunk_documents(_doc_objects(spark, d)),
         "chunk_documents_200": lambda spark, d: D.chunk_documents(_doc_objects(spark, d), max_tokens=200),
+        "word_counts": lambda spark, d: D.tokenize_words(_doc_objects(spark, d)).select(
+            "key", F.size("words").alias("n_words")),
+        "decode_text": _decode_text,
+        "chunk_counts": lambda spark, d: D.chunk_counts(_chunks(spark, d)),
+        "annotate_chunks": lambda spark, d: AN.annotate_chunks(_chunks(spark, d)).withColumn(
+            "keywords", F.array_join("keywords", ", ")),
+        "index_status": lambda spark, d: _index_run(spark, d)[0],
+        "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
+        "upsert_index": lambda spark, d: _index_run(spark, d)[1],
+        "pack_index": lambda spark, d: D.pack_index(_index_run(spark, d)[1]),
+        "explode_index": lambda spark, d: D.explode_index(D.pack_index(_index_run(spark, d)[1])),
+        # retrieval over the benchmark questions
+        "score_chunks": lambda spark, d: T.score_chunks(_questions(spark, d), _rchunks(spark, d)),
+        "parse_scored_reply": lambda spark, d: ANS.scored_candidates(_questions(spark, d), _rchunks(spark, d)),
+        "top_chunks": lambda spark, d: T.top_chunks(
+            ANS.scored_candidates(_questions(spark, d), _rchunks(spark, d))),
+        "relevant_chunks": lambda spark, d: ANS.relevant(_questions(spark, d), _rchunks(spark, d)),
+        "build_context": lambda spark, d: ANS.contexts(_questions(spark, d), _rchunks(spark, d)),
+        "clip_output": lambda spark, d: T.clip_output(
+            ANS.contexts(_questions(spark, d), _rchunks(spark, d)), "context", 200),
+        "summarize_context": lambda spark, d: T.summarize_context(
+            _questions(spark, d), ANS.relevant(_questions(spark, d), _rchunks(spark, d)), _rchunks(spark, d)),
+        "build_prompts": _build_prompts,
     }
     return q
 
 
+def _chunks(spark, sf_dir, max_tokens=D.MAX_TOKENS):
+    return D.chunk_documents(_doc_objects(spark, sf_dir), max_tokens=max_tokens)
+
+
+def _rchunks(spark, sf_dir):
+    """Chunks in the retrieval shape ``(file, chunk, text)``."""
+    return _chunks(spark, sf_dir).select(F.col("key").alias("file"), F.col("chunk_no").alias("chunk"),
+                                         F.col("chunk").alias("text"))
+
+
+def _questions(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), "text")
+
+
+# The previous index for the registered indexing run: the same corpus indexed
+# with half the chunk budget, summaries = first sentence of each chunk. Short
+# documents keep their chunk count (Cached), long ones change (Processed).
+PRIOR_BUDGET = D.MAX_TOKENS // 2
+
+
+def _prior_index(spark, sf_dir):
+    c = _chunks(spark, sf_dir, PRIOR_BUDGET)
+    n = D.chunk_counts(c)
+    return c.join(n, "key").select("key", "chunk_no", "chunks",
+                                   F.regexp_extract("chunk", AN.SENTENCE, 0).alias("summary"))
+
+
+def _all_objects(spark, sf_dir):
+    """Object store stand-in: the documents (``.txt`` keys) plus the web
+    pages (keys from their URLs, mostly without a readable extension)."""
+    docs = _doc_objects(spark, sf_dir).select("key", F.encode("text", "UTF-8").alias("content"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    page_objs = pages.select(L.url_key("url").alias("key"), F.encode("html", "UTF-8").alias("content"))
+    return docs.unionByName(page_objs)
+
+
+def _index_run(spark, sf_dir):
+    return index_documents(_all_objects(spark, sf_dir), _prior_index(spark, sf_dir))
+
+
+def _decode_text(spark, sf_dir):
+    objs = _doc_objects(spark, sf_dir).select("key", F.encode("text", "UTF-8").alias("content"))
+    return D.decode_text(objs).select("key", "text")
+
+
+def _build_prompts(spark, sf_dir):
+    qs, ch = _questions(spark, sf_dir), _rchunks(spark, sf_dir)
+    top = ANS.relevant(qs, ch)
+    return T.build_prompts(qs, top, ANS.contexts(qs, ch), ch)
+
+
 def _doc_objects(spark, sf_dir):
     """Documents as objects keyed ``source/lang/doc_id.txt``."""
     return L.keys_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -42,3 +42,194 @@ SQL = {
     "chunk_documents": f"WITH {DOCS},\n{chunks_cte(8000)}\nSELECT key, chunk_no, chunk FROM chunks",
     "chunk_documents_200": f"WITH {DOCS},\n{chunks_cte(200)}\nSELECT key, chunk_no, chunk FROM chunks",
 }
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+SENT = "'[^.!?]+[.!?]*'"
+TERMS = "'\\p{L}+'"
+
+
+def annotate_cte(chunks: str, corpus: str, name: str = "ann") -> str:
+    """title / keywords / summary / annotation for the rows of ``chunks``
+    (key, chunk_no, chunk) with TF-IDF statistics from ``corpus``."""
+    return rf"""{name}_tf AS (
+  SELECT key, chunk_no, term, COUNT(*) AS tf
+  FROM (SELECT key, chunk_no, unnest(regexp_extract_all(lower(chunk), {TERMS})) AS term FROM {chunks})
+  GROUP BY ALL),
+{name}_df AS (
+  SELECT term, COUNT(*) AS df FROM (
+    SELECT DISTINCT key, chunk_no, unnest(regexp_extract_all(lower(chunk), {TERMS})) AS term FROM {corpus})
+  GROUP BY term),
+{name}_w AS (
+  SELECT t.key, t.chunk_no, t.term, t.tf,
+         round(t.tf * (ln((1.0 + (SELECT COUNT(*) FROM {corpus})) / (1.0 + d.df)) + 1.0), 9) AS tfidf
+  FROM {name}_tf t JOIN {name}_df d ON t.term = d.term),
+{name}_kw AS (
+  SELECT key, chunk_no, string_agg(term, ', ' ORDER BY r) AS keywords FROM (
+    SELECT key, chunk_no, term, row_number() OVER (PARTITION BY key, chunk_no ORDER BY tfidf DESC, term) AS r
+    FROM {name}_w) WHERE r <= 8 GROUP BY key, chunk_no),
+{name}_s AS (
+  SELECT key, chunk_no, sent_no, {strip('s')} AS sentence FROM (
+    SELECT key, chunk_no, unnest(l) AS s, generate_subscripts(l, 1) AS sent_no
+    FROM (SELECT key, chunk_no, regexp_extract_all(chunk, {SENT}) AS l FROM {chunks}))
+  WHERE {strip('s')} <> ''),
+{name}_ss AS (
+  SELECT s.key, s.chunk_no, s.sent_no, round(avg(w.tfidf), 9) AS score
+  FROM (SELECT key, chunk_no, sent_no, unnest(regexp_extract_all(lower(sentence), {TERMS})) AS term FROM {name}_s) s
+  JOIN {name}_w w ON w.key = s.key AND w.chunk_no = s.chunk_no AND w.term = s.term
+  GROUP BY ALL),
+{name}_sum AS (
+  SELECT key, chunk_no, string_agg(sentence, ' ' ORDER BY sent_no) AS summary FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY s.key, s.chunk_no ORDER BY COALESCE(ss.score, 0.0) DESC, s.sent_no) AS r
+    FROM {name}_s s LEFT JOIN {name}_ss ss ON ss.key = s.key AND ss.chunk_no = s.chunk_no AND ss.sent_no = s.sent_no)
+  WHERE r <= 2 GROUP BY key, chunk_no),
+{name} AS (
+  SELECT c.key, c.chunk_no, {strip(f"regexp_extract(c.chunk, {SENT}, 0)")} AS title,
+         COALESCE(k.keywords, '') AS keywords, m.summary
+  FROM {chunks} c LEFT JOIN {name}_kw k ON k.key = c.key AND k.chunk_no = c.chunk_no
+  LEFT JOIN {name}_sum m ON m.key = c.key AND m.chunk_no = c.chunk_no)"""
+
+
+ANNOTATION = ("concat_ws(chr(10), 'Title: ' || title, 'Keywords: ' || keywords, "
+              "'Summary: ' || COALESCE(summary, ''))")
+
+PAGE_OBJECTS = r"""page_objects AS (
+  SELECT regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS key, html AS text
+  FROM pages)"""
+
+# The registered indexing run: previous index = chunks at 4000 tokens with
+# the first sentence as summary; new run at 8000 tokens.
+INDEX_RUN = f"""WITH {DOCS}, {PAGE_OBJECTS},
+{chunks_cte(8000)},
+{chunks_cte(4000, 'prior_chunks')},
+prior AS (
+  SELECT c.key, c.chunk_no, CAST(n.cnt AS INTEGER) AS chunks, regexp_extract(c.chunk, {SENT}, 0) AS summary
+  FROM prior_chunks c JOIN (SELECT key, COUNT(*) AS cnt FROM prior_chunks GROUP BY key) n ON n.key = c.key),
+counts AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key),
+prior_counts AS (SELECT DISTINCT key, chunks FROM prior),
+status AS (
+  SELECT c.key, CASE WHEN p.chunks IS NOT NULL AND p.chunks = c.chunks THEN 'Cached' ELSE 'Processed' END AS status,
+         c.chunks
+  FROM counts c LEFT JOIN prior_counts p ON p.key = c.key),
+all_status AS (
+  SELECT key, status, chunks FROM status
+  UNION ALL
+  SELECT key, 'Skipped', CAST(NULL AS INTEGER) FROM page_objects
+  WHERE NOT (lower(key) LIKE '%.txt' OR lower(key) LIKE '%.md' OR lower(key) LIKE '%.csv'
+             OR lower(key) LIKE '%.log' OR lower(key) LIKE '%.pdf')
+  UNION ALL
+  SELECT key, 'Skipped', CAST(NULL AS INTEGER) FROM page_objects WHERE lower(key) LIKE '%.pdf'
+  UNION ALL
+  SELECT key, 'Empty', CAST(NULL AS INTEGER) FROM (SELECT key, text FROM docs UNION ALL
+      SELECT key, text FROM page_objects WHERE lower(key) SIMILAR TO '.*[.](txt|md|csv|log)')
+  WHERE NOT regexp_matches(text, '\\S')),
+todo AS (
+  SELECT c.key, c.chunk_no, c.chunk, s.chunks FROM chunks c JOIN status s ON s.key = c.key WHERE s.status = 'Processed'),
+{annotate_cte('todo', 'chunks')},
+updates AS (
+  SELECT t.key, t.chunk_no, t.chunks,
+         CASE WHEN COALESCE({ANNOTATION}, '') = '' THEN '[Error] no annotation' ELSE {ANNOTATION} END AS summary
+  FROM todo t LEFT JOIN ann a ON a.key = t.key AND a.chunk_no = t.chunk_no),
+new_index AS (
+  SELECT * FROM prior WHERE key NOT IN (SELECT key FROM updates)
+  UNION ALL SELECT key, chunk_no, chunks, summary FROM updates)
+"""
+
+# Retrieval over the benchmark questions and the 8000-token chunks.
+RETRIEVAL = rf"""WITH {DOCS},
+{chunks_cte(8000)},
+rchunks AS (SELECT key AS file, chunk_no AS chunk, chunk AS text FROM chunks),
+questions AS (SELECT item_id AS query_id, text FROM benchmark),
+ptf AS (
+  SELECT file, chunk, term, COUNT(*) AS tf
+  FROM (SELECT file, chunk, unnest(regexp_extract_all(lower(text), {TERMS})) AS term FROM rchunks)
+  GROUP BY ALL),
+pdl AS (SELECT file, chunk, SUM(tf) AS dl FROM ptf GROUP BY ALL),
+stats AS (SELECT COUNT(*) AS n, avg(dl) AS avgdl FROM pdl),
+pdf AS (SELECT term, COUNT(*) AS df FROM ptf GROUP BY term),
+weighted AS (
+  SELECT t.file, t.chunk, t.term,
+         round(ln(1.0 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2
+               / (t.tf + 1.2 * (0.25 + 0.75 * l.dl / s.avgdl)), 9)::DECIMAL(18,9) AS w
+  FROM ptf t JOIN pdl l ON l.file = t.file AND l.chunk = t.chunk JOIN pdf d ON d.term = t.term, stats s),
+qterms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), {TERMS})) AS term FROM questions),
+bm AS (
+  SELECT q.query_id, w.file, w.chunk, CAST(round(SUM(w.w), 6) AS DOUBLE) AS bm25
+  FROM qterms q JOIN weighted w ON w.term = q.term GROUP BY ALL),
+scored AS (
+  SELECT query_id, file, chunk, bm25, round(bm25 * 10 / NULLIF(max(bm25) OVER (PARTITION BY query_id), 0), 6) AS score
+  FROM bm),
+replies AS (
+  SELECT s.query_id, s.file, s.chunk, {strip(f"regexp_extract(c.text, {SENT}, 0)")} AS summary,
+         'Score: ' || CAST(CAST(s.score AS DECIMAL(12,6)) AS VARCHAR) || ', Reason: bm25 '
+         || CAST(CAST(s.bm25 AS DECIMAL(18,6)) AS VARCHAR) || ', Anser: '
+         || {strip(f"regexp_extract(c.text, {SENT}, 0)")} AS reply
+  FROM scored s JOIN rchunks c ON c.file = s.file AND c.chunk = s.chunk),
+seg AS (
+  SELECT *, {strip("string_split(reply, 'Score:')[2]")} AS sg FROM replies WHERE contains(reply, 'Score:')),
+parts AS (
+  SELECT *, instr(sg, ',') AS p1, instr(substr(sg, instr(sg, ',') + 1), ',') AS p2 FROM seg),
+parsed AS (
+  SELECT query_id, file, chunk,
+         CASE WHEN regexp_full_match({strip("substr(sg, 1, p1 - 1)")}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')
+              THEN TRY_CAST({strip("substr(sg, 1, p1 - 1)")} AS DOUBLE) END AS score,
+         {strip("substr(substr(sg, p1 + 1), 1, p2 - 1)")} AS reason,
+         summary,
+         substr(substr(sg, p1 + 1), p2 + 1) AS answer
+  FROM parts WHERE p1 > 0 AND p2 > 0),
+candidates AS (SELECT * FROM parsed WHERE score IS NOT NULL),
+top AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, chunk) AS INTEGER) AS rank
+                 FROM candidates) WHERE rank <= 3),
+kept AS (SELECT * FROM top WHERE score >= 0.4),
+ctx0 AS (
+  SELECT q.query_id, 'Top Relevant Chunks and the answer:'
+         || COALESCE(string_agg(chr(10) || 'Related report: ' || k.answer, '' ORDER BY k.rank), '') AS context
+  FROM questions q LEFT JOIN kept k ON k.query_id = q.query_id GROUP BY q.query_id),
+contexts AS (
+  SELECT query_id, CASE WHEN length(context) > 12000 THEN substr(context, 1, 4000) ELSE context END AS context FROM ctx0)
+"""
+
+
+def _sents_of_kept() -> str:
+    return rf"""ks AS (
+  SELECT k.query_id, k.rank, k.file, k.chunk, unnest(regexp_extract_all(c.text, {SENT})) AS s,
+         generate_subscripts(regexp_extract_all(c.text, {SENT}), 1) AS sent_no
+  FROM kept k JOIN rchunks c ON c.file = k.file AND c.chunk = k.chunk),
+ks2 AS (SELECT query_id, rank, file, chunk, sent_no, {strip('s')} AS sentence FROM ks WHERE {strip('s')} <> ''),
+qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), {TERMS})) AS qt FROM questions),
+ks3 AS (
+  SELECT k.*, len(list_intersect(list_distinct(regexp_extract_all(lower(k.sentence), {TERMS})), q.qt)) AS overlap
+  FROM ks2 k JOIN qt q ON q.query_id = k.query_id),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank, file, chunk, sent_no) AS r
+                 FROM ks3) WHERE r <= 3)"""
+
+
+SQL.update({
+    "word_counts": f"""WITH {DOCS}
+SELECT key, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM docs""",
+    "decode_text": f"WITH {DOCS}\nSELECT key, text FROM docs",
+    "chunk_counts": f"""WITH {DOCS},\n{chunks_cte(8000)}
+SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key""",
+    "annotate_chunks": f"""WITH {DOCS},\n{chunks_cte(8000)},\n{annotate_cte('chunks', 'chunks')}
+SELECT key, chunk_no, title, keywords, summary, {ANNOTATION} AS annotation FROM ann""",
+    "index_status": INDEX_RUN + "SELECT key, status, chunks FROM all_status",
+    "index_run_summary": INDEX_RUN + "SELECT status, COUNT(*) AS documents FROM all_status GROUP BY status",
+    "upsert_index": INDEX_RUN + "SELECT key, chunk_no, chunks, summary FROM new_index",
+    "pack_index": INDEX_RUN + """SELECT key, MAX(chunks) AS chunks, list(summary ORDER BY chunk_no) AS summaries
+FROM new_index GROUP BY key""",
+    "explode_index": INDEX_RUN + "SELECT key AS file, chunk_no AS chunk, summary FROM new_index",
+    "score_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score FROM scored",
+    "parse_scored_reply": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer FROM candidates",
+    "top_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM top",
+    "relevant_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM kept",
+    "build_context": RETRIEVAL + "SELECT query_id, context FROM contexts",
+    "clip_output": RETRIEVAL + "SELECT query_id, substr(context, 1, 200) || '...' AS context FROM contexts",
+    "summarize_context": RETRIEVAL + ",\n" + _sents_of_kept() + """
+SELECT q.query_id, COALESCE(string_agg(b.sentence, ' ' ORDER BY b.rank, b.file, b.chunk, b.sent_no), '') AS summary
+FROM questions q LEFT JOIN best b ON b.query_id = q.query_id GROUP BY q.query_id""",
+})

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 SUPPORTED_EXTENSIONS = (".txt", ".md", ".csv", ".log", ".pdf")
 
 
+def url_key(url="url"):
+    """Object key of a URL: drop the scheme, the query and the fragment."""
+    return F.regexp_replace(F.regexp_replace(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""),
+                            r"[?#].*$", "")
+
+
 def keys_from_urls(pages: DataFrame) -> DataFrame:
-    """Object keys from page URLs: drop the scheme, the query and the fragment."""
-    k = F.regexp_replace(F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""),
-                         r"[?#].*$", "")
-    return pages.select(k.alias("key"))
+    """Object keys from page URLs."""
+    return pages.select(url_key().alias("key"))
 
 
 def keys_from_documents(documents: DataFrame) -> DataFrame:
