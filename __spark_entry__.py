@@ -22,6 +22,8 @@ from tessera.operators import annotate as AN
 from tessera.operators import retrieval as T
 from tessera.plans import answering as ANS
 from tessera.plans.indexing_run import index_documents
+from tessera.operators import graph as G
+from tessera.operators import transcripts as C
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -107,10 +109,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summarize_context": lambda spark, d: T.summarize_context(
             _questions(spark, d), ANS.relevant(_questions(spark, d), _rchunks(spark, d)), _rchunks(spark, d)),
         "build_prompts": _build_prompts,
+        # knowledge graphs
+        "term_graph_nodes": lambda spark, d: _corpus_graph(spark, d, 8)[0],
+        "term_graph_edges": lambda spark, d: _corpus_graph(spark, d, 8)[1],
+        "graph_changed": _graph_changed,
+        "graph_nodes": lambda spark, d: G.graph_nodes(_question_graphs(spark, d), ["query_id"]),
+        "graph_edges": lambda spark, d: G.graph_edges(_question_graphs(spark, d), ["query_id"]),
+        # conversation transcripts
+        "cap_rounds": lambda spark, d: C.cap_rounds(_conv(spark, d)),
+        "tool_results": lambda spark, d: C.tool_results(_conv(spark, d)),
+        "stop_round": lambda spark, d: C.stop_round(_conv(spark, d)),
+        "assemble_response": lambda spark, d: C.assemble_response(_conv(spark, d)),
+        "followup_prompts": lambda spark, d: C.followup_prompts(_conv(spark, d)),
+        "round_summary": lambda spark, d: C.round_summary(_conv(spark, d)),
     }
     return q
 
 
+def _conv(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+GRAPH_MIN_COUNT = 2
+
+
+def _corpus_graph(spark, sf_dir, n_keywords):
+    ann = AN.annotate_chunks(_chunks(spark, sf_dir), n_keywords=n_keywords)
+    return G.term_graph(ann, [], ["key", "chunk_no"], GRAPH_MIN_COUNT)
+
+
+def _graph_changed(spark, sf_dir):
+    """G6 between the term graph of 5 and of 8 keywords per chunk."""
+    on, oe = _corpus_graph(spark, sf_dir, 5)
+    nn, ne = _corpus_graph(spark, sf_dir, 8)
+    return G.graph_changed(on, oe.drop("weight"), nn, ne.drop("weight"), [])
+
+
+def _question_graphs(spark, sf_dir):
+    """Per question: the term graph of its kept chunks, rendered as fenced
+    JSON (the model-output shape) and parsed back (G1, G2)."""
+    qs, ch = _questions(spark, sf_dir), _rchunks(spark, sf_dir)
+    kept = ANS.relevant(qs, ch)
+    ann = AN.annotate_chunks(_chunks(spark, sf_dir)).select(
+        F.col("key").alias("file"), F.col("chunk_no").alias("chunk"), "keywords")
+    kw = kept.select("query_id", "file", "chunk").join(ann, ["file", "chunk"])
+    nodes, edges = G.term_graph(kw, ["query_id"], ["file", "chunk"])
+    raw = G.graph_json(nodes, edges.drop("weight"), ["query_id"]).withColumn(
+        "raw", F.concat(F.lit("```json\n"), F.col("raw"), F.lit("\n```")))
+    return G.parse_graph(raw)
+
+
 def _chunks(spark, sf_dir, max_tokens=D.MAX_TOKENS):
     return D.chunk_documents(_doc_objects(spark, sf_dir), max_tokens=max_tokens)
 
@@ -213,4 +261,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(QUALITY)
     from oracle.text_sql import SQL as TEXT
     out.update(TEXT)
+    from oracle.graph_sql import SQL as GRAPH
+    out.update(GRAPH)
     return out

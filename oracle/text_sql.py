@@ -52,7 +52,7 @@ SENT = "'[^.!?]+[.!?]*'"
 TERMS = "'\\p{L}+'"
 
 
-def annotate_cte(chunks: str, corpus: str, name: str = "ann") -> str:
+def annotate_cte(chunks: str, corpus: str, name: str = "ann", n_keywords: int = 8) -> str:
     """title / keywords / summary / annotation for the rows of ``chunks``
     (key, chunk_no, chunk) with TF-IDF statistics from ``corpus``."""
     return rf"""{name}_tf AS (
@@ -68,9 +68,9 @@ def annotate_cte(chunks: str, corpus: str, name: str = "ann") -> str:
          round(t.tf * (ln((1.0 + (SELECT COUNT(*) FROM {corpus})) / (1.0 + d.df)) + 1.0), 9) AS tfidf
   FROM {name}_tf t JOIN {name}_df d ON t.term = d.term),
 {name}_kw AS (
-  SELECT key, chunk_no, string_agg(term, ', ' ORDER BY r) AS keywords FROM (
+  SELECT key, chunk_no, string_agg(term, ', ' ORDER BY r) AS keywords, list(term ORDER BY r) AS kwl FROM (
     SELECT key, chunk_no, term, row_number() OVER (PARTITION BY key, chunk_no ORDER BY tfidf DESC, term) AS r
-    FROM {name}_w) WHERE r <= 8 GROUP BY key, chunk_no),
+    FROM {name}_w) WHERE r <= {n_keywords} GROUP BY key, chunk_no),
 {name}_s AS (
   SELECT key, chunk_no, sent_no, {strip('s')} AS sentence FROM (
     SELECT key, chunk_no, unnest(l) AS s, generate_subscripts(l, 1) AS sent_no
@@ -88,7 +88,7 @@ def annotate_cte(chunks: str, corpus: str, name: str = "ann") -> str:
   WHERE r <= 2 GROUP BY key, chunk_no),
 {name} AS (
   SELECT c.key, c.chunk_no, {strip(f"regexp_extract(c.chunk, {SENT}, 0)")} AS title,
-         COALESCE(k.keywords, '') AS keywords, m.summary
+         COALESCE(k.keywords, '') AS keywords, COALESCE(k.kwl, []) AS kwl, m.summary
   FROM {chunks} c LEFT JOIN {name}_kw k ON k.key = c.key AND k.chunk_no = c.chunk_no
   LEFT JOIN {name}_sum m ON m.key = c.key AND m.chunk_no = c.chunk_no)"""
 
