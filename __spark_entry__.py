@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.sales import load_sales, schema_catalog, customers_from
+from tessera.session import materialize
+from tessera.sources.sales import load_sales, schema_catalog, customers_from, table_dump
+from tessera.sources.generate import generate_sales
 from tessera.operators import sales as S
 from tessera.operators import report as R
 from tessera.operators import quality as Q
@@ -64,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "payment_breakdown": _sales(lambda t: S.payment_breakdown(t["orders"])),
         "order_totals": _sales(lambda t: S.order_totals(t["order_items"])),
         "order_total_reconciliation": _sales(lambda t: S.order_total_reconciliation(t["orders"], t["order_items"])),
+        "table_dump": _sales(lambda t: table_dump(t, "products")),
+        "generate_orders": _generate_orders,
         # report
         "sales_report_lines": _sales(lambda t: R.sales_report_lines(
             t, generated_on=REPORT_STAMP, low_stock_threshold=DRIVER_LOW_STOCK)),
@@ -126,6 +130,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return q
 
 
+def _generate_orders(spark, sf_dir):
+    """S7 on the driver's customers and products (seeded); checked by
+    invariants in the tests (hash functions differ between engines)."""
+    t = load_sales(spark, sf_dir)
+    g = generate_sales(t["customers"], t["products"], seed=42)
+    return g["orders"].withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
 def _conv(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
@@ -160,7 +172,10 @@ def _question_graphs(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir, max_tokens=D.MAX_TOKENS):
-    return D.chunk_documents(_doc_objects(spark, sf_dir), max_tokens=max_tokens)
+    """The chunk table feeds several operators in one query, so it is written
+    once to the shared checkpoint folder instead of re-running the chunker
+    in every branch."""
+    return materialize(D.chunk_documents(_doc_objects(spark, sf_dir), max_tokens=max_tokens))
 
 
 def _rchunks(spark, sf_dir):

@@ -54,6 +54,10 @@ SELECT p.product_id, p.name, p.category, CAST(p.price AS DOUBLE) AS price,
 FROM products p LEFT JOIN item_agg a ON p.product_id = a.product_id
 ORDER BY a.revenue DESC NULLS LAST, p.product_id"""),
 
+    "table_dump": with_adapter("""
+SELECT product_id, name, description, category, price, stock_quantity, CAST(NULL AS DATE) AS created_date
+FROM products"""),
+
     "low_stock": with_adapter("""
 SELECT product_id, name, category, stock_quantity, CAST(price AS DOUBLE) AS price
 FROM products WHERE stock_quantity < 10 ORDER BY stock_quantity, product_id"""),

@@ -66,6 +66,17 @@ def _chunk_udf(max_tokens: int, counter: Callable | None, keep_empty_first: bool
     return chunk
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame that has fewer input partitions than the
+    cluster has cores (e.g. one large file with one row group), so that the
+    per-document Python work is not serialised in one task. Wide inputs (the
+    normal case at scale) are left as they are: no extra shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, counter: Callable | None = None,
                     keep_empty_first: bool = True, key: str = "key", text: str = "text") -> DataFrame:
     """D3: ``(key, chunk_no, chunk)`` with chunk_no from 1.
@@ -73,7 +84,8 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, counter: Call
     ``counter(words) -> costs`` replaces the default token estimate (e.g. an
     exact tokenizer); it runs inside the same Arrow batch."""
     udf = _chunk_udf(max_tokens, counter, keep_empty_first)
-    arr = docs.select(F.col(key).alias("key"), udf(F.col(text)).alias("__chunks"))
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
+    arr = spread(src).select("key", udf(F.col("__text")).alias("__chunks"))
     return arr.select("key", F.posexplode("__chunks").alias("__pos", "chunk")).select(
         "key", (F.col("__pos") + 1).alias("chunk_no"), "chunk")
 

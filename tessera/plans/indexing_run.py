@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.operators import indexing as D
 from tessera.operators.annotate import annotate_chunks
 from tessera.operators.listing import supported_files
+from tessera.session import materialize
 
 INDEX_COLUMNS = ["key", "chunk_no", "chunks", "summary"]
 
@@ -28,7 +29,7 @@ def empty_index(spark) -> DataFrame:
 
 
 def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS,
-                    counter=None, by: str = "count", checkpoint: bool = False,
+                    counter=None, by: str = "count", checkpoint: bool = True,
                     n_keywords: int = 8, n_sentences: int = 2, model_fn=None):
     """Returns ``(status, new_index)``; ``status`` is ``(key, status, chunks)``
     for every object, ``new_index`` the full index rows after the upsert."""
@@ -45,7 +46,7 @@ def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MA
     docs = D.non_empty(text)
     chunks = D.chunk_documents(docs, max_tokens, counter)
     if checkpoint:
-        chunks = chunks.checkpoint(eager=True)
+        chunks = materialize(chunks)
     counts = D.chunk_counts(chunks)
     if by == "hash":
         counts = counts.join(docs.select("key", F.sha2("text", 256).alias("text_hash")), "key")
