@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tessera.functions.chunking import chunk_text
 from tessera.functions.columns import words as _words
@@ -152,7 +152,7 @@ def guarded(df: DataFrame, fn: Callable[[str], str], col: str, out: str) -> Data
     """Apply a per-row Python hook (extractor, model call) in Arrow
     batches; a failing row gets NULL in ``out`` and its message in
     ``error`` instead of failing the job."""
-    schema = df.schema.add(out, StringType()).add("error", StringType())
+    schema = StructType(list(df.schema.fields) + [StructField(out, StringType()), StructField("error", StringType())])
 
     def run(batches):
         for pdf in batches:
