@@ -102,16 +102,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pack_index": lambda spark, d: D.pack_index(_index_run(spark, d)[1]),
         "explode_index": lambda spark, d: D.explode_index(D.pack_index(_index_run(spark, d)[1])),
         # retrieval over the benchmark questions
-        "score_chunks": lambda spark, d: T.score_chunks(_questions(spark, d), _rchunks(spark, d)),
-        "parse_scored_reply": lambda spark, d: ANS.scored_candidates(_questions(spark, d), _rchunks(spark, d)),
-        "top_chunks": lambda spark, d: T.top_chunks(
-            ANS.scored_candidates(_questions(spark, d), _rchunks(spark, d))),
-        "relevant_chunks": lambda spark, d: ANS.relevant(_questions(spark, d), _rchunks(spark, d)),
-        "build_context": lambda spark, d: ANS.contexts(_questions(spark, d), _rchunks(spark, d)),
-        "clip_output": lambda spark, d: T.clip_output(
-            ANS.contexts(_questions(spark, d), _rchunks(spark, d)), "context", 200),
-        "summarize_context": lambda spark, d: T.summarize_context(
-            _questions(spark, d), ANS.relevant(_questions(spark, d), _rchunks(spark, d)), _rchunks(spark, d)),
+        "score_chunks": lambda spark, d: _answer(spark, d, T.score_chunks),
+        "parse_scored_reply": lambda spark, d: _answer(spark, d, ANS.scored_candidates),
+        "top_chunks": lambda spark, d: _answer(spark, d, ANS.top_candidates),
+        "relevant_chunks": lambda spark, d: _answer(spark, d, ANS.relevant),
+        "build_context": lambda spark, d: _answer(spark, d, ANS.contexts),
+        "clip_output": lambda spark, d: T.clip_output(_answer(spark, d, ANS.contexts), "context", 200),
+        "summarize_context": _summarize_context,
         "build_prompts": _build_prompts,
         # knowledge graphs
         "term_graph_nodes": lambda spark, d: _corpus_graph(spark, d, 8)[0],
@@ -160,8 +157,9 @@ def _graph_changed(spark, sf_dir):
 def _question_graphs(spark, sf_dir):
     """Per question: the term graph of its kept chunks, rendered as fenced
     JSON (the model-output shape) and parsed back (G1, G2)."""
-    qs, ch = _questions(spark, sf_dir), _rchunks(spark, sf_dir)
-    kept = ANS.relevant(qs, ch)
+    qs = _questions(spark, sf_dir)
+    ch, k, w = _index_k(spark, sf_dir)
+    kept = ANS.relevant(qs, ch, k, weights=w)
     ann = AN.annotate_chunks(_chunks(spark, sf_dir)).select(
         F.col("key").alias("file"), F.col("chunk_no").alias("chunk"), "keywords")
     kw = kept.select("query_id", "file", "chunk").join(ann, ["file", "chunk"])
@@ -184,6 +182,31 @@ def _rchunks(spark, sf_dir):
                                          F.col("chunk").alias("text"))
 
 
+def _index(spark, sf_dir):
+    """``(chunks, weights)``: the chunk table and its BM25 inverted index,
+    each written once to the shared checkpoint folder (the index is built
+    once and read by every scoring step)."""
+    ch = _rchunks(spark, sf_dir)
+    return ch, materialize(T.weighted_postings(ch))
+
+
+def _answer(spark, sf_dir, fn):
+    """Run an answering operator over the benchmark questions and the index."""
+    ch, w = _index(spark, sf_dir)
+    return fn(_questions(spark, sf_dir), ch, weights=w)
+
+
+def _index_k(spark, sf_dir):
+    ch, w = _index(spark, sf_dir)
+    return ch, T.TOP_K, w
+
+
+def _summarize_context(spark, sf_dir):
+    qs = _questions(spark, sf_dir)
+    ch, k, w = _index_k(spark, sf_dir)
+    return T.summarize_context(qs, ANS.relevant(qs, ch, k, weights=w), ch)
+
+
 def _questions(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), "text")
@@ -221,9 +244,10 @@ def _decode_text(spark, sf_dir):
 
 
 def _build_prompts(spark, sf_dir):
-    qs, ch = _questions(spark, sf_dir), _rchunks(spark, sf_dir)
-    top = ANS.relevant(qs, ch)
-    return T.build_prompts(qs, top, ANS.contexts(qs, ch), ch)
+    qs = _questions(spark, sf_dir)
+    ch, k, w = _index_k(spark, sf_dir)
+    top = ANS.relevant(qs, ch, k, weights=w)
+    return T.build_prompts(qs, top, T.truncate_context(T.build_context(qs, top)), ch)
 
 
 def _doc_objects(spark, sf_dir):

@@ -36,29 +36,90 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return tf.join(dl, ["file", "chunk"])
 
 
-def score_chunks(questions: DataFrame, chunks: DataFrame, text: str = "text",
-                 k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, file, chunk, bm25, score)`` for every chunk sharing a
-    term with the question; ``score`` is BM25 scaled to 0-10 by the best
-    chunk of that question. Term contributions are rounded to 9 decimals and
-    summed exactly as decimals, then rounded to 6, so results do not depend
-    on the engine or the summation order."""
-    p = postings(chunks, text)
-    n = p.select("file", "chunk").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    avgdl = p.select("file", "chunk", "dl").distinct().agg(F.avg("dl").alias("a")).scalar()
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def weighted_postings(chunks: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """``(file, chunk, term, w, df)``: BM25 weight of every posting, rounded
+    to 9 decimals and held as an exact decimal so that sums do not depend on
+    the engine or the summation order."""
+    t = chunks.select("file", "chunk", F.explode(terms(text)).alias("term"))
+    tf = t.groupBy("file", "chunk", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dl = tf.groupBy("file", "chunk").agg(F.sum("tf").alias("dl"))
+    # one scalar subquery for both corpus statistics (evaluated once)
+    stats = dl.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    n, avgdl = stats.getField("n"), stats.getField("avgdl")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    p = tf.join(dl, ["file", "chunk"])
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = p.join(df, "term").select(
-        "file", "chunk", "term",
+    return p.join(df, "term").select(
+        "file", "chunk", "term", "df",
         F.round(idf * F.col("tf") * (k1 + 1)
                 / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)").alias("w"))
-    q = questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    s = (q.join(weighted, "term").groupBy("query_id", "file", "chunk")
-         .agg(F.round(F.sum("w"), 6).cast("double").alias("bm25")))
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+
+
+def _scaled(s: DataFrame) -> DataFrame:
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     return s.withColumn("score", F.round(F.try_divide(F.col("bm25") * 10, best), 6))
 
 
+def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "text",
+                 k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
+    """``(query_id, file, chunk, bm25, score)`` for every chunk sharing a
+    term with the question (the reference scores every chunk); ``score`` is
+    BM25 scaled to 0-10 by the best chunk of that question. ``weights`` is a
+    prebuilt ``weighted_postings`` table (the inverted index)."""
+    w = weights if weights is not None else weighted_postings(chunks, text, k1, b)
+    s = (question_terms(questions).join(w, "term").groupBy("query_id", "file", "chunk")
+         .agg(F.round(F.sum("w"), 6).cast("double").alias("bm25")))
+    return _scaled(s)
+
+
+def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K, text: str = "text",
+                common_fraction: float = 0.2, k1: float = K1, b: float = B,
+                weights: DataFrame | None = None) -> DataFrame:
+    """Exact top-k of T2 per question without joining common terms to all
+    of their postings.
+
+    Terms in more than ``common_fraction`` of the chunks are *common*. Only
+    chunks sharing a rare term with the question are candidates: their rare
+    part comes from the rare-term join, their common part from point lookups
+    of (chunk, common term). A chunk with common terms only scores at most
+    ``UB`` = sum over the question's common terms of the term's best weight.
+    When the k-th candidate beats ``UB`` by more than the rounding of the
+    scaled score, the candidates' top-k is the exact top-k; the remaining
+    questions (too few candidates, or common terms only) are scored in full.
+    Same output as ``top_chunks(score_chunks(...))``."""
+    w = weights if weights is not None else weighted_postings(chunks, text, k1, b)
+    n = w.select("file", "chunk").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    maxw = w.groupBy("term").agg(F.max("w").alias("maxw"), F.max("df").alias("df"))
+    qt = question_terms(questions).join(maxw, "term")
+    common = F.col("df") > n * common_fraction
+    rare_qt, common_qt = qt.filter(~common).select("query_id", "term"), qt.filter(common).select("query_id", "term")
+    ub = qt.filter(common).groupBy("query_id").agg(F.sum("maxw").alias("ub"))
+    rare_part = (rare_qt.join(w.select("file", "chunk", "term", "w"), "term")
+                 .groupBy("query_id", "file", "chunk").agg(F.sum("w").alias("rw")))
+    common_part = (rare_part.select("query_id", "file", "chunk").join(common_qt, "query_id")
+                   .join(w.select("file", "chunk", "term", "w"), ["file", "chunk", "term"])
+                   .groupBy("query_id", "file", "chunk").agg(F.sum("w").alias("cw")))
+    scored = (rare_part.join(common_part, ["query_id", "file", "chunk"], "left")
+              .select("query_id", "file", "chunk",
+                      F.round(F.col("rw") + F.coalesce("cw", F.lit(0)), 6).cast("double").alias("bm25")))
+    ranked = top_chunks(_scaled(scored), k)
+    kth = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"), F.min("bm25").alias("__kth"),
+                                         F.max("bm25").alias("__best"))
+    decided = (kth.join(ub, "query_id", "left")
+               .filter(F.col("ub").isNull()
+                       | ((F.col("__n") >= k)
+                          & ((F.col("__kth") - F.col("ub").cast("double")) * 10 / F.col("__best") > 1e-5)))
+               .select("query_id"))
+    exact = ranked.join(decided, "query_id", "left_semi")
+    rest = questions.join(decided, "query_id", "left_anti")
+    full = top_chunks(score_chunks(rest, None, weights=w), k)
+    return exact.unionByName(full)
+
+
 def top_chunks(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     """T4: the k best chunks per question (score desc, then file, chunk)."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file", "chunk")

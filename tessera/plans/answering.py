@@ -1,9 +1,14 @@
 """The answering job for a table of questions (the reference answers one
 question at a time with one model call per chunk):
 
-chunks -> BM25 scores (T2) -> replies in the reference format -> parse (T3)
--> top-k (T4) -> threshold (T5) -> context (T6) -> truncation (T7) ->
-extractive summary (T9) and term graph (G5).
+chunks -> inverted index with BM25 weights -> exact top-k per question
+(pruned: common terms are never joined to all of their postings) -> replies
+in the reference format (offline stand-in for the scoring model) -> parse
+(T3) -> top-k (T4) -> threshold (T5) -> context (T6) -> truncation (T7).
+
+``scored_candidates`` keeps the reference's shape (a reply for every chunk
+that shares a term with the question); the answering path only needs the
+best ``k`` per question and never materialises all pairs.
 """
 
 from __future__ import annotations
@@ -13,21 +18,30 @@ from pyspark.sql import DataFrame
 from tessera.operators import retrieval as T
 
 
-def scored_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """T2 -> offline replies -> T3: ``(query_id, file, chunk, score, reason,
-    summary, answer)``."""
-    scored = T.score_chunks(questions, chunks)
+def scored_candidates(questions: DataFrame, chunks: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """T2 -> offline replies -> T3 for every scored pair: ``(query_id, file,
+    chunk, score, reason, summary, answer)``."""
+    scored = T.score_chunks(questions, chunks, weights=weights)
     replies = T.offline_replies(scored, chunks)
     return T.parse_scored_reply(replies).select("query_id", "file", "chunk", "score", "reason",
                                                 "summary", "answer")
 
 
+def top_candidates(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
+                   weights: DataFrame | None = None) -> DataFrame:
+    """Exact top-k per question (pruned scoring) -> replies -> T3 -> T4."""
+    best = T.best_chunks(questions, chunks, k, weights=weights)
+    parsed = T.parse_scored_reply(T.offline_replies(best, chunks)).select(
+        "query_id", "file", "chunk", "score", "reason", "summary", "answer")
+    return T.top_chunks(parsed, k)
+
+
 def relevant(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE) -> DataFrame:
-    return T.relevant_only(T.top_chunks(scored_candidates(questions, chunks), k), min_score)
+             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None) -> DataFrame:
+    return T.relevant_only(top_candidates(questions, chunks, k, weights), min_score)
 
 
 def contexts(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE) -> DataFrame:
-    ctx = T.build_context(questions, relevant(questions, chunks, k, min_score))
+             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None) -> DataFrame:
+    ctx = T.build_context(questions, relevant(questions, chunks, k, min_score, weights))
     return T.truncate_context(ctx)
