@@ -97,3 +97,25 @@ def test_summarize_context(spark):
     top = spark.createDataFrame([(1, "a", 1, 1)], "query_id bigint, file string, chunk int, rank int")
     got = {r.query_id: r.summary for r in T.summarize_context(qs, top, chunks, n=2).collect()}
     assert got == {1: "A cat sat. On the mat a cat slept.", 2: ""}
+
+
+def test_pruned_topk_equals_full(spark):
+    import random
+    rnd = random.Random(11)
+    common = ["the", "and", "of", "to"]
+    rare = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    chunks = []
+    for f in range(30):
+        for c in range(1, 3):
+            words = [rnd.choice(common) for _ in range(rnd.randint(5, 30))]
+            words += [rnd.choice(rare) for _ in range(rnd.randint(0, 4))]
+            rnd.shuffle(words)
+            chunks.append((f"f{f:02d}", c, " ".join(words) + "."))
+    qs = [(1, "the wab and"), (2, "the and of to"), (3, "wcd wfe the"), (4, "zzz"), (5, "wbb")]
+    cdf = spark.createDataFrame(chunks, "file string, chunk int, text string")
+    qdf = spark.createDataFrame(qs, "query_id bigint, text string")
+    cols = ["query_id", "file", "chunk", "bm25", "score", "rank"]
+    full = sorted(T.top_chunks(T.score_chunks(qdf, cdf), 3).select(*cols).collect())
+    for frac in (0.05, 0.5, 1.0):
+        pruned = sorted(T.best_chunks(qdf, cdf, 3, common_fraction=frac).select(*cols).collect())
+        assert pruned == full
