@@ -96,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_counts": lambda spark, d: D.chunk_counts(_chunks(spark, d)),
         "annotate_chunks": lambda spark, d: AN.annotate_chunks(_chunks(spark, d)).withColumn(
             "keywords", F.array_join("keywords", ", ")),
+        "chunk_topics": lambda spark, d: AN.chunk_topics(_chunks(spark, d)),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
         "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
         "upsert_index": lambda spark, d: _index_run(spark, d)[1],

@@ -80,3 +80,35 @@ FROM conv c LEFT JOIN fu ON fu.conv_id = c.conv_id WHERE c.is_tool""",
 SELECT conv_id, round, COUNT(*) AS turns, CAST(SUM(CAST(is_tool AS INTEGER)) AS BIGINT) AS tool_results
 FROM conv GROUP BY conv_id, round""",
 }
+
+
+def _lit(text: str) -> str:
+    """SQL literal with newlines as chr(10)."""
+    parts = text.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+# T8 prompt templates (same fixed wording as the Spark operator).
+ANNOTATE_PRE = "Extract title, main topics, keywords and a detailed summary from the following:\n\n"
+SCORE_PRE, SCORE_MID = "Question: ", "\n\nChunk summary:\n"
+SCORE_POST = ("\n\nRate the relevance of the chunk to the question from 0 to 10 and answer in the form: "
+              "Score: <number>, Reason: <short reason>, Anser: <answer>")
+SUM_PRE = "Summarize the key points related to this question: '"
+SUM_MID = "'. Give the key findings and a brief conclusion.\n\nContext:\n"
+GRAPH_PRE = ('Extract a knowledge graph as JSON with nodes [{"id", "label"}] and edges '
+             '[{"from", "to", "type"}] from this context. Output raw JSON only.\n\nContext:\n')
+
+SQL["build_prompts"] = RETRIEVAL + f"""
+SELECT 'annotate' AS kind, CAST(NULL AS BIGINT) AS query_id, file, chunk, {_lit(ANNOTATE_PRE)} || text AS prompt
+FROM rchunks
+UNION ALL
+SELECT 'score', k.query_id, k.file, k.chunk,
+       {_lit(SCORE_PRE)} || q.text || {_lit(SCORE_MID)} || c.text || {_lit(SCORE_POST)}
+FROM kept k JOIN questions q ON q.query_id = k.query_id JOIN rchunks c ON c.file = k.file AND c.chunk = k.chunk
+UNION ALL
+SELECT 'summarize', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER),
+       {_lit(SUM_PRE)} || q.text || {_lit(SUM_MID)} || x.context
+FROM contexts x JOIN questions q ON q.query_id = x.query_id
+UNION ALL
+SELECT 'graph', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), {_lit(GRAPH_PRE)} || x.context
+FROM contexts x"""

@@ -200,17 +200,22 @@ PROMPTS = {
 
 
 def _render(template: str, **cols):
-    parts, rest = [], template
-    while "{" in rest:
-        i = rest.index("{")
-        if rest[i:i + 2] == "{{":
-            parts.append(F.lit(rest[:i] + "{"))
-            rest = rest[i + 2:]
-            continue
-        j = rest.index("}", i)
-        parts += [F.lit(rest[:i]), F.coalesce(cols[rest[i + 1:j]], F.lit(""))]
-        rest = rest[j + 1:]
-    parts.append(F.lit(rest.replace("}}", "}")))
+    """``str.format``-style template -> ``concat`` of literals and columns
+    (``{{`` / ``}}`` are literal braces)."""
+    parts, lit, i = [], [], 0
+    while i < len(template):
+        ch = template[i]
+        if ch in "{}" and template[i:i + 2] in ("{{", "}}"):
+            lit.append(ch)
+            i += 2
+        elif ch == "{":
+            j = template.index("}", i)
+            parts += [F.lit("".join(lit)), F.coalesce(cols[template[i + 1:j]], F.lit(""))]
+            lit, i = [], j + 1
+        else:
+            lit.append(ch)
+            i += 1
+    parts.append(F.lit("".join(lit)))
     return F.concat(*parts)
 
 
