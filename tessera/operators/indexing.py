@@ -4,8 +4,8 @@
 (A10).
 
 A document is the unit of parallelism: chunking is order-dependent inside a
-document and independent across documents, so it runs as one Arrow pandas
-UDF call per batch of documents followed by ``posexplode``. Everything else
+document and independent across documents, so it runs in Arrow batches of
+documents (``mapInPandas``) that emit one row per chunk. Everything else
 is built-in Spark SQL. The index is kept exploded as
 ``(key, chunk_no, chunks, summary)`` rows; ``pack_index`` gives the nested
 ``(key, chunks, summaries[])`` form.
@@ -18,8 +18,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.chunking import chunk_text
 from tessera.functions.columns import words as _words
@@ -59,11 +58,17 @@ def token_cost(word: Column | str) -> Column:
 
 # ------------------------------------------------------------------ D3, D4
 
-def _chunk_udf(max_tokens: int, counter: Callable | None, keep_empty_first: bool):
-    @pandas_udf(ArrayType(StringType()))
-    def chunk(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_text(t, max_tokens, counter, keep_empty_first) for t in texts])
-    return chunk
+def _chunk_batches(max_tokens: int, counter: Callable | None, keep_empty_first: bool):
+    def run(batches):
+        for pdf in batches:
+            keys, nos, texts = [], [], []
+            for k, t in zip(pdf["key"], pdf["__text"]):
+                for i, c in enumerate(chunk_text(t, max_tokens, counter, keep_empty_first) or ()):
+                    keys.append(k)
+                    nos.append(i + 1)
+                    texts.append(c)
+            yield pd.DataFrame({"key": keys, "chunk_no": pd.Series(nos, dtype="int32"), "chunk": texts})
+    return run
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -83,11 +88,12 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, counter: Call
 
     ``counter(words) -> costs`` replaces the default token estimate (e.g. an
     exact tokenizer); it runs inside the same Arrow batch."""
-    udf = _chunk_udf(max_tokens, counter, keep_empty_first)
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
-    arr = spread(src).select("key", udf(F.col("__text")).alias("__chunks"))
-    return arr.select("key", F.posexplode("__chunks").alias("__pos", "chunk")).select(
-        "key", (F.col("__pos") + 1).alias("chunk_no"), "chunk")
+    # mapInPandas emits the chunk rows directly: one Python pass per
+    # document and no generator (an inferred ``size(udf(...)) > 0`` filter
+    # beneath an explode would evaluate the chunker twice).
+    return spread(src).mapInPandas(_chunk_batches(max_tokens, counter, keep_empty_first),
+                                   "key string, chunk_no int, chunk string")
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
