@@ -67,7 +67,8 @@ def _chunk_batches(max_tokens: int, counter: Callable | None, keep_empty_first:
                     keys.append(k)
                     nos.append(i + 1)
                     texts.append(c)
-            yield pd.DataFrame({"key": keys, "chunk_no": pd.Series(nos, dtype="int32"), "chunk": texts})
+            if keys:  # an empty object-typed frame does not convert to Arrow
+                yield pd.DataFrame({"key": keys, "chunk_no": pd.Series(nos, dtype="int32"), "chunk": texts})
     return run
 
 
