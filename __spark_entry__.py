@@ -159,8 +159,8 @@ def _question_graphs(spark, sf_dir):
     """Per question: the term graph of its kept chunks, rendered as fenced
     JSON (the model-output shape) and parsed back (G1, G2)."""
     qs = _questions(spark, sf_dir)
-    ch, k, w = _index_k(spark, sf_dir)
-    kept = ANS.relevant(qs, ch, k, weights=w)
+    ch, k, w, ts = _index_k(spark, sf_dir)
+    kept = ANS.relevant(qs, ch, k, weights=w, stats=ts)
     ann = AN.annotate_chunks(_chunks(spark, sf_dir)).select(
         F.col("key").alias("file"), F.col("chunk_no").alias("chunk"), "keywords")
     kw = kept.select("query_id", "file", "chunk").join(ann, ["file", "chunk"])
@@ -188,24 +188,27 @@ def _index(spark, sf_dir):
     each written once to the shared checkpoint folder (the index is built
     once and read by every scoring step)."""
     ch = _rchunks(spark, sf_dir)
-    return ch, materialize(T.weighted_postings(ch))
+    w = materialize(T.weighted_postings(ch))
+    return ch, w, materialize(T.term_stats(w))
 
 
 def _answer(spark, sf_dir, fn):
     """Run an answering operator over the benchmark questions and the index."""
-    ch, w = _index(spark, sf_dir)
-    return fn(_questions(spark, sf_dir), ch, weights=w)
+    ch, w, ts = _index(spark, sf_dir)
+    if fn is T.score_chunks:
+        return fn(_questions(spark, sf_dir), ch, weights=w)
+    return fn(_questions(spark, sf_dir), ch, weights=w, stats=ts)
 
 
 def _index_k(spark, sf_dir):
-    ch, w = _index(spark, sf_dir)
-    return ch, T.TOP_K, w
+    ch, w, ts = _index(spark, sf_dir)
+    return ch, T.TOP_K, w, ts
 
 
 def _summarize_context(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    ch, k, w = _index_k(spark, sf_dir)
-    return T.summarize_context(qs, ANS.relevant(qs, ch, k, weights=w), ch)
+    ch, k, w, ts = _index_k(spark, sf_dir)
+    return T.summarize_context(qs, ANS.relevant(qs, ch, k, weights=w, stats=ts), ch)
 
 
 def _questions(spark, sf_dir):
@@ -246,8 +249,8 @@ def _decode_text(spark, sf_dir):
 
 def _build_prompts(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    ch, k, w = _index_k(spark, sf_dir)
-    top = ANS.relevant(qs, ch, k, weights=w)
+    ch, k, w, ts = _index_k(spark, sf_dir)
+    top = ANS.relevant(qs, ch, k, weights=w, stats=ts)
     return T.build_prompts(qs, top, T.truncate_context(T.build_context(qs, top)), ch)
 
 

@@ -55,6 +55,14 @@ def weighted_postings(chunks: DataFrame, text: str = "text", k1: float = K1, b:
                 / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)").alias("w"))
 
 
+def term_stats(weights: DataFrame) -> DataFrame:
+    """``(term, df, maxw, n_chunks)``: per-term document frequency and best
+    weight, and the corpus size; part of the index, built once with it."""
+    n = weights.select("file", "chunk").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return weights.groupBy("term").agg(F.max("df").alias("df"), F.max("w").alias("maxw")) \
+        .withColumn("n_chunks", n)
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
 
@@ -78,7 +86,7 @@ def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "te
 
 def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K, text: str = "text",
                 common_fraction: float = 0.2, k1: float = K1, b: float = B,
-                weights: DataFrame | None = None) -> DataFrame:
+                weights: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Exact top-k of T2 per question without joining common terms to all
     of their postings.
 
@@ -90,12 +98,26 @@ def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K,
     When the k-th candidate beats ``UB`` by more than the rounding of the
     scaled score, the candidates' top-k is the exact top-k; the remaining
     questions (too few candidates, or common terms only) are scored in full.
-    Same output as ``top_chunks(score_chunks(...))``."""
+    Questions whose estimated pruned work exceeds full scoring (a corpus
+    whose vocabulary is mostly common terms) go straight to full scoring.
+    Same output as ``top_chunks(score_chunks(...))``. ``stats`` is the
+    index's ``term_stats`` table."""
     w = weights if weights is not None else weighted_postings(chunks, text, k1, b)
-    n = w.select("file", "chunk").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    maxw = w.groupBy("term").agg(F.max("w").alias("maxw"), F.max("df").alias("df"))
-    qt = question_terms(questions).join(maxw, "term")
-    common = F.col("df") > n * common_fraction
+    ts = stats if stats is not None else term_stats(w)
+    qt = question_terms(questions).join(ts, "term")
+    common = F.col("df") > F.col("n_chunks") * common_fraction
+    # Route each question by estimated work: full scoring touches sum(df)
+    # postings; pruning touches the rare postings plus one lookup per
+    # (candidate, common term). Both routes are exact.
+    est = qt.groupBy("query_id").agg(
+        F.sum("df").alias("__all"),
+        F.sum(F.when(~common, F.col("df")).otherwise(0)).alias("__rare"),
+        F.count_if(common).alias("__nc"))
+    pruned_q = est.filter((F.col("__rare") > 0) & (F.col("__rare") * (F.col("__nc") + 1) < F.col("__all"))) \
+        .select("query_id")
+    full_q = questions.join(pruned_q, "query_id", "left_anti")
+    full_part = top_chunks(score_chunks(full_q, None, weights=w), k)
+    qt = qt.join(pruned_q, "query_id", "left_semi")
     rare_qt, common_qt = qt.filter(~common).select("query_id", "term"), qt.filter(common).select("query_id", "term")
     ub = qt.filter(common).groupBy("query_id").agg(F.sum("maxw").alias("ub"))
     rare_part = (rare_qt.join(w.select("file", "chunk", "term", "w"), "term")
@@ -115,9 +137,9 @@ def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K,
                           & ((F.col("__kth") - F.col("ub").cast("double")) * 10 / F.col("__best") > 1e-5)))
                .select("query_id"))
     exact = ranked.join(decided, "query_id", "left_semi")
-    rest = questions.join(decided, "query_id", "left_anti")
+    rest = questions.join(pruned_q, "query_id", "left_semi").join(decided, "query_id", "left_anti")
     full = top_chunks(score_chunks(rest, None, weights=w), k)
-    return exact.unionByName(full)
+    return exact.unionByName(full).unionByName(full_part)
 
 
 def top_chunks(scored: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from tessera.operators import retrieval as T
 
 
-def scored_candidates(questions: DataFrame, chunks: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def scored_candidates(questions: DataFrame, chunks: DataFrame, weights: DataFrame | None = None,
+                      stats: DataFrame | None = None) -> DataFrame:
     """T2 -> offline replies -> T3 for every scored pair: ``(query_id, file,
     chunk, score, reason, summary, answer)``."""
     scored = T.score_chunks(questions, chunks, weights=weights)
@@ -28,20 +29,22 @@ def scored_candidates(questions: DataFrame, chunks: DataFrame, weights: DataFram
 
 
 def top_candidates(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-                   weights: DataFrame | None = None) -> DataFrame:
+                   weights: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Exact top-k per question (pruned scoring) -> replies -> T3 -> T4."""
-    best = T.best_chunks(questions, chunks, k, weights=weights)
+    best = T.best_chunks(questions, chunks, k, weights=weights, stats=stats)
     parsed = T.parse_scored_reply(T.offline_replies(best, chunks)).select(
         "query_id", "file", "chunk", "score", "reason", "summary", "answer")
     return T.top_chunks(parsed, k)
 
 
 def relevant(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None) -> DataFrame:
-    return T.relevant_only(top_candidates(questions, chunks, k, weights), min_score)
+             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None,
+             stats: DataFrame | None = None) -> DataFrame:
+    return T.relevant_only(top_candidates(questions, chunks, k, weights, stats), min_score)
 
 
 def contexts(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None) -> DataFrame:
-    ctx = T.build_context(questions, relevant(questions, chunks, k, min_score, weights))
+             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None,
+             stats: DataFrame | None = None) -> DataFrame:
+    ctx = T.build_context(questions, relevant(questions, chunks, k, min_score, weights, stats))
     return T.truncate_context(ctx)
