@@ -193,10 +193,14 @@ def _index(spark, sf_dir):
 
 
 def _answer(spark, sf_dir, fn):
-    """Run an answering operator over the benchmark questions and the index."""
+    """Run an answering operator over the benchmark questions and the index
+    (written once: building the postings reads every chunk's terms for the
+    lengths, the document frequencies and the corpus statistics). Full
+    scoring does not need the term statistics table."""
+    if fn in (T.score_chunks, ANS.scored_candidates):
+        ch = _rchunks(spark, sf_dir)
+        return fn(_questions(spark, sf_dir), ch, weights=materialize(T.weighted_postings(ch)))
     ch, w, ts = _index(spark, sf_dir)
-    if fn is T.score_chunks:
-        return fn(_questions(spark, sf_dir), ch, weights=w)
     return fn(_questions(spark, sf_dir), ch, weights=w, stats=ts)
 
 
