@@ -117,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_changed": _graph_changed,
         "graph_nodes": lambda spark, d: G.graph_nodes(_question_graphs(spark, d), ["query_id"]),
         "graph_edges": lambda spark, d: G.graph_edges(_question_graphs(spark, d), ["query_id"]),
+        "saved_graph_nodes": _saved_graph_nodes,
         # conversation transcripts
         "cap_rounds": lambda spark, d: C.cap_rounds(_conv(spark, d)),
         "tool_results": lambda spark, d: C.tool_results(_conv(spark, d)),
@@ -155,6 +156,18 @@ def _graph_changed(spark, sf_dir):
     return G.graph_changed(on, oe.drop("weight"), nn, ne.drop("weight"), [])
 
 
+def _saved_graph_nodes(spark, sf_dir):
+    """S6 round trip: question graphs written as JSON to the shared
+    checkpoint folder, read back, exploded into nodes."""
+    import uuid
+    from tessera.session import scratch_path
+    from tessera.sources.store import read_graph, write_graph
+    path = scratch_path(spark, f"graphs-{uuid.uuid4().hex}")
+    write_graph(_question_graphs(spark, sf_dir), path, ["query_id"])
+    saved = read_graph(spark, path, "query_id bigint")
+    return G.graph_nodes(saved.select("query_id", F.struct("nodes", "edges").alias("graph")), ["query_id"])
+
+
 def _question_graphs(spark, sf_dir):
     """Per question: the term graph of its kept chunks, rendered as fenced
     JSON (the model-output shape) and parsed back (G1, G2)."""

@@ -112,3 +112,5 @@ FROM contexts x JOIN questions q ON q.query_id = x.query_id
 UNION ALL
 SELECT 'graph', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), {_lit(GRAPH_PRE)} || x.context
 FROM contexts x"""
+
+SQL["saved_graph_nodes"] = SQL["graph_nodes"]
