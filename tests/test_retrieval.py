@@ -119,3 +119,18 @@ def test_pruned_topk_equals_full(spark):
     for frac in (0.05, 0.5, 1.0):
         pruned = sorted(T.best_chunks(qdf, cdf, 3, common_fraction=frac).select(*cols).collect())
         assert pruned == full
+
+
+def test_topk_equals_python_sort(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(q, f"f{rnd.randint(0, 9)}", c, float(rnd.choice([0.5, 1.0, 2.5, 7.0, 9.0])), "a")
+            for q in range(1, 6) for c in range(rnd.randint(0, 12))]
+    rows = list({(r[0], r[1], r[2]): r for r in rows}.values())  # unique (query, file, chunk)
+    df = spark.createDataFrame(rows, SCORES)
+    got = sorted((r.query_id, r.rank, r.file, r.chunk) for r in T.top_chunks(df, 3).collect())
+    want = []
+    for q in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2]))[:3]
+        want += [(q, i + 1, r[1], r[2]) for i, r in enumerate(ranked)]
+    assert got == sorted(want)

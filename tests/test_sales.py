@@ -99,3 +99,14 @@ def test_shipping_and_price_lookup(spark):
     assert sa[10] == "1 A St, Town, NY 1" and sa[11] is None  # NULL state propagates
     pl = S.price_lookup(t["order_items"], t["products"]).collect()
     assert all(r.list_price is not None for r in pl)
+
+
+def test_report_line_count(spark):
+    t = sales_gaps(spark)
+    lines = R.sales_report_lines(t, generated_on="X").collect()
+    n_status, n_cat, n_states, n_pay = 2, 2, 2, 2
+    n_top_p, n_top_c = 3, 2          # products sold (product 4 never is), customers with orders
+    n_low = 4                        # stock < 50: 5, 10, 49 (+ heading)
+    expected = (4 + 5 + 1 + n_status + 3 + n_cat + 1 + 2 * n_top_p + 1 + n_cat + 3 + 1 + 2 * n_top_c
+                + 1 + n_states + 5 + n_low + 3 + 2 * n_pay)
+    assert len(lines) == expected
