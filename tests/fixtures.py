@@ -2,8 +2,6 @@
 
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 CUSTOMER_SCHEMA = ("customer_id bigint, first_name string, last_name string, email string, address string, "
                    "city string, state string, zipcode string, registration_date date, last_login date")
 PRODUCT_SCHEMA = ("product_id bigint, name string, description string, category string, price decimal(18,2), "
@@ -89,5 +87,3 @@ def keys(spark):
 def col_values(df, col):
     return [r[col] for r in df.select(col).collect()]
 
-
-__all__ = ["F"]
