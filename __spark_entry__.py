@@ -163,7 +163,7 @@ def _saved_graph_nodes(spark, sf_dir):
     from tessera.session import scratch_path
     from tessera.sources.store import read_graph, write_graph
     path = scratch_path(spark, f"graphs-{uuid.uuid4().hex}")
-    write_graph(_question_graphs(spark, sf_dir), path, ["query_id"])
+    write_graph(_question_graphs(spark, sf_dir), path, ["query_id"], "query_id bigint")
     saved = read_graph(spark, path, "query_id bigint")
     return G.graph_nodes(saved.select("query_id", F.struct("nodes", "edges").alias("graph")), ["query_id"])
 

@@ -30,9 +30,12 @@ def strip_fence(raw="raw"):
 
 
 def parse_graph(df: DataFrame, raw: str = "raw", out: str = "graph") -> DataFrame:
-    """JSON text -> graph struct; unparseable text -> NULL graph (the
-    previous graph stays in place where the caller keeps one)."""
-    return df.withColumn(out, F.from_json(strip_fence(raw), GRAPH_SCHEMA))
+    """JSON text -> graph struct; text that is not a JSON object gives a
+    NULL graph (``from_json`` alone would return a struct of NULL fields),
+    so a store keeps the previous graph for it."""
+    body = strip_fence(raw)
+    valid = F.json_object_keys(body).isNotNull()
+    return df.withColumn(out, F.when(valid, F.from_json(body, GRAPH_SCHEMA)))
 
 
 def graph_nodes(df: DataFrame, keys: list[str], graph: str = "graph") -> DataFrame:

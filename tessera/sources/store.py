@@ -90,19 +90,33 @@ def import_index_json(spark: SparkSession, path: str) -> DataFrame:
         .select("key", (F.col("p") + 1).alias("chunk_no"), "chunks", "summary")
 
 
-def write_graph(graphs: DataFrame, path: str, keys: list[str], graph: str = "graph") -> None:
-    """Persist parsed graphs as JSON lines; rows with a NULL graph (a
-    failed parse) are not written, so a caller that writes over an older
-    folder only after a successful parse keeps the previous graph."""
-    graphs.filter(F.col(graph).isNotNull()).select(*keys, f"{graph}.nodes", f"{graph}.edges") \
-        .write.mode("overwrite").json(path)
-
-
-def read_graph(spark: SparkSession, path: str, keys_schema: str) -> DataFrame | None:
-    """Saved graphs, or ``None`` when there are none (the reference's
-    "no graph" state)."""
+def read_graph(spark: SparkSession, root: str, keys_schema: str) -> DataFrame | None:
+    """The newest saved graphs ``(keys..., nodes, edges)``, or ``None``
+    when nothing was saved yet (the reference's "no graph" state)."""
+    last = latest_snapshot(spark, root)
+    if last is None:
+        return None
     try:
-        df = spark.read.schema(f"{keys_schema}, {GRAPH_SCHEMA}").json(path)
+        return spark.read.schema(f"{keys_schema}, {GRAPH_SCHEMA}").json(
+            os.path.join(root, f"snapshot={last[0]}"))
     except AnalysisException:
         return None
-    return df
+
+
+def write_graph(graphs: DataFrame, root: str, keys: list[str], keys_schema: str,
+                graph: str = "graph") -> int | None:
+    """Save parsed graphs as a new snapshot. Keys whose parse failed
+    (NULL graph) keep their previously saved graph; keys with a new graph
+    replace theirs. Nothing is written when no graph parsed."""
+    spark = graphs.sparkSession
+    new = graphs.filter(F.col(graph).isNotNull()).select(*keys, f"{graph}.nodes", f"{graph}.edges")
+    if not new.limit(1).count():
+        return None
+    prev = read_graph(spark, root, keys_schema)
+    merged = new if prev is None else new.unionByName(prev.join(new.select(*keys), keys, "left_anti"))
+    last = latest_snapshot(spark, root)
+    n = 1 if last is None else last[0] + 1
+    merged.write.mode("overwrite").json(os.path.join(root, f"snapshot={n}"))
+    spark.createDataFrame([(n, -1)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
+        os.path.join(root, "_manifest"))
+    return n

@@ -45,3 +45,22 @@ def test_term_graph(spark):
     raw = G.graph_json(nodes, edges.drop("weight"), ["g"])
     back = G.graph_nodes(G.parse_graph(raw), ["g"])
     assert back.count() == 4
+
+
+def test_graph_store_keeps_previous_on_failed_parse(spark, workdir):
+    from tessera.sources.store import read_graph, write_graph
+    root = workdir + "/graphs"
+    assert read_graph(spark, root, "k int") is None
+    first = G.parse_graph(spark.createDataFrame(
+        [(1, '{"nodes":[{"id":"a","label":"A"}],"edges":[]}'), (2, '{"nodes":[{"id":"b","label":"B"}]}')],
+        "k int, raw string"))
+    assert write_graph(first, root, ["k"], "k int") == 1
+    second = G.parse_graph(spark.createDataFrame(
+        [(1, "not json"), (2, '{"nodes":[{"id":"c","label":"C"}]}')], "k int, raw string"))
+    assert write_graph(second, root, ["k"], "k int") == 2
+    saved = read_graph(spark, root, "k int")
+    got = sorted((r.k, r.id) for r in G.graph_nodes(
+        saved.selectExpr("k", "struct(nodes, edges) AS graph"), ["k"]).collect())
+    assert got == [(1, "a"), (2, "c")]  # key 1 kept its graph, key 2 replaced
+    failed = G.parse_graph(spark.createDataFrame([(1, "```json\n{")], "k int, raw string"))
+    assert write_graph(failed, root, ["k"], "k int") is None
