@@ -30,26 +30,31 @@ K1, B = 1.2, 0.75
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """``(file, chunk, term, tf, dl)`` for chunks ``(file, chunk, text)``."""
-    t = chunks.select("file", "chunk", F.explode(terms(text)).alias("term"))
-    tf = t.groupBy("file", "chunk", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("file", "chunk").agg(F.sum("tf").alias("dl"))
-    return tf.join(dl, ["file", "chunk"])
+    return _term_freqs(chunks, text).select("file", "chunk", "term", "tf", "dl")
+
+
+def _term_freqs(chunks: DataFrame, text: str) -> DataFrame:
+    """``(file, chunk, dl, term, tf)``. A chunk is one row, so its length is
+    the size of its term array (no aggregate, no join back); ``tf`` is one
+    grouped count with map-side partial aggregation per chunk."""
+    t = chunks.select("file", "chunk", terms(text).alias("__t")).select(
+        "file", "chunk", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    return t.groupBy("file", "chunk", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weighted_postings(chunks: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``(file, chunk, term, w, df)``: BM25 weight of every posting, rounded
     to 9 decimals and held as an exact decimal so that sums do not depend on
     the engine or the summation order."""
-    t = chunks.select("file", "chunk", F.explode(terms(text)).alias("term"))
-    tf = t.groupBy("file", "chunk", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("file", "chunk").agg(F.sum("tf").alias("dl"))
-    # one scalar subquery for both corpus statistics (evaluated once)
-    stats = dl.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    tf = _term_freqs(chunks, text)
+    # one scalar subquery for both corpus statistics (evaluated once), read
+    # from the chunk rows themselves (chunks without terms have no postings)
+    stats = chunks.select(F.size(terms(text)).alias("dl")).filter(F.col("dl") > 0).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
     n, avgdl = stats.getField("n"), stats.getField("avgdl")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = tf.join(dl, ["file", "chunk"])
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return p.join(df, "term").select(
+    return tf.join(df, "term").select(
         "file", "chunk", "term", "df",
         F.round(idf * F.col("tf") * (k1 + 1)
                 / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)").alias("w"))
