@@ -110,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_context": lambda spark, d: _answer(spark, d, ANS.contexts),
         "clip_output": lambda spark, d: T.clip_output(_answer(spark, d, ANS.contexts), "context", 200),
         "summarize_context": _summarize_context,
+        "filled_summaries": lambda spark, d: D.fill_failed(_summarize_context(spark, d), "summary"),
         "build_prompts": _build_prompts,
         # knowledge graphs
         "term_graph_nodes": lambda spark, d: _corpus_graph(spark, d, 8)[0],

@@ -232,4 +232,9 @@ FROM new_index GROUP BY key""",
     "summarize_context": RETRIEVAL + ",\n" + _sents_of_kept() + """
 SELECT q.query_id, COALESCE(string_agg(b.sentence, ' ' ORDER BY b.rank, b.file, b.chunk, b.sent_no), '') AS summary
 FROM questions q LEFT JOIN best b ON b.query_id = q.query_id GROUP BY q.query_id""",
+    "filled_summaries": RETRIEVAL + ",\n" + _sents_of_kept() + """,
+summ AS (SELECT q.query_id, string_agg(b.sentence, ' ' ORDER BY b.rank, b.file, b.chunk, b.sent_no) AS summary
+FROM questions q LEFT JOIN best b ON b.query_id = q.query_id GROUP BY q.query_id)
+SELECT query_id, CASE WHEN COALESCE(summary, '') = '' THEN '[Error] no annotation' ELSE summary END AS summary
+FROM summ""",
 })
