@@ -73,8 +73,14 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def _scaled(s: DataFrame) -> DataFrame:
-    best = F.max("bm25").over(Window.partitionBy("query_id"))
-    return s.withColumn("score", F.round(F.try_divide(F.col("bm25") * 10, best), 6))
+    """BM25 scaled to 0-10 by the question's best chunk. The best score is a
+    grouped max (partial per task, one row per question) joined back, not a
+    window over all of a question's pairs: a question made of common terms
+    pairs with most chunks and would otherwise be one task, and the top-k
+    after this keeps its partial limit before the shuffle."""
+    best = s.groupBy("query_id").agg(F.max("bm25").alias("__best"))
+    return s.join(best, "query_id").select(
+        *s.columns, F.round(F.try_divide(F.col("bm25") * 10, F.col("__best")), 6).alias("score"))
 
 
 def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "text",
@@ -120,6 +126,11 @@ def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K,
         F.count_if(common).alias("__nc"))
     pruned_q = est.filter((F.col("__rare") > 0) & (F.col("__rare") * (F.col("__nc") + 1) < F.col("__all"))) \
         .select("query_id")
+    if pruned_q.isEmpty():
+        # One small job over the per-question estimates: when no question
+        # takes the pruned route, its branches (each a shuffle of the
+        # postings) are not planned at all.
+        return top_chunks(score_chunks(questions, None, weights=w), k)
     full_q = questions.join(pruned_q, "query_id", "left_anti")
     full_part = top_chunks(score_chunks(full_q, None, weights=w), k)
     qt = qt.join(pruned_q, "query_id", "left_semi")
@@ -147,10 +158,24 @@ def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K,
     return exact.unionByName(full).unionByName(full_part)
 
 
-def top_chunks(scored: DataFrame, k: int = TOP_K) -> DataFrame:
-    """T4: the k best chunks per question (score desc, then file, chunk)."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file", "chunk")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+# Hash buckets per question for the first top-k phase: a question that
+# pairs with most chunks is spread over this many tasks.
+TOPK_BUCKETS = 64
+
+
+def top_chunks(scored: DataFrame, k: int = TOP_K, buckets: int = TOPK_BUCKETS) -> DataFrame:
+    """T4: the k best chunks per question (score desc, then file, chunk).
+
+    Two phases, exact because the order is total: the k best per (question,
+    hash bucket of the chunk), then the k best per question among at most
+    ``k * buckets`` rows. No task sorts all pairs of one question."""
+    order = [F.col("score").desc(), "file", "chunk"]
+    b = F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets))
+    first = (scored.withColumn("__b", b)
+             .withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__b").orderBy(*order)))
+             .filter(F.col("__r") <= k).drop("__b", "__r"))
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def relevant_only(top: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
