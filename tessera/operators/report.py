@@ -198,8 +198,9 @@ def sales_report_lines(tables: dict[str, DataFrame], generated_on: str | None =
     return reduce(DataFrame.unionByName, parts)
 
 
-def report_text(lines: DataFrame) -> DataFrame:
-    """The whole report as one string (one row). Only for small reports: it
-    gathers every line into one value by design."""
-    ordered = F.array_sort(F.collect_list(F.struct("section", "part", "line_no", "tiebreak", "line")))
-    return lines.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("report"))
+def write_report_text(lines: DataFrame, path: str) -> None:
+    """Save the report as text: a global sort on the line keys (range
+    partitioned, so no task holds every line) written as part files whose
+    name order is the line order; concatenated they are the report."""
+    (lines.orderBy("section", "part", "line_no", "tiebreak").select("line")
+     .write.mode("overwrite").text(path))

@@ -69,10 +69,13 @@ def test_empty_orders(spark):
     assert "Total Orders: 0" in lines and "Total Revenue: $n/a" in lines and "Average Order Value: $n/a" in lines
 
 
-def test_report_text_layout(spark):
+def test_report_text_layout(spark, tmp_path):
+    import glob
     t = sales_gaps(spark)
     t["products"] = products8(spark)
-    text = R.report_text(R.sales_report_lines(t, generated_on="2024-01-01 00:00:00")).collect()[0].report
+    out = str(tmp_path / "report")
+    R.write_report_text(R.sales_report_lines(t, generated_on="2024-01-01 00:00:00"), out)
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{out}/part-*"))).removesuffix("\n")
     lines = text.split("\n")
     assert lines[0] == "=" * 80 and lines[2] == "Generated on: 2024-01-01 00:00:00"
     assert "\nLow Stock Products (less than 50 units):\n  Chef Knife Set (Kitchen): 30 units left | $89.99" in text
