@@ -134,3 +134,20 @@ def test_topk_equals_python_sort(spark):
         ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2]))[:3]
         want += [(q, i + 1, r[1], r[2]) for i, r in enumerate(ranked)]
     assert got == sorted(want)
+
+
+def test_topk_hot_question_over_buckets(spark):
+    """One question pairs with most chunks (the hot key) and many score ties:
+    the bucketed first phase must not change the exact top-k."""
+    import random
+    rnd = random.Random(11)
+    rows = [(1, f"f{c % 37}", c, float(rnd.choice([1.0, 2.0, 3.0])), "a") for c in range(3000)]
+    rows += [(2, f"f{c}", c, float(c), "a") for c in range(4)]
+    df = spark.createDataFrame(rows, SCORES).repartition(6)
+    for k, buckets in ((3, 4), (5, 64), (10, 1)):
+        got = sorted((r.query_id, r.rank, r.file, r.chunk) for r in T.top_chunks(df, k, buckets).collect())
+        want = []
+        for q in (1, 2):
+            ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2]))[:k]
+            want += [(q, i + 1, r[1], r[2]) for i, r in enumerate(ranked)]
+        assert got == sorted(want)
