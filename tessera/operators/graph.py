@@ -55,13 +55,20 @@ def term_graph(keywords: DataFrame, group: list[str], unit: list[str], min_count
     """``(nodes, edges)`` per ``group`` from keyword arrays per ``unit``
     (e.g. per chunk). Nodes are the distinct keywords; an edge joins two
     keywords of the same unit (``from < to``), weighted by the number of
-    units, kept from ``min_count``."""
+    units, kept from ``min_count``.
+
+    ``keywords`` has one row per unit with a bounded keyword array (the top-n
+    annotation keywords), so a unit's pairs are generated inside its row
+    from the sorted distinct array (at most n * (n - 1) / 2 of them) and
+    counted with a partial aggregate: no self-join, no shuffle before the
+    count."""
     kw = keywords.select(*group, *unit, F.explode(F.array_distinct("keywords")).alias("term"))
     nodes = kw.select(*group, F.col("term").alias("id")).distinct().withColumn("label", F.col("id"))
-    a, b = kw.alias("a"), kw.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*group, *unit]] + [F.col("a.term") < F.col("b.term")]
-    pairs = a.join(b, on).select(*[F.col(f"a.{c}").alias(c) for c in group],
-                                 F.col("a.term").alias("from"), F.col("b.term").alias("to"))
+    srt = F.array_sort(F.filter(F.array_distinct("keywords"), lambda x: x.isNotNull()))
+    later = F.flatten(F.transform(srt, lambda x, i: F.transform(
+        F.slice(srt, i + 2, F.greatest(F.size(srt), F.lit(1))),
+        lambda y: F.struct(x.alias("from"), y.alias("to")))))
+    pairs = keywords.select(*group, F.explode(later).alias("__p")).select(*group, "__p.from", "__p.to")
     edges = (pairs.groupBy(*group, "from", "to").agg(F.count(F.lit(1)).alias("weight"))
              .filter(F.col("weight") >= min_count).withColumn("type", F.lit(CO_OCCURS)))
     return nodes, edges
