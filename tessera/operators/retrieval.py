@@ -168,10 +168,13 @@ def top_chunks(scored: DataFrame, k: int = TOP_K, buckets: int = TOPK_BUCKETS) -
 
     Two phases, exact because the order is total: the k best per (question,
     hash bucket of the chunk), then the k best per question among at most
-    ``k * buckets`` rows. No task sorts all pairs of one question."""
+    ``k * buckets`` rows. No task sorts all pairs of one question. The
+    first phase asks for the (question, bucket) partitioning explicitly: an
+    input already hash-partitioned by question alone would otherwise satisfy
+    the window and keep a hot question in one task."""
     order = [F.col("score").desc(), "file", "chunk"]
     b = F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets))
-    first = (scored.withColumn("__b", b)
+    first = (scored.withColumn("__b", b).repartition("query_id", "__b")
              .withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__b").orderBy(*order)))
              .filter(F.col("__r") <= k).drop("__b", "__r"))
     w = Window.partitionBy("query_id").orderBy(*order)
