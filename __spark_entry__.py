@@ -34,6 +34,16 @@ SF0001 = "/root/testdata/sf0.001"
 DRIVER_LOW_STOCK = 10
 
 
+try:  # the training-data operators are an optional subpackage
+    import tessera.llm  # noqa: F401
+except ModuleNotFoundError as missing:
+    if missing.name != "tessera.llm":
+        raise
+    LLM = None
+else:
+    from tessera.llm import queries as LLM
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: J5 product sales summary on sf0.001."""
     t = load_sales(spark, SF0001)
@@ -127,6 +137,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "followup_prompts": lambda spark, d: C.followup_prompts(_conv(spark, d)),
         "round_summary": lambda spark, d: C.round_summary(_conv(spark, d)),
     }
+    if LLM is not None:
+        q.update(LLM.queries())
     return q
 
 
@@ -324,4 +336,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(TEXT)
     from oracle.graph_sql import SQL as GRAPH
     out.update(GRAPH)
+    if LLM is not None:
+        out.update(LLM.oracle_sql())
     return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: AQE re-plans joins from measured
 # shuffle sizes (runtime broadcast of small sides, skew splitting, partition
@@ -38,30 +40,51 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Shared folder for written intermediate tables, from
+    ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    is a fresh scratch folder created and registered."""
+    The cluster's setting always wins. Where it is unset a fresh local folder
+    is registered, but only for a ``local`` master: elsewhere other machines
+    could not read it, so that is an error."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+        sc.setCheckpointDir(d)
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    return checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from
-    the written copy: the lineage is cut, later branches read the files
-    instead of recomputing (e.g. a Python UDF), and a lost executor costs a
-    re-read, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared checkpoint folder and
+    continue from the written copy: the lineage is cut, later branches read
+    only the columns they need instead of recomputing (e.g. a Python UDF),
+    and a lost executor costs a re-read, not a recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a cluster that
+    has it on the driver only (once per session)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or getattr(sc, "_tessera_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-zip-"), "tessera_pkg.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._tessera_shipped = True
