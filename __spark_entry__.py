@@ -7,6 +7,7 @@ reads the driver's tables under ``sf_dir`` (whole tables, whole texts).
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,11 @@ DRIVER_LOW_STOCK = 10
 
 
 try:  # the training-data operators are an optional subpackage
-    import tessera.llm  # noqa: F401
-except ModuleNotFoundError as missing:
-    if missing.name != "tessera.llm":
+    from tessera.llm import queries as LLM
+except ImportError:
+    if importlib.util.find_spec("corpus_pipeline"):  # present, so a real fault
         raise
     LLM = None
-else:
-    from tessera.llm import queries as LLM
 
 
 def entry(spark: SparkSession) -> DataFrame:
