@@ -6,9 +6,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, pii, quality_rules
+from tessera.llm import mixing, ngram_join, packing, pii, quality_rules
 from tessera.session import materialize, scratch_path
 
 
@@ -22,6 +23,18 @@ def rules_stage(spark, docs, sf_dir):
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]) & (text_hash == kept["k_hash"]), "left_semi")
 
 
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the smallest id
+    (operator 3). Texts without words and rows without an id are in no group
+    and stay; of rows that repeat an id one stays."""
+    groups = materialize(ngram_join.jaccard_components(docs))
+    heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = docs.join(heads, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(order))
+    return (named.filter("__copy = 1").select(*docs.columns)
+            .unionByName(docs.filter(F.col("doc_id").isNull()).select(*docs.columns)))
+
+
 def pseudonym_stage(spark, docs, sf_dir):
     """Personal data replaced by pseudonyms (operator 1); ``n_chars`` stays
     right because pseudonyms keep their length or are recounted."""
@@ -43,12 +56,13 @@ def packing_stage(spark, docs, sf_dir):
 
 STAGES = [
     ("quality rules", rules_stage),
+    ("near duplicates", near_duplicate_stage),
     ("pseudonyms", pseudonym_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 
-ORACLE_SQL = None  # licence of SQL ends at the classifier and the packing; tested against brute force
+ORACLE_SQL = None  # SQL expresses neither the near duplicates nor the packing; tests compare with brute force
 
 
 def run(spark, sf_dir):

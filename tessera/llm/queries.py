@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import (licenses, mixing, packing, pii, quality_knn, quality_rules, warc)
+from tessera.llm import (licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, warc)
 
 
 def _table(spark, sf_dir, name):
@@ -23,6 +23,10 @@ def op2_license_scan(spark, sf_dir):
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_arc_to_warc(spark, sf_dir):
     return warc.archive_pages_scratch(_table(spark, sf_dir, "pages"), "op4")
 
@@ -45,7 +49,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    found = [op1_pseudonyms, op2_license_scan, op4_arc_to_warc, op5_knn_quality, op6_best_fit_packing,
+    found = [op1_pseudonyms, op2_license_scan, op3_ngram_jaccard, op4_arc_to_warc, op5_knn_quality, op6_best_fit_packing,
              op8_source_mixing, op10_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
