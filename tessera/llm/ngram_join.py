@@ -4,10 +4,12 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two sets
 link when ``100 * |A & B| >= 80 * |A | B|``. Equal sets collapse to one member
 first.
 
-Roots. Linked sets share a token among the first ``n - ceil(0.8 n) + 1`` of
-each in any common order, so every token of such a prefix is the root of one
-signature tree over the members that have it there. The order puts shingles
-that are frequent in the corpus last, which keeps trees small.
+Roots. In any common order of tokens, two linked sets share at least ``l`` of
+their first ``n - ceil(0.8 n) + l`` tokens. Every token of such a prefix (``l``
+grows with ``n``) is the root of one signature tree over the members that have
+it there, and a member whose prefix tokens meet too few size-compatible others
+links with nothing and leaves all trees. The order puts shingles that are
+frequent in the corpus last, which keeps trees small.
 
 Trees. Below a root, members hang under inner nodes. Every node holds the OR
 of its members' token bitmaps, their size range and the largest number of
@@ -45,6 +47,7 @@ HOT_TOKENS = 1 << 16
 FILTER_BITS = 1 << 24
 BLOCK = 512
 FANOUT = 8
+SHARE = 20
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -62,8 +65,14 @@ def member_id(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def shared_at_least(n: int) -> int:
+    """``l``: tokens that the prefixes of a set of ``n`` and of a linked set
+    share, if the other's is at least as large."""
+    return 1 + n // SHARE
+
+
 def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    return min(n, n - (4 * n + 4) // 5 + shared_at_least(n))
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -154,15 +163,27 @@ def postings(docs: DataFrame, hot) -> DataFrame:
     return docs.select("text").mapInPandas(emit, "token long, member long, n int")
 
 
+def _enough(t: DataFrame) -> DataFrame:
+    """Drop members with fewer shared tokens than a link needs (the partner
+    may be as small as ``ceil(0.8 n)``)."""
+    few = (t.groupBy("member", "n").agg(F.count(F.lit(1)).alias("c"))
+           .filter(f"c >= 1 + ((4 * n + 4) DIV 5) DIV {SHARE}").select("member"))
+    return t.join(few, "member")
+
+
+def _size_compatible(t: DataFrame) -> DataFrame:
+    """Per root, members whose neighbour in size order allows a link (if no
+    neighbour's size does, nobody's does)."""
+    by_size = Window.partitionBy("token").orderBy("n", "member")
+    return (t.withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
+            .filter("100 * before >= 80 * n OR 100 * n >= 80 * after").drop("before", "after"))
+
+
 def trees(posts: DataFrame) -> DataFrame:
-    """Roots with at least two members: ``token, member, n, pivot, pivot_n``.
-    A member stays only if the size of its neighbour in size order allows a
-    link (if no neighbour's does, nobody's does)."""
-    w = Window.partitionBy("token")
-    by_size = w.orderBy("n", "member")
-    first = F.struct("member", "n")
-    t = posts.distinct().withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
-    t = t.filter("100 * before >= 80 * n OR 100 * n >= 80 * after").withColumn("first", F.min(first).over(w))
+    """Roots with at least two members: ``token, member, n, pivot, pivot_n``."""
+    t = materialize(_size_compatible(posts.distinct()))
+    t = _size_compatible(_enough(t).select("token", "member", "n"))
+    t = _enough(t).withColumn("first", F.min(F.struct("member", "n")).over(Window.partitionBy("token")))
     return t.select("token", "member", "n", F.col("first.member").alias("pivot"), F.col("first.n").alias("pivot_n"))
 
 
