@@ -19,11 +19,12 @@ bitmap collisions in one member. Two nodes can only hold a link if
 
 and their size ranges overlap within 0.8. The first descent compares each
 member with its tree's pivot (smallest member); linked members form classes.
-The second one traverses, in every tree that still has several classes, pairs
-of nodes of different classes top down and prunes by the bound; pairs inside a
-class are never looked at. Surviving leaf pairs are verified exactly on the
-sets. So every link between different classes is found, and a group of
-thousands of near copies costs about one comparison per member.
+Trees with the same pivot are then hung under one root. The second descent
+traverses, in every such tree that still has several classes, pairs of nodes of
+different classes top down and prunes by the bound; pairs inside a class are
+never looked at, and a link joins its classes at once. Surviving leaf pairs
+are verified exactly on the sets. So all classes are found, and a group of
+thousands of near copies costs a few comparisons per member.
 
 A root with many members is cut into blocks of ``BLOCK`` members by size;
 block pairs whose size ranges cannot link are dropped, the others are traversed
@@ -90,8 +91,8 @@ def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Token bitmap of 2 to 4 bits per token (at least 64 bits) as words."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Token bitmap of 8 to 16 bits per token (at least 64 bits) as words."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length())
     out = np.zeros(bits // 64, dtype=np.uint64)
     b = s & np.uint64(bits - 1)
     np.bitwise_or.at(out, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
@@ -188,7 +189,7 @@ def trees(posts: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``member, n, tokens, bits`` of the given members, computed again from the
+    """``member, n, tokens`` of the given members, computed again from the
     texts. A filter of ``FILTER_BITS`` bits (fixed size) keeps most other sets
     from leaving their task; the join behind it is exact."""
     bit = F.pmod(F.col("member"), F.lit(FILTER_BITS))
@@ -208,14 +209,14 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 m = member_id(s)[1]
                 b = m % FILTER_BITS
                 if (int(shared.value[b >> 6]) >> (b & 63)) & 1:
-                    rows.append((m, len(s), s.view(np.int64), bitmap(s).tobytes()))
+                    rows.append((m, len(s), s.view(np.int64)))
                     size += len(s)
                 if size > 1 << 20:
-                    yield pd.DataFrame(rows, columns=["member", "n", "tokens", "bits"])
+                    yield pd.DataFrame(rows, columns=["member", "n", "tokens"])
                     rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["member", "n", "tokens", "bits"])
-    sets = docs.select("text").mapInPandas(emit, "member long, n int, tokens array<long>, bits binary")
+                yield pd.DataFrame(rows, columns=["member", "n", "tokens"])
+    sets = docs.select("text").mapInPandas(emit, "member long, n int, tokens array<long>")
     return materialize(sets.join(members, "member", "left_semi").dropDuplicates(["member"]))
 
 
@@ -246,8 +247,8 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def build_tree(sizes, labels, bitmaps, order) -> Node:
-    """Tree over the members in ``order``: ``FANOUT`` children per node,
-    children sorted by class and size so that ORs stay selective."""
+    """Tree over the members in ``order`` (sorted by class and size, so that
+    ORs stay selective), ``FANOUT`` children per node."""
     def leaf(k):
         b, n = bitmaps[k], int(sizes[k])
         return Node(k, k + 1, b, n, n, n - int(_popcount(b)), (), labels[k])
@@ -318,58 +319,82 @@ def groups_of(frames, keys):
         yield key, held
 
 
-def _traverse_task(rows) -> set[tuple[int, int]]:
-    """Candidate member pairs of one task: one block with itself, or two."""
-    sizes = [r.n for r in rows]
-    labels = [r.label for r in rows]
-    bitmaps = [np.frombuffer(r.bits, dtype=np.uint64) for r in rows]
+class Classes:
+    """Union-find over the rows of one task."""
+
+    def __init__(self, labels):
+        first: dict = {}
+        self.up = [first.setdefault(x, k) for k, x in enumerate(labels)]
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def links_of_task(rows) -> list[tuple[int, int]]:
+    """Links between different classes in one task: one block with itself, or
+    two blocks. Pairs whose classes a link has joined already are passed
+    over, so at most one link per row is returned."""
+    sizes, labels = [r.n for r in rows], [r.label for r in rows]
+    sets = [np.asarray(r.tokens).view(np.uint64) for r in rows]
+    bitmaps = [bitmap(s) for s in sets]
+    classes = Classes(labels)
     sides = []
     for side in (0, 1):
         order = sorted((k for k, r in enumerate(rows) if r.side == side), key=lambda k: (labels[k], sizes[k], rows[k].member))
         if order:
             sides.append(build_tree(sizes, labels, bitmaps, order))
-    found = traverse(sides[0], sides[-1])
-    return {(min(rows[x].member, rows[y].member), max(rows[x].member, rows[y].member)) for x, y in found}
+    found = []
+    for x, y in traverse(sides[0], sides[-1]):
+        if classes.find(x) != classes.find(y):
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= 80 * (sizes[x] + sizes[y] - common) and classes.join(x, y):
+                found.append((rows[x].member, rows[y].member))
+    return found
 
 
 def _descend(frames):
-    for _, rows in groups_of(frames, ("token", "i", "j")):
-        pairs = sorted(_traverse_task(rows))
-        if pairs:
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+    for _, rows in groups_of(frames, ("pivot", "i", "j")):
+        found = links_of_task(rows)
+        if found:
+            yield pd.DataFrame(found, columns=["src", "dst"])
 
 
 def second_descent(t: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of different classes that no bound rules out."""
+    """Links between members of different classes, ``src, dst`` (enough of
+    them to join the classes). Trees with the same pivot are one tree here,
+    so a family of near copies is traversed about once."""
     label = labels.select(F.col("node").alias("member"), "label")
-    r = t.select("token", "member", "n").join(label, "member", "left") \
-        .select("token", "member", "n", F.coalesce("label", "member").alias("label"))
-    own = Window.partitionBy("token")
-    r = (r.withColumn("lo", F.min("label").over(own)).withColumn("hi", F.max("label").over(own))
-         .filter("lo <> hi").drop("lo", "hi"))
-    # trees with the same members are traversed once
-    same = (r.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("member") % F.lit(1 << 40)).alias("s"),
-                                   F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("x"))
-            .groupBy("c", "s", "x").agg(F.min("token").alias("token")))
-    r = r.join(same.select("token", "c"), "token")
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "member")) - 1
+    own = Window.partitionBy("pivot")
+    r = (t.select("pivot", "member", "n").distinct().join(label, "member", "left")
+         .select("pivot", "member", "n", F.coalesce("label", "member").alias("label"))
+         .withColumn("lo", F.min("label").over(own)).withColumn("hi", F.max("label").over(own))
+         .withColumn("c", F.count(F.lit(1)).over(own)).filter("lo <> hi").drop("lo", "hi"))
+    rank = F.row_number().over(own.orderBy("n", "member")) - 1
     r = materialize(r.withColumn("block", F.when(F.col("c") <= BLOCK, F.lit(0)).otherwise(F.floor(rank / BLOCK)).cast("int")))
-    big = r.filter(F.col("c") > BLOCK).groupBy("token", "block").agg(
+    big = r.filter(F.col("c") > BLOCK).groupBy("pivot", "block").agg(
         F.min("n").alias("small"), F.max("n").alias("large"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    u = big.select("token", F.col("block").alias("i"), F.col("large").alias("ul"), F.col("l0").alias("u0"), F.col("l1").alias("u1"))
-    v = big.select("token", F.col("block").alias("j"), F.col("small").alias("vs"), F.col("l0").alias("v0"), F.col("l1").alias("v1"))
-    tasks = (u.join(v, "token").filter("i <= j AND 100 * ul >= 80 * vs AND NOT (u0 = u1 AND v0 = v1 AND u0 = v0)")
-             .select("token", "i", "j"))
-    sides = tasks.select("token", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(
+    u = big.select("pivot", F.col("block").alias("i"), F.col("large").alias("ul"), F.col("l0").alias("u0"), F.col("l1").alias("u1"))
+    v = big.select("pivot", F.col("block").alias("j"), F.col("small").alias("vs"), F.col("l0").alias("v0"), F.col("l1").alias("v1"))
+    tasks = (u.join(v, "pivot").filter("i <= j AND 100 * ul >= 80 * vs AND NOT (u0 = u1 AND v0 = v1 AND u0 = v0)")
+             .select("pivot", "i", "j"))
+    sides = tasks.select("pivot", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(
         F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(
             F.struct(F.col("i").alias("block"), F.lit(0).alias("side")),
-            F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("x")).select("token", "i", "j", "x.*")
-    small = r.filter(F.col("c") <= BLOCK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "member", "n", "label",
+            F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("x")).select("pivot", "i", "j", "x.*")
+    small = r.filter(F.col("c") <= BLOCK).select("pivot", F.lit(0).alias("i"), F.lit(0).alias("j"), "member", "n", "label",
                                                  F.lit(0).alias("side"))
-    large = r.filter(F.col("c") > BLOCK).join(sides, ["token", "block"]).select("token", "i", "j", "member", "n", "label", "side")
-    dealt = (small.unionByName(large).join(sets.select("member", "bits"), "member")
-             .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"))
-    return dealt.mapInPandas(_descend, "a long, b long").distinct()
+    large = r.filter(F.col("c") > BLOCK).join(sides, ["pivot", "block"]).select("pivot", "i", "j", "member", "n", "label", "side")
+    dealt = (small.unionByName(large).join(sets.select("member", "tokens"), "member")
+             .repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j"))
+    return dealt.mapInPandas(_descend, "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -387,7 +412,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
              .select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct())
     links = materialize(verify(stars, sets))
     labels = connected_components(links)
-    more = materialize(verify(second_descent(t, labels, sets), sets))
+    more = materialize(second_descent(t, labels, sets))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
