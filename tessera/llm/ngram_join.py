@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bits import build_filter, may_contain
 from tessera.llm.components import connected_components
 from tessera.llm.text import byte_words, shingle_hashes, word_hashes
 from tessera.session import materialize, ship_package
@@ -192,12 +193,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``member, n, tokens`` of the given members, computed again from the
     texts. A filter of ``FILTER_BITS`` bits (fixed size) keeps most other sets
     from leaving their task; the join behind it is exact."""
-    bit = F.pmod(F.col("member"), F.lit(FILTER_BITS))
-    words = (members.select((bit.bitwiseAND(F.lit(63))).alias("b"), F.shiftright(bit, 6).cast("int").alias("w"))
-             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, CAST(b AS INT))")).alias("v")).toPandas())
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(members, F.col("member"), FILTER_BITS))
 
     def emit(frames):
         for f in frames:
@@ -207,8 +203,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 if not len(s):
                     continue
                 m = member_id(s)[1]
-                b = m % FILTER_BITS
-                if (int(shared.value[b >> 6]) >> (b & 63)) & 1:
+                if may_contain(shared.value, np.array([m]))[0]:
                     rows.append((m, len(s), s.view(np.int64)))
                     size += len(s)
                 if size > 1 << 20:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import (licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, warc)
+from tessera.llm import (licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, suffix_dedup, warc)
 
 
 def _table(spark, sf_dir, name):
@@ -43,6 +43,10 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted).drop("text_hash")
@@ -50,7 +54,7 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries():
     found = [op1_pseudonyms, op2_license_scan, op3_ngram_jaccard, op4_arc_to_warc, op5_knn_quality, op6_best_fit_packing,
-             op8_source_mixing, op10_quality_rules]
+             op8_source_mixing, op9_substring_dedup, op10_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
