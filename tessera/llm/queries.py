@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import (licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, suffix_dedup, warc)
+from tessera.llm import (fingerprints, licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, suffix_dedup, warc)
 
 
 def _table(spark, sf_dir, name):
@@ -39,6 +39,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_iblt_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_versions(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries():
     found = [op1_pseudonyms, op2_license_scan, op3_ngram_jaccard, op4_arc_to_warc, op5_knn_quality, op6_best_fit_packing,
-             op8_source_mixing, op9_substring_dedup, op10_quality_rules]
+             op7_iblt_fingerprints, op8_source_mixing, op9_substring_dedup, op10_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
