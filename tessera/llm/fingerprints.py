@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-PIECE = 400
+PIECE = 200
 PART = 6
 CELLS = 3 * PART
 ROUNDS = 8

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import SYMBOLS, count_chars_in, count_words
+from tessera.llm.text import SYMBOLS, count_chars_in, count_words, words
 
 BUCKETS = 1024
 WEIGHT_CYCLE = (1, 2, 3)
@@ -60,9 +60,9 @@ def source_targets(sized: DataFrame, cycle=WEIGHT_CYCLE, max_epochs: int = MAX_E
 
 
 def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                carry: bool = False) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``
-    (and the columns of ``keep``). NULL text has size 0; NULL sources form one source, last in the
+    (with ``carry`` also ``row``, a struct of all columns). NULL text has size 0; NULL sources form one source, last in the
     order; a NULL id counts as the empty id. An empty table gives no rows, a
     corpus without words takes nothing. Rows with equal ids draw the same
     ``u`` and are ordered by size and text hash; identical rows are
@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_epochs: int = MAX_EPOCH
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
                            1, 12), 16, 10).cast("double")
     rows = docs.select(
-        "doc_id", *[F.col(c).alias(f"kept_{c}") for c in keep], F.col("source").isNull().alias("s_null"),
+        "doc_id", *([F.struct("*").alias("row")] if carry else []), F.col("source").isNull().alias("s_null"),
         F.coalesce(F.col("source"), F.lit("")).alias("s_key"), count_words(F.col("text")).alias("size"),
         (-F.log((u + 0.5) / _U) / quality_weight()).alias("key"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
@@ -90,7 +90,7 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_epochs: int = MAX_EPOCH
             .withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
             .withColumn("epochs", F.floor(budget / size).cast("long"))
             .withColumn("rest", budget - F.col("epochs") * size)
-            .select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in keep], "size", "source_size", "target",
+            .select("doc_id", *(["row"] if carry else []), "size", "source_size", "target",
                     (F.col("epochs") * F.col("size")
                      + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("start"))))
                     .cast("long").alias("taken")))
@@ -101,20 +101,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     per complete epoch, and the fractional selection adds it once more (the
     boundary document cut to the words that are still needed). ``n_chars`` of
     a cut text is recounted."""
-    cols = docs.columns
-    mixed = mix_sources(docs, keep=tuple(c for c in cols if c != "doc_id"), **options)
+    mixed = mix_sources(docs, carry=True, **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     lengths = F.concat(F.array_repeat(F.lit(-1), whole),
                        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = mixed.withColumn("cut", F.explode(lengths))
-    from tessera.llm.text import words
-    short = F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("cut"), F.lit(1))), " ")
-    out = out.withColumn("text", F.when(F.col("cut") < 0, F.col("text")).otherwise(short))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("cut") < 0, F.col("n_chars"))
-                             .otherwise(F.char_length("text").cast("long")))
-    return out.select(*cols)
+    out = mixed.select("row", F.explode(lengths).alias("cut"))
+    short = F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest(F.col("cut"), F.lit(1))), " ")
+
+    def column(c):
+        if c == "text":
+            return F.when(F.col("cut") < 0, F.col("row.text")).otherwise(short).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("cut") < 0, F.col("row.n_chars")).otherwise(F.char_length(short).cast("long")).alias(c)
+        return F.col("row")[c].alias(c)
+    return out.select(*map(column, docs.columns))
 
 
 _ORACLE = """

@@ -113,26 +113,26 @@ def _survey(frames):
         for doc_id, text in zip(f["doc_id"], f["text"]):
             s = shingle_set(text)
             a, b = member_id(s) if len(s) else (None, None)
-            ids.append(doc_id), sizes.append(len(s)), hi.append(a), lo.append(b)
+            ids.append(doc_id if isinstance(doc_id, str) else None), sizes.append(len(s)), hi.append(a), lo.append(b)
             held.append(s)
             held_size += len(s)
             if held_size > 1 << 21:
                 sets.append((len(held), np.concatenate(held)))
                 held, held_size = [], 0
         sets.append((len(held), np.concatenate(held) if held else np.empty(0, np.uint64)))
-        yield pd.DataFrame({"kind": 0, "doc_id": ids, "n": sizes, "member": pd.array(lo, "Int64"),
-                            "check": pd.array(hi, "Int64"), "copies": 1}, copy=False).astype({"doc_id": "Int64"})
+        yield pd.DataFrame({"kind": 0, "doc_id": pd.Series(ids, dtype=object), "n": sizes, "member": pd.array(lo, "Int64"),
+                            "check": pd.array(hi, "Int64"), "copies": 1})
         for docs, all_ in sets:
             token, count = np.unique(all_, return_counts=True)
             keep = count >= max(3, docs // 400)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(keep.sum()), "Int64"), "n": 0,
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.Series([None] * int(keep.sum()), dtype=object), "n": 0,
                                 "member": token[keep].view(np.int64), "check": 0, "copies": count[keep]})
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "text").mapInPandas(
-        _survey, "kind int, doc_id long, n long, member long, check long, copies long")
-    return materialize(rows)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        _survey, "kind int, doc_id string, n long, member long, check long, copies long")
+    return materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def hot_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -92,14 +92,15 @@ def pack_documents(docs: DataFrame, capacities=CAPACITIES) -> DataFrame:
     p = materialize(pieces(docs, max(capacities)).withColumn("row", F.monotonically_increasing_id()))
     real = p.filter("length > 0")
     shards = max(1, -(-real.count() // SHARD_ROWS))
-    dealt = real.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    schema = "doc_id long, piece long, start long, length long, bin_id long, bin_capacity long, bin_offset long"
+    dealt = real.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))) \
+        .withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = "doc_id string, piece long, start long, length long, bin_id long, bin_capacity long, bin_offset long"
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
         return _pack_shard(frame, capacities)
 
-    packed = dealt.groupBy("shard").applyInPandas(pack, schema)
+    packed = dealt.groupBy("shard").applyInPandas(pack, schema) \
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     empty = p.filter("length = 0").select("doc_id", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"),
                                           F.lit(None).cast("long").alias("bin_capacity"),
                                           F.lit(None).cast("long").alias("bin_offset"))

@@ -1,0 +1,296 @@
+"""Operators 1, 2, 4, 5, 6, 8 and 10 and the pipeline."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+import corpus_pipeline
+from tessera.llm import licenses, mixing, packing, pii, quality_knn, quality_rules, warc
+from tests.llm.cases import edge_docs, edge_rows, edge_texts, empty_docs
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10
+
+
+PERSONAL = [
+    "write to jo.doe42@mail8.example.com or JO.DOE42@mail8.example.com today",
+    "call +1 (988) 555-2485 or 415-555-1234.", "from 42.144.35.254. and 300.1.1.1",
+    "card 4041894974608795 and 4041 8949 7460 8795, not 4111111111111112", "born 2024-02-29, not 2023-02-30, on 07/04/1999",
+    "ssn 123-45-6789 but 000-12-3456", "jo.doe42@mail8.example.com again", None, "", "plain words only 12 34"]
+
+
+def personal(spark, key="k"):
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(PERSONAL)], "doc_id long, text string, pii_found int")
+    return {r.doc_id: r for r in pii.pseudonymise(df, key).collect()}
+
+
+def test_pseudonyms_keep_format_and_link(spark):
+    got = personal(spark)
+    assert len(got) == len(PERSONAL)
+    mail = re.compile(r"[a-z.]+[0-9]{2}@[a-z]+[0-9]\.[a-z]+\.com")
+    assert mail.search(got[0].text)[0] == mail.search(got[6].text)[0] != "jo.doe42@mail8.example.com"
+    assert mail.search(got[0].text)[0].lower() == got[0].text.split()[4].lower()
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}\.", got[1].text)
+    ip = re.match(r"from (\d+)\.(\d+)\.(\d+)\.(\d+)\. and 300\.1\.1\.1$", got[2].text)
+    assert all(int(x) <= 255 for x in ip.groups()) and "42.144.35.254" not in got[2].text
+    card, spaced, bad = re.findall(r"\d[\d ]{14,}\d", got[3].text)
+    assert card == spaced.replace(" ", "") != "4041894974608795" and luhn(card) == 0 and bad == "4111111111111112"
+    assert "2024-02-29" not in got[4].text and "2023-02-30" in got[4].text and "07/04/1999" not in got[4].text
+    assert "123-45-6789" not in got[5].text and "000-12-3456" in got[5].text
+    assert got[7].text is None and got[8].text == "" and got[9].text == PERSONAL[9]
+    assert [got[k].pii_found for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)] == [2, 2, 1, 2, 2, 1, 1, 0, 0, 0]
+    assert personal(spark, "other")[6].text != got[6].text
+
+
+def test_networks_are_permutations(spark):
+    df = spark.range(0, 3600).selectExpr("id", "lpad(cast(id % 1000 as string), 3, '0') AS s")
+    pair = pii.pair_permutation("id DIV 60", "id % 60", (60, 60), "k", "t")
+    out = df.selectExpr("id", f"{pair} AS p", f"{pii.string_permutation('s', 'k', 't')} AS q", "s")
+    assert out.selectExpr("p.a * 60 + p.b AS x").distinct().count() == 3600
+    assert out.selectExpr("p.a * 60 + p.b AS x").agg({"x": "max"}).first()[0] == 3599
+    strings = out.select("s", "q").distinct().collect()
+    assert len({r.q for r in strings}) == len(strings) == 1000 and all(re.fullmatch(r"\d{3}", r.q) for r in strings)
+
+
+def test_pseudonyms_edge_rows(spark):
+    docs = edge_docs(spark)
+    got = pii.pseudonymise(docs)
+    assert got.columns == docs.columns + ["pii_found"]
+    assert got.drop("pii_found").exceptAll(docs).count() == 0 and got.count() == docs.count()
+    assert pii.pseudonymise(empty_docs(spark)).count() == 0
+
+
+def test_license_scan(spark):
+    texts = edge_texts() + ["some words\nLicensed under CC BY-NC 4.0.\nmore", "This work is licensed under the GNU General "
+                            "Public License, version 3.", "A driving license is required.", "Released under the MIT License."]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, family string")
+    got = {(r.doc_id, r.paragraph_no): r.family for r in licenses.scan_licenses(df).collect()}
+    n = len(texts)
+    assert got == {(n - 4, 1): "CC-BY-NC-4.0", (n - 3, 0): "GPL-3.0", (n - 1, 0): "MIT"}
+    assert licenses.scan_licenses(empty_docs(spark)).count() == 0
+
+
+def test_arc_versions_and_damage():
+    for version in (1, 2):
+        data = warc.arc_version_block("a.arc", version, "20240101000000")
+        data += warc.arc_record("http://a/", warc.http_message(5, b"x\n\r\n\r\ny"), version, "20240101000000", "a.arc", 9)
+        data += b"not a header\n"
+        data += warc.arc_record("http://b/", b"no http here", version, "20240101000000", "a.arc", 9)
+        got = [(h["URL"], *warc.split_message(m)) for h, m, _ in warc.read_arc(data)]
+        assert [(u, p) for u, _, p in got] == [("http://a/", b"x\n\r\n\r\ny"), ("http://b/", b"no http here")]
+        assert got[0][1]["x-page-id"] == "5"
+        assert [u for u, *_ in warc.read_arc(data[:-5])][0]["URL"] == "http://a/"
+    rec = warc.warc_record([("WARC-Type", "response")], b"WARC/1.0\r\n\r\n")
+    assert [b for _, b in warc.read_warc(rec + rec)] == [b"WARC/1.0\r\n\r\n"] * 2
+
+
+def test_arc_to_warc(spark, workdir, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    big = "<p>" + "ä\r\n\r\n" * 60
+    rows = [(i, f"http://h/{i} x", t, "z") for i, t in enumerate([None, "", "short", "short", big, big, "y" * 99, "y" * 99,
+                                                                 "WARC/1.0\r\n\r\n" * 20, "z" * 50_000, big])]
+    rows += [(None, None, big, None), (4, "http://h/4", big, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, message string").repartition(2)
+    got = warc.archive_pages(df, workdir + "/a").collect()
+    want = []
+    for i, _, t, _ in rows:
+        p = (t or "").encode()
+        want.append((i, len(p), hashlib.sha256(p).hexdigest()))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in got), key=str) == sorted(want, key=str)
+    revisits = [r for r in got if r.record_type == "revisit"]
+    assert sorted((r.page_id, r.refers_to) for r in revisits if r.page_id not in (None, 4)) == [(5, 4), (10, 4)]
+    assert len(revisits) == 4 and all(r.refers_to is None for r in got if r.record_type == "response")
+    empty = warc.archive_pages(df.limit(0), workdir + "/b")
+    assert empty.count() == 0
+
+
+def test_knn_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_knn.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    again = {r.doc_id: r.score for r in quality_knn.score_quality(docs.repartition(5), labels).collect()}
+    assert all(again[r.doc_id] == r.score for r in got)
+    edge = quality_knn.score_quality(edge_docs(spark), labels).collect()
+    assert len(edge) == len(edge_rows()) and all(0 <= r.score <= 1 for r in edge)
+    prior = {r.score for r in edge if r.doc_id in (1, 4, 7)}
+    assert len(prior) == 1
+    assert quality_knn.score_quality(empty_docs(spark), labels).count() == 0
+    assert {r.score for r in quality_knn.score_quality(edge_docs(spark), labels.limit(0)).collect()} == {0.5}
+
+
+def test_packing(spark):
+    rows = edge_rows()
+    got = packing.pack_documents(edge_docs(spark), (16, 64, 256)).collect()
+    words = Counter()
+    for r in got:
+        words[r.doc_id] += r.length
+    want = Counter()
+    for r in rows:
+        want[r[0]] += len(WORDS.findall(r[1] or ""))
+    assert words == want
+    bins = defaultdict(list)
+    for r in got:
+        assert (r.bin_id is None) == (r.length == 0)
+        if r.length:
+            bins[r.bin_id].append(r)
+    for parts in bins.values():
+        parts.sort(key=lambda r: r.bin_offset)
+        at = 0
+        for r in parts:
+            assert r.bin_offset == at
+            at += r.length
+        cap = parts[0].bin_capacity
+        assert at <= cap and cap == min(c for c in (16, 64, 256) if c >= at)
+    assert packing.pack_documents(empty_docs(spark)).count() == 0
+
+
+def test_pack_lengths_is_best_fit():
+    where, offsets, sizes = packing.pack_lengths([9, 7, 3, 1], (10,))
+    assert where == [0, 1, 1, 0] and offsets == [0, 0, 7, 9] and sizes == [10, 10]
+    with pytest.raises(ValueError):
+        packing.pack_lengths([11], (10,))
+
+
+def brute_targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, target, free = sum(sizes.values()), {}, set(order)
+    while free:
+        rest, w = total - sum(target.values()), sum(weight[s] for s in free)
+        over = [s for s in free if rest * weight[s] / w > 3 * sizes[s]]
+        if not over:
+            target.update({s: rest * weight[s] / w for s in free})
+            break
+        target.update({s: 3 * sizes[s] for s in over})
+        free -= set(over)
+    return target
+
+
+def test_mixing(spark):
+    rows = edge_rows()
+    got = mixing.mix_sources(edge_docs(spark)).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORDS.findall(r[1] or ""))
+    want, by_size = brute_targets(sizes), {}
+    for r in got:
+        by_size.setdefault((r.source_size, round(r.target, 6)), []).append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    assert sorted((sizes[s], round(t, 6)) for s, t in want.items()) == sorted(by_size)
+    for (_, target), rs in by_size.items():
+        assert sum(r.taken for r in rs) == math.floor(target + 1e-9)
+        epochs = {r.taken // r.size for r in rs if r.size}
+        assert max(epochs) - min(epochs) <= 1
+    again = mixing.mix_sources(edge_docs(spark).repartition(7)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    mixed = mixing.mixed_documents(edge_docs(spark))
+    assert mixed.columns == edge_docs(spark).columns
+    assert sum(len(WORDS.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert mixing.mix_sources(empty_docs(spark)).count() == 0
+
+
+def brute_base(t):
+    t = t or ""
+    w = WORDS.findall(t)
+    tri = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    covered = {i + d for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for d in range(3)}
+    lines = [x for x in t.split("\n") if WORDS.search(x)]
+    failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed)
+
+
+def spark_hash(a, b):
+    h = xxhash.xxh64_intdigest(a.encode(), seed=42)
+    h = xxhash.xxh64_intdigest(b.encode(), seed=h)
+    return (h - (1 << 64) if h >> 63 else h) % quality_rules.BUCKETS
+
+
+def brute_scores(rows, trusted):
+    def fold(t):
+        t = "".join("A" if c.isupper() else "a" if c.islower() else c for c in t or "")
+        return WORDS.findall(re.sub("[0-9]+", "0", re.sub("a+", "a", re.sub("A+", "A", t))))
+    hists = []
+    for r in rows:
+        f = ["^"] + fold(r[1])
+        hists.append(Counter(spark_hash(a, b) for a, b in zip(f, f[1:])))
+    raw, good = Counter(), Counter()
+    for r, h in zip(rows, hists):
+        raw.update(h)
+        if r[0] in trusted:
+            good.update(h)
+    n, m, pad = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS
+    ratio = {b: math.log((good[b] + 1) / (m + pad)) - math.log((raw[b] + 1) / (n + pad)) for b in raw}
+    return [sum(c * ratio[b] for b, c in h.items()) / sum(h.values()) if h else None for h in hists]
+
+
+def test_quality_rules(spark):
+    rows = [r for r in edge_rows() if not (r[1] or "").startswith("naïve")]
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema)
+    trusted = {r[0] for r in rows[7:14]}
+    ids = spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long")
+    got = quality_rules.quality_rules(docs, ids).collect()
+    want = []
+    for r, s in zip(rows, brute_scores(rows, trusted)):
+        b = brute_base(r[1])
+        want.append((r[0], *b, None if s is None else round(s, 6), not b[-1] and round(s, 6) >= quality_rules.THRESHOLD))
+    have = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+             None if r.score is None else round(r.score, 6), r.kept) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    assert quality_rules.quality_rules(empty_docs(spark), ids).count() == 0
+    none = quality_rules.quality_rules(docs, ids.limit(0)).collect()
+    assert {r.kept for r in none if not r.base_failed} == {True}
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "near duplicates", "pseudonyms", "mixing", "packing"]
+    cur, outs = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        from tessera.session import materialize
+        cur = materialize(stage(spark, cur, sf))
+        outs.append(cur)
+    rules, near, private, mixed, packed = outs
+    for o in outs[:4]:
+        assert sorted(o.columns) == sorted(docs.columns)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    verdict = quality_rules.quality_rules(docs, labels.filter("quality = 1")).filter("kept")
+    assert sorted(r.doc_id for r in rules.collect()) == sorted(r.doc_id for r in verdict.collect())
+    from tests.llm.test_pairs_and_repeats import brute_components
+    comps = brute_components([(r.doc_id, r.text) for r in rules.collect()])
+    assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, _, c in comps})
+    found = re.compile(r"[a-z]+\.\d\d@[a-z]+\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}")
+    before, after = ({r.doc_id: r.text for r in x.collect()} for x in (near, private))
+    assert before.keys() == after.keys() and sum(map(len, map(found.findall, before.values()))) > 3
+    assert all(v not in after[i] for i, t in before.items() for v in found.findall(t))
+    sizes = {r.doc_id: r.taken for r in mixing.mix_sources(private).collect()}
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(WORDS.findall(r.text))
+    assert words == Counter({k: v for k, v in sizes.items() if v})
+    total = Counter()
+    for r in packed.collect():
+        total[r.doc_id] += r.length
+    assert total == words
+    edge_out = edge_docs(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        edge_out = stage(spark, edge_out, sf)
+    assert edge_out.count() > 0
+
+
+def test_pipeline_queries_registered():
+    import __spark_entry__ as E
+    names = list(E.queries())
+    for n in range(1, 11):
+        assert sum(x.startswith(f"op{n}_") for x in names) == 1
+    assert "pipeline" in names
