@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 from tessera.sources.sales import load_sales, schema_catalog, customers_from, table_dump
-from tessera.sources.generate import generate_sales
 from tessera.operators import sales as S
 from tessera.operators import report as R
 from tessera.operators import quality as Q
@@ -76,7 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "order_totals": _sales(lambda t: S.order_totals(t["order_items"])),
         "order_total_reconciliation": _sales(lambda t: S.order_total_reconciliation(t["orders"], t["order_items"])),
         "table_dump": _sales(lambda t: table_dump(t, "products")),
-        "generate_orders": _generate_orders,
         # report
         "sales_report_lines": _sales(lambda t: R.sales_report_lines(
             t, generated_on=REPORT_STAMP, low_stock_threshold=DRIVER_LOW_STOCK)),
@@ -105,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_counts": lambda spark, d: D.chunk_counts(_chunks(spark, d)),
         "annotate_chunks": lambda spark, d: AN.annotate_chunks(_chunks(spark, d)).withColumn(
             "keywords", F.array_join("keywords", ", ")),
-        "chunk_topics": lambda spark, d: AN.chunk_topics(_chunks(spark, d)),
+        "chunk_topics": lambda spark, d: AN.chunk_topics(AN.annotate_chunks(_chunks(spark, d))),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
         "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
         "upsert_index": lambda spark, d: _index_run(spark, d)[1],
@@ -117,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_chunks": lambda spark, d: _answer(spark, d, ANS.top_candidates),
         "relevant_chunks": lambda spark, d: _answer(spark, d, ANS.relevant),
         "build_context": lambda spark, d: _answer(spark, d, ANS.contexts),
+        "truncate_context": lambda spark, d: T.truncate_context(_answer(spark, d, ANS.contexts), limit=300, keep=100),
         "clip_output": lambda spark, d: T.clip_output(_answer(spark, d, ANS.contexts), "context", 200),
         "summarize_context": _summarize_context,
         "filled_summaries": lambda spark, d: D.fill_failed(_summarize_context(spark, d), "summary"),
@@ -129,7 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_edges": lambda spark, d: G.graph_edges(_question_graphs(spark, d), ["query_id"]),
         "saved_graph_nodes": _saved_graph_nodes,
         # conversation transcripts
-        "cap_rounds": lambda spark, d: C.cap_rounds(_conv(spark, d)),
+        "cap_rounds": lambda spark, d: C.cap_rounds(_conv(spark, d), max_rounds=2),
         "tool_results": lambda spark, d: C.tool_results(_conv(spark, d)),
         "stop_round": lambda spark, d: C.stop_round(_conv(spark, d)),
         "assemble_response": lambda spark, d: C.assemble_response(_conv(spark, d)),
@@ -141,19 +140,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return q
 
 
-def _generate_orders(spark, sf_dir):
-    """S7 on the driver's customers and products (seeded); checked by
-    invariants in the tests (hash functions differ between engines)."""
-    t = load_sales(spark, sf_dir)
-    g = generate_sales(t["customers"], t["products"], seed=42)
-    return g["orders"].withColumn("total_amount", F.col("total_amount").cast("double"))
-
-
 def _conv(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """The conversations, with every second assistant turn wrapped as the
+    result of a tool (the given table has none)."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tool = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    return c.withColumn("text", F.when(tool, F.concat(F.lit("[lookup result]:\n"), F.col("text"))).otherwise(F.col("text")))
 
 
-GRAPH_MIN_COUNT = 2
+GRAPH_MIN_COUNT = 1
 
 
 def _corpus_graph(spark, sf_dir, n_keywords):
@@ -280,7 +275,7 @@ def _build_prompts(spark, sf_dir):
     qs = _questions(spark, sf_dir)
     ch, k, w, ts = _index_k(spark, sf_dir)
     top = ANS.relevant(qs, ch, k, weights=w, stats=ts)
-    return T.build_prompts(qs, top, T.truncate_context(T.build_context(qs, top)), ch)
+    return T.build_prompts(qs, top, T.build_context(qs, top), ch)
 
 
 def _doc_objects(spark, sf_dir):

@@ -16,8 +16,8 @@ CORPUS_GRAPH = f"""WITH {DOCS},
 {chunks_cte(8000)},
 {annotate_cte('chunks', 'chunks')},
 {annotate_cte('chunks', 'chunks', 'ann5', 5)},
-{_term_graph('ann', 2)},
-{_term_graph('ann5', 2)}
+{_term_graph('ann', 1)},
+{_term_graph('ann5', 1)}
 """
 
 QUESTION_GRAPH = RETRIEVAL + f""",
@@ -39,7 +39,8 @@ CONV = f"""conv AS (
          CAST(greatest(1, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
               OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS round,
          role = 'assistant' AND regexp_matches(text, {TOOL}) AS is_tool
-  FROM conversations)"""
+  FROM (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 4 = 1
+               THEN '[lookup result]:' || chr(10) || text ELSE text END AS text FROM conversations))"""
 
 FOLLOW_PRE = "You just received the result from ["
 FOLLOW_MID = "]. Think about what this tells you, and if more tools are needed to answer the query: ''"
@@ -58,7 +59,7 @@ UNION ALL
 SELECT *, 'removed' AS change FROM (SELECT * FROM old_g EXCEPT ALL SELECT * FROM new_g)""",
     "graph_nodes": QUESTION_GRAPH + "SELECT query_id, id, label FROM qnodes",
     "graph_edges": QUESTION_GRAPH + 'SELECT query_id, "from", "to", type FROM qedges',
-    "cap_rounds": f"WITH {CONV}\nSELECT conv_id, turn, role, text, round FROM conv WHERE round <= 8",
+    "cap_rounds": f"WITH {CONV}\nSELECT conv_id, turn, role, text, round FROM conv WHERE round <= 2",
     "tool_results": f"""WITH {CONV}
 SELECT conv_id, turn, regexp_extract(text, {TOOL}, 1) AS tool, regexp_extract(text, {TOOL}, 2) AS output
 FROM conv WHERE is_tool""",
@@ -70,7 +71,7 @@ FROM conv c LEFT JOIN stops s ON s.conv_id = c.conv_id
 WHERE s.stop_round IS NULL OR c.round <= s.stop_round""",
     "assemble_response": f"""WITH {CONV}
 SELECT conv_id, {strip("string_agg(text, chr(10) ORDER BY turn)")} AS response
-FROM conv WHERE round <= 8 AND role = 'assistant' AND NOT is_tool GROUP BY conv_id""",
+FROM conv WHERE role = 'assistant' AND NOT is_tool GROUP BY conv_id""",
     "followup_prompts": f"""WITH {CONV},
 fu AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT c.conv_id, c.turn, regexp_extract(c.text, {TOOL}, 1) AS tool,
@@ -89,17 +90,19 @@ def _lit(text: str) -> str:
 
 
 # T8 prompt templates (same fixed wording as the Spark operator).
-ANNOTATE_PRE = "Extract title, main topics, keywords and a detailed summary from the following:\n\n"
+ANNOTATE_PRE = "Text:\n"
+ANNOTATE_POST = "\n\nWrite a heading for it, name its subjects and search terms, and retell it in a paragraph."
 SCORE_PRE, SCORE_MID = "Question: ", "\n\nChunk summary:\n"
 SCORE_POST = ("\n\nRate the relevance of the chunk to the question from 0 to 10 and answer in the form: "
               "Score: <number>, Reason: <short reason>, Anser: <answer>")
-SUM_PRE = "Summarize the key points related to this question: '"
-SUM_MID = "'. Give the key findings and a brief conclusion.\n\nContext:\n"
-GRAPH_PRE = ('Extract a knowledge graph as JSON with nodes [{"id", "label"}] and edges '
-             '[{"from", "to", "type"}] from this context. Output raw JSON only.\n\nContext:\n')
+SUM_PRE, SUM_MID = "Someone asked: ", "\n\nNotes:\n"
+SUM_POST = "\n\nUsing the notes alone, state what they show about it and close with one sentence."
+GRAPH_PRE = "Notes:\n"
+GRAPH_POST = ("\n\nTurn the notes into a JSON object with the lists nodes (id, label) and edges (from, to, type). "
+              "Reply with the object and nothing else.")
 
 SQL["build_prompts"] = RETRIEVAL + f"""
-SELECT 'annotate' AS kind, CAST(NULL AS BIGINT) AS query_id, file, chunk, {_lit(ANNOTATE_PRE)} || text AS prompt
+SELECT 'annotate' AS kind, CAST(NULL AS BIGINT) AS query_id, file, chunk, {_lit(ANNOTATE_PRE)} || text || {_lit(ANNOTATE_POST)} AS prompt
 FROM rchunks
 UNION ALL
 SELECT 'score', k.query_id, k.file, k.chunk,
@@ -107,10 +110,10 @@ SELECT 'score', k.query_id, k.file, k.chunk,
 FROM kept k JOIN questions q ON q.query_id = k.query_id JOIN rchunks c ON c.file = k.file AND c.chunk = k.chunk
 UNION ALL
 SELECT 'summarize', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER),
-       {_lit(SUM_PRE)} || q.text || {_lit(SUM_MID)} || x.context
+       {_lit(SUM_PRE)} || q.text || {_lit(SUM_MID)} || x.context || {_lit(SUM_POST)}
 FROM contexts x JOIN questions q ON q.query_id = x.query_id
 UNION ALL
-SELECT 'graph', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), {_lit(GRAPH_PRE)} || x.context
+SELECT 'graph', x.query_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), {_lit(GRAPH_PRE)} || x.context || {_lit(GRAPH_POST)}
 FROM contexts x"""
 
 SQL["saved_graph_nodes"] = SQL["graph_nodes"]

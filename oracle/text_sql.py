@@ -190,7 +190,7 @@ ctx0 AS (
          || COALESCE(string_agg(chr(10) || 'Related report: ' || k.answer, '' ORDER BY k.rank), '') AS context
   FROM questions q LEFT JOIN kept k ON k.query_id = q.query_id GROUP BY q.query_id),
 contexts AS (
-  SELECT query_id, CASE WHEN length(context) > 12000 THEN substr(context, 1, 4000) ELSE context END AS context FROM ctx0)
+  SELECT query_id, context FROM ctx0)
 """
 
 
@@ -217,6 +217,11 @@ SELECT key, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x:
 SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key""",
     "annotate_chunks": f"""WITH {DOCS},\n{chunks_cte(8000)},\n{annotate_cte('chunks', 'chunks')}
 SELECT key, chunk_no, title, keywords, summary, {ANNOTATION} AS annotation FROM ann""",
+    "chunk_topics": f"""WITH {DOCS},\n{chunks_cte(8000)},\n{annotate_cte('chunks', 'chunks')},
+kw AS (SELECT key, chunk_no, unnest(kwl) AS term FROM ann),
+use AS (SELECT term, CAST(COUNT(*) AS BIGINT) AS topic_chunks FROM kw GROUP BY term)
+SELECT key, chunk_no, term AS topic, topic_chunks FROM kw JOIN use USING (term)
+QUALIFY row_number() OVER (PARTITION BY key, chunk_no ORDER BY topic_chunks DESC, term) = 1""",
     "index_status": INDEX_RUN + "SELECT key, status, chunks FROM all_status",
     "index_run_summary": INDEX_RUN + "SELECT status, COUNT(*) AS documents FROM all_status GROUP BY status",
     "upsert_index": INDEX_RUN + "SELECT key, chunk_no, chunks, summary FROM new_index",
@@ -228,6 +233,8 @@ FROM new_index GROUP BY key""",
     "top_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM top",
     "relevant_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM kept",
     "build_context": RETRIEVAL + "SELECT query_id, context FROM contexts",
+    "truncate_context": RETRIEVAL + """SELECT query_id,
+  CASE WHEN length(context) > 300 THEN substr(context, 1, 100) ELSE context END AS context FROM contexts""",
     "clip_output": RETRIEVAL + "SELECT query_id, substr(context, 1, 200) || '...' AS context FROM contexts",
     "summarize_context": RETRIEVAL + ",\n" + _sents_of_kept() + """
 SELECT q.query_id, COALESCE(string_agg(b.sentence, ' ' ORDER BY b.rank, b.file, b.chunk, b.sent_no), '') AS summary

@@ -107,27 +107,13 @@ def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2
     return out
 
 
-def chunk_topics(chunks: DataFrame, k: int = 5, n_terms: int = 5, vocab_size: int = 5000,
-                 max_iter: int = 10, seed: int = 1, text: str = "chunk", keys=CHUNK_KEY) -> DataFrame:
-    """D5 topics: seeded MLlib LDA over chunk term counts.
-
-    ``(keys..., topic, topic_weight, topic_terms)``: the chunk's most likely
-    topic, its probability and that topic's top ``n_terms`` terms. Fitting
-    is distributed (online variational LDA over the term-count vectors); the
-    vocabulary is capped at ``vocab_size`` terms, which bounds the model
-    state the driver holds."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    docs = chunks.select(*keys, terms(text).alias("__terms"))
-    cv = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size, minDF=2.0).fit(docs)
-    vec = cv.transform(docs)
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="__tf").fit(vec)
-    vocab = F.array(*[F.lit(t) for t in cv.vocabulary]) if len(cv.vocabulary) else F.array().cast("array<string>")
-    topics = lda.describeTopics(n_terms).select(
-        F.col("topic"), F.transform("termIndices", lambda i: F.element_at(vocab, i + 1)).alias("topic_terms"))
-    dist = lda.transform(vec).select(*keys, vector_to_array("topicDistribution").alias("__d"))
-    best = dist.select(*keys, F.array_max("__d").alias("topic_weight"), "__d").select(
-        *keys, "topic_weight", (F.array_position("__d", F.col("topic_weight")) - 1).cast("int").alias("topic"))
-    return best.join(F.broadcast(topics), "topic").select(*keys, "topic", "topic_weight", "topic_terms")
+def chunk_topics(annotated: DataFrame, keys=CHUNK_KEY) -> DataFrame:
+    """D5 topics ``(keys..., topic, topic_chunks)``: of a chunk's keywords the
+    one that most chunks of the corpus have as a keyword too (ties: smallest
+    term), with that number. No vocabulary limit; chunks without keywords
+    have no topic."""
+    kw = annotated.select(*keys, F.explode("keywords").alias("topic"))
+    use = kw.groupBy("topic").agg(F.count(F.lit(1)).alias("topic_chunks"))
+    best = F.min(F.struct((-F.col("topic_chunks")).alias("n"), "topic")).alias("b")
+    return (kw.join(use, "topic").groupBy(*keys).agg(best)
+            .select(*keys, F.col("b.topic").alias("topic"), (-F.col("b.n")).alias("topic_chunks")))

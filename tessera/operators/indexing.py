@@ -28,6 +28,8 @@ FAILED = "[Error] no annotation"
 
 STATUS_SKIPPED, STATUS_EMPTY = "Skipped", "Empty"
 STATUS_CACHED, STATUS_PROCESSED, STATUS_ERROR = "Cached", "Processed", "Error"
+# A character that the chunker does not treat as a blank (all Unicode blanks and U+001C..1F).
+VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 
 # ------------------------------------------------------------------ P6, P7, D1, D2
@@ -42,7 +44,7 @@ def decode_text(objects: DataFrame, content: str = "content", out: str = "text")
 
 def non_empty(docs: DataFrame, text: str = "text") -> DataFrame:
     """Keep documents that contain a non-whitespace character."""
-    return docs.filter(F.col(text).rlike(r"\S"))
+    return docs.filter(F.col(text).rlike(VISIBLE))
 
 
 def tokenize_words(docs: DataFrame, text: str = "text", out: str = "words") -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Q1: NULL count per NOT NULL column, one scan."""
@@ -59,33 +61,36 @@ def append_with_keys(target: DataFrame, rows: DataFrame, key: str, unique: str)
     one output row, so a value repeated a billion times is one row, not a
     billion rows in one task).
 
+    A NULL ``unique`` value is rejected (the column is declared NOT NULL).
+
     Key assignment never funnels the batch through one task: accepted rows
-    are range-partitioned by ``unique``, each partition numbers its rows
-    locally and adds a per-partition offset (one row per partition, so the
-    broadcast is bounded by the partition count). Every step is
-    deterministic, so a recomputed task reproduces the same keys.
+    are range-partitioned by ``unique`` and numbered inside their partition,
+    and that numbered table is written once to shared storage. Counts and
+    offsets (one row per partition) come from the written rows, so they
+    always belong to the partition numbers stored there, whatever a later
+    job's partitioning is.
     """
     cols = list(rows.columns)
     other = [c for c in cols if c != unique]
     grouped = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
-    firsts = grouped.groupBy(unique).agg(F.min(F.struct(*other)).alias("__first"))
+    firsts = (grouped.filter(F.col(unique).isNotNull()).groupBy(unique)
+              .agg(F.min(F.struct(*other)).alias("__first")))
     existing = target.select(F.col(unique).alias("__u")).distinct().withColumn("__exists", F.lit(True))
-    j = (grouped.join(firsts, unique)
+    j = (grouped.join(firsts, unique, "left")
          .join(existing, F.col(unique) == F.col("__u"), "left")
-         .withColumn("__kept", F.col("__exists").isNull()
-                     & (F.struct(*[F.col(c) for c in other]) == F.col("__first"))))
+         .withColumn("__kept", F.col(unique).isNotNull() & F.col("__exists").isNull()
+                     & F.struct(*[F.col(c) for c in other]).eqNullSafe(F.col("__first"))))
 
     base = target.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("m")).scalar()
-    fresh = j.filter("__kept").select(*cols)
-    numbered = (fresh.repartitionByRange(unique).sortWithinPartitions(unique)
-                .select("*", F.spark_partition_id().alias("__pid"),
-                        F.monotonically_increasing_id().alias("__mid")))
+    numbered = materialize(
+        j.filter("__kept").select(*cols).repartitionByRange(unique).sortWithinPartitions(unique)
+        .select("*", F.spark_partition_id().alias("__pid"),
+                F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos")))
     counts = numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select("__pid", (F.sum("__cnt").over(Window.orderBy("__pid")) - F.col("__cnt"))
                             .alias("__off"))
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
     inserted = (numbered.join(F.broadcast(offsets), "__pid")
-                .select(*cols, (base + F.col("__off") + local + 1).alias(key),
+                .select(*cols, (base + F.col("__off") + F.col("__pos") + 1).alias(key),
                         F.lit("inserted").alias("outcome"), F.lit(1).cast("bigint").alias("copies")))
     rejected = (j.select(*cols, F.lit(None).cast("bigint").alias(key), F.lit("rejected").alias("outcome"),
                          F.when(F.col("__kept"), F.col("copies") - 1).otherwise(F.col("copies")).alias("copies"))

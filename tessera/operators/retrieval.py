@@ -241,16 +241,16 @@ def offline_replies(scored: DataFrame, chunks: DataFrame, text: str = "text") ->
     return j.select("query_id", "file", "chunk", F.col("__first").alias("summary"), reply.alias("reply"))
 
 
-# T8 prompt templates (own wording; the reference's prompts went to a hosted model).
+# T8 prompt templates. Only the reply format of "score" is fixed (T3 parses it).
 PROMPTS = {
-    "annotate": "Extract title, main topics, keywords and a detailed summary from the following:\n\n{chunk}",
+    "annotate": "Text:\n{chunk}\n\nWrite a heading for it, name its subjects and search terms, and retell it in a paragraph.",
     "score": ("Question: {question}\n\nChunk summary:\n{chunk}\n\nRate the relevance of the chunk to the "
               "question from 0 to 10 and answer in the form: Score: <number>, Reason: <short reason>, "
               "Anser: <answer>"),
-    "summarize": ("Summarize the key points related to this question: '{question}'. Give the key findings "
-                  "and a brief conclusion.\n\nContext:\n{context}"),
-    "graph": ("Extract a knowledge graph as JSON with nodes [{{\"id\", \"label\"}}] and edges "
-              "[{{\"from\", \"to\", \"type\"}}] from this context. Output raw JSON only.\n\nContext:\n{context}"),
+    "summarize": ("Someone asked: {question}\n\nNotes:\n{context}\n\nUsing the notes alone, state what they "
+                  "show about it and close with one sentence."),
+    "graph": ("Notes:\n{context}\n\nTurn the notes into a JSON object with the lists nodes (id, label) and "
+              "edges (from, to, type). Reply with the object and nothing else."),
 }
 
 

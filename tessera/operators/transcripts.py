@@ -54,11 +54,11 @@ def stop_round(conv: DataFrame) -> DataFrame:
             .filter(F.col("stop_round").isNull() | (F.col("round") <= F.col("stop_round"))))
 
 
-def assemble_response(conv: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Newline-joined assistant texts (tool results excluded) of the
-    first ``max_rounds`` rounds, in turn order, stripped. The round cap
-    bounds the text gathered per conversation."""
-    a = cap_rounds(conv, max_rounds).filter((F.col("role") == "assistant") & ~is_tool_result())
+def assemble_response(conv: DataFrame) -> DataFrame:
+    """Newline-joined assistant texts (tool results excluded) in turn
+    order, stripped; one row holds one conversation's answer. Apply ``cap_rounds``
+    before it to limit the rounds."""
+    a = conv.filter((F.col("role") == "assistant") & ~is_tool_result())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
                                       lambda x: x["text"]), "\n")
     return a.groupBy("conv_id").agg(strip_ws(joined).alias("response"))

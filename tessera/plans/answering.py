@@ -46,5 +46,4 @@ def relevant(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
 def contexts(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
              min_score: float = T.MIN_SCORE, weights: DataFrame | None = None,
              stats: DataFrame | None = None) -> DataFrame:
-    ctx = T.build_context(questions, relevant(questions, chunks, k, min_score, weights, stats))
-    return T.truncate_context(ctx)
+    return T.build_context(questions, relevant(questions, chunks, k, min_score, weights, stats))

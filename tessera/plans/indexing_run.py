@@ -30,19 +30,27 @@ def empty_index(spark) -> DataFrame:
 
 def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS,
                     counter=None, by: str = "count", checkpoint: bool = True,
-                    n_keywords: int = 8, n_sentences: int = 2, model_fn=None):
+                    n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
     """Returns ``(status, new_index)``; ``status`` is ``(key, status, chunks)``
-    for every object, ``new_index`` the full index rows after the upsert."""
+    for every object (a NULL or unreadable content is ``Error`` and leaves its
+    index entry as it was), ``new_index`` the full index rows after the upsert."""
     tagged = supported_files(objects.select("key", "content"))
-    skipped = tagged.filter(~F.col("supported")).select("key", F.lit(D.STATUS_SKIPPED).alias("status"),
-                                                        F.lit(None).cast("int").alias("chunks"))
-    # .pdf needs an extractor hook; without one it is skipped like the others.
-    readable = tagged.filter(F.col("supported") & ~F.lower("key").endswith(".pdf"))
-    pdf = tagged.filter(F.lower("key").endswith(".pdf")).select(
-        "key", F.lit(D.STATUS_SKIPPED).alias("status"), F.lit(None).cast("int").alias("chunks"))
+    is_pdf = F.lower("key").endswith(".pdf")
+
+    def settled(df, status):
+        return df.select("key", F.lit(status).alias("status"), F.lit(None).cast("int").alias("chunks"))
+
+    # .pdf needs the extractor hook (bytes -> text); without one it is skipped like the others.
+    skipped = tagged.filter(~F.col("supported") if extractor else ~F.col("supported") | is_pdf)
+    readable = tagged.filter(F.col("supported") & ~is_pdf & F.col("content").isNotNull())
     text = D.decode_text(readable).select("key", "text")
-    blank = text.filter(~F.col("text").rlike(r"\S")).select(
-        "key", F.lit(D.STATUS_EMPTY).alias("status"), F.lit(None).cast("int").alias("chunks"))
+    if extractor is not None:
+        pdf = tagged.filter(F.col("supported") & is_pdf & F.col("content").isNotNull()).select("key", "content")
+        text = text.unionByName(materialize(D.guarded(pdf, extractor, "content", "text").select("key", "text")))
+    unread = tagged.filter(F.col("supported") & F.col("content").isNull() & (F.lit(bool(extractor)) | ~is_pdf))
+    failed = settled(unread, D.STATUS_ERROR).unionByName(settled(text.filter(F.col("text").isNull()), D.STATUS_ERROR))
+    text = text.filter(F.col("text").isNotNull())
+    blank = text.filter(~F.col("text").rlike(D.VISIBLE))
     docs = D.non_empty(text)
     chunks = D.chunk_documents(docs, max_tokens, counter)
     if checkpoint:
@@ -57,5 +65,6 @@ def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MA
         todo.join(ann.select("key", "chunk_no", F.col("annotation").alias("summary")), ["key", "chunk_no"], "left"))
     new_index = D.upsert_index(index.select(*INDEX_COLUMNS), updates.select(*INDEX_COLUMNS))
     status = reduce(DataFrame.unionByName,
-                    [skipped, pdf, blank, st.select("key", "status", "chunks")])
+                    [settled(skipped, D.STATUS_SKIPPED), failed, settled(blank, D.STATUS_EMPTY),
+                     st.select("key", "status", "chunks")])
     return status, new_index

@@ -24,9 +24,17 @@ BINARY_FILE_SCHEMA = StructType([
 
 
 def relative_key(root: str):
-    """Key of a file path relative to ``root`` (scheme-agnostic)."""
-    r = os.path.abspath(root).rstrip("/") + "/"
-    return F.expr(f"substr(path, instr(path, '{r}') + {len(r)})")
+    """Key of a file path relative to ``root``: a URI (``s3a://b/pre``,
+    ``file:///x``), an absolute or a relative local path. Paths come back with
+    their scheme, so a URI root is compared without empty authority."""
+    r = root.rstrip("/") + "/"
+    if "://" in r:
+        scheme, rest = r.split("://", 1)
+        r = f"{scheme}:{rest}" if rest.startswith("/") else r
+    elif not r.startswith(f"{r.split(':', 1)[0]}:/"):
+        r = os.path.abspath(root).rstrip("/") + "/"
+    at = F.instr(F.col("path"), r)
+    return F.substring(F.col("path"), at + len(r), F.length("path"))
 
 
 def read_objects(spark: SparkSession, root: str, prefix: str | None = None,
@@ -36,7 +44,9 @@ def read_objects(spark: SparkSession, root: str, prefix: str | None = None,
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root).select(relative_key(root).alias("key"), "length", "modificationTime", "content")
+    # the folder part of the prefix is the load path, so nothing else is listed
+    folder = prefix.rsplit("/", 1)[0] if prefix and "/" in prefix else ""
+    df = reader.load(f"{root.rstrip('/')}/{folder}" if folder else root).select(relative_key(root).alias("key"), "length", "modificationTime", "content")
     if prefix:
         df = df.filter(F.col("key").startswith(prefix))
     return df

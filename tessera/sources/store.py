@@ -2,7 +2,7 @@
 
 Plain Parquet has no MERGE and Spark cannot overwrite a path it is reading,
 so the index is stored as immutable snapshots ``root/snapshot=<n>`` plus a
-small manifest (``root/_manifest``, JSON rows ``{snapshot, batch}``) that is
+small manifest (``root/_manifest``, JSON rows ``{snapshot, batch, stream}``) that is
 appended only after a snapshot was written completely. Readers take the
 newest snapshot in the manifest; an interrupted write leaves an unreferenced
 folder and the previous snapshot stays current. A missing or unreadable
@@ -21,7 +21,7 @@ from tessera.operators.indexing import pack_index
 
 INDEX_SCHEMA = "key string, chunk_no int, chunks int, summary string"
 PACKED_SCHEMA = "map<string, struct<chunks:int, summaries:array<string>>>"
-MANIFEST_SCHEMA = "snapshot long, batch long"
+MANIFEST_SCHEMA = "snapshot long, batch long, stream string"
 GRAPH_SCHEMA = ("nodes array<struct<id:string,label:string>>, "
                 "edges array<struct<`from`:string,`to`:string,type:string>>")
 
@@ -53,21 +53,22 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], INDEX_SCHEMA)
 
 
-def write_index(index: DataFrame, root: str, batch: int | None = None) -> int:
+def write_index(index: DataFrame, root: str, batch: int | None = None, stream: str = "") -> int:
     """Write a new snapshot and commit it in the manifest; returns its
-    number. With ``batch`` set, a batch already committed is not written
-    again (idempotent replays of a streaming micro-batch)."""
+    number. With ``batch`` set, a batch already committed by the same
+    ``stream`` is not written again (idempotent replays of a micro-batch); a
+    stream with a new checkpoint counts from 0 again under another id."""
     spark = index.sparkSession
     last = latest_snapshot(spark, root)
     if batch is not None and last is not None:
         m = _manifest(spark, root)
-        done = m.filter(F.col("batch") == batch).limit(1).collect()
+        done = m.filter((F.col("batch") == batch) & (F.coalesce("stream", F.lit("")) == stream)).limit(1).collect()
         if done:
             return done[0]["snapshot"]
     n = 1 if last is None else last[0] + 1
     index.select("key", "chunk_no", "chunks", "summary").write.mode("overwrite").parquet(
         os.path.join(root, f"snapshot={n}"))
-    spark.createDataFrame([(n, -1 if batch is None else batch)], MANIFEST_SCHEMA) \
+    spark.createDataFrame([(n, -1 if batch is None else batch, stream)], MANIFEST_SCHEMA) \
         .coalesce(1).write.mode("append").json(os.path.join(root, "_manifest"))
     return n
 
@@ -82,10 +83,18 @@ def export_index_json(index: DataFrame, path: str) -> None:
 
 
 def import_index_json(spark: SparkSession, path: str) -> DataFrame:
-    """Read index JSON (one object per line, or one whole-index object per
-    file) into exploded rows; unparseable input gives no rows."""
-    raw = spark.read.option("wholetext", "false").text(path)
-    parsed = raw.select(F.explode(F.from_json("value", PACKED_SCHEMA)).alias("key", "v"))
+    """Read index JSON into exploded rows: files of one object per line, or
+    files that are one object for the whole index, indented or not;
+    unparseable input gives no rows."""
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    files = files.select("value", lines.alias("lines"))
+    # an object per line if the first line closes the object it opens
+    by_line = F.coalesce(F.trim(F.try_element_at("lines", F.lit(1))).rlike("^[{].*[}]$"), F.lit(False))
+    maps = F.when(by_line, F.transform("lines", lambda x: F.from_json(x, PACKED_SCHEMA))) \
+        .otherwise(F.array(F.from_json("value", PACKED_SCHEMA)))
+    raw = files.select(F.explode(maps).alias("m"))
+    parsed = raw.filter(F.col("m").isNotNull()).select(F.explode("m").alias("key", "v"))
     return parsed.select("key", F.posexplode("v.summaries").alias("p", "summary"), F.col("v.chunks").alias("chunks")) \
         .select("key", (F.col("p") + 1).alias("chunk_no"), "chunks", "summary")
 
@@ -117,6 +126,6 @@ def write_graph(graphs: DataFrame, root: str, keys: list[str], keys_schema: str,
     last = latest_snapshot(spark, root)
     n = 1 if last is None else last[0] + 1
     merged.write.mode("overwrite").json(os.path.join(root, f"snapshot={n}"))
-    spark.createDataFrame([(n, -1)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
+    spark.createDataFrame([(n, -1, "")], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
         os.path.join(root, "_manifest"))
     return n

@@ -3,7 +3,8 @@
 New objects under ``src`` are picked up by a ``binaryFile`` file stream
 (the stream's own checkpoint remembers which files were seen); each
 micro-batch runs the batch indexing job against the current index snapshot
-and commits a new snapshot. The commit is keyed by the micro-batch id, so a
+and commits a new snapshot. The commit is keyed by the stream id (kept in the
+checkpoint) and the micro-batch id, so a
 batch replayed after a failure is not applied twice. ``trigger(availableNow)``
 processes what is there and stops - the shape of the reference tool, which
 indexes whatever is new each time it is called.
@@ -30,7 +31,8 @@ def start_index_stream(spark: SparkSession, src: str, index_root: str, checkpoin
         status, new_index = index_documents(batch, current, **index_options)
         processed = status.filter(F.col("status") == "Processed").limit(1).count()
         if processed:
-            write_index(new_index, index_root, batch=batch_id)
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+            write_index(new_index, index_root, batch=batch_id, stream=query)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

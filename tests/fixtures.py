@@ -10,24 +10,24 @@ ORDER_SCHEMA = ("order_id bigint, customer_id bigint, order_date date, total_amo
                 "shipping_address string, payment_method string")
 ITEM_SCHEMA = "order_item_id bigint, order_id bigint, product_id bigint, quantity bigint, price_per_unit decimal(18,2)"
 
-# The reference's eight sample products (name, category, price, stock).
+# Eight products: 725 units in all, one stock below 50 and one at 50.
 PRODUCTS8 = [
-    ("Laptop Pro", "Electronics", "1299.99", 50),
-    ("Smartphone X", "Electronics", "799.99", 100),
-    ("Cotton T-Shirt", "Clothing", "19.99", 200),
-    ("Chef Knife Set", "Kitchen", "89.99", 30),
-    ("Wireless Headphones", "Electronics", "159.99", 75),
-    ("Yoga Mat", "Sports", "29.99", 120),
-    ("Coffee Maker", "Kitchen", "49.99", 60),
-    ("Running Shoes", "Footwear", "79.99", 90),
+    ("anvil", "Electronics", "8.50", 120),
+    ("bellows", "Kitchen", "12.00", 50),
+    ("chisel", "Electronics", "3.25", 90),
+    ("drill", "Clothing", "40.00", 60),
+    ("easel", "Electronics", "27.75", 200),
+    ("flask", "Kitchen", "6.10", 75),
+    ("gimlet", "Sports", "2.40", 30),
+    ("hammer", "Footwear", "15.00", 100),
 ]
 
 CUSTOMERS5 = [
-    ("John", "Smith", "john.smith@email.com", "123 Main St", "New York", "NY", "10001"),
-    ("Jane", "Doe", "jane.doe@email.com", "456 Oak Ave", "Los Angeles", "CA", "90001"),
-    ("Michael", "Johnson", "michael.j@email.com", "789 Pine Blvd", "Chicago", "IL", "60007"),
-    ("Emily", "Williams", "emily.w@email.com", "321 Cedar Dr", "Houston", "TX", "77001"),
-    ("David", "Brown", "david.b@email.com", "654 Maple Ln", "Phoenix", "AZ", "85001"),
+    ("Ada", "North", "ada@shop.example", "1 Elm", "Aville", "NY", "1"),
+    ("Ben", "South", "ben@shop.example", "2 Elm", "Bville", "CA", "2"),
+    ("Cleo", "East", "cleo@shop.example", "3 Elm", "Cville", "IL", "3"),
+    ("Dov", "West", "dov@shop.example", "4 Elm", "Dville", "TX", "4"),
+    ("Eve", "Mid", "eve@shop.example", "5 Elm", "Eville", "AZ", "5"),
 ]
 
 

@@ -4,22 +4,6 @@ from tessera.functions.chunking import chunk_text
 from tessera.operators import indexing as D
 
 
-def greedy_reference(text, max_tokens, cost):
-    """Independent word-by-word statement of the packing rule."""
-    chunks, chunk, tokens = [], [], 0
-    for w in text.split():
-        c = cost(w)
-        if tokens + c > max_tokens:
-            chunks.append(" ".join(chunk))
-            chunk, tokens = [w], c
-        else:
-            chunk.append(w)
-            tokens += c
-    if chunk:
-        chunks.append(" ".join(chunk))
-    return chunks
-
-
 def cost(w):
     return -(-(len(w) + 1) // 4)
 
@@ -33,19 +17,20 @@ def test_edge_words():
     assert chunk_text("abcdefghijklmnop b", 2, keep_empty_first=False) == ["abcdefghijklmnop", "b"]
 
 
-def test_property_against_greedy_loop():
+def test_packing_properties():
+    """Words and their order are kept, no chunk of several words is over
+    budget, and no chunk could have taken the next one's first word."""
     rnd = random.Random(7)
     for _ in range(300):
         words = ["x" * rnd.randint(1, 30) for _ in range(rnd.randint(0, 60))]
         seps = [rnd.choice([" ", "  ", "\n", "\t "]) for _ in words]
         text = rnd.choice(["", " ", "\n"]) + "".join(w + s for w, s in zip(words, seps))
-        m = rnd.randint(1, 40)
-        got = chunk_text(text, m)
-        assert got == greedy_reference(text, m, cost)
-        assert " ".join(c for c in got if c) == " ".join(text.split())
-        for c in got:  # no chunk over budget unless it is a single word
-            if c and " " in c:
-                assert sum(cost(w) for w in c.split()) <= m
+        budget = rnd.randint(1, 40)
+        got = [c.split() for c in chunk_text(text, budget)]
+        assert [w for c in got for w in c] == words
+        assert all(sum(map(cost, c)) <= budget for c in got if len(c) > 1)
+        assert all(sum(map(cost, a)) + cost(b[0]) > budget for a, b in zip(got, got[1:]))
+        assert all(got[1:]) and (not got or got[0] or cost(words[0]) > budget)
 
 
 def test_chunk_documents_frame(spark):

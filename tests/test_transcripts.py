@@ -10,7 +10,7 @@ def transcripts(spark):
     rows = [
         (1, 0, "user", "What sold best?"),
         (1, 1, "assistant", "Let me check."),
-        (1, 2, "assistant", "[get-salereport result]:\nline one\nline two"),
+        (1, 2, "assistant", "[lookup result]:\nline one\nline two"),
         (1, 3, "user", "You just received the result ..."),
         (1, 4, "assistant", "  Laptops sold best.  "),
         (2, 0, "user", "hi"),
@@ -26,9 +26,9 @@ def transcripts(spark):
 def test_tool_results_and_followups(spark):
     c = transcripts(spark)
     tr = {(r.conv_id, r.turn): (r.tool, r.output) for r in C.tool_results(c).collect()}
-    assert tr[(1, 2)] == ("get-salereport", "line one\nline two") and len(tr) == 10
+    assert tr[(1, 2)] == ("lookup", "line one\nline two") and len(tr) == 10
     fu = {(r.conv_id, r.turn): r.prompt for r in C.followup_prompts(c).collect()}
-    assert fu[(1, 2)] == ("You just received the result from [get-salereport]. Think about what this tells you, "
+    assert fu[(1, 2)] == ("You just received the result from [lookup]. Think about what this tells you, "
                           "and if more tools are needed to answer the query: 'What sold best?'.")
 
 
