@@ -134,7 +134,8 @@ def _archives(records: Iterator[bytes], begin) -> Iterator[pd.DataFrame]:
 def _save(archives: DataFrame, path: str) -> None:
     """One gzip file per row. The cast keeps the bytes as they are."""
     (archives.select(F.col("archive").cast("string").alias("value"))
-     .write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
+     .write.option("maxRecordsPerFile", 1).option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
