@@ -111,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "explode_index": lambda spark, d: D.explode_index(D.pack_index(_index_run(spark, d)[1])),
         # retrieval over the benchmark questions
         "score_chunks": lambda spark, d: _answer(spark, d, T.score_chunks),
-        "parse_scored_reply": lambda spark, d: _answer(spark, d, ANS.scored_candidates),
+        "parse_scored_reply": lambda spark, d: T.parse_scored_reply(_replies(spark, d)).drop("reply"),
         "top_chunks": lambda spark, d: _answer(spark, d, ANS.top_candidates),
         "relevant_chunks": lambda spark, d: _answer(spark, d, ANS.relevant),
         "build_context": lambda spark, d: _answer(spark, d, ANS.contexts),
@@ -177,14 +177,14 @@ def _saved_graph_nodes(spark, sf_dir):
 
 def _question_graphs(spark, sf_dir):
     """Per question: the term graph of its kept chunks, rendered as fenced
-    JSON (the model-output shape) and parsed back (G1, G2)."""
-    qs = _questions(spark, sf_dir)
-    ch, k, w, ts = _index_k(spark, sf_dir)
-    kept = ANS.relevant(qs, ch, k, weights=w, stats=ts)
-    ann = AN.annotate_chunks(_chunks(spark, sf_dir)).select(
-        F.col("key").alias("file"), F.col("chunk_no").alias("chunk"), "keywords")
-    kw = kept.select("query_id", "file", "chunk").join(ann, ["file", "chunk"])
-    nodes, edges = G.term_graph(kw, ["query_id"], ["file", "chunk"])
+    JSON (the model-output shape) and parsed back (G1, G2). Keywords are taken
+    for kept chunks only, with the statistics of the whole corpus."""
+    ch, table = _index(spark, sf_dir)
+    best = T.best_chunks(_questions(spark, sf_dir), None, table=table)
+    kept = materialize(T.relevant_only(best).select("query_id", "file", "chunk"))
+    keys = ["file", "chunk"]
+    kw = AN.keywords(AN.tfidf(ch.join(kept, keys, "left_semi"), "text", keys, corpus=ch), keys=keys)
+    nodes, edges = G.term_graph(kept.join(kw, keys), ["query_id"], keys)
     raw = G.graph_json(nodes, edges.drop("weight"), ["query_id"]).withColumn(
         "raw", F.concat(F.lit("```json\n"), F.col("raw"), F.lit("\n```")))
     return G.parse_graph(raw)
@@ -204,35 +204,38 @@ def _rchunks(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    """``(chunks, weights)``: the chunk table and its BM25 inverted index,
-    each written once to the shared checkpoint folder (the index is built
-    once and read by every scoring step)."""
+    """``(chunks, table)``: the chunk table and its term table, each written
+    once to the shared checkpoint folder."""
     ch = _rchunks(spark, sf_dir)
-    w = materialize(T.weighted_postings(ch))
-    return ch, w, materialize(T.term_stats(w))
+    return ch, T.term_table(ch)
 
 
 def _answer(spark, sf_dir, fn):
-    """Run an answering operator over the benchmark questions and the index
-    (written once: building the postings reads every chunk's terms for the
-    lengths, the document frequencies and the corpus statistics). Full
-    scoring does not need the term statistics table."""
-    if fn in (T.score_chunks, ANS.scored_candidates):
-        ch = _rchunks(spark, sf_dir)
-        return fn(_questions(spark, sf_dir), ch, weights=materialize(T.weighted_postings(ch)))
-    ch, w, ts = _index(spark, sf_dir)
-    return fn(_questions(spark, sf_dir), ch, weights=w, stats=ts)
-
-
-def _index_k(spark, sf_dir):
-    ch, w, ts = _index(spark, sf_dir)
-    return ch, T.TOP_K, w, ts
+    """Run an answering operator over the benchmark questions."""
+    ch, table = _index(spark, sf_dir)
+    return fn(_questions(spark, sf_dir), ch, table=table)
 
 
 def _summarize_context(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    ch, k, w, ts = _index_k(spark, sf_dir)
-    return T.summarize_context(qs, ANS.relevant(qs, ch, k, weights=w, stats=ts), ch)
+    ch, table = _index(spark, sf_dir)
+    return T.summarize_context(qs, T.relevant_only(T.best_chunks(qs, ch, table=table)), ch)
+
+
+def _replies(spark, sf_dir):
+    """Model replies about every document, six forms in turn: regular, comma
+    in the reason, fraction as score, no answer, no score, two replies."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    score = F.concat(F.lit("Score: "), F.expr("CAST(n_chars % 11 AS STRING)"))
+    reason, answer = F.concat(F.lit(", Reason: "), F.col("source")), F.concat(F.lit(", Anser: "), F.col("text"))
+    form = F.col("doc_id") % 6
+    reply = (F.when(form == 0, F.concat(score, reason, answer))
+             .when(form == 1, F.concat(score, reason, F.lit(", "), F.col("lang"), answer))
+             .when(form == 2, F.concat(score, F.lit("/10"), reason, answer))
+             .when(form == 3, F.concat(score, reason))
+             .when(form == 4, F.col("text"))
+             .otherwise(F.concat(score, reason, answer, F.lit(" "), score, reason, answer)))
+    return d.select("doc_id", reply.alias("reply"))
 
 
 def _questions(spark, sf_dir):
@@ -273,8 +276,8 @@ def _decode_text(spark, sf_dir):
 
 def _build_prompts(spark, sf_dir):
     qs = _questions(spark, sf_dir)
-    ch, k, w, ts = _index_k(spark, sf_dir)
-    top = ANS.relevant(qs, ch, k, weights=w, stats=ts)
+    ch, table = _index(spark, sf_dir)
+    top = ANS.relevant(qs, ch, table=table)
     return T.build_prompts(qs, top, T.build_context(qs, top), ch)
 
 

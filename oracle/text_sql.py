@@ -162,28 +162,25 @@ bm AS (
 scored AS (
   SELECT query_id, file, chunk, bm25, round(bm25 * 10 / NULLIF(max(bm25) OVER (PARTITION BY query_id), 0), 6) AS score
   FROM bm),
-replies AS (
-  SELECT s.query_id, s.file, s.chunk, {strip(f"regexp_extract(c.text, {SENT}, 0)")} AS summary,
-         'Score: ' || CAST(CAST(s.score AS DECIMAL(12,6)) AS VARCHAR) || ', Reason: bm25 '
-         || CAST(CAST(s.bm25 AS DECIMAL(18,6)) AS VARCHAR) || ', Anser: '
-         || {strip(f"regexp_extract(c.text, {SENT}, 0)")} AS reply
-  FROM scored s JOIN rchunks c ON c.file = s.file AND c.chunk = s.chunk),
-seg AS (
-  SELECT *, {strip("string_split(reply, 'Score:')[2]")} AS sg FROM replies WHERE contains(reply, 'Score:')),
-parts AS (
-  SELECT *, instr(sg, ',') AS p1, instr(substr(sg, instr(sg, ',') + 1), ',') AS p2 FROM seg),
-parsed AS (
-  SELECT query_id, file, chunk,
-         CASE WHEN regexp_full_match({strip("substr(sg, 1, p1 - 1)")}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')
-              THEN TRY_CAST({strip("substr(sg, 1, p1 - 1)")} AS DOUBLE) END AS score,
-         {strip("substr(substr(sg, p1 + 1), 1, p2 - 1)")} AS reason,
-         summary,
-         substr(substr(sg, p1 + 1), p2 + 1) AS answer
-  FROM parts WHERE p1 > 0 AND p2 > 0),
-candidates AS (SELECT * FROM parsed WHERE score IS NOT NULL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, file, chunk) AS INTEGER) AS rank
+  FROM scored),
+top0 AS (SELECT * FROM ranked WHERE rank <= 3),
+qwords AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), {TERMS})) AS qw FROM questions),
+sents AS (
+  SELECT t.query_id, t.file, t.chunk, unnest(regexp_extract_all(c.text, {SENT})) AS s,
+         generate_subscripts(regexp_extract_all(c.text, {SENT}), 1) AS pos
+  FROM top0 t JOIN rchunks c ON c.file = t.file AND c.chunk = t.chunk),
+best_sent AS (
+  SELECT s.query_id, s.file, s.chunk, {strip('s.s')} AS sentence FROM sents s JOIN qwords q ON q.query_id = s.query_id
+  WHERE {strip('s.s')} <> ''
+  QUALIFY row_number() OVER (PARTITION BY s.query_id, s.file, s.chunk ORDER BY
+    len(list_intersect(list_distinct(regexp_extract_all(lower(s.s), {TERMS})), q.qw)) DESC, s.pos) = 1),
 top AS (
-  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, chunk) AS INTEGER) AS rank
-                 FROM candidates) WHERE rank <= 3),
+  SELECT t.query_id, t.file, t.chunk, t.bm25, t.score, t.rank,
+         'Reason: bm25 ' || CAST(CAST(t.bm25 AS DECIMAL(18,6)) AS VARCHAR) AS reason,
+         ' Anser: ' || COALESCE(b.sentence, '') AS answer
+  FROM top0 t LEFT JOIN best_sent b ON b.query_id = t.query_id AND b.file = t.file AND b.chunk = t.chunk),
 kept AS (SELECT * FROM top WHERE score >= 0.4),
 ctx0 AS (
   SELECT q.query_id, 'Top Relevant Chunks and the answer:'
@@ -193,6 +190,30 @@ contexts AS (
   SELECT query_id, context FROM ctx0)
 """
 
+# Replies about every document in six forms, parsed as T3 does.
+PARSED = rf"""WITH replies AS (
+  SELECT doc_id, CASE doc_id % 6
+    WHEN 0 THEN sc || re || an
+    WHEN 1 THEN sc || re || ', ' || lang || an
+    WHEN 2 THEN sc || '/10' || re || an
+    WHEN 3 THEN sc || re
+    WHEN 4 THEN text
+    ELSE sc || re || an || ' ' || sc || re || an END AS reply
+  FROM (SELECT *, 'Score: ' || CAST(n_chars % 11 AS VARCHAR) AS sc, ', Reason: ' || source AS re,
+               ', Anser: ' || text AS an FROM documents)),
+seg AS (
+  SELECT *, {strip("string_split(reply, 'Score:')[2]")} AS sg FROM replies WHERE contains(reply, 'Score:')),
+parts AS (
+  SELECT *, instr(sg, ',') AS p1, instr(substr(sg, instr(sg, ',') + 1), ',') AS p2 FROM seg),
+parsed AS (
+  SELECT doc_id,
+         CASE WHEN regexp_full_match({strip("substr(sg, 1, p1 - 1)")}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')
+              THEN TRY_CAST({strip("substr(sg, 1, p1 - 1)")} AS DOUBLE) END AS score,
+         {strip("substr(substr(sg, p1 + 1), 1, p2 - 1)")} AS reason,
+         substr(substr(sg, p1 + 1), p2 + 1) AS answer
+  FROM parts WHERE p1 > 0 AND p2 > 0)
+SELECT doc_id, score, reason, answer FROM parsed WHERE score IS NOT NULL"""
+
 
 def _sents_of_kept() -> str:
     return rf"""ks AS (
@@ -229,9 +250,9 @@ QUALIFY row_number() OVER (PARTITION BY key, chunk_no ORDER BY topic_chunks DESC
 FROM new_index GROUP BY key""",
     "explode_index": INDEX_RUN + "SELECT key AS file, chunk_no AS chunk, summary FROM new_index",
     "score_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score FROM scored",
-    "parse_scored_reply": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer FROM candidates",
-    "top_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM top",
-    "relevant_chunks": RETRIEVAL + "SELECT query_id, file, chunk, score, reason, summary, answer, rank FROM kept",
+    "parse_scored_reply": PARSED,
+    "top_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score, reason, answer, rank FROM top",
+    "relevant_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score, reason, answer, rank FROM kept",
     "build_context": RETRIEVAL + "SELECT query_id, context FROM contexts",
     "truncate_context": RETRIEVAL + """SELECT query_id,
   CASE WHEN length(context) > 300 THEN substr(context, 1, 100) ELSE context END AS context FROM contexts""",

@@ -2,10 +2,10 @@
 context (T6), truncation (T7), prompts (T8), extractive answer summary (T9)
 and output clipping (T10). T1 lives in ``indexing.explode_index``.
 
-T2 scores many questions in one job with BM25 over an inverted index: the
-question terms are equi-joined to the chunk postings on ``term`` and summed
-per (question, chunk), never crossing questions with chunks. Corpus
-statistics (chunk count, mean length) are scalar subqueries; document
+T2 scores many questions in one job with BM25 over a written term table: the
+question terms are equi-joined to it on ``term`` and summed per (question,
+chunk), never crossing questions with chunks. Corpus statistics (chunk
+count, mean length) are a scalar subquery over the same table; document
 frequencies are one grouped count.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import strip_ws, terms
 from tessera.operators.annotate import SENTENCE
+from tessera.session import materialize
 
 # Fixed values of the reference.
 TOP_K = 3
@@ -28,134 +29,84 @@ CONTEXT_LINE = "Related report: "
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``(file, chunk, term, tf, dl)`` for chunks ``(file, chunk, text)``."""
-    return _term_freqs(chunks, text).select("file", "chunk", "term", "tf", "dl")
+def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """The inverted index ``(file, chunk, dl, term, tf)`` of chunks
+    ``(file, chunk, text)``, written once to the shared folder: term and
+    document frequencies, lengths and corpus size are all read from it, so
+    the texts are tokenised once.
 
+    Chunks are partitioned before their terms are exploded: texts are smaller
+    than term rows, ``tf`` then needs no shuffle of its own, and the written
+    rows of a chunk stay together. A chunk is one row, so its length is the
+    size of its term array."""
+    t = chunks.select("file", "chunk", text).repartition("file", "chunk").select("file", "chunk", terms(text).alias("__t"))
+    t = t.select("file", "chunk", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    return materialize(t.groupBy("file", "chunk", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
-def _term_freqs(chunks: DataFrame, text: str) -> DataFrame:
-    """``(file, chunk, dl, term, tf)``. A chunk is one row, so its length is
-    the size of its term array (no aggregate, no join back); ``tf`` is one
-    grouped count with map-side partial aggregation per chunk."""
-    t = chunks.select("file", "chunk", terms(text).alias("__t")).select(
-        "file", "chunk", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    return t.groupBy("file", "chunk", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
+def question_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+
+
+def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``(query_id, file, chunk, bm25)`` of every chunk that shares a term
+    with the question, from a ``term_table``.
 
-def weighted_postings(chunks: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """``(file, chunk, term, w, df)``: BM25 weight of every posting, rounded
-    to 9 decimals and held as an exact decimal so that sums do not depend on
-    the engine or the summation order."""
-    tf = _term_freqs(chunks, text)
-    # one scalar subquery for both corpus statistics (evaluated once), read
-    # from the chunk rows themselves (chunks without terms have no postings)
-    stats = chunks.select(F.size(terms(text)).alias("dl")).filter(F.col("dl") > 0).agg(
+    Only the question terms are joined to the index. Term weights are rounded
+    to 9 decimals and summed as exact decimals, so that sums do not depend on
+    the engine or the summation order; the sum per (question, chunk) is
+    partial before its shuffle."""
+    # one scalar subquery for both corpus statistics (chunks without terms count for neither)
+    stats = table.groupBy("file", "chunk").agg(F.max("dl").alias("dl")).agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
     n, avgdl = stats.getField("n"), stats.getField("avgdl")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = table.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    q = question_terms(questions).join(df, "term")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return tf.join(df, "term").select(
-        "file", "chunk", "term", "df",
-        F.round(idf * F.col("tf") * (k1 + 1)
-                / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)").alias("w"))
+    w = F.round(idf * F.col("tf") * (k1 + 1)
+                / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)")
+    return (q.join(table, "term").groupBy("query_id", "file", "chunk")
+            .agg(F.round(F.sum(w), 6).cast("double").alias("bm25")))
 
 
-def term_stats(weights: DataFrame) -> DataFrame:
-    """``(term, df, maxw, n_chunks)``: per-term document frequency and best
-    weight, and the corpus size; part of the index, built once with it."""
-    n = weights.select("file", "chunk").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return weights.groupBy("term").agg(F.max("df").alias("df"), F.max("w").alias("maxw")) \
-        .withColumn("n_chunks", n)
-
+def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "text",
+                 k1: float = K1, b: float = B, table: DataFrame | None = None) -> DataFrame:
+    """``(query_id, file, chunk, bm25, score)`` for every chunk sharing a
+    term with the question (the reference scores every chunk); ``score`` is
+    BM25 scaled to 0-10 by the best chunk of that question. ``table`` is a
+    prebuilt ``term_table``.
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    return questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    The best score is a grouped max (one row per question) joined back on
+    (question, hash bucket of the chunk): a question that pairs with most
+    chunks is spread over ``TOPK_BUCKETS`` partitions."""
+    s = bm25(questions, table if table is not None else term_table(chunks, text), k1, b)
+    best = (s.groupBy("query_id").agg(F.max("bm25").alias("__best"))
+            .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(TOPK_BUCKETS - 1)).cast("array<bigint>"))))
+    return (s.withColumn("__b", _bucket(TOPK_BUCKETS)).join(best, ["query_id", "__b"])
+            .select("query_id", "file", "chunk", "bm25", _scale("__best")))
 
 
-def _scaled(s: DataFrame) -> DataFrame:
-    """BM25 scaled to 0-10 by the question's best chunk. The best score is a
-    grouped max (partial per task, one row per question) joined back, not a
-    window over all of a question's pairs: a question made of common terms
-    pairs with most chunks and would otherwise be one task, and the top-k
-    after this keeps its partial limit before the shuffle."""
-    best = s.groupBy("query_id").agg(F.max("bm25").alias("__best"))
-    return s.join(best, "query_id").select(
-        *s.columns, F.round(F.try_divide(F.col("bm25") * 10, F.col("__best")), 6).alias("score"))
+def _scale(best: str):
+    return F.round(F.try_divide(F.col("bm25") * 10, F.col(best)), 6).alias("score")
 
 
-def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "text",
-                 k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
-    """``(query_id, file, chunk, bm25, score)`` for every chunk sharing a
-    term with the question (the reference scores every chunk); ``score`` is
-    BM25 scaled to 0-10 by the best chunk of that question. ``weights`` is a
-    prebuilt ``weighted_postings`` table (the inverted index)."""
-    w = weights if weights is not None else weighted_postings(chunks, text, k1, b)
-    s = (question_terms(questions).join(w, "term").groupBy("query_id", "file", "chunk")
-         .agg(F.round(F.sum("w"), 6).cast("double").alias("bm25")))
-    return _scaled(s)
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets))
 
 
 def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K, text: str = "text",
-                common_fraction: float = 0.2, k1: float = K1, b: float = B,
-                weights: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Exact top-k of T2 per question without joining common terms to all
-    of their postings.
-
-    Terms in more than ``common_fraction`` of the chunks are *common*. Only
-    chunks sharing a rare term with the question are candidates: their rare
-    part comes from the rare-term join, their common part from point lookups
-    of (chunk, common term). A chunk with common terms only scores at most
-    ``UB`` = sum over the question's common terms of the term's best weight.
-    When the k-th candidate beats ``UB`` by more than the rounding of the
-    scaled score, the candidates' top-k is the exact top-k; the remaining
-    questions (too few candidates, or common terms only) are scored in full.
-    Questions whose estimated pruned work exceeds full scoring (a corpus
-    whose vocabulary is mostly common terms) go straight to full scoring.
-    Same output as ``top_chunks(score_chunks(...))``. ``stats`` is the
-    index's ``term_stats`` table."""
-    w = weights if weights is not None else weighted_postings(chunks, text, k1, b)
-    ts = stats if stats is not None else term_stats(w)
-    qt = question_terms(questions).join(ts, "term")
-    common = F.col("df") > F.col("n_chunks") * common_fraction
-    # Route each question by estimated work: full scoring touches sum(df)
-    # postings; pruning touches the rare postings plus one lookup per
-    # (candidate, common term). Both routes are exact.
-    est = qt.groupBy("query_id").agg(
-        F.sum("df").alias("__all"),
-        F.sum(F.when(~common, F.col("df")).otherwise(0)).alias("__rare"),
-        F.count_if(common).alias("__nc"))
-    pruned_q = est.filter((F.col("__rare") > 0) & (F.col("__rare") * (F.col("__nc") + 1) < F.col("__all"))) \
-        .select("query_id")
-    if pruned_q.isEmpty():
-        # One small job over the per-question estimates: when no question
-        # takes the pruned route, its branches (each a shuffle of the
-        # postings) are not planned at all.
-        return top_chunks(score_chunks(questions, None, weights=w), k)
-    full_q = questions.join(pruned_q, "query_id", "left_anti")
-    full_part = top_chunks(score_chunks(full_q, None, weights=w), k)
-    qt = qt.join(pruned_q, "query_id", "left_semi")
-    rare_qt, common_qt = qt.filter(~common).select("query_id", "term"), qt.filter(common).select("query_id", "term")
-    ub = qt.filter(common).groupBy("query_id").agg(F.sum("maxw").alias("ub"))
-    rare_part = (rare_qt.join(w.select("file", "chunk", "term", "w"), "term")
-                 .groupBy("query_id", "file", "chunk").agg(F.sum("w").alias("rw")))
-    common_part = (rare_part.select("query_id", "file", "chunk").join(common_qt, "query_id")
-                   .join(w.select("file", "chunk", "term", "w"), ["file", "chunk", "term"])
-                   .groupBy("query_id", "file", "chunk").agg(F.sum("w").alias("cw")))
-    scored = (rare_part.join(common_part, ["query_id", "file", "chunk"], "left")
-              .select("query_id", "file", "chunk",
-                      F.round(F.col("rw") + F.coalesce("cw", F.lit(0)), 6).cast("double").alias("bm25")))
-    ranked = top_chunks(_scaled(scored), k)
-    kth = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"), F.min("bm25").alias("__kth"),
-                                         F.max("bm25").alias("__best"))
-    decided = (kth.join(ub, "query_id", "left")
-               .filter(F.col("ub").isNull()
-                       | ((F.col("__n") >= k)
-                          & ((F.col("__kth") - F.col("ub").cast("double")) * 10 / F.col("__best") > 1e-5)))
-               .select("query_id"))
-    exact = ranked.join(decided, "query_id", "left_semi")
-    rest = questions.join(pruned_q, "query_id", "left_semi").join(decided, "query_id", "left_anti")
-    full = top_chunks(score_chunks(rest, None, weights=w), k)
-    return exact.unionByName(full).unionByName(full_part)
+                k1: float = K1, b: float = B, table: DataFrame | None = None) -> DataFrame:
+    """T2 and T4 in one: ``(query_id, file, chunk, bm25, score, rank)`` of the
+    ``k`` best chunks per question by (rounded) BM25, then file and chunk.
+
+    Pairs are partitioned by (question, chunk), so the limit is applied
+    in every task before anything is shuffled by question, and only
+    the kept rows are scaled to 0-10. ``table`` as in ``score_chunks``."""
+    s = bm25(questions, table if table is not None else term_table(chunks, text), k1, b)
+    order = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "file", "chunk")
+    top = s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return (top.withColumn("__best", F.max("bm25").over(Window.partitionBy("query_id")))
+            .select("query_id", "file", "chunk", "bm25", _scale("__best"), "rank"))
 
 
 # Hash buckets per question for the first top-k phase: a question that
@@ -173,8 +124,7 @@ def top_chunks(scored: DataFrame, k: int = TOP_K, buckets: int = TOPK_BUCKETS) -
     input already hash-partitioned by question alone would otherwise satisfy
     the window and keep a hot question in one task."""
     order = [F.col("score").desc(), "file", "chunk"]
-    b = F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets))
-    first = (scored.withColumn("__b", b).repartition("query_id", "__b")
+    first = (scored.withColumn("__b", _bucket(buckets)).repartition("query_id", "__b")
              .withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__b").orderBy(*order)))
              .filter(F.col("__r") <= k).drop("__b", "__r"))
     w = Window.partitionBy("query_id").orderBy(*order)
@@ -229,16 +179,21 @@ def parse_scored_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return out.drop("__parts", "__raw")
 
 
-def offline_replies(scored: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Replies in the reference's reply format produced from BM25 scores (an
-    offline stand-in for the scoring model): the answer is the chunk's first
-    sentence."""
-    first = chunks.select("file", "chunk", strip_ws(F.regexp_extract(F.col(text), SENTENCE, 0)).alias("__first"))
-    j = scored.join(first, ["file", "chunk"])
-    reply = F.concat(F.lit("Score: "), F.col("score").cast("decimal(12,6)").cast("string"),
-                     F.lit(", Reason: bm25 "), F.col("bm25").cast("decimal(18,6)").cast("string"),
-                     F.lit(", Anser: "), F.col("__first"))
-    return j.select("query_id", "file", "chunk", F.col("__first").alias("summary"), reply.alias("reply"))
+def answers(questions: DataFrame, top: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
+    """``top`` with ``reason`` and ``answer`` as T3 leaves them, an offline
+    stand-in for the scoring model's answer: the chunk's sentence with the
+    most distinct question terms (ties: the first), looked for in the whole
+    chunk. Only kept rows meet their texts. A chunk without a sentence
+    answers with nothing; the reason states the BM25 value."""
+    j = (top.join(questions.select("query_id", F.array_distinct(terms("text")).alias("__qt")), "query_id")
+         .join(chunks.select("file", "chunk", F.col(text).alias("__t")), ["file", "chunk"]))
+    sentences = F.filter(F.transform(F.regexp_extract_all("__t", F.lit(SENTENCE), 0), strip_ws), lambda x: x != "")
+    rated = F.transform(sentences, lambda x, i: F.struct(
+        F.size(F.array_intersect(terms(x), F.col("__qt"))).alias("hits"), (-i).alias("pos"), x.alias("sentence")))
+    best = F.coalesce(F.array_max(rated)["sentence"], F.lit(""))
+    return j.select(*top.columns,
+                    F.concat(F.lit("Reason: bm25 "), F.col("bm25").cast("decimal(18,6)").cast("string")).alias("reason"),
+                    F.concat(F.lit(" Anser: "), best).alias("answer"))
 
 
 # T8 prompt templates. Only the reply format of "score" is fixed (T3 parses it).

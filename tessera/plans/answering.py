@@ -1,14 +1,10 @@
 """The answering job for a table of questions (the reference answers one
 question at a time with one model call per chunk):
 
-chunks -> inverted index with BM25 weights -> exact top-k per question
-(pruned: common terms are never joined to all of their postings) -> replies
-in the reference format (offline stand-in for the scoring model) -> parse
-(T3) -> top-k (T4) -> threshold (T5) -> context (T6) -> truncation (T7).
-
-``scored_candidates`` keeps the reference's shape (a reply for every chunk
-that shares a term with the question); the answering path only needs the
-best ``k`` per question and never materialises all pairs.
+chunks -> term table -> exact top-k per question (T2, T4) -> answers of the
+kept chunks -> threshold (T5) -> context (T6). Truncation (T7) and clipping
+(T10) are steps of their own. Scores are never rendered as replies and parsed
+back; T3 is for replies of a real model.
 """
 
 from __future__ import annotations
@@ -18,32 +14,21 @@ from pyspark.sql import DataFrame
 from tessera.operators import retrieval as T
 
 
-def scored_candidates(questions: DataFrame, chunks: DataFrame, weights: DataFrame | None = None,
-                      stats: DataFrame | None = None) -> DataFrame:
-    """T2 -> offline replies -> T3 for every scored pair: ``(query_id, file,
-    chunk, score, reason, summary, answer)``."""
-    scored = T.score_chunks(questions, chunks, weights=weights)
-    replies = T.offline_replies(scored, chunks)
-    return T.parse_scored_reply(replies).select("query_id", "file", "chunk", "score", "reason",
-                                                "summary", "answer")
-
-
 def top_candidates(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-                   weights: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Exact top-k per question (pruned scoring) -> replies -> T3 -> T4."""
-    best = T.best_chunks(questions, chunks, k, weights=weights, stats=stats)
-    parsed = T.parse_scored_reply(T.offline_replies(best, chunks)).select(
-        "query_id", "file", "chunk", "score", "reason", "summary", "answer")
-    return T.top_chunks(parsed, k)
+                   table: DataFrame | None = None) -> DataFrame:
+    """Exact top-k per question with answers: ``(query_id, file, chunk, bm25,
+    score, rank, reason, answer)``."""
+    return T.answers(questions, T.best_chunks(questions, chunks, k, table=table), chunks)
 
 
-def relevant(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None,
-             stats: DataFrame | None = None) -> DataFrame:
-    return T.relevant_only(top_candidates(questions, chunks, k, weights, stats), min_score)
+def relevant(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K, min_score: float = T.MIN_SCORE,
+             table: DataFrame | None = None) -> DataFrame:
+    """T5 over the top-k; chunks below the threshold are dropped before their
+    texts are read."""
+    best = T.relevant_only(T.best_chunks(questions, chunks, k, table=table), min_score)
+    return T.answers(questions, best, chunks)
 
 
-def contexts(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K,
-             min_score: float = T.MIN_SCORE, weights: DataFrame | None = None,
-             stats: DataFrame | None = None) -> DataFrame:
-    return T.build_context(questions, relevant(questions, chunks, k, min_score, weights, stats))
+def contexts(questions: DataFrame, chunks: DataFrame, k: int = T.TOP_K, min_score: float = T.MIN_SCORE,
+             table: DataFrame | None = None) -> DataFrame:
+    return T.build_context(questions, relevant(questions, chunks, k, min_score, table))

@@ -99,7 +99,7 @@ def test_summarize_context(spark):
     assert got == {1: "A cat sat. On the mat a cat slept.", 2: ""}
 
 
-def test_pruned_topk_equals_full(spark):
+def test_best_chunks_equal_full_scoring(spark):
     import random
     rnd = random.Random(11)
     common = ["the", "and", "of", "to"]
@@ -116,9 +116,16 @@ def test_pruned_topk_equals_full(spark):
     qdf = spark.createDataFrame(qs, "query_id bigint, text string")
     cols = ["query_id", "file", "chunk", "bm25", "score", "rank"]
     full = sorted(T.top_chunks(T.score_chunks(qdf, cdf), 3).select(*cols).collect())
-    for frac in (0.05, 0.5, 1.0):
-        pruned = sorted(T.best_chunks(qdf, cdf, 3, common_fraction=frac).select(*cols).collect())
-        assert pruned == full
+    assert sorted(T.best_chunks(qdf, cdf, 3).select(*cols).collect()) == full
+
+
+def test_answer_is_the_best_sentence_of_the_whole_chunk(spark):
+    qs = spark.createDataFrame([(1, "late red fox")], "query_id bigint, text string")
+    cdf = spark.createDataFrame([("a", 1, "Nothing yet. A red hen! One red fox came late. The red fox, late."),
+                                 ("b", 1, "fox... "), ("c", 1, None)], "file string, chunk int, text string")
+    top = T.best_chunks(qs, cdf, 3)
+    got = {r.file: r.answer for r in T.answers(qs, top, cdf).collect()}
+    assert got == {"a": " Anser: One red fox came late.", "b": " Anser: fox..."}
 
 
 def test_topk_equals_python_sort(spark):
