@@ -7,11 +7,13 @@ newlines, are kept as they are). Nothing is collected: each section is a
 small aggregate rendered with ``format_string``; list lines carry their order
 in ``line_no`` (rank or group position) so no window ever spans the data.
 
-Shared scans: orders are read once for the totals, the status and the
-payment sections (GROUPING SETS over status and payment method; totals are
-re-aggregated from the status groups, which also keeps the "Total Orders: 0"
-line for an empty table); products are read once for categories and the
-inventory figures; customers once for the count and the states.
+Shared scans: every aggregate is one branch that emits several lines per row.
+Orders are read once for the totals, the status and the payment sections and
+products once for categories, inventory and the low-stock heading (GROUPING
+SETS with the grand total, see ``_with_total``); customers once for the count
+and the states. The rankings read their own per-key totals and the low-stock
+list its own filter, so orders, order items and customers are scanned twice
+and products four times.
 
 Number formatting works on exact decimals and rounds half-up; Python's
 ``%.2f`` on binary floats rounds an exact tie such as 12.25% to even (12.2)
@@ -68,11 +70,34 @@ class _Fixed:
             self.rows, "section int, part int, line_no bigint, tiebreak bigint, line string").coalesce(1)
 
 
-def _rows(df: DataFrame, section: int, part: int, line_no, line, tiebreak=None) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.lit(part).alias("part"),
-                     line_no.cast("bigint").alias("line_no"),
-                     (F.lit(0) if tiebreak is None else tiebreak).cast("bigint").alias("tiebreak"),
-                     line.alias("line"))
+def _line(section: int, part: int, line_no, text, tiebreak=None, when=None):
+    """One report line; with ``when`` only for rows where that holds."""
+    line = F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"),
+                    line_no.cast("bigint").alias("line_no"),
+                    (F.lit(0) if tiebreak is None else tiebreak).cast("bigint").alias("tiebreak"),
+                    text.alias("line"))
+    return line if when is None else F.when(when, line)
+
+
+def _emit(df: DataFrame, *lines) -> DataFrame:
+    """The lines of every row of ``df`` in one pass over it."""
+    return df.select(F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+
+
+def _with_total(df: DataFrame, sets: list, keys: list, sums: dict, others: dict | None = None) -> DataFrame:
+    """``df`` aggregated by each grouping set and over all rows: ``keys``, the
+    grouping id ``gid`` and the named aggregates. A constant empty row is
+    merged in, so that the grand total exists for an empty table too.
+    ``sums`` add up over groups, ``others`` are (aggregate, merging function)."""
+    others = others or {}
+    g = df.groupingSets([*sets, []], *keys).agg(
+        F.grouping_id().alias("gid"), *[c.alias(n) for n, c in sums.items()],
+        *[c.alias(n) for n, (c, _) in others.items()])
+    types = dict(g.dtypes)
+    none = df.sparkSession.range(1, numPartitions=1).select(*[
+        F.lit(2 ** len(keys) - 1 if c == "gid" else None).cast(types[c]).alias(c) for c in g.columns])
+    return g.unionByName(none).groupBy(*keys, "gid").agg(
+        *[F.sum(n).alias(n) for n in sums], *[merge(n).alias(n) for n, (_, merge) in others.items()])
 
 
 def _none(c):
@@ -95,107 +120,107 @@ def sales_report_lines(tables: dict[str, DataFrame], generated_on: str | None =
     # header
     stamp = F.lit(generated_on) if generated_on is not None else now_stamp()
     _lines(spark, 0, 0, [(1, RULE), (2, TITLE), (4, RULE)])
-    parts.append(_rows(spark.range(1, numPartitions=1), 0, 0, F.lit(3), F.concat(F.lit("Generated on: "), stamp)))
-
-    # 1. overall + status (one scan of orders)
-    og = (orders.groupingSets([["status"], ["payment_method"]], "status", "payment_method")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("tot"),
-               F.grouping_id().alias("gid")))
-    by_status = og.filter(F.col("gid") == 1)
-    by_payment = og.filter(F.col("gid") == 2)
-    tot = by_status.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("tot").alias("tot"))
+    parts.append(_emit(spark.range(1, numPartitions=1),
+                       _line(0, 0, F.lit(3), F.concat(F.lit("Generated on: "), stamp))))
+
+    # 1. overall + status, 5. payment methods (one scan of orders)
+    gid, n, tot = F.col("gid"), F.col("n"), F.col("tot")
+    og = _with_total(orders, [["status"], ["payment_method"]], ["status", "payment_method"],
+                     {"n": F.count(F.lit(1)), "tot": F.sum("total_amount")})
+    by_status, by_payment, total = gid == 1, gid == 2, gid == 3
+    order = Window.partitionBy("gid").orderBy(
+        F.when(by_status, n.cast("decimal(38,2)")).otherwise(tot.cast("decimal(38,2)")).desc(),
+        F.when(by_status, F.col("status")).otherwise(F.col("payment_method")).asc_nulls_last())
+    og = og.select("*", F.row_number().over(order).alias("pos"), F.round(
+        F.try_divide(n.cast("decimal(38,0)") * 100, F.sum("n").over(Window.partitionBy("gid")).cast("decimal(38,0)")), 1)
+        .alias("pct"))
+    avg = _round_dec(tot, n, 2)
+    orders_n = F.coalesce(n, F.lit(0)).cast("string")
     _lines(spark, 1, 0, [(1, HEADINGS[1]), (2, DASH)])
-    parts.append(_rows(tot, 1, 0, F.lit(3), F.concat(F.lit("Total Orders: "), F.col("n").cast("string"))))
-    parts.append(_rows(tot, 1, 0, F.lit(4), F.concat(F.lit("Total Revenue: $"), fmt_or_na(F.col("tot"), 2))))
-    parts.append(_rows(tot, 1, 0, F.lit(5), F.concat(
-        F.lit("Average Order Value: $"), fmt_or_na(_round_dec(F.col("tot"), F.col("n"), 2), 2))))
     _lines(spark, 1, 1, [(0, "\nOrder Status Breakdown:")])
-    w_status = Window.orderBy(F.col("n").desc(), F.col("status").asc_nulls_last())
-    parts.append(_rows(by_status, 1, 1, F.row_number().over(w_status), F.concat(
-        F.lit("  "), _none(F.col("status")), F.lit(": "), F.col("n").cast("string"), F.lit(" orders, $"),
-        fmt_fixed(F.col("tot"), 2), F.lit(" total, $"),
-        fmt_fixed(_round_dec(F.col("tot"), F.col("n"), 2), 2), F.lit(" avg"))))
-
-    # 2. products (one scan of products for categories and inventory)
-    pg = products.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("stock_quantity").alias("stock"),
-        F.count("stock_quantity").alias("stock_n"), F.min("stock_quantity").alias("mn"),
-        F.max("stock_quantity").alias("mx"))
+    _lines(spark, 5, 0, [(1, HEADINGS[5]), (2, DASH), (3, "Payment Method Breakdown:")])
+    parts.append(_emit(
+        og,
+        _line(1, 0, F.lit(3), F.concat(F.lit("Total Orders: "), orders_n), when=total),
+        _line(1, 0, F.lit(4), F.concat(F.lit("Total Revenue: $"), fmt_or_na(tot, 2)), when=total),
+        _line(1, 0, F.lit(5), F.concat(F.lit("Average Order Value: $"), fmt_or_na(avg, 2)), when=total),
+        _line(1, 1, F.col("pos"), F.concat(
+            F.lit("  "), _none(F.col("status")), F.lit(": "), orders_n, F.lit(" orders, $"), fmt_fixed(tot, 2),
+            F.lit(" total, $"), fmt_fixed(avg, 2), F.lit(" avg")), when=by_status),
+        _line(5, 1, F.col("pos") * 2 - 1, F.concat(
+            F.lit("  "), _none(F.col("payment_method")), F.lit(": "), orders_n, F.lit(" orders ("),
+            fmt_fixed(F.col("pct"), 1), F.lit("%)")), when=by_payment),
+        _line(5, 1, F.col("pos") * 2, F.concat(
+            F.lit("     Total Revenue: $"), fmt_fixed(tot, 2), F.lit(" | Avg Order: $"), fmt_fixed(avg, 2)),
+            when=by_payment)))
+
+    # 2. categories, 4. inventory (one scan of products)
+    stock = F.col("stock_quantity")
+    pg = _with_total(products, [["category"]], ["category"],
+                     {"n": F.count(F.lit(1)), "stock": F.sum(stock), "stock_n": F.count(stock),
+                      "low_n": F.count_if(stock < low_stock_threshold)},
+                     {"mn": (F.min(stock), F.min), "mx": (F.max(stock), F.max)})
+    by_category, all_products = gid == 0, gid == 1
+    w_cat = Window.partitionBy("gid").orderBy(n.desc(), F.col("category").asc_nulls_last())
     _lines(spark, 2, 0, [(1, HEADINGS[2]), (2, DASH), (3, "Product Categories:")])
-    w_cat = Window.orderBy(F.col("n").desc(), F.col("category").asc_nulls_last())
-    parts.append(_rows(pg, 2, 1, F.row_number().over(w_cat), F.concat(
-        F.lit("  "), _none(F.col("category")), F.lit(": "), F.col("n").cast("string"), F.lit(" products"))))
-    top = S.top_products(products, items, top_k)
+    _lines(spark, 4, 0, [(1, HEADINGS[4]), (2, DASH)])
+
+    def or_na(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    parts.append(_emit(
+        pg.withColumn("pos", F.row_number().over(w_cat)),
+        _line(2, 1, F.col("pos"), F.concat(
+            F.lit("  "), _none(F.col("category")), F.lit(": "), n.cast("string"), F.lit(" products")), when=by_category),
+        _line(4, 0, F.lit(3), F.concat(F.lit("Total Inventory: "), or_na("stock"), F.lit(" units")), when=all_products),
+        _line(4, 0, F.lit(4), F.concat(
+            F.lit("Average Stock per Product: "), fmt_or_na(_round_dec(F.col("stock"), F.col("stock_n"), 1), 1),
+            F.lit(" units")), when=all_products),
+        _line(4, 0, F.lit(5), F.concat(
+            F.lit("Stock Range: "), or_na("mn"), F.lit(" to "), or_na("mx"), F.lit(" units")), when=all_products),
+        # the heading appears only when there is at least one low-stock row
+        _line(4, 1, F.lit(1), F.lit(f"\nLow Stock Products (less than {low_stock_threshold} units):"),
+              when=all_products & (F.col("low_n") > 0))))
+    parts.append(_emit(S.low_stock(products, low_stock_threshold), _line(4, 2, stock, F.concat(
+        F.lit("  "), _none(F.col("name")), F.lit(" ("), _none(F.col("category")), F.lit("): "),
+        stock.cast("string"), F.lit(" units left | $"), fmt_fixed(F.col("price"), 2)),
+        tiebreak=F.col("product_id"))))
+    rank = F.col("rank")
     _lines(spark, 2, 2, [(0, "\nTop 5 Products by Revenue:".replace("5", str(top_k)))])
-    parts.append(_rows(top, 2, 2, F.col("rank") * 2 - 1, F.concat(
-        F.lit("  "), F.col("rank").cast("string"), F.lit(". "), _none(F.col("name")), F.lit(" ("),
-        _none(F.col("category")), F.lit(")"))))
-    parts.append(_rows(top, 2, 2, F.col("rank") * 2, F.concat(
-        F.lit("     Price: $"), fmt_fixed(F.col("price"), 2), F.lit(" | Units Sold: "),
-        F.col("units_sold").cast("string"), F.lit(" | Revenue: $"), fmt_fixed(F.col("revenue"), 2))))
-    cs = S.category_sales(products, items)
+    parts.append(_emit(
+        S.top_products(products, items, top_k),
+        _line(2, 2, rank * 2 - 1, F.concat(F.lit("  "), rank.cast("string"), F.lit(". "), _none(F.col("name")),
+                                           F.lit(" ("), _none(F.col("category")), F.lit(")"))),
+        _line(2, 2, rank * 2, F.concat(
+            F.lit("     Price: $"), fmt_fixed(F.col("price"), 2), F.lit(" | Units Sold: "),
+            F.col("units_sold").cast("string"), F.lit(" | Revenue: $"), fmt_fixed(F.col("revenue"), 2)))))
     _lines(spark, 2, 3, [(0, "\nSales by Category:")])
     w_cs = Window.orderBy(F.col("revenue").desc(), F.col("category").asc_nulls_last())
-    parts.append(_rows(cs, 2, 3, F.row_number().over(w_cs), F.concat(
-        F.lit("  "), _none(F.col("category")), F.lit(": "), F.col("units_sold").cast("string"),
-        F.lit(" units, $"), fmt_fixed(F.col("revenue"), 2), F.lit(" revenue"))))
+    parts.append(_emit(S.category_sales(products, items).withColumn("pos", F.row_number().over(w_cs)), _line(
+        2, 3, F.col("pos"), F.concat(
+            F.lit("  "), _none(F.col("category")), F.lit(": "), F.col("units_sold").cast("string"),
+            F.lit(" units, $"), fmt_fixed(F.col("revenue"), 2), F.lit(" revenue")))))
 
     # 3. customers (one scan for the count and the states)
-    cg = customers.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    ccount = cg.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    cg = _with_total(customers, [["state"]], ["state"], {"n": F.count(F.lit(1))})
+    w_state = Window.partitionBy("gid").orderBy(n.desc(), F.col("state").asc_nulls_last())
     _lines(spark, 3, 0, [(1, HEADINGS[3]), (2, DASH)])
-    parts.append(_rows(ccount, 3, 0, F.lit(3), F.concat(F.lit("Total Customers: "), F.col("n").cast("string"))))
-    tc = S.top_customers(customers, orders, top_k)
-    _lines(spark, 3, 1, [(0, "\nTop 5 Customers by Spending:".replace("5", str(top_k)))])
-    parts.append(_rows(tc, 3, 1, F.col("rank") * 2 - 1, F.concat(
-        F.lit("  "), F.col("rank").cast("string"), F.lit(". "), _none(F.col("customer_name")))))
-    parts.append(_rows(tc, 3, 1, F.col("rank") * 2, F.concat(
-        F.lit("     Orders: "), F.col("order_count").cast("string"), F.lit(" | Total Spent: $"),
-        fmt_fixed(F.col("total_spent"), 2), F.lit(" | Avg Order: $"),
-        fmt_fixed(F.round(F.col("total_spent").cast("decimal(38,2)") / F.col("order_count"), 2), 2))))
     _lines(spark, 3, 2, [(0, "\nCustomer Distribution by State:")])
-    w_state = Window.orderBy(F.col("n").desc(), F.col("state").asc_nulls_last())
-    parts.append(_rows(cg, 3, 2, F.row_number().over(w_state), F.concat(
-        F.lit("  "), _none(F.col("state")), F.lit(": "), F.col("n").cast("string"), F.lit(" customers"))))
-
-    # 4. inventory
-    inv = pg.agg(F.sum("stock").alias("stock"), F.sum("stock_n").alias("stock_n"),
-                 F.min("mn").alias("mn"), F.max("mx").alias("mx"))
-    _lines(spark, 4, 0, [(1, HEADINGS[4]), (2, DASH)])
-    parts.append(_rows(inv, 4, 0, F.lit(3), F.concat(
-        F.lit("Total Inventory: "), F.coalesce(F.col("stock").cast("string"), F.lit("n/a")), F.lit(" units"))))
-    parts.append(_rows(inv, 4, 0, F.lit(4), F.concat(
-        F.lit("Average Stock per Product: "),
-        fmt_or_na(_round_dec(F.col("stock"), F.col("stock_n"), 1), 1), F.lit(" units"))))
-    parts.append(_rows(inv, 4, 0, F.lit(5), F.concat(
-        F.lit("Stock Range: "), F.coalesce(F.col("mn").cast("string"), F.lit("n/a")), F.lit(" to "),
-        F.coalesce(F.col("mx").cast("string"), F.lit("n/a")), F.lit(" units"))))
-    low = S.low_stock(products, low_stock_threshold)
-    # The block heading appears only when there is at least one low-stock row.
-    low_head = low.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-    parts.append(_rows(low_head, 4, 1, F.lit(1), F.lit(
-        f"\nLow Stock Products (less than {low_stock_threshold} units):")))
-    parts.append(_rows(low, 4, 2, F.col("stock_quantity"), F.concat(
-        F.lit("  "), _none(F.col("name")), F.lit(" ("), _none(F.col("category")), F.lit("): "),
-        F.col("stock_quantity").cast("string"), F.lit(" units left | $"), fmt_fixed(F.col("price"), 2)),
-        tiebreak=F.col("product_id")))
-
-    # 5. payment methods (same orders scan as section 1)
-    _lines(spark, 5, 0, [(1, HEADINGS[5]), (2, DASH), (3, "Payment Method Breakdown:")])
-    w_pay = Window.orderBy(F.col("tot").desc(), F.col("payment_method").asc_nulls_last())
-    pay = by_payment.select(
-        "*", F.row_number().over(w_pay).alias("pos"),
-        F.round(F.col("n").cast("decimal(38,0)") * 100 / F.sum("n").over(Window.partitionBy())
-                .cast("decimal(38,0)"), 1).alias("pct"))
-    parts.append(_rows(pay, 5, 1, F.col("pos") * 2 - 1, F.concat(
-        F.lit("  "), _none(F.col("payment_method")), F.lit(": "), F.col("n").cast("string"),
-        F.lit(" orders ("), fmt_fixed(F.col("pct"), 1), F.lit("%)"))))
-    parts.append(_rows(pay, 5, 1, F.col("pos") * 2, F.concat(
-        F.lit("     Total Revenue: $"), fmt_fixed(F.col("tot"), 2), F.lit(" | Avg Order: $"),
-        fmt_fixed(_round_dec(F.col("tot"), F.col("n"), 2), 2))))
-
-    parts = [p for p in parts if p is not None] + [_lines.frame()]
-    return reduce(DataFrame.unionByName, parts)
+    customers_n = F.coalesce(n, F.lit(0)).cast("string")
+    parts.append(_emit(
+        cg.withColumn("pos", F.row_number().over(w_state)),
+        _line(3, 0, F.lit(3), F.concat(F.lit("Total Customers: "), customers_n), when=gid == 1),
+        _line(3, 2, F.col("pos"), F.concat(
+            F.lit("  "), _none(F.col("state")), F.lit(": "), customers_n, F.lit(" customers")), when=gid == 0)))
+    _lines(spark, 3, 1, [(0, "\nTop 5 Customers by Spending:".replace("5", str(top_k)))])
+    parts.append(_emit(
+        S.top_customers(customers, orders, top_k),
+        _line(3, 1, rank * 2 - 1, F.concat(F.lit("  "), rank.cast("string"), F.lit(". "), _none(F.col("customer_name")))),
+        _line(3, 1, rank * 2, F.concat(
+            F.lit("     Orders: "), F.col("order_count").cast("string"), F.lit(" | Total Spent: $"),
+            fmt_fixed(F.col("total_spent"), 2), F.lit(" | Avg Order: $"),
+            fmt_fixed(F.round(F.col("total_spent").cast("decimal(38,2)") / F.col("order_count"), 2), 2)))))
+
+    return reduce(DataFrame.unionByName, [*parts, _lines.frame()])
 
 
 def write_report_text(lines: DataFrame, path: str) -> None:
