@@ -77,6 +77,17 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(empty_docs(spark)).count() == 0
 
 
+def test_license_training_sample_is_bounded_and_spread(spark):
+    """A line that a third of all documents repeat takes about its share of
+    the unknown sample, whose size does not depend on the corpus."""
+    hot = "the same line everywhere"
+    docs = spark.range(9000).selectExpr("id AS doc_id", f"IF(id % 3 = 0, '{hot}', concat('line number ', id)) AS text")
+    rows = licenses.training_rows(licenses.paragraphs(docs)).filter("label = 0").collect()
+    lines = [r.text for r in rows if r.text == hot or r.text.startswith("line number")]
+    assert len(lines) == licenses.UNKNOWN_SAMPLE
+    assert 0.25 < lines.count(hot) / len(lines) < 0.42
+
+
 def test_arc_versions_and_damage():
     for version in (1, 2):
         data = warc.arc_version_block("a.arc", version, "20240101000000")
