@@ -105,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "keywords", F.array_join("keywords", ", ")),
         "chunk_topics": lambda spark, d: AN.chunk_topics(AN.annotate_chunks(_chunks(spark, d))),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
+        "index_errors": _index_errors,
         "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
         "upsert_index": lambda spark, d: _index_run(spark, d)[1],
         "pack_index": lambda spark, d: D.pack_index(_index_run(spark, d)[1]),
@@ -269,6 +270,19 @@ def _index_run(spark, sf_dir):
     return index_documents(_all_objects(spark, sf_dir), _prior_index(spark, sf_dir))
 
 
+def _index_errors(spark, sf_dir):
+    """D10 over the documents: the token counter fails for every text whose
+    number of words is a multiple of seven; the others are indexed."""
+    def counter(words):
+        from tessera.functions.chunking import length_cost
+        if len(words) % 7 == 0:
+            raise ValueError("counter failed")
+        return length_cost(words)
+    from tessera.plans.indexing_run import empty_index
+    objs = _doc_objects(spark, sf_dir).select("key", F.encode("text", "UTF-8").alias("content"))
+    return index_documents(objs, empty_index(spark), counter=counter)[0]
+
+
 def _decode_text(spark, sf_dir):
     objs = _doc_objects(spark, sf_dir).select("key", F.encode("text", "UTF-8").alias("content"))
     return D.decode_text(objs).select("key", "text")

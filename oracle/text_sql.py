@@ -244,6 +244,11 @@ use AS (SELECT term, CAST(COUNT(*) AS BIGINT) AS topic_chunks FROM kw GROUP BY t
 SELECT key, chunk_no, term AS topic, topic_chunks FROM kw JOIN use USING (term)
 QUALIFY row_number() OVER (PARTITION BY key, chunk_no ORDER BY topic_chunks DESC, term) = 1""",
     "index_status": INDEX_RUN + "SELECT key, status, chunks FROM all_status",
+    "index_errors": f"""WITH {DOCS},\n{chunks_cte(8000)},
+cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key)
+SELECT d.key, CASE WHEN d.text IS NULL OR n.n % 7 = 0 THEN 'Error' WHEN n.n IS NULL THEN 'Empty' ELSE 'Processed' END AS status,
+       CASE WHEN n.n % 7 <> 0 THEN c.chunks END AS chunks
+FROM docs d LEFT JOIN chunks_n n ON n.key = d.key LEFT JOIN cnt c ON c.key = d.key""",
     "index_run_summary": INDEX_RUN + "SELECT status, COUNT(*) AS documents FROM all_status GROUP BY status",
     "upsert_index": INDEX_RUN + "SELECT key, chunk_no, chunks, summary FROM new_index",
     "pack_index": INDEX_RUN + """SELECT key, MAX(chunks) AS chunks, list(summary ORDER BY chunk_no) AS summaries

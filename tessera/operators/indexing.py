@@ -60,17 +60,34 @@ def token_cost(word: Column | str) -> Column:
 
 # ------------------------------------------------------------------ D3, D4
 
-def _chunk_batches(max_tokens: int, counter: Callable | None, keep_empty_first: bool):
+# Chunk rows per emitted frame, so that an Arrow batch of documents never holds all its chunks at once.
+FRAME_ROWS = 1000
+
+
+def _chunk_batches(max_tokens: int, counter: Callable | None, keep_empty_first: bool, isolate: bool):
+    def frame(rows):
+        keys, nos, texts = zip(*rows)
+        return pd.DataFrame({"key": keys, "chunk_no": pd.Series(nos, dtype="int32"),
+                             "chunk": pd.Series(texts, dtype="object")})
+
     def run(batches):
+        rows = []
         for pdf in batches:
-            keys, nos, texts = [], [], []
             for k, t in zip(pdf["key"], pdf["__text"]):
-                for i, c in enumerate(chunk_text(t, max_tokens, counter, keep_empty_first) or ()):
-                    keys.append(k)
-                    nos.append(i + 1)
-                    texts.append(c)
-            if keys:  # an empty object-typed frame does not convert to Arrow
-                yield pd.DataFrame({"key": keys, "chunk_no": pd.Series(nos, dtype="int32"), "chunk": texts})
+                try:
+                    found = chunk_text(t, max_tokens, counter, keep_empty_first) or ()
+                except Exception:
+                    if not isolate:
+                        raise
+                    rows.append((k, 0, None))
+                    continue
+                for i, c in enumerate(found):
+                    rows.append((k, i + 1, c))
+                    if len(rows) >= FRAME_ROWS:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
     return run
 
 
@@ -86,16 +103,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, counter: Callable | None = None,
-                    keep_empty_first: bool = True, key: str = "key", text: str = "text") -> DataFrame:
+                    keep_empty_first: bool = True, key: str = "key", text: str = "text",
+                    isolate: bool = False) -> DataFrame:
     """D3: ``(key, chunk_no, chunk)`` with chunk_no from 1.
 
     ``counter(words) -> costs`` replaces the default token estimate (e.g. an
-    exact tokenizer); it runs inside the same Arrow batch."""
+    exact tokenizer); it runs inside the same Arrow batch. With ``isolate`` a
+    document whose counter raises gives one row with chunk_no 0 and a NULL
+    chunk (D10) instead of ending the job."""
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
     # mapInPandas emits the chunk rows directly: one Python pass per
     # document and no generator (an inferred ``size(udf(...)) > 0`` filter
     # beneath an explode would evaluate the chunker twice).
-    return spread(src).mapInPandas(_chunk_batches(max_tokens, counter, keep_empty_first),
+    return spread(src).mapInPandas(_chunk_batches(max_tokens, counter, keep_empty_first, isolate),
                                    "key string, chunk_no int, chunk string")
 
 

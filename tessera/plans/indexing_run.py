@@ -32,8 +32,8 @@ def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MA
                     counter=None, by: str = "count", checkpoint: bool = True,
                     n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
     """Returns ``(status, new_index)``; ``status`` is ``(key, status, chunks)``
-    for every object (a NULL or unreadable content is ``Error`` and leaves its
-    index entry as it was), ``new_index`` the full index rows after the upsert."""
+    for every object (a NULL or unreadable content, or one whose hook raises,
+    is ``Error`` and leaves its index entry as it was), ``new_index`` the full index rows after the upsert."""
     tagged = supported_files(objects.select("key", "content"))
     is_pdf = F.lower("key").endswith(".pdf")
 
@@ -52,9 +52,11 @@ def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MA
     text = text.filter(F.col("text").isNotNull())
     blank = text.filter(~F.col("text").rlike(D.VISIBLE))
     docs = D.non_empty(text)
-    chunks = D.chunk_documents(docs, max_tokens, counter)
+    chunks = D.chunk_documents(docs, max_tokens, counter, isolate=True)
     if checkpoint:
         chunks = materialize(chunks)
+    failed = failed.unionByName(settled(chunks.filter(F.col("chunk").isNull()), D.STATUS_ERROR))
+    chunks = chunks.filter(F.col("chunk").isNotNull())
     counts = D.chunk_counts(chunks)
     if by == "hash":
         counts = counts.join(docs.select("key", F.sha2("text", 256).alias("text_hash")), "key")

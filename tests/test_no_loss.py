@@ -83,3 +83,20 @@ def test_object_keys_for_uri_roots(spark, workdir):
     for root in (workdir, f"file://{workdir}", f"file:{workdir}", workdir + "/"):
         assert {r.key for r in read_objects(spark, root).collect()} == {"it's/sub/a.txt", "it's/b.txt"}
     assert [r.key for r in read_objects(spark, workdir, prefix="it's/s").collect()] == ["it's/sub/a.txt"]
+
+
+def test_raising_counter_is_an_error_status_and_keeps_the_old_entry(spark):
+    from tessera.plans.indexing_run import index_documents
+
+    def counter(words):
+        if "boom" in words:
+            raise ValueError("bad document")
+        return [1] * len(words)
+    objects = spark.createDataFrame([("a.txt", bytearray(b"one two three")), ("b.txt", bytearray(b"x boom y"))],
+                                    "key string, content binary")
+    index = spark.createDataFrame([("b.txt", 1, 1, "old")], "key string, chunk_no int, chunks int, summary string")
+    status, new_index = index_documents(objects, index, max_tokens=2, counter=counter)
+    assert {r.key: (r.status, r.chunks) for r in status.collect()} == {"a.txt": ("Processed", 2), "b.txt": ("Error", None)}
+    rows = new_index.collect()
+    assert sorted((r.key, r.chunk_no) for r in rows) == [("a.txt", 1), ("a.txt", 2), ("b.txt", 1)]
+    assert [r.summary for r in rows if r.key == "b.txt"] == ["old"]
