@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.chunking import chunk_text
 from tessera.functions.columns import words as _words
+from tessera.session import ship_package
 
 MAX_TOKENS = 8000          # fixed value: chunk budget of the reference
 FAILED = "[Error] no annotation"
@@ -111,6 +112,7 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, counter: Call
     exact tokenizer); it runs inside the same Arrow batch. With ``isolate`` a
     document whose counter raises gives one row with chunk_no 0 and a NULL
     chunk (D10) instead of ending the job."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
     # mapInPandas emits the chunk rows directly: one Python pass per
     # document and no generator (an inferred ``size(udf(...)) > 0`` filter
@@ -181,6 +183,7 @@ def guarded(df: DataFrame, fn: Callable[[str], str], col: str, out: str) -> Data
     """Apply a per-row Python hook (extractor, model call) in Arrow
     batches; a failing row gets NULL in ``out`` and its message in
     ``error`` instead of failing the job."""
+    ship_package(df.sparkSession)
     schema = StructType(list(df.schema.fields) + [StructField(out, StringType()), StructField("error", StringType())])
 
     def run(batches):

@@ -73,10 +73,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster that
-    has it on the driver only (once per session)."""
+    """Make this package importable in Python workers when it is on the
+    driver's path only (once per session). Local masters need it too: their
+    workers are processes that do not see the driver's ``sys.path``."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or getattr(sc, "_tessera_shipped", False):
+    if getattr(sc, "_tessera_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="tessera-zip-"), "tessera_pkg.zip")
