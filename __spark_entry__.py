@@ -23,7 +23,7 @@ from tessera.operators import indexing as D
 from tessera.operators import annotate as AN
 from tessera.operators import retrieval as T
 from tessera.plans import answering as ANS
-from tessera.plans.indexing_run import index_documents
+from tessera.plans.indexing_run import index_documents, index_updates
 from tessera.operators import graph as G
 from tessera.operators import transcripts as C
 
@@ -106,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_topics": lambda spark, d: AN.chunk_topics(AN.annotate_chunks(_chunks(spark, d))),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
         "index_errors": _index_errors,
+        "index_status_hash": lambda spark, d: _hash_run(spark, d)[0],
+        "saved_index": _saved_index,
         "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
         "upsert_index": lambda spark, d: _index_run(spark, d)[1],
         "pack_index": lambda spark, d: D.pack_index(_index_run(spark, d)[1]),
@@ -270,6 +272,34 @@ def _index_run(spark, sf_dir):
     return index_documents(_all_objects(spark, sf_dir), _prior_index(spark, sf_dir))
 
 
+def _hash_run(spark, sf_dir):
+    """D7 by hash over the documents: the previous index holds all of them,
+    English ones with an older text of as many chunks, which a comparison
+    by chunk count would not see. Returns ``(status, updates, previous)``."""
+    docs = _doc_objects(spark, sf_dir).join(
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    older = F.when(F.col("lang") == "en", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
+    hashes = docs.select("key", F.sha2(older, 256).alias("text_hash"))
+    ch = _chunks(spark, sf_dir)
+    prior = ch.join(D.chunk_counts(ch), "key").join(hashes, "key").select(
+        "key", "chunk_no", "chunks", F.regexp_extract("chunk", AN.SENTENCE, 0).alias("summary"), "text_hash")
+    objs = docs.select("key", F.encode("text", "UTF-8").alias("content"))
+    return *index_updates(objs, prior, by="hash"), prior
+
+
+def _saved_index(spark, sf_dir):
+    """S5 round trip: the previous index written whole, the run's updates
+    appended as a second part, the merged index read back."""
+    import uuid
+    from tessera.session import scratch_path
+    from tessera.sources.store import append_index, read_index, write_index
+    path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    _, updates, prior = _hash_run(spark, sf_dir)
+    write_index(prior, path)
+    append_index(updates, path)
+    return read_index(spark, path, hashes=True)
+
+
 def _index_errors(spark, sf_dir):
     """D10 over the documents: the token counter fails for every text whose
     number of words is a multiple of seven; the others are indexed."""

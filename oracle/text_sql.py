@@ -138,6 +138,17 @@ new_index AS (
   UNION ALL SELECT key, chunk_no, chunks, summary FROM updates)
 """
 
+# The run by hash: every document indexed before, English ones with another text.
+HASH_RUN = f"""WITH {DOCS},
+{chunks_cte(8000)},
+cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key),
+state AS (
+  SELECT d.key, c.chunks, x.lang = 'en' AS changed, sha256(d.text) AS text_hash
+  FROM docs d JOIN documents x ON x.doc_id = d.doc_id JOIN cnt c ON c.key = d.key),
+todo AS (SELECT c.*, s.chunks, s.text_hash FROM chunks c JOIN state s ON s.key = c.key WHERE s.changed),
+{annotate_cte('todo', 'chunks')}
+"""
+
 # Retrieval over the benchmark questions and the 8000-token chunks.
 RETRIEVAL = rf"""WITH {DOCS},
 {chunks_cte(8000)},
@@ -249,6 +260,13 @@ cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key
 SELECT d.key, CASE WHEN d.text IS NULL OR n.n % 7 = 0 THEN 'Error' WHEN n.n IS NULL THEN 'Empty' ELSE 'Processed' END AS status,
        CASE WHEN n.n % 7 <> 0 THEN c.chunks END AS chunks
 FROM docs d LEFT JOIN chunks_n n ON n.key = d.key LEFT JOIN cnt c ON c.key = d.key""",
+    "index_status_hash": HASH_RUN + """SELECT key, CASE WHEN changed THEN 'Processed' ELSE 'Cached' END AS status, chunks FROM state
+UNION ALL SELECT key, CASE WHEN text IS NULL THEN 'Error' ELSE 'Empty' END, NULL FROM docs WHERE key NOT IN (SELECT key FROM state)""",
+    "saved_index": HASH_RUN + f"""SELECT t.key, t.chunk_no, t.chunks,
+       CASE WHEN COALESCE({ANNOTATION}, '') = '' THEN '[Error] no annotation' ELSE {ANNOTATION} END AS summary, t.text_hash
+FROM todo t LEFT JOIN ann a ON a.key = t.key AND a.chunk_no = t.chunk_no
+UNION ALL SELECT c.key, c.chunk_no, s.chunks, regexp_extract(c.chunk, {SENT}, 0), s.text_hash
+FROM chunks c JOIN state s ON s.key = c.key WHERE NOT s.changed""",
     "index_run_summary": INDEX_RUN + "SELECT status, COUNT(*) AS documents FROM all_status GROUP BY status",
     "upsert_index": INDEX_RUN + "SELECT key, chunk_no, chunks, summary FROM new_index",
     "pack_index": INDEX_RUN + """SELECT key, MAX(chunks) AS chunks, list(summary ORDER BY chunk_no) AS summaries

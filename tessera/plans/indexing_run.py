@@ -1,4 +1,4 @@
-"""The indexing job: objects -> status per key + new index snapshot rows.
+"""The indexing job: objects -> status per key + index rows of changed keys.
 
 objects ``(key, content BINARY)`` -> extension test (P5) -> decode (P6) ->
 blank test (P7) -> chunk (D3) -> cache test against the previous index (D7)
@@ -28,12 +28,26 @@ def empty_index(spark) -> DataFrame:
     return spark.createDataFrame([], "key string, chunk_no int, chunks int, summary string")
 
 
-def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS,
-                    counter=None, by: str = "count", checkpoint: bool = True,
-                    n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
-    """Returns ``(status, new_index)``; ``status`` is ``(key, status, chunks)``
+def index_columns(by: str) -> list[str]:
+    """Columns of the index: a run by hash keeps ``text_hash`` as well."""
+    return INDEX_COLUMNS + (["text_hash"] if by == "hash" else [])
+
+
+def index_documents(objects: DataFrame, index: DataFrame, by: str = "count", **options):
+    """Returns ``(status, new_index)``: the statuses of ``index_updates`` and
+    the full index rows after the upsert."""
+    status, updates = index_updates(objects, index, by=by, **options)
+    return status, D.upsert_index(index.select(*index_columns(by)), updates)
+
+
+def index_updates(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS,
+                  counter=None, by: str = "count", checkpoint: bool = True,
+                  n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
+    """Returns ``(status, updates)``; ``status`` is ``(key, status, chunks)``
     for every object (a NULL or unreadable content, or one whose hook raises,
-    is ``Error`` and leaves its index entry as it was), ``new_index`` the full index rows after the upsert."""
+    is ``Error`` and leaves its index entry as it was), ``updates`` all index
+    rows of the processed keys. With ``by="hash"`` a document is processed
+    when its SHA-256 differs from the index's ``text_hash``."""
     tagged = supported_files(objects.select("key", "content"))
     is_pdf = F.lower("key").endswith(".pdf")
 
@@ -61,12 +75,12 @@ def index_documents(objects: DataFrame, index: DataFrame, max_tokens: int = D.MA
     if by == "hash":
         counts = counts.join(docs.select("key", F.sha2("text", 256).alias("text_hash")), "key")
     st = D.index_status(counts, index, by=by)
-    todo = chunks.join(st.filter(F.col("status") == D.STATUS_PROCESSED).select("key", "chunks"), "key")
+    changed = st.filter(F.col("status") == D.STATUS_PROCESSED).drop("status")
+    todo = chunks.join(changed, "key")
     ann = annotate_chunks(todo, n_keywords, n_sentences, model_fn=model_fn, corpus=chunks)
     updates = D.fill_failed(
         todo.join(ann.select("key", "chunk_no", F.col("annotation").alias("summary")), ["key", "chunk_no"], "left"))
-    new_index = D.upsert_index(index.select(*INDEX_COLUMNS), updates.select(*INDEX_COLUMNS))
     status = reduce(DataFrame.unionByName,
                     [settled(skipped, D.STATUS_SKIPPED), failed, settled(blank, D.STATUS_EMPTY),
                      st.select("key", "status", "chunks")])
-    return status, new_index
+    return status, updates.select(*index_columns(by))

@@ -1,12 +1,15 @@
 """Persisted index and graph.
 
 Plain Parquet has no MERGE and Spark cannot overwrite a path it is reading,
-so the index is stored as immutable snapshots ``root/snapshot=<n>`` plus a
-small manifest (``root/_manifest``, JSON rows ``{snapshot, batch, stream}``) that is
-appended only after a snapshot was written completely. Readers take the
-newest snapshot in the manifest; an interrupted write leaves an unreferenced
-folder and the previous snapshot stays current. A missing or unreadable
-index reads as empty, as in the reference.
+so a store is a row of immutable parts ``root/snapshot=<n>`` plus a small
+manifest (``root/_manifest``, JSON rows ``{snapshot, batch, stream, full}``)
+that is appended only after a part was written completely. A full part
+replaces everything before it. Any other part holds all rows of the keys it
+changes, and a key is read from the newest part that has it, so a batch writes
+its own keys only and the stored rest is not rewritten; ``compact_index``
+writes a full part as a job of its own. An interrupted write leaves an
+unreferenced folder and readers do not see it. A missing index reads as
+empty, as in the reference.
 """
 
 from __future__ import annotations
@@ -15,26 +18,29 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from tessera.operators.indexing import pack_index
 
 INDEX_SCHEMA = "key string, chunk_no int, chunks int, summary string"
+HASH_SCHEMA = INDEX_SCHEMA + ", text_hash string"
 PACKED_SCHEMA = "map<string, struct<chunks:int, summaries:array<string>>>"
-MANIFEST_SCHEMA = "snapshot long, batch long, stream string"
+MANIFEST_SCHEMA = "snapshot long, batch long, stream string, full boolean"
 GRAPH_SCHEMA = ("nodes array<struct<id:string,label:string>>, "
                 "edges array<struct<`from`:string,`to`:string,type:string>>")
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """Commits so far; a commit without the ``full`` field is a full one."""
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).json(os.path.join(root, "_manifest"))
+        return spark.read.schema(MANIFEST_SCHEMA).json(os.path.join(root, "_manifest")).fillna({"full": True})
     except AnalysisException:
         return None
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> tuple[int, int] | None:
-    """``(snapshot, batch)`` of the newest committed snapshot (one row read)."""
+    """``(snapshot, batch)`` of the newest commit (one row read)."""
     m = _manifest(spark, root)
     if m is None:
         return None
@@ -42,23 +48,43 @@ def latest_snapshot(spark: SparkSession, root: str) -> tuple[int, int] | None:
     return (row[0]["snapshot"], row[0]["batch"]) if row else None
 
 
-def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """Exploded index rows of the newest snapshot, or an empty index."""
-    last = latest_snapshot(spark, root)
-    if last is None:
-        return spark.createDataFrame([], INDEX_SCHEMA)
-    try:
-        return spark.read.schema(INDEX_SCHEMA).parquet(os.path.join(root, f"snapshot={last[0]}"))
-    except AnalysisException:
-        return spark.createDataFrame([], INDEX_SCHEMA)
+def live_parts(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the newest full part and all parts after it: one number per
+    commit since the last compaction."""
+    m = _manifest(spark, root)
+    if m is None:
+        return []
+    start = m.filter("full").agg(F.max("snapshot").alias("n")).first()["n"] or 0
+    return sorted(r["snapshot"] for r in m.filter(F.col("snapshot") >= start).select("snapshot").distinct().collect())
 
 
-def write_index(index: DataFrame, root: str, batch: int | None = None, stream: str = "") -> int:
-    """Write a new snapshot and commit it in the manifest; returns its
-    number. With ``batch`` set, a batch already committed by the same
-    ``stream`` is not written again (idempotent replays of a micro-batch); a
-    stream with a new checkpoint counts from 0 again under another id."""
-    spark = index.sparkSession
+def _read(spark: SparkSession, root: str, fmt: str, schema: str, keys: list[str]) -> DataFrame | None:
+    """Every key's rows from the newest live part that has the key; ``None``
+    when nothing is stored. Only the key columns are read to find that part,
+    and a compacted store needs no join."""
+    parts = live_parts(spark, root)
+    if not parts:
+        return None
+    try:
+        rows = (spark.read.format(fmt).schema(f"{schema}, snapshot long").option("basePath", root)
+                .load([os.path.join(root, f"snapshot={n}") for n in parts]))
+    except AnalysisException:
+        return None
+    if len(parts) > 1:
+        newest = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("snapshot").alias("__snapshot"))
+        same = F.col("snapshot") == F.col("__snapshot")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        rows = rows.join(newest, same, "left_semi")
+    return rows.drop("snapshot")
+
+
+def _commit(df: DataFrame, root: str, fmt: str, full: bool, batch: int | None = None, stream: str = "") -> int:
+    """Write a part and enter it in the manifest; returns its number. A batch
+    that the same ``stream`` has committed is not written again (idempotent
+    replays of a micro-batch); a stream with a new checkpoint counts from 0
+    again under another id."""
+    spark = df.sparkSession
     last = latest_snapshot(spark, root)
     if batch is not None and last is not None:
         m = _manifest(spark, root)
@@ -66,13 +92,42 @@ def write_index(index: DataFrame, root: str, batch: int | None = None, stream: s
         if done:
             return done[0]["snapshot"]
     n = 1 if last is None else last[0] + 1
-    index.select("key", "chunk_no", "chunks", "summary").write.mode("overwrite").parquet(
-        os.path.join(root, f"snapshot={n}"))
-    spark.createDataFrame([(n, -1 if batch is None else batch, stream)], MANIFEST_SCHEMA) \
+    df.write.mode("overwrite").format(fmt).save(os.path.join(root, f"snapshot={n}"))
+    spark.createDataFrame([(n, -1 if batch is None else batch, stream, full)], MANIFEST_SCHEMA) \
         .coalesce(1).write.mode("append").json(os.path.join(root, "_manifest"))
     return n
 
 
+def _stored(index: DataFrame) -> DataFrame:
+    text_hash = "text_hash" if "text_hash" in index.columns else F.lit(None).cast("string").alias("text_hash")
+    return index.select("key", "chunk_no", "chunks", "summary", text_hash)
+
+
+def read_index(spark: SparkSession, root: str, hashes: bool = False) -> DataFrame:
+    """Exploded index rows, or an empty index; with ``hashes`` also the
+    ``text_hash`` that ``index_documents(by="hash")`` compares (NULL where the
+    rows were written without)."""
+    schema = HASH_SCHEMA if hashes else INDEX_SCHEMA
+    rows = _read(spark, root, "parquet", schema, ["key"])
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
+def write_index(index: DataFrame, root: str, batch: int | None = None, stream: str = "") -> int:
+    """Write ``index`` as the whole new content; see ``_commit``."""
+    return _commit(_stored(index), root, "parquet", True, batch, stream)
+
+
+def append_index(updates: DataFrame, root: str, batch: int | None = None, stream: str = "") -> int:
+    """Write only ``updates``, which hold all rows of the keys in them (the
+    D8 upsert, resolved on reading); see ``_commit``."""
+    return _commit(_stored(updates), root, "parquet", False, batch, stream)
+
+
+def compact_index(spark: SparkSession, root: str) -> int:
+    """Rewrite the live parts as one full part."""
+    return write_index(read_index(spark, root, hashes=True), root)
+
+
 def export_index_json(index: DataFrame, path: str) -> None:
     """JSON lines, one ``{key: {chunks, summaries}}`` object per document
     (the reference keeps one JSON object for the whole index; one line per
@@ -100,32 +155,17 @@ def import_index_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, root: str, keys_schema: str) -> DataFrame | None:
-    """The newest saved graphs ``(keys..., nodes, edges)``, or ``None``
-    when nothing was saved yet (the reference's "no graph" state)."""
-    last = latest_snapshot(spark, root)
-    if last is None:
-        return None
-    try:
-        return spark.read.schema(f"{keys_schema}, {GRAPH_SCHEMA}").json(
-            os.path.join(root, f"snapshot={last[0]}"))
-    except AnalysisException:
-        return None
+    """The newest saved graph of every key ``(keys..., nodes, edges)``, or
+    ``None`` when nothing was saved yet (the reference's "no graph" state)."""
+    return _read(spark, root, "json", f"{keys_schema}, {GRAPH_SCHEMA}", StructType.fromDDL(keys_schema).names)
 
 
 def write_graph(graphs: DataFrame, root: str, keys: list[str], keys_schema: str,
                 graph: str = "graph") -> int | None:
-    """Save parsed graphs as a new snapshot. Keys whose parse failed
-    (NULL graph) keep their previously saved graph; keys with a new graph
-    replace theirs. Nothing is written when no graph parsed."""
-    spark = graphs.sparkSession
+    """Save parsed graphs. Keys whose parse failed (NULL graph) keep
+    their previously saved graph; keys with a new graph replace theirs, and
+    only these are written. Nothing is written when no graph parsed."""
     new = graphs.filter(F.col(graph).isNotNull()).select(*keys, f"{graph}.nodes", f"{graph}.edges")
     if not new.limit(1).count():
         return None
-    prev = read_graph(spark, root, keys_schema)
-    merged = new if prev is None else new.unionByName(prev.join(new.select(*keys), keys, "left_anti"))
-    last = latest_snapshot(spark, root)
-    n = 1 if last is None else last[0] + 1
-    merged.write.mode("overwrite").json(os.path.join(root, f"snapshot={n}"))
-    spark.createDataFrame([(n, -1, "")], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
-        os.path.join(root, "_manifest"))
-    return n
+    return _commit(new, root, "json", False)

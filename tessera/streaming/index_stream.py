@@ -2,8 +2,9 @@
 
 New objects under ``src`` are picked up by a ``binaryFile`` file stream
 (the stream's own checkpoint remembers which files were seen); each
-micro-batch runs the batch indexing job against the current index snapshot
-and commits a new snapshot. The commit is keyed by the stream id (kept in the
+micro-batch runs the batch indexing job against the current index and appends
+the rows of its own keys (``compact_index`` merges parts as a job of its own;
+keyword weights use the documents of the micro-batch). The commit is keyed by the stream id (kept in the
 checkpoint) and the micro-batch id, so a
 batch replayed after a failure is not applied twice. ``trigger(availableNow)``
 processes what is there and stops - the shape of the reference tool, which
@@ -15,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.indexing_run import index_documents
+from tessera.plans.indexing_run import index_updates
 from tessera.sources.objects import BINARY_FILE_SCHEMA, relative_key
-from tessera.sources.store import read_index, write_index
+from tessera.sources.store import append_index, read_index
 
 
 def start_index_stream(spark: SparkSession, src: str, index_root: str, checkpoint: str,
@@ -27,12 +28,12 @@ def start_index_stream(spark: SparkSession, src: str, index_root: str, checkpoin
               .select(relative_key(src).alias("key"), "content"))
 
     def apply(batch, batch_id: int):
-        current = read_index(spark, index_root)
-        status, new_index = index_documents(batch, current, **index_options)
+        current = read_index(spark, index_root, hashes=index_options.get("by") == "hash")
+        status, updates = index_updates(batch, current, **index_options)
         processed = status.filter(F.col("status") == "Processed").limit(1).count()
         if processed:
             query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-            write_index(new_index, index_root, batch=batch_id, stream=query)
+            append_index(updates, index_root, batch=batch_id, stream=query)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

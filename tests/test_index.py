@@ -2,8 +2,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import indexing as D
 from tessera.operators.annotate import annotate_chunks
-from tessera.plans.indexing_run import empty_index, index_documents
-from tessera.sources.store import export_index_json, import_index_json, read_index, write_index
+from tessera.plans.indexing_run import empty_index, index_documents, index_updates
+from tessera.sources.store import (append_index, compact_index, export_index_json, import_index_json, live_parts, read_index,
+                                   write_index)
 
 INDEX = "key string, chunk_no int, chunks int, summary string"
 
@@ -84,3 +85,33 @@ def test_store_snapshots(spark, workdir):
     assert sorted(r.key for r in read_index(spark, root).collect()) == ["a", "b"]
     export_index_json(read_index(spark, root), workdir + "/json")
     assert sorted(import_index_json(spark, workdir + "/json").collect()) == sorted(read_index(spark, root).collect())
+
+
+def test_appended_parts_replace_keys_and_compact(spark, workdir):
+    root = workdir + "/parts"
+    write_index(spark.createDataFrame([("a", 1, 1, "a1"), ("b", 1, 2, "b1"), ("b", 2, 2, "b2"), (None, 1, 1, "n")], INDEX), root)
+    append_index(spark.createDataFrame([("b", 1, 1, "B1"), ("c", 1, 1, "c1")], INDEX), root, batch=0, stream="s")
+    append_index(spark.createDataFrame([("x", 1, 1, "x")], INDEX), root, batch=0, stream="s")  # replay
+    append_index(spark.createDataFrame([("c", 1, 1, "C1", "h")], INDEX + ", text_hash string"), root)
+    want = [("B1", "b", None), ("C1", "c", "h"), ("a1", "a", None), ("n", None, None)]
+
+    def stored():
+        return sorted((r.summary, r.key, r.text_hash) for r in read_index(spark, root, hashes=True).collect())
+    assert stored() == want and live_parts(spark, root) == [1, 2, 3]
+    assert compact_index(spark, root) == 4
+    assert stored() == want and live_parts(spark, root) == [4]
+
+
+def test_run_by_hash_sees_an_edit_with_the_same_chunk_count(spark, workdir):
+    root = workdir + "/hash"
+
+    def run(text):
+        objs = spark.createDataFrame([("a.txt", text), ("b.txt", b"never changes.")], "key string, content binary")
+        status, updates = index_updates(objs, read_index(spark, root, hashes=True), by="hash")
+        found = {r.key: r.status for r in status.collect()}
+        append_index(updates, root)
+        return found
+    assert run(b"Old words.") == {"a.txt": "Processed", "b.txt": "Processed"}
+    assert run(b"New words.") == {"a.txt": "Processed", "b.txt": "Cached"}
+    assert {r.key: r.summary.split("\n")[0] for r in read_index(spark, root).collect()} == {
+        "a.txt": "Title: New words.", "b.txt": "Title: never changes."}
