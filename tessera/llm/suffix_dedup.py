@@ -33,7 +33,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bits import build_filter, may_contain
@@ -196,12 +196,19 @@ def _full_prefixes(frames):
             yield pd.DataFrame({"mini": r.mini, "ctx": r.ctx, "owner": r.owner, "offset": range(len(d)), "node": d})
 
 
+def shared_minimisers(pairs: DataFrame, id_: str) -> DataFrame:
+    """``mini`` of the minimisers that ``pairs`` (mini, id_) has with two ids
+    or more. Each task sends one row per minimiser, however hot it is."""
+    ends = pairs.groupBy("mini").agg(F.min(id_).alias("a"), F.max(id_).alias("b"))
+    return ends.filter("a < b").select("mini")
+
+
 def partial_repeats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``mini, ctx, offsets`` for the contexts that repeat in parts."""
-    by = Window.partitionBy("mini")
     fetched = materialize(fetch_contexts(docs, wanted))
-    sized = wanted.withColumn("c", F.count(F.lit(1)).over(by)).select("mini", "ctx", "owner", "c")
-    rows = fetched.join(sized, ["mini", "ctx", "owner"])
+    counts = wanted.groupBy("mini").agg(F.count(F.lit(1)).alias("c"))
+    # the words join on all three columns, which spreads the contexts of a hot minimiser
+    rows = fetched.join(wanted.join(counts, "mini").select("mini", "ctx", "owner", "c"), ["mini", "ctx", "owner"])
     small = rows.filter(F.col("c") <= GROUP).drop("c").repartition("mini").sortWithinPartitions("mini")
     trees = small.mapInPandas(_tree_tasks, "mini long, ctx long, offsets array<int>")
     deep = materialize(rows.filter(F.col("c") > GROUP).drop("c").mapInPandas(
@@ -262,12 +269,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     heads = s.select("id", "hi", "lo", "mins", "ctxs").join(first, ["hi", "lo"]).filter("id = first")
     seen = heads.select("id", "lo", F.explode(F.arrays_zip("mins", "ctxs")).alias("x")) \
         .select("id", "lo", F.col("x.mins").alias("mini"), F.col("x.ctxs").alias("ctx"))
-    by = Window.partitionBy("mini")
-    seen = materialize(seen.withColumn("a", F.min("id").over(by)).withColumn("b", F.max("id").over(by))
-                       .filter("a < b").drop("a", "b"))
-    owner = seen.groupBy("mini", "ctx").agg(F.min("id").alias("owner"))
-    wanted = materialize(owner.withColumn("a", F.min("owner").over(by)).withColumn("b", F.max("owner").over(by))
-                         .filter("a < b").drop("a", "b"))
+    # over all rows, copies too: a superset of what the heads share, without their join
+    everywhere = s.select("id", F.explode("mins").alias("mini"))
+    seen = materialize(seen.join(shared_minimisers(everywhere, "id"), "mini", "left_semi"))
+    owner = materialize(seen.groupBy("mini", "ctx").agg(F.min("id").alias("owner")))
+    wanted = materialize(owner.join(shared_minimisers(owner, "owner"), "mini", "left_semi"))
     parts = materialize(partial_repeats(docs, wanted))
     found = seen.join(owner, ["mini", "ctx"])
     whole = found.filter("id > owner").select("id", "lo", "mini", "ctx", F.array().cast("array<int>").alias("offsets"))
