@@ -18,6 +18,12 @@ keyed function of the other, which is invertible):
 
 Card numbers keep their first digit and get a fresh Luhn digit. Separators
 stay in place. Candidates that fail validation are left as they are.
+
+Numbers that stand in a row (a card beside its CVV, expiry or an order
+number) are one match; the cards in it are the valid Luhn numbers in a usual
+grouping. Of two that share digits, one with the first digit of a card issuer
+(2 to 6) goes first, then the earlier, then the shorter one (16 digits and a
+CVV, not 19). What is left is tried in any other grouping.
 """
 
 from __future__ import annotations
@@ -37,7 +43,13 @@ PHONE = "(?<![0-9A-Za-z])(?:\\+[0-9]{1,3}[ .\\-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[
 INTL_PHONE = "\\+[0-9]{1,3}(?:[ .\\-]?[0-9]{2,4}){2,4}(?![0-9])"
 CARD = "(?<![0-9])[0-9](?:[ \\-]?[0-9]){12,18}(?![0-9])"
 ACCESS_KEY = "(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-ANY = "|".join([EMAIL, ACCESS_KEY, ISO_DATE, US_DATE, SSN, PHONE, INTL_PHONE, IPV4, CARD])
+# Numbers in a row with at least 13 digits, up to the next value of another kind; cards are looked for inside.
+OTHER_NUMBERS = "|".join([EMAIL, ISO_DATE, US_DATE, SSN, PHONE, IPV4])
+NUMBERS = f"(?<![0-9])(?=[0-9](?:[ \\-]?[0-9]){{12}})[0-9]++(?:[ \\-](?!{OTHER_NUMBERS})[0-9]++)*+"
+ANY = "|".join([EMAIL, ACCESS_KEY, ISO_DATE, US_DATE, SSN, PHONE, INTL_PHONE, IPV4, NUMBERS])
+# Usual groupings of a card number, one separator throughout.
+USUAL_CARD = "|".join(["[0-9]{13,19}"] + [p.replace("_", sep) for sep in (" ", "-") for p in (
+    "[0-9]{4}(?:_[0-9]{4}){3}(?:_[0-9]{3})?", "[0-9]{4}_[0-9]{6}_[0-9]{4,5}", "[0-9]{4}(?:_[0-9]{3}){3}")])
 
 # Day numbers 0 .. 108 * 673 - 1 are 1901-01-01 .. 2099-12-31; 898 valid areas x 99 groups.
 FIRST_DAY, DAYS = "1901-01-01", (108, 673)
@@ -136,6 +148,38 @@ def _card(m: str, key: str) -> str:
     return f"IF({_luhn_sum(d, True)} % 10 = 0, {back}, {m})"
 
 
+def _slices(m: str, flagged: str) -> str:
+    """SQL: ``array<struct<v, pii>>`` that cuts ``m`` at the disjoint spans
+    (at, n; 1-based, ascending) of array ``flagged``."""
+    return f"""transform(array({flagged}), z -> flatten(concat(
+        transform(z, (x, k) -> array(
+            struct(substr({m}, IF(k = 0, 1, z[k - 1].at + z[k - 1].n), x.at - IF(k = 0, 1, z[k - 1].at + z[k - 1].n)) AS v,
+                   false AS pii),
+            struct(substr({m}, x.at, x.n) AS v, true AS pii))),
+        array(array(struct(substr({m}, IF(size(z) = 0, 1, element_at(z, -1).at + element_at(z, -1).n)) AS v,
+                           false AS pii))))))[0]"""
+
+
+def _number_parts(m: str) -> str:
+    """SQL: numbers in a row as ``array<struct<v, pii>>``, cards flagged."""
+    usual = f"^(?:{USUAL_CARD})$"
+    groups = f"regexp_extract_all({m}, '[0-9]+', 0)"
+    ends = (f"aggregate({groups}, CAST(array() AS ARRAY<INT>), "
+            f"(s, x) -> concat(s, array(IF(size(s) = 0, 0, element_at(s, -1) + 1) + length(x))))")
+    spans = f"""filter(transform(array(struct({groups} AS g, {ends} AS e)), q -> flatten(transform(q.g, (x, i) ->
+        transform(filter(sequence(i, least(i + 4, size(q.g) - 1)), j -> q.e[j] - q.e[i] + length(x) BETWEEN 13 AND 23),
+            j -> struct(q.e[i] - length(x) + 1 AS at, q.e[j] - q.e[i] + length(x) AS n)))))[0],
+        y -> IF(substr({m}, y.at, y.n) RLIKE '{usual}',
+                {_luhn_sum(_digits(f"substr({m}, y.at, y.n)"), True)} % 10 = 0, false))"""
+    ranked = f"""transform(array_sort(transform({spans}, y -> struct(
+        IF(substr({m}, y.at, 1) BETWEEN '2' AND '6', 0, 1) AS rank, y.at AS at, y.n AS n))), y -> struct(y.at AS at, y.n AS n))"""
+    taken = f"""array_sort(aggregate({ranked}, CAST(array() AS ARRAY<STRUCT<at: INT, n: INT>>), (s, y) ->
+        IF(exists(s, x -> x.at < y.at + y.n AND y.at < x.at + x.n), s, concat(s, array(y)))))"""
+    rest = f"""flatten(zip_with(split(u.v, '{CARD}', -1), regexp_extract_all(u.v, '({CARD})', 1),
+        (a, b) -> array(struct(a AS v, false AS pii), struct(coalesce(b, '') AS v, b IS NOT NULL AS pii))))"""
+    return f"flatten(transform({_slices(m, taken)}, u -> IF(u.pii, array(u), {rest})))".replace("\\", "\\\\")
+
+
 def _phone(m: str, key: str) -> str:
     code = f"regexp_extract({m}, '^\\\\+[0-9]{{1,3}}(?=[ .(-])', 0)"
     rest = f"substr({m}, length({code}) + 1)"
@@ -174,9 +218,13 @@ def pseudonymise(docs: DataFrame, key: str = "pseudonym-key-1", text: str = "tex
     likely = t.rlike("[0-9@]")
     df = docs.select(*cols, F.when(likely, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)))
                      .otherwise(F.array().cast("array<string>")).alias("__found"))
-    df = df.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    parts = F.zip_with(F.split(t, ANY), "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    df = df.withColumn("__parts", F.expr(f"""transform(__found, m -> IF(m RLIKE '^[0-9]([ -]?[0-9]){{12}}[0-9 -]*$',
+        {_number_parts('m')}, array(struct(m AS v, true AS pii))))"""))
+    df = df.withColumn("__new", F.expr(f"""transform(__parts, q -> transform(q, x ->
+        struct(x.v AS v, IF(x.pii, {pseudonym('x.v', key)}, x.v) AS new)))"""))
+    new = F.transform("__new", lambda q: F.array_join(F.transform(q, lambda x: x["new"]), ""))
+    parts = F.zip_with(F.split(t, ANY), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.size(F.filter(F.flatten("__new"), lambda x: x["v"] != x["new"]))
     return df.select(
         *[F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(t).alias(text) if c == text else F.col(c)
           for c in cols],

@@ -49,6 +49,32 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert personal(spark, "other")[6].text != got[6].text
 
 
+def test_cards_beside_other_numbers(spark):
+    """Every number beside a card is left or replaced on its own, and the
+    card gets the pseudonym it has alone."""
+    card, other, amex = "4111111111111111", "5500000000000004", "378282246310005"
+    spaced = "4111 1111 1111 1111"
+    texts = [card, spaced, other, amex, f"{card} 123", f"{spaced} 12/27", f"order 12 {card}", f"{card} 190.137.2.4",
+             f"{card} 123-45-6789", f"{spaced} 123", f"1234 {spaced}", f"{card} {other}", "3782 822463 10005 1234",
+             f"12-{spaced.replace(' ', '-')}-123", f"{spaced} 415-555-1234", f"{card} 2024-02-29", f"{spaced} 07/04/1999",
+             "41111111 11111111", "4111-1111 1111 1111", "4111111111111112 123", "1 " * 5000 + card]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.pii_found) for r in pii.pseudonymise(df, "k").collect()}
+    new, new_other, new_amex = got[0][0], got[2][0], got[3][0]
+    grouped = " ".join(new[i:i + 4] for i in range(0, 16, 4))
+    assert len({card, other, amex, new, new_other, new_amex}) == 6 and luhn(new) == luhn(new_amex) == 0
+    want = {1: grouped, 4: f"{new} 123", 5: f"{grouped} 12/27", 6: f"order 12 {new}", 9: f"{grouped} 123",
+            10: f"1234 {grouped}", 11: f"{new} {new_other}", 12: f"{new_amex[:4]} {new_amex[4:10]} {new_amex[10:]} 1234",
+            13: f"12-{grouped.replace(' ', '-')}-123", 17: f"{new[:8]} {new[8:]}", 18: grouped.replace(" ", "-", 1),
+            19: texts[19], 20: "1 " * 5000 + new}
+    assert {k: got[k][0] for k in want} == want
+    for k in (7, 8, 14, 15, 16):
+        first, second = got[k][0][:len(texts[k].rpartition(" ")[0])], got[k][0].rpartition(" ")[2]
+        assert first in (new, grouped) and second != texts[k].rpartition(" ")[2]
+        assert got[k][1] == 2
+    assert got[11][1] == 2 and got[4][1] == 1 and got[19][1] == 0
+
+
 def test_networks_are_permutations(spark):
     df = spark.range(0, 3600).selectExpr("id", "lpad(cast(id % 1000 as string), 3, '0') AS s")
     pair = pii.pair_permutation("id DIV 60", "id % 60", (60, 60), "k", "t")
