@@ -109,6 +109,40 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(empty_docs(spark)).count() == 0
 
 
+MIT_GRANT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy and sell copies of the Software."""
+BSD_START = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL_HEADER = """    # This program is free software: you can redistribute it and/or modify
+    # it under the terms of the GNU General Public License as published by
+    # the Free Software Foundation, either version {} of the License, or
+    # (at your option) any later version."""
+
+
+def test_license_scan_wrapped_short_and_dual(spark):
+    other = "alpha beta gamma delta " * 100
+    texts = [MIT_GRANT, BSD_START, GPL_HEADER.format(3), GPL_HEADER.format(2), "SPDX-License-Identifier: MIT",
+             "/* SPDX-License-Identifier: (GPL-2.0-only OR MIT) */",
+             "Licensed under the Apache License, Version 2.0 or released under the MIT License.",
+             other + MIT_GRANT.replace("\n", " ") + " " + other + BSD_START, "SPDX-License-Identifier: Apache-2.0",
+             "Released under the MIT License.\nReleased under the MIT License.", "Licensed under CC BY-SA 4.0.",
+             "Permission is hereby granted,\n\nfree of charge,\n\nto any person obtaining\n\na copy", other]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(licenses.scan_licenses(df).collect(), key=lambda r: (r.doc_id, r.paragraph_no, r.family)):
+        got[r.doc_id].append((r.paragraph_no, r.family))
+    assert got == {0: [(0, "MIT"), (4, "MIT")], 1: [(0, "BSD-3-Clause")], 2: [(0, "GPL-3.0")], 3: [(0, "GPL-2.0")],
+                   4: [(0, "MIT")], 5: [(0, "GPL-2.0"), (0, "MIT")], 6: [(0, "Apache-2.0"), (0, "MIT")],
+                   7: [(0, "BSD-3-Clause"), (0, "MIT"), (0, "MIT")], 8: [(0, "Apache-2.0")], 9: [(0, "MIT"), (1, "MIT")],
+                   10: [(0, "CC-BY-SA-4.0")]}
+
+
 def test_license_training_sample_is_bounded_and_spread(spark):
     """A line that a third of all documents repeat takes about its share of
     the unknown sample, whose size does not depend on the corpus."""
