@@ -6,12 +6,19 @@ letters, lower-case letters and digits become one sign each, everything else
 stays), hashed into ``BUCKETS`` bins. Both multinomials are counted over all
 documents: the target over the documents with a trusted id, the raw one over
 the whole corpus. A document's score is the mean of ``ln(p_target / p_raw)``
-over its bigrams, and every document at or above ``THRESHOLD`` that passes
-the base rules is kept.
+over its bigrams.
+
+These shapes say nothing about the words themselves, so a second ratio is
+taken over the lower-cased words, hashed into ``WORD_BUCKETS`` bins. Its target
+is smoothed by ``WORD_PRIOR`` words of the raw corpus: a word that no trusted
+document has counts the more against a document, the more trusted text there
+is. A document is kept that passes the base rules and reaches ``THRESHOLD``
+and ``WORD_THRESHOLD``. Word order is not judged.
 
 The per-document histograms are written once; they are far smaller than the
-text, and only they are shuffled. The ratio table has ``BUCKETS`` rows, so
-broadcasting it is bounded.
+text. Besides them only the word bins of a document are shuffled, once, to the
+trusted ids. The ratio tables have at most ``BUCKETS`` and ``WORD_BUCKETS``
+rows, so broadcasting them is bounded.
 """
 
 from __future__ import annotations
@@ -25,6 +32,9 @@ from tessera.session import materialize
 BUCKETS = 4096
 SMOOTHING = 1.0
 THRESHOLD = -1.0
+WORD_BUCKETS = 1 << 20
+WORD_PRIOR = 300.0
+WORD_THRESHOLD = -3.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -98,9 +108,27 @@ def log_ratios(hist: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                                        / ((F.col("raw") + smoothing) / (n_raw + pad))).alias("llr"))
 
 
+def word_scores(docs: DataFrame, trusted: DataFrame, buckets: int = WORD_BUCKETS, prior: float = WORD_PRIOR) -> DataFrame:
+    """``w_id, w_hash, word_score``: mean log-likelihood ratio of the hashed
+    words of every document that has some (0 without trusted documents)."""
+    bins = F.transform(words(F.lower("text")), lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
+    df = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("w_hash"), bins.alias("b"))
+    good = trusted.select("doc_id").filter(F.col("doc_id").isNotNull())
+    raw = df.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
+    target = (df.select("doc_id", "b").join(good, "doc_id", "left_semi").select(F.explode("b").alias("bucket"))
+              .groupBy("bucket").agg(F.count(F.lit(1)).alias("target")))
+    both = materialize(raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")))
+    total = both.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target")).first()
+    n_raw, n_target = float(total["n_raw"] or 1), float(total["n_target"] or 0)
+    p_raw = F.col("raw") / n_raw
+    llr = both.select("bucket", F.log((F.col("target") + prior * p_raw) / ((n_target + prior) * p_raw)).alias("llr"))
+    return (df.select(F.col("doc_id").alias("w_id"), "w_hash", F.explode("b").alias("bucket"))
+            .join(F.broadcast(llr), "bucket").groupBy("w_id", "w_hash").agg(F.avg("llr").alias("word_score")))
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Base columns, ``base_failed``, ``score`` (mean log-likelihood ratio,
-    NULL without words) and ``kept`` for every row of ``docs`` (needs
+    """Base columns, ``base_failed``, ``score`` and ``word_score`` (mean
+    log-likelihood ratios, NULL without words) and ``kept`` for every row of ``docs`` (needs
     ``doc_id, text``; other columns are ignored). ``trusted`` names the
     trusted ids. Rows with NULL ids are scored and never trusted; repeated
     rows get equal results; an empty table gives no rows."""
@@ -109,8 +137,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     scores = (hist.join(llr, "bucket").groupBy("doc_id", "text_hash")
               .agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score"))
               .select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "score"))
+    by_word = word_scores(docs, trusted)
+    scores = scores.join(by_word, F.col("s_id").eqNullSafe(F.col("w_id")) & (F.col("s_hash") == F.col("w_hash")), "left")
     base = base_rules(docs)
     out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
-    verdict = ~F.col("base_failed") & (F.round("score", 6) >= threshold)
+    verdict = ~F.col("base_failed") & (F.round("score", 6) >= threshold) & (F.round("word_score", 6) >= WORD_THRESHOLD)
     return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", "score", F.coalesce(verdict, F.lit(False)).alias("kept"))
+                      "base_failed", "score", "word_score", F.coalesce(verdict, F.lit(False)).alias("kept"))

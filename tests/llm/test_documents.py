@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -327,6 +328,22 @@ def test_quality_rules(spark):
     assert {r.kept for r in none if not r.base_failed} == {True}
 
 
+def test_quality_rules_reject_nonsense_of_the_same_shape(spark):
+    """Letters of a good document changed, case and punctuation kept: the
+    shape score is the same, the word score rejects it."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    trusted = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
+    good = docs.join(trusted, "doc_id", "left_semi").filter("length(text) > 2000").orderBy("doc_id").first()
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mash = "".join(rng.choice(letters) if c.islower() else rng.choice(letters).upper() if c.isupper() else c for c in good.text)
+    both = docs.unionByName(spark.createDataFrame([(-1, good.text), (-2, mash)], docs.schema))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(both, trusted).filter("doc_id < 0").collect()}
+    assert round(got[-1].score, 6) == round(got[-2].score, 6) and not got[-2].base_failed
+    assert got[-1].kept and not got[-2].kept
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
