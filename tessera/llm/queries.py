@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import (fingerprints, licenses, mixing, ngram_join, packing, pii, quality_knn, quality_rules, suffix_dedup, warc)
+from tessera.llm import (conversation_repair, fingerprints, licenses, mixing, ngram_join, packing, periodic_runs, pii, quality_knn,
+                         quality_rules, suffix_dedup, warc, window_packing)
 
 
 def _table(spark, sf_dir, name):
@@ -56,9 +57,24 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damage(conversations), conversations.select("conv_id"))
+
+
+def op12_window_packing(spark, sf_dir):
+    return window_packing.piece_digests(window_packing.pack_windows(_table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    planted = periodic_runs.plant_periods(_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
+
+
 def queries():
     found = [op1_pseudonyms, op2_license_scan, op3_ngram_jaccard, op4_arc_to_warc, op5_knn_quality, op6_best_fit_packing,
-             op7_iblt_fingerprints, op8_source_mixing, op9_substring_dedup, op10_quality_rules]
+             op7_iblt_fingerprints, op8_source_mixing, op9_substring_dedup, op10_quality_rules, op11_conversation_repair,
+             op12_window_packing, op13_periodic_runs]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
