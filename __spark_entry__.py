@@ -34,12 +34,18 @@ SF0001 = "/root/testdata/sf0.001"
 DRIVER_LOW_STOCK = 10
 
 
-try:  # the training-data operators are an optional subpackage
+def _present(module: str) -> bool:
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:  # its package is missing
+        return False
+
+
+# The training-data operators are an optional subpackage. Only its absence is
+# passed over; a fault inside it is raised.
+LLM = None
+if _present("tessera.llm.queries") and _present("corpus_pipeline"):
     from tessera.llm import queries as LLM
-except ImportError:
-    if importlib.util.find_spec("corpus_pipeline"):  # present, so a real fault
-        raise
-    LLM = None
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -94,12 +100,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "files": lambda spark, d: L.files(_page_keys(spark, d)),
         "listing_lines": lambda spark, d: L.listing_lines(_page_keys(spark, d)),
         "supported_files": lambda spark, d: L.supported_files(_page_keys(spark, d)),
+        "event_stamps": lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(
+            "event_id", R.now_stamp(F.col("ts")).alias("stamp")),
         # document indexing
         "chunk_documents": lambda spark, d: D.chunk_documents(_doc_objects(spark, d)),
         "chunk_documents_200": lambda spark, d: D.chunk_documents(_doc_objects(spark, d), max_tokens=200),
         "word_counts": lambda spark, d: D.tokenize_words(_doc_objects(spark, d)).select(
             "key", F.size("words").alias("n_words")),
         "decode_text": _decode_text,
+        "decode_damaged_text": _decode_damaged_text,
+        "filled_replies": lambda spark, d: D.fill_failed(_partial_replies(spark, d), "summary"),
         "chunk_counts": lambda spark, d: D.chunk_counts(_chunks(spark, d)),
         "annotate_chunks": lambda spark, d: AN.annotate_chunks(_chunks(spark, d)).withColumn(
             "keywords", F.array_join("keywords", ", ")),
@@ -318,6 +328,25 @@ def _decode_text(spark, sf_dir):
     return D.decode_text(objs).select("key", "text")
 
 
+def _decode_damaged_text(spark, sf_dir):
+    """P6 over objects with bytes that are no UTF-8 between a genuine
+    replacement character and the second half of the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    left, right = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text"))
+    content = F.concat(F.encode(F.concat(left, F.lit("\ufffd")), "UTF-8"), F.lit(b"\xff\xe2\x82\xc3("), F.encode(right, "UTF-8"))
+    return D.decode_text(docs.select("doc_id", content.alias("content"))).select("doc_id", "text")
+
+
+def _partial_replies(spark, sf_dir):
+    """Summaries as a model might leave them: none for one document in
+    three, an empty one for another, else the first sentence."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = F.regexp_extract("text", AN.SENTENCE, 0)
+    return docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit(""))
+                       .otherwise(first).alias("summary"))
+
+
 def _build_prompts(spark, sf_dir):
     qs = _questions(spark, sf_dir)
     ch, table = _index(spark, sf_dir)

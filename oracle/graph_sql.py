@@ -42,9 +42,8 @@ CONV = f"""conv AS (
   FROM (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 4 = 1
                THEN '[lookup result]:' || chr(10) || text ELSE text END AS text FROM conversations))"""
 
-FOLLOW_PRE = "You just received the result from ["
-FOLLOW_MID = "]. Think about what this tells you, and if more tools are needed to answer the query: ''"
-FOLLOW_POST = "''."
+FOLLOW_PRE = "Output of "
+FOLLOW_MID = " is given above. Still open is the request: "
 
 SQL = {
     "term_graph_nodes": CORPUS_GRAPH + "SELECT id, label FROM ann_nodes",
@@ -75,7 +74,7 @@ FROM conv WHERE role = 'assistant' AND NOT is_tool GROUP BY conv_id""",
     "followup_prompts": f"""WITH {CONV},
 fu AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT c.conv_id, c.turn, regexp_extract(c.text, {TOOL}, 1) AS tool,
-       '{FOLLOW_PRE}' || regexp_extract(c.text, {TOOL}, 1) || '{FOLLOW_MID}' || COALESCE(fu.q, '') || '{FOLLOW_POST}' AS prompt
+       '{FOLLOW_PRE}' || regexp_extract(c.text, {TOOL}, 1) || '{FOLLOW_MID}' || COALESCE(fu.q, '') AS prompt
 FROM conv c LEFT JOIN fu ON fu.conv_id = c.conv_id WHERE c.is_tool""",
     "round_summary": f"""WITH {CONV}
 SELECT conv_id, round, COUNT(*) AS turns, CAST(SUM(CAST(is_tool AS INTEGER)) AS BIGINT) AS tool_results

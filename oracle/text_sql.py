@@ -245,6 +245,11 @@ SQL.update({
     "word_counts": f"""WITH {DOCS}
 SELECT key, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM docs""",
     "decode_text": f"WITH {DOCS}\nSELECT key, text FROM docs",
+    "decode_damaged_text": """SELECT doc_id, substr(text, 1, length(text) // 2) || chr(65533) || '(' || substr(text, length(text) // 2 + 1) AS text
+FROM documents""",
+    "filled_replies": f"""SELECT doc_id, CASE WHEN doc_id % 3 IN (0, 1) OR regexp_extract(text, {SENT}, 0) = '' THEN '[Error] no annotation'
+       ELSE regexp_extract(text, {SENT}, 0) END AS summary FROM documents""",
+    "event_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events",
     "chunk_counts": f"""WITH {DOCS},\n{chunks_cte(8000)}
 SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key""",
     "annotate_chunks": f"""WITH {DOCS},\n{chunks_cte(8000)},\n{annotate_cte('chunks', 'chunks')}

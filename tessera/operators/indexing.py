@@ -37,10 +37,16 @@ VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 def decode_text(objects: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
     """UTF-8 decode that drops invalid bytes (Python ``errors='ignore'``).
-    ``make_valid_utf8`` marks each invalid sequence with U+FFFD, which is
-    then removed (a genuine U+FFFD in the input is removed as well)."""
+    Valid texts stay as they are. In others ``make_valid_utf8`` marks each
+    invalid sequence with U+FFFD, which is then removed; a U+FFFD of the text
+    itself is written as an escape (U+FFFE and a digit) meanwhile."""
     raw = F.col(content).cast("string")
-    return objects.withColumn(out, F.regexp_replace(F.make_valid_utf8(raw), "�", ""))
+    mark, escape = F.lit("\ufffd"), F.lit("\ufffe")
+    own_mark, own_escape = F.lit("\ufffe1"), F.lit("\ufffe0")
+    escaped = F.replace(F.replace(raw, escape, own_escape), mark, own_mark)
+    kept = F.replace(F.make_valid_utf8(escaped), mark, F.lit(""))
+    cleaned = F.replace(F.replace(kept, own_mark, mark), own_escape, escape)
+    return objects.withColumn(out, F.when(F.is_valid_utf8(raw), raw).otherwise(cleaned))
 
 
 def non_empty(docs: DataFrame, text: str = "text") -> DataFrame:

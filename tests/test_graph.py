@@ -1,11 +1,11 @@
 from tessera.operators import graph as G
 
 GRAPHS = [
-    (1, '{"nodes":[{"id":"N1","label":"A"}],"edges":[{"from":"N1","to":"N2","type":"causes"}]}'),
-    (2, 'text\n```json\n{"nodes":[{"id":"N1","label":"A"}],"edges":[]}\n```\nmore'),
-    (3, '```\n{"nodes":[{"id":"X","label":"B"}]}\n```'),
+    (1, '{"nodes":[{"id":"mill","label":"A"}],"edges":[{"from":"mill","to":"river","type":"turns"}]}'),
+    (2, 'text\n```json\n{"nodes":[{"id":"mill","label":"A"}],"edges":[]}\n```\nmore'),
+    (3, '```\n{"nodes":[{"id":"lock","label":"B"}]}\n```'),
     (4, '```json\n{"nodes":[]}'),                                   # unclosed fence
-    (5, '{"nodes":[{"id":"N1","label":"A"}],"edges":[{"from":"N1","to":"N2"}]}'),  # missing type
+    (5, '{"nodes":[{"id":"mill","label":"A"}],"edges":[{"from":"mill","to":"river"}]}'),  # missing type
     (6, 'not json at all'),
 ]
 
@@ -13,9 +13,9 @@ GRAPHS = [
 def test_parse_nodes_edges(spark):
     df = G.parse_graph(spark.createDataFrame(GRAPHS, "gid int, raw string"))
     nodes = sorted((r.gid, r.id, r.label) for r in G.graph_nodes(df, ["gid"]).collect())
-    assert nodes == [(1, "N1", "A"), (2, "N1", "A"), (3, "X", "B"), (5, "N1", "A")]
+    assert nodes == [(1, "mill", "A"), (2, "mill", "A"), (3, "lock", "B"), (5, "mill", "A")]
     edges = sorted((r.gid, r["from"], r.to, r.type) for r in G.graph_edges(df, ["gid"]).collect())
-    assert edges == [(1, "N1", "N2", "causes"), (5, "N1", "N2", "")]
+    assert edges == [(1, "mill", "river", "turns"), (5, "mill", "river", "")]
     bad = {r.gid: r.graph for r in df.filter("gid in (4, 6)").collect()}
     assert bad[4] is None or (bad[4].nodes is None and bad[4].edges is None)
 

@@ -37,6 +37,17 @@ def test_decode_and_blank(spark):
     assert kept == ["ok", "bad"]
 
 
+def test_decode_equals_python_on_random_bytes(spark):
+    import random
+    rnd = random.Random(3)
+    parts = [b"a", b"1", b"0", "\ufffd".encode(), "\ufffe".encode(), b"\xff", b"\xe2\x82", b"\xc3", "é😀".encode(), b"\xed\xa0\x80",
+             b"\xf4\x90\x80\x80", b"\xc0\xaf", b" "]
+    rows = [(i, b"".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (-1, None)], "id int, content binary")
+    got = {r.id: r.text for r in D.decode_text(df).collect()}
+    assert got == {i: b.decode("utf-8", "ignore") for i, b in rows} | {-1: None}
+
+
 def test_url_keys(spark):
     pages = spark.createDataFrame([("https://a.example.com/en/1.html?x=1#t",), ("http://b.org/de/2/",)], "url string")
     assert [r.key for r in L.keys_from_urls(pages).collect()] == ["a.example.com/en/1.html", "b.org/de/2/"]

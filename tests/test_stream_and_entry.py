@@ -34,6 +34,25 @@ def test_entry_smoke(spark):
     assert df.columns == ["product_id", "name", "category", "price", "units_sold", "revenue"]
 
 
+def test_entry_without_the_optional_subpackage(workdir):
+    """With the training-data operators deleted (their pipeline too, or not)
+    the rest imports and keeps its queries."""
+    import shutil
+    import subprocess
+    import sys
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; q = E.queries(); o = E.oracle_sql(); print(len(q), len(set(o) - set(q)), 'pipeline' in q)"
+    for n, gone in enumerate((["tessera/llm"], ["tessera/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"])):
+        copy = os.path.join(workdir, f"copy{n}")
+        shutil.copytree(here, copy, ignore=lambda d, names: [x for x in names if x in (".git", "__pycache__", "tests") or
+                                                             os.path.relpath(os.path.join(d, x), here) in gone])
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True,
+                             env={**os.environ, "PYTHONPATH": copy})
+        assert out.returncode == 0, out.stderr
+        n_queries, without, pipeline = out.stdout.split()
+        assert int(n_queries) >= 66 and without == "0" and pipeline == "False"
+
+
 def test_every_oracle_names_a_query():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())

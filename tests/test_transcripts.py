@@ -11,7 +11,7 @@ def transcripts(spark):
         (1, 0, "user", "What sold best?"),
         (1, 1, "assistant", "Let me check."),
         (1, 2, "assistant", "[lookup result]:\nline one\nline two"),
-        (1, 3, "user", "You just received the result ..."),
+        (1, 3, "user", "Go on."),
         (1, 4, "assistant", "  Laptops sold best.  "),
         (2, 0, "user", "hi"),
         (2, 1, "assistant", "hello"),
@@ -28,8 +28,7 @@ def test_tool_results_and_followups(spark):
     tr = {(r.conv_id, r.turn): (r.tool, r.output) for r in C.tool_results(c).collect()}
     assert tr[(1, 2)] == ("lookup", "line one\nline two") and len(tr) == 10
     fu = {(r.conv_id, r.turn): r.prompt for r in C.followup_prompts(c).collect()}
-    assert fu[(1, 2)] == ("You just received the result from [lookup]. Think about what this tells you, "
-                          "and if more tools are needed to answer the query: 'What sold best?'.")
+    assert fu[(1, 2)] == "Output of lookup is given above. Still open is the request: What sold best?"
 
 
 def test_rounds_cap_stop_and_response(spark):
