@@ -22,6 +22,7 @@ from tessera.operators import listing as L
 from tessera.operators import indexing as D
 from tessera.operators import annotate as AN
 from tessera.operators import retrieval as T
+from tessera.operators.postings import build_postings
 from tessera.plans import answering as ANS
 from tessera.plans.indexing_run import index_documents, index_updates
 from tessera.operators import graph as G
@@ -125,8 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # retrieval over the benchmark questions
         "score_chunks": lambda spark, d: _answer(spark, d, T.score_chunks),
         "parse_scored_reply": lambda spark, d: T.parse_scored_reply(_replies(spark, d)).drop("reply"),
-        "top_chunks": lambda spark, d: _answer(spark, d, ANS.top_candidates),
-        "relevant_chunks": lambda spark, d: _answer(spark, d, ANS.relevant),
+        "top_chunks": lambda spark, d: _answer_by_blocks(spark, d, ANS.top_candidates),
+        "top_scored_chunks": lambda spark, d: T.top_chunks(_answer(spark, d, T.score_chunks)),
+        "relevant_chunks": lambda spark, d: _answer_by_blocks(spark, d, ANS.relevant),
         "build_context": lambda spark, d: _answer(spark, d, ANS.contexts),
         "truncate_context": lambda spark, d: T.truncate_context(_answer(spark, d, ANS.contexts), limit=300, keep=100),
         "clip_output": lambda spark, d: T.clip_output(_answer(spark, d, ANS.contexts), "context", 200),
@@ -229,6 +231,12 @@ def _answer(spark, sf_dir, fn):
     return fn(_questions(spark, sf_dir), ch, table=table)
 
 
+def _answer_by_blocks(spark, sf_dir, fn):
+    """As ``_answer``, from impact-ordered postings."""
+    ch, table = _index(spark, sf_dir)
+    return fn(_questions(spark, sf_dir), ch, index=build_postings(table))
+
+
 def _summarize_context(spark, sf_dir):
     qs = _questions(spark, sf_dir)
     ch, table = _index(spark, sf_dir)

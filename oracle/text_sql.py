@@ -280,6 +280,7 @@ FROM new_index GROUP BY key""",
     "score_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score FROM scored",
     "parse_scored_reply": PARSED,
     "top_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score, reason, answer, rank FROM top",
+    "top_scored_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score, rank FROM top0",
     "relevant_chunks": RETRIEVAL + "SELECT query_id, file, chunk, bm25, score, reason, answer, rank FROM kept",
     "build_context": RETRIEVAL + "SELECT query_id, context FROM contexts",
     "truncate_context": RETRIEVAL + """SELECT query_id,

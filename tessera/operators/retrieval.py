@@ -48,6 +48,18 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
 
 
+def term_stats(table: DataFrame) -> DataFrame:
+    """Both corpus statistics as one struct ``(n, avgdl)``; chunks without
+    terms count for neither."""
+    return table.groupBy("file", "chunk").agg(F.max("dl").alias("dl")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def term_weight(idf, tf, dl, avgdl, k1: float, b: float):
+    """BM25 weight of one term in one chunk."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, file, chunk, bm25)`` of every chunk that shares a term
     with the question, from a ``term_table``.
@@ -56,15 +68,12 @@ def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -
     to 9 decimals and summed as exact decimals, so that sums do not depend on
     the engine or the summation order; the sum per (question, chunk) is
     partial before its shuffle."""
-    # one scalar subquery for both corpus statistics (chunks without terms count for neither)
-    stats = table.groupBy("file", "chunk").agg(F.max("dl").alias("dl")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    stats = term_stats(table).scalar()
     n, avgdl = stats.getField("n"), stats.getField("avgdl")
     df = table.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     q = question_terms(questions).join(df, "term")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = F.round(idf * F.col("tf") * (k1 + 1)
-                / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)), 9).cast("decimal(18,9)")
+    w = F.round(term_weight(idf, F.col("tf"), F.col("dl"), avgdl, k1, b), 9).cast("decimal(18,9)")
     return (q.join(table, "term").groupBy("query_id", "file", "chunk")
             .agg(F.round(F.sum(w), 6).cast("double").alias("bm25")))
 
@@ -102,9 +111,13 @@ def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K,
     Pairs are partitioned by (question, chunk), so the limit is applied
     in every task before anything is shuffled by question, and only
     the kept rows are scaled to 0-10. ``table`` as in ``score_chunks``."""
-    s = bm25(questions, table if table is not None else term_table(chunks, text), k1, b)
+    return scaled_top(bm25(questions, table if table is not None else term_table(chunks, text), k1, b), k)
+
+
+def scaled_top(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows per question by BM25, then file and chunk, scaled."""
     order = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "file", "chunk")
-    top = s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return (top.withColumn("__best", F.max("bm25").over(Window.partitionBy("query_id")))
             .select("query_id", "file", "chunk", "bm25", _scale("__best"), "rank"))
 
