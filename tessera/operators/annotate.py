@@ -42,17 +42,22 @@ def term_frequencies(chunks: DataFrame, text: str = "chunk", keys=CHUNK_KEY) ->
 
 
 def tfidf(chunks: DataFrame, text: str = "chunk", keys=CHUNK_KEY,
-          corpus: DataFrame | None = None) -> DataFrame:
+          corpus: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
     """``(keys..., term, tf, tfidf)`` with smooth idf
     ``ln((1 + N) / (1 + df)) + 1``, rounded to 9 decimals so that ranking is
     stable across engines. ``N`` and ``df`` come from ``corpus`` (default:
     the chunks themselves), so annotating a subset uses whole-corpus
-    statistics."""
+    statistics, or from stored ``statistics`` ``(term, df)``, in which the
+    empty term has the number of chunks."""
     tf = term_frequencies(chunks, text, keys)
-    base = chunks if corpus is None else corpus
-    ctf = tf if corpus is None else term_frequencies(corpus, text, keys)
-    n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = ctf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if statistics is not None:
+        n = statistics.filter("term = ''").agg(F.max("df").alias("n")).scalar()
+        df = statistics.filter("term <> ''")
+    else:
+        base = chunks if corpus is None else corpus
+        ctf = tf if corpus is None else term_frequencies(corpus, text, keys)
+        n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
+        df = ctf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return tf.join(df, "term").select(*keys, "term", "tf", F.round(F.col("tf") * idf, 9).alias("tfidf"))
 
@@ -84,13 +89,13 @@ def extract_summary(chunks: DataFrame, weights: DataFrame, n: int = 2, text: str
 def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2,
                     text: str = "chunk", keys=CHUNK_KEY,
                     model_fn: Callable[[str], str] | None = None,
-                    corpus: DataFrame | None = None) -> DataFrame:
+                    corpus: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
     """``(keys..., title, keywords, summary, annotation)``.
 
     ``model_fn`` (optional) replaces the annotation text with a per-chunk
     call made in Arrow batches with per-row error isolation (D10); a failed
     call leaves NULL, which ``fill_failed`` turns into the marker."""
-    w = tfidf(chunks, text, keys, corpus)
+    w = tfidf(chunks, text, keys, corpus, statistics)
     kw = keywords(w, n_keywords, keys)
     sm = extract_summary(chunks, w, n_sentences, text, keys)
     title = chunks.select(*keys, strip_ws(F.regexp_extract(F.col(text), SENTENCE, 0)).alias("title"))

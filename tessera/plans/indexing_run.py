@@ -43,11 +43,29 @@ def index_documents(objects: DataFrame, index: DataFrame, by: str = "count", **o
 def index_updates(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS,
                   counter=None, by: str = "count", checkpoint: bool = True,
                   n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
-    """Returns ``(status, updates)``; ``status`` is ``(key, status, chunks)``
-    for every object (a NULL or unreadable content, or one whose hook raises,
-    is ``Error`` and leaves its index entry as it was), ``updates`` all index
-    rows of the processed keys. With ``by="hash"`` a document is processed
-    when its SHA-256 differs from the index's ``text_hash``."""
+    """Returns ``(status, updates)``: the statuses of ``changed_chunks`` and
+    all index rows of the processed keys. Keyword weights use the chunks of
+    this run."""
+    status, todo, chunks = changed_chunks(objects, index, max_tokens, counter, by, checkpoint, extractor)
+    ann = annotate_chunks(todo, n_keywords, n_sentences, model_fn=model_fn, corpus=chunks)
+    return status, with_summaries(todo, ann).select(*index_columns(by))
+
+
+def with_summaries(chunks: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Chunk rows with their annotation as ``summary`` (D6 where there is none)."""
+    return D.fill_failed(chunks.join(
+        annotated.select("key", "chunk_no", F.col("annotation").alias("summary")), ["key", "chunk_no"], "left"))
+
+
+def changed_chunks(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_TOKENS, counter=None,
+                   by: str = "count", checkpoint: bool = True, extractor=None):
+    """Returns ``(status, todo, chunks)``; ``status`` is ``(key, status,
+    chunks)`` for every object (a NULL or unreadable content, or one whose hook
+    raises, is ``Error`` and leaves its index entry as it was), ``todo`` the
+    chunks ``(key, chunk_no, chunk, chunks)`` of the processed keys, ``chunks``
+    those of all readable objects. With ``by="hash"`` a document is processed
+    when its SHA-256 differs from the index's ``text_hash``, which ``todo``
+    then has too."""
     tagged = supported_files(objects.select("key", "content"))
     is_pdf = F.lower("key").endswith(".pdf")
 
@@ -77,10 +95,7 @@ def index_updates(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_
     st = D.index_status(counts, index, by=by)
     changed = st.filter(F.col("status") == D.STATUS_PROCESSED).drop("status")
     todo = chunks.join(changed, "key")
-    ann = annotate_chunks(todo, n_keywords, n_sentences, model_fn=model_fn, corpus=chunks)
-    updates = D.fill_failed(
-        todo.join(ann.select("key", "chunk_no", F.col("annotation").alias("summary")), ["key", "chunk_no"], "left"))
     status = reduce(DataFrame.unionByName,
                     [settled(skipped, D.STATUS_SKIPPED), failed, settled(blank, D.STATUS_EMPTY),
                      st.select("key", "status", "chunks")])
-    return status, updates.select(*index_columns(by))
+    return status, todo, chunks

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
@@ -37,17 +38,59 @@ def relative_key(root: str):
     return F.substring(F.col("path"), at + len(r), F.length("path"))
 
 
+def _glob_safe(text: str) -> str:
+    """``text`` as a path pattern that matches itself only."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in text)
+
+
+def _found_below(reader, root: str, prefix: str | None):
+    """Load what lies below the prefix. The prefix is part of the listed path
+    (``root/folder/name*``), so other folders are never listed; below it Spark
+    lists sub-folders in tasks once there are more than
+    ``spark.sql.sources.parallelPartitionDiscovery.threshold``. ``None`` if
+    there is nothing."""
+    base = root.rstrip("/")
+    try:
+        return reader.load(f"{base}/{_glob_safe(prefix)}*" if prefix else base)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_objects(spark: SparkSession, root: str, prefix: str | None = None,
                  glob: str | None = None) -> DataFrame:
     """``(key, length, modificationTime, content)`` for every file below
-    ``root`` whose key starts with ``prefix``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    ``root`` whose key starts with ``prefix``; no rows if the folder or the
+    prefix does not exist. An object is one row, so it has to fit one
+    (``spark.sql.sources.binaryFile.maxLength``); larger ones are read in ranges
+    by ``read_object_lines``."""
+    reader = spark.read.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    # the folder part of the prefix is the load path, so nothing else is listed
-    folder = prefix.rsplit("/", 1)[0] if prefix and "/" in prefix else ""
-    df = reader.load(f"{root.rstrip('/')}/{folder}" if folder else root).select(relative_key(root).alias("key"), "length", "modificationTime", "content")
-    if prefix:
-        df = df.filter(F.col("key").startswith(prefix))
-    return df
+    df = _found_below(reader, root, prefix)
+    if df is None:
+        return spark.createDataFrame([], "key string, length long, modificationTime timestamp, content binary")
+    df = df.select(relative_key(root).alias("key"), "length", "modificationTime", "content")
+    return df.filter(F.col("key").startswith(prefix)) if prefix else df
 
+
+def read_object_lines(spark: SparkSession, root: str, prefix: str | None = None,
+                      glob: str | None = None) -> DataFrame:
+    """``(key, range, line_no, line)``: text objects of any size, read in byte
+    ranges by many tasks (``spark.sql.files.maxPartitionBytes`` each). ``range`` is
+    the first byte of the range a line was read with; ordered by ``(range,
+    line_no)`` the lines of a key are those of the object. No rows if
+    there is nothing."""
+    reader = spark.read.format("text").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    df = _found_below(reader, root, prefix)
+    if df is None:
+        return spark.createDataFrame([], "key string, range long, line_no long, line string")
+    df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"),
+                   F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    # file_path is a URI with escapes, the reader's own path is not
+    df = df.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
+    df = df.select(relative_key(root).alias("key"), "range", "line_no", "line")
+    return df.filter(F.col("key").startswith(prefix)) if prefix else df
