@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
+from tessera.sources.objects import read_object_lines, read_objects
 from tessera.sources.sales import load_sales, schema_catalog, customers_from, table_dump
 from tessera.operators import sales as S
 from tessera.operators import report as R
@@ -22,11 +23,13 @@ from tessera.operators import listing as L
 from tessera.operators import indexing as D
 from tessera.operators import annotate as AN
 from tessera.operators import retrieval as T
+from tessera.operators.long_chunking import chunk_blocks, line_blocks
 from tessera.operators.postings import build_postings
 from tessera.plans import answering as ANS
 from tessera.plans.indexing_run import index_documents, index_updates
 from tessera.operators import graph as G
 from tessera.operators import transcripts as C
+from tessera.streaming.corpus_index import index_new_objects, published_index, stored_statuses
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -117,6 +120,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_topics": lambda spark, d: AN.chunk_topics(AN.annotate_chunks(_chunks(spark, d))),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
         "index_errors": _index_errors,
+        "read_objects": _read_objects,
+        "chunk_object_lines": _chunk_object_lines,
+        "streamed_index": lambda spark, d: _streamed(spark, d, published_index),
+        "streamed_statuses": lambda spark, d: _streamed(spark, d, stored_statuses),
         "index_status_hash": lambda spark, d: _hash_run(spark, d)[0],
         "saved_index": _saved_index,
         "index_run_summary": lambda spark, d: D.index_run_summary(_index_run(spark, d)[0]),
@@ -336,6 +343,54 @@ def _decode_text(spark, sf_dir):
     return D.decode_text(objs).select("key", "text")
 
 
+def _written_objects(spark, docs, *folders):
+    """Object store stand-in: one text object per document, in folders named
+    after ``folders`` and ``doc_id``; returns the root. A line break ends
+    every object."""
+    import uuid
+    from tessera.session import scratch_path
+    root = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
+    docs.select(*folders, "doc_id", "text").write.partitionBy(*folders, "doc_id").text(root)
+    return root
+
+
+DOC_FOLDER = "doc_id=(-?[0-9]+)/"
+
+
+def _read_objects(spark, sf_dir):
+    """The documents written as objects; those below the prefix of the
+    English ones read back and decoded."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = read_objects(spark, _written_objects(spark, docs, "lang"), prefix="lang=en/")
+    return D.decode_text(found).select(F.regexp_extract("key", DOC_FOLDER, 1).cast("long").alias("doc_id"), "length", "text")
+
+
+def _chunk_object_lines(spark, sf_dir):
+    """D3 over objects read in byte ranges, cut by block maps at 200 tokens."""
+    root = _written_objects(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "lang")
+    lines = read_object_lines(spark, root)
+    name = F.regexp_replace(F.regexp_replace("key", "/[^/]*$", ".txt"), "(source|lang|doc_id)=", "")
+    return chunk_blocks(line_blocks(lines.withColumn("key", name)), 200)
+
+
+def _streamed(spark, sf_dir, result):
+    """D11 over the documents in two waves of objects: the first has every
+    second document and an older text of every third, the second the rest
+    and the present texts."""
+    import uuid
+    from tessera.session import scratch_path
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    older = docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("An older text. "), F.upper("text")))
+    waves = [docs.filter("doc_id % 2 = 0 AND doc_id % 3 <> 0").unionByName(older),
+             docs.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0")]
+    src, root = (scratch_path(spark, f"{n}-{uuid.uuid4().hex}") for n in ("incoming", "corpus-index"))
+    key = F.concat(F.regexp_extract("path", DOC_FOLDER, 1), F.lit(".txt"))
+    for n, wave in enumerate(waves):
+        wave.withColumn("wave", F.lit(n)).write.mode("append").partitionBy("wave", "doc_id").text(src)
+        index_new_objects(spark, src, root, key)
+    return result(spark, root)
+
+
 def _decode_damaged_text(spark, sf_dir):
     """P6 over objects with bytes that are no UTF-8 between a genuine
     replacement character and the second half of the text."""

@@ -260,6 +260,20 @@ use AS (SELECT term, CAST(COUNT(*) AS BIGINT) AS topic_chunks FROM kw GROUP BY t
 SELECT key, chunk_no, term AS topic, topic_chunks FROM kw JOIN use USING (term)
 QUALIFY row_number() OVER (PARTITION BY key, chunk_no ORDER BY topic_chunks DESC, term) = 1""",
     "index_status": INDEX_RUN + "SELECT key, status, chunks FROM all_status",
+    "read_objects": "SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS length, text || chr(10) AS text FROM documents WHERE lang = 'en'",
+    "chunk_object_lines": SQL["chunk_documents_200"],
+    "streamed_index": f"""WITH docs AS (SELECT CAST(doc_id AS VARCHAR) || '.txt' AS key, doc_id, text FROM documents),
+{chunks_cte(8000)},
+cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key),
+{annotate_cte('chunks', 'chunks')}
+SELECT c.key, c.chunk_no, n.chunks,
+       CASE WHEN COALESCE({ANNOTATION}, '') = '' THEN '[Error] no annotation' ELSE {ANNOTATION} END AS summary
+FROM chunks c JOIN cnt n ON n.key = c.key JOIN ann a ON a.key = c.key AND a.chunk_no = c.chunk_no""",
+    "streamed_statuses": f"""WITH docs AS (SELECT CAST(doc_id AS VARCHAR) || '.txt' AS key, doc_id, text FROM documents),
+{chunks_cte(8000)},
+cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key)
+SELECT d.key, CASE WHEN c.chunks IS NULL THEN 'Empty' ELSE 'Processed' END AS status, c.chunks
+FROM docs d LEFT JOIN cnt c ON c.key = d.key""",
     "index_errors": f"""WITH {DOCS},\n{chunks_cte(8000)},
 cnt AS (SELECT key, CAST(COUNT(*) AS INTEGER) AS chunks FROM chunks GROUP BY key)
 SELECT d.key, CASE WHEN d.text IS NULL OR n.n % 7 = 0 THEN 'Error' WHEN n.n IS NULL THEN 'Empty' ELSE 'Processed' END AS status,
