@@ -28,6 +28,7 @@ from tessera.operators.postings import build_postings
 from tessera.plans import answering as ANS
 from tessera.plans.indexing_run import index_documents, index_updates
 from tessera.operators import graph as G
+from tessera.operators import topics as TP
 from tessera.operators import transcripts as C
 from tessera.streaming.corpus_index import index_new_objects, published_index, stored_statuses
 
@@ -117,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_counts": lambda spark, d: D.chunk_counts(_chunks(spark, d)),
         "annotate_chunks": lambda spark, d: AN.annotate_chunks(_chunks(spark, d)).withColumn(
             "keywords", F.array_join("keywords", ", ")),
+        "topic_model": _topic_model,
         "chunk_topics": lambda spark, d: AN.chunk_topics(AN.annotate_chunks(_chunks(spark, d))),
         "index_status": lambda spark, d: _index_run(spark, d)[0],
         "index_errors": _index_errors,
@@ -146,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_graph_nodes": lambda spark, d: _corpus_graph(spark, d, 8)[0],
         "term_graph_edges": lambda spark, d: _corpus_graph(spark, d, 8)[1],
         "graph_changed": _graph_changed,
+        "graph_state": _graph_state,
         "graph_nodes": lambda spark, d: G.graph_nodes(_question_graphs(spark, d), ["query_id"]),
         "graph_edges": lambda spark, d: G.graph_edges(_question_graphs(spark, d), ["query_id"]),
         "saved_graph_nodes": _saved_graph_nodes,
@@ -185,6 +188,23 @@ def _graph_changed(spark, sf_dir):
     return G.graph_changed(on, oe.drop("weight"), nn, ne.drop("weight"), [])
 
 
+def _graph_state(spark, sf_dir):
+    """G6 per question: an older graph without the nodes from 'm' on, the
+    same or none at all, against the present one, which every fifth lacks."""
+    graphs = materialize(_question_graphs(spark, sf_dir))
+    nodes, edges = G.graph_nodes(graphs, ["query_id"]), G.graph_edges(graphs, ["query_id"])
+    old_nodes = nodes.filter("query_id % 3 = 0 OR query_id % 3 = 1 AND id < 'm'")
+    old_edges = edges.filter("query_id % 3 <> 2")
+    return G.graph_states(old_nodes, old_edges, nodes.filter("query_id % 5 <> 4"), edges.filter("query_id % 5 <> 4"),
+                          _questions(spark, sf_dir), ["query_id"])
+
+
+def _topic_model(spark, sf_dir):
+    """D5 topics: eight topic weights per chunk of the documents."""
+    ch, table = _index(spark, sf_dir)
+    return TP.topic_model(table)[0]
+
+
 def _saved_graph_nodes(spark, sf_dir):
     """S6 round trip: question graphs written as JSON to the shared
     checkpoint folder, read back, exploded into nodes."""

@@ -56,6 +56,19 @@ new_g AS (SELECT 'node' AS element, id, label, NULL::VARCHAR AS "from", NULL::VA
 SELECT *, 'added' AS change FROM (SELECT * FROM new_g EXCEPT ALL SELECT * FROM old_g)
 UNION ALL
 SELECT *, 'removed' AS change FROM (SELECT * FROM old_g EXCEPT ALL SELECT * FROM new_g)""",
+    "graph_state": QUESTION_GRAPH + """,
+new_rows AS (SELECT query_id, 'n' AS el, id AS a, label AS b, NULL AS c FROM qnodes WHERE query_id % 5 <> 4
+             UNION ALL SELECT query_id, 'e', "from", "to", type FROM qedges WHERE query_id % 5 <> 4),
+old_rows AS (SELECT query_id, 'n' AS el, id AS a, label AS b, NULL AS c FROM qnodes WHERE query_id % 3 = 0 OR query_id % 3 = 1 AND id < 'm'
+             UNION ALL SELECT query_id, 'e', "from", "to", type FROM qedges WHERE query_id % 3 <> 2),
+plus AS (SELECT query_id, COUNT(*) AS n FROM (SELECT * FROM new_rows EXCEPT ALL SELECT * FROM old_rows) GROUP BY query_id),
+minus AS (SELECT query_id, COUNT(*) AS n FROM (SELECT * FROM old_rows EXCEPT ALL SELECT * FROM new_rows) GROUP BY query_id),
+present AS (SELECT DISTINCT query_id FROM new_rows)
+SELECT q.query_id, CASE WHEN r.query_id IS NULL THEN 'absent' WHEN p.n IS NULL AND m.n IS NULL THEN 'unchanged' ELSE 'changed' END AS state,
+       CAST(CASE WHEN r.query_id IS NULL THEN 0 ELSE COALESCE(p.n, 0) END AS BIGINT) AS added,
+       CAST(CASE WHEN r.query_id IS NULL THEN 0 ELSE COALESCE(m.n, 0) END AS BIGINT) AS removed
+FROM questions q LEFT JOIN plus p ON p.query_id = q.query_id LEFT JOIN minus m ON m.query_id = q.query_id
+LEFT JOIN present r ON r.query_id = q.query_id""",
     "graph_nodes": QUESTION_GRAPH + "SELECT query_id, id, label FROM qnodes",
     "graph_edges": QUESTION_GRAPH + 'SELECT query_id, "from", "to", type FROM qedges',
     "cap_rounds": f"WITH {CONV}\nSELECT conv_id, turn, role, text, round FROM conv WHERE round <= 2",

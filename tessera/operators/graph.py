@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 GRAPH_SCHEMA = ("nodes array<struct<id:string,label:string>>, "
                 "edges array<struct<`from`:string,`to`:string,type:string>>")
 FENCE = r"(?s)```(?:json)?(.*?)```"
@@ -86,32 +88,72 @@ def graph_json(nodes: DataFrame, edges: DataFrame, group: list[str]) -> DataFram
         .alias("raw"))
 
 
+ROW = ["element", "id", "label", "from", "to", "type"]
+
+
+def graph_rows(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes and edges as one table ``(keys..., element, id, label, from, to,
+    type)``."""
+    none = F.lit(None).cast("string")
+    return nodes.select(*keys, F.lit("node").alias("element"), "id", "label", none.alias("from"), none.alias("to"),
+                        none.alias("type")).unionByName(
+        edges.select(*keys, F.lit("edge").alias("element"), none.alias("id"), none.alias("label"), "from", "to", "type"))
+
+
 def graph_changed(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame,
                   new_edges: DataFrame, keys: list[str]) -> DataFrame:
     """Multiset difference of two graphs per ``keys`` as
     ``(keys..., element, change, id, label, from, to, type)`` rows;
     ``element`` is node/edge, ``change`` added/removed. Empty = unchanged."""
-    def nodes_of(df):
-        return df.select(*keys, F.lit("node").alias("element"), "id", "label",
-                         F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to"),
-                         F.lit(None).cast("string").alias("type"))
-
-    def edges_of(df):
-        return df.select(*keys, F.lit("edge").alias("element"), F.lit(None).cast("string").alias("id"),
-                         F.lit(None).cast("string").alias("label"), "from", "to", "type")
-    old = nodes_of(old_nodes).unionByName(edges_of(old_edges))
-    new = nodes_of(new_nodes).unionByName(edges_of(new_edges))
+    old, new = graph_rows(old_nodes, old_edges, keys), graph_rows(new_nodes, new_edges, keys)
     added = new.exceptAll(old).withColumn("change", F.lit("added"))
     removed = old.exceptAll(new).withColumn("change", F.lit("removed"))
     return added.unionByName(removed)
 
 
-def graph_state(changes: DataFrame, keys_df: DataFrame, keys: list[str], new_present: DataFrame) -> DataFrame:
-    """G6 flag per key: ``absent`` when there is no new graph, ``changed``
-    when there is any difference, else ``unchanged``."""
-    n = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
-    present = new_present.select(*keys).distinct().withColumn("__p", F.lit(True))
-    j = keys_df.select(*keys).distinct().join(present, keys, "left").join(n, keys, "left")
-    return j.select(*keys, F.when(F.col("__p").isNull(), F.lit("absent"))
-                    .when(F.coalesce("__d", F.lit(0)) > 0, F.lit("changed"))
-                    .otherwise(F.lit("unchanged")).alias("state"))
+def graph_digests(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., size, digest)`` per graph: the number of its rows and two
+    sums of 64-bit row hashes. Sums do not depend on the order of rows and count
+    repeated ones; they are partial before the shuffle, so a huge graph sends
+    one row per task."""
+    def total(salt):
+        return F.sum(F.xxhash64(*ROW, F.lit(salt)).cast("decimal(20,0)"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.struct(total("a").alias("a"), total("b").alias("b")).alias("digest"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]):
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"__{k}"])
+    return on
+
+
+def graph_states(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame,
+                 graphs: DataFrame, keys: list[str]) -> DataFrame:
+    """G6 for many graphs: ``(keys..., state, added, removed)`` for every graph
+    of ``graphs`` (its key columns). ``absent``: there is no new graph;
+    ``unchanged``: both have the same rows; ``changed`` with the numbers of
+    added and removed rows otherwise (all added where there was no old one).
+
+    Graphs are compared by digest first; only the rows of graphs whose
+    digests differ are compared themselves."""
+    old, new = graph_rows(old_nodes, old_edges, keys), graph_rows(new_nodes, new_edges, keys)
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    before = graph_digests(old, keys).select(*named, F.struct("size", "digest").alias("before"))
+    after = graph_digests(new, keys).select(*named, F.struct("size", "digest").alias("after"))
+    g = graphs.select(*keys).distinct()
+    g = g.join(before, _same(g, before, keys), "left").drop(*[f"__{k}" for k in keys])
+    g = g.join(after, _same(g, after, keys), "left").drop(*[f"__{k}" for k in keys])
+    state = (F.when(F.col("after").isNull(), "absent").when(F.col("before").eqNullSafe(F.col("after")), "unchanged").otherwise("changed"))
+    g = materialize(g.select(*keys, state.alias("state")))  # one row per graph, read three times below
+    differ = g.filter("state = 'changed'").select(*named)
+
+    def of_changed(rows):
+        return rows.join(differ, _same(rows, differ, keys), "left_semi")
+    old, new = of_changed(old), of_changed(new)
+    rows = new.exceptAll(old).withColumn("n", F.lit(1)).unionByName(old.exceptAll(new).withColumn("n", F.lit(-1)))
+    found = rows.groupBy(*keys).agg(F.count_if(F.col("n") == 1).alias("added"), F.count_if(F.col("n") == -1).alias("removed")) \
+        .select(*named, "added", "removed")
+    g = g.join(found, _same(g, found, keys), "left")
+    return g.select(*keys, "state", F.coalesce("added", F.lit(0)).cast("long").alias("added"),
+                    F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))

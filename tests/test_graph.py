@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.operators import graph as G
 
 GRAPHS = [
@@ -30,9 +32,24 @@ def test_graph_changed(spark):
     ch = G.graph_changed(old_n, old_e, new_n, new_e, ["k"])
     got = sorted((r.k, r.element, r.change) for r in ch.collect())
     assert got == [(2, "node", "added"), (2, "node", "removed"), (3, "edge", "removed")]
-    keys = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k int")
-    st = {r.k: r.state for r in G.graph_state(ch, keys, ["k"], new_n).collect()}
-    assert st == {1: "unchanged", 2: "changed", 3: "changed", 4: "absent"}
+    keys = spark.createDataFrame([(1,), (2,), (3,), (4,), (1,)], "k int")
+    st = {r.k: (r.state, r.added, r.removed) for r in G.graph_states(old_n, old_e, new_n, new_e, keys, ["k"]).collect()}
+    assert st == {1: ("unchanged", 0, 0), 2: ("changed", 1, 1), 3: ("changed", 0, 1), 4: ("absent", 0, 0)}
+
+
+def test_graph_states_count_repeated_rows_and_skip_equal_graphs(spark):
+    n, e = "k int, id string, label string", "k int, from string, to string, type string"
+    old = [(1, "a", "A"), (1, "a", "A"), (2, "x", "X"), (2, "y", None), (None, "q", "Q"), (5, "gone", "G")]
+    new = [(1, "a", "A"), (2, "y", None), (2, "x", "X"), (None, "q", "Q"), (3, "n", "N"), (3, "m", "M")]
+    none = spark.createDataFrame([], e)
+    keys = spark.createDataFrame([(1,), (2,), (3,), (None,), (5,)], "k int")
+    states = G.graph_states(spark.createDataFrame(old, n), none, spark.createDataFrame(new, n), none, keys, ["k"])
+    assert {r.k: (r.state, r.added, r.removed) for r in states.collect()} == {
+        1: ("changed", 0, 1), 2: ("unchanged", 0, 0), 3: ("changed", 2, 0), None: ("unchanged", 0, 0), 5: ("absent", 0, 0)}
+    rows = G.graph_rows(spark.createDataFrame(old, n), none, ["k"])
+    digest = {r.k: r.digest for r in G.graph_digests(rows, ["k"]).collect()}
+    again = {r.k: r.digest for r in G.graph_digests(rows.orderBy(F.desc("id")).repartition(5), ["k"]).collect()}
+    assert digest == again
 
 
 def test_term_graph(spark):
