@@ -5,11 +5,13 @@ for the reference's hosted-model call, plus an optional model hook.
 * keywords - top-n terms by TF-IDF over the chunk corpus
 * summary  - the n sentences with the highest mean term TF-IDF, in text order
 
-Term statistics are plain aggregates: term frequency per chunk (partial
-aggregation), document frequency per term (one grouped count), corpus size
-as a scalar subquery. Every top-n is a per-chunk ``row_number`` filter, which
-plans as a WindowGroupLimit, and a chunk's term list is bounded by the chunk
-budget, so no window partition grows with the corpus.
+Chunks are partitioned once by their key; term counts per sentence and per
+chunk need no further exchange. Document frequencies are one grouped count.
+The weights, one row per chunk and term with the sentences it is in, are
+written once and give keywords and sentence scores, so no sentence is joined
+to its terms. Every top-n is a per-chunk ``row_number`` filter, and a chunk's
+terms are bounded by the chunk budget, so no window partition grows with the
+corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import strip_ws, terms
 from tessera.operators.indexing import guarded
+from tessera.session import materialize
 
 SENTENCE = r"[^.!?]+[.!?]*"
 CHUNK_KEY = ["key", "chunk_no"]
@@ -71,19 +74,27 @@ def keywords(weights: DataFrame, n: int = 8, keys=CHUNK_KEY) -> DataFrame:
         .alias("keywords"))
 
 
-def extract_summary(chunks: DataFrame, weights: DataFrame, n: int = 2, text: str = "chunk",
-                    keys=CHUNK_KEY) -> DataFrame:
-    """Top-n sentences by mean TF-IDF of their terms, joined in text order."""
-    s = sentences(chunks, text, keys)
-    st = s.select(*keys, "sent_no", F.explode(terms("sentence")).alias("term"))
-    scored = (st.join(weights.select(*keys, "term", "tfidf"), [*keys, "term"])
-              .groupBy(*keys, "sent_no").agg(F.round(F.avg("tfidf"), 9).alias("score")))
-    s2 = s.join(scored, [*keys, "sent_no"], "left").fillna({"score": 0.0})
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "sent_no")
-    top = s2.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n)
-    return top.groupBy(*keys).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "sentence"))), lambda x: x["sentence"]),
-        " ").alias("summary"))
+def sentence_terms(chunks: DataFrame, text: str = "chunk", keys=CHUNK_KEY) -> DataFrame:
+    """``(keys..., sent_no, term)``, one row per occurrence of a term; sent_no
+    counts the sentence runs from 1, blank ones included, and a sentence
+    without terms has one row with a NULL term. Runs of letters never cross a
+    sentence end, so these are the terms of the whole chunk."""
+    s = chunks.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0)).alias("p", "s"))
+    return s.filter(s["s"].rlike(r"\S")).select(*keys, (F.col("p") + 1).alias("sent_no"), F.explode_outer(terms("s")).alias("term"))
+
+
+def _idf(spread: DataFrame, base: DataFrame, corpus: DataFrame | None, statistics: DataFrame | None, text: str, keys) -> DataFrame:
+    """``(term, idf)`` from the chunks themselves (``spread``: partitioned by
+    chunk), a corpus, or stored statistics, as in ``tfidf``."""
+    if statistics is not None:
+        n = statistics.filter("term = ''").agg(F.max("df").alias("n")).scalar()
+        df = statistics.filter("term <> ''")
+    else:
+        base = base if corpus is None else corpus
+        source = spread if corpus is None else corpus
+        n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
+        df = source.select(F.explode(F.array_distinct(terms(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
 
 def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2,
@@ -95,12 +106,24 @@ def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2
     ``model_fn`` (optional) replaces the annotation text with a per-chunk
     call made in Arrow batches with per-row error isolation (D10); a failed
     call leaves NULL, which ``fill_failed`` turns into the marker."""
-    w = tfidf(chunks, text, keys, corpus, statistics)
-    kw = keywords(w, n_keywords, keys)
-    sm = extract_summary(chunks, w, n_sentences, text, keys)
-    title = chunks.select(*keys, strip_ws(F.regexp_extract(F.col(text), SENTENCE, 0)).alias("title"))
-    out = (title.join(kw, keys, "left").join(sm, keys, "left")
-           .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
+    spread = chunks.select(*keys, F.col(text).alias(text)).repartition(*keys)
+    per_term = sentence_terms(spread, text, keys).groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.collect_list("sent_no").alias("found"))
+    idf = _idf(spread, chunks, corpus, statistics, text, keys)
+    # one row per chunk and term, read by both branches below
+    w = materialize(per_term.join(idf, "term", "left").select(
+        *keys, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf"), "found"))
+    kw = keywords(w.filter("term IS NOT NULL").select(*keys, "term", "tfidf"), n_keywords, keys)
+    score = (w.select(*keys, "tfidf", F.explode("found").alias("sent_no")).groupBy(*keys, "sent_no")
+             .agg(F.coalesce(F.round(F.avg("tfidf"), 9), F.lit(0.0)).alias("score")))
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "sent_no")
+    best = (score.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n_sentences)
+            .groupBy(*keys).agg(F.array_sort(F.collect_list("sent_no")).alias("best")))
+    runs = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0)
+    summary = F.array_join(F.transform("best", lambda i: strip_ws(F.element_at("runs", i))), " ")
+    out = (spread.select(*keys, strip_ws(F.regexp_extract(F.col(text), SENTENCE, 0)).alias("title"), runs.alias("runs"))
+           .join(kw, keys, "left").join(best, keys, "left")
+           .select(*keys, "title", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), summary.alias("summary")))
     annotation = F.concat_ws("\n",
                              F.concat(F.lit("Title: "), F.col("title")),
                              F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")),
