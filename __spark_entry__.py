@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.token_costs import vocabulary_cost
 from tessera.session import materialize
 from tessera.sources.objects import read_object_lines, read_objects
-from tessera.sources.sales import load_sales, schema_catalog, customers_from, table_dump
+from tessera.sources.sales import discover_keys, load_sales, schema_catalog, customers_from, table_dump
 from tessera.operators import sales as S
 from tessera.operators import report as R
 from tessera.operators import quality as Q
@@ -91,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             t, generated_on=REPORT_STAMP, low_stock_threshold=DRIVER_LOW_STOCK)),
         # catalog and data quality
         "schema_catalog": _sales(schema_catalog),
+        "discovered_keys": _sales(discover_keys),
         "null_violations": _sales(_null_violations),
         "duplicate_order_items": _sales(lambda t: Q.unique_violations(t["order_items"], ["order_item_id"])),
         "orphan_counts": _sales(lambda t: Q.orphan_counts([
@@ -110,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # document indexing
         "chunk_documents": lambda spark, d: D.chunk_documents(_doc_objects(spark, d)),
         "chunk_documents_200": lambda spark, d: D.chunk_documents(_doc_objects(spark, d), max_tokens=200),
+        "chunk_by_vocabulary": _chunk_by_vocabulary,
         "word_counts": lambda spark, d: D.tokenize_words(_doc_objects(spark, d)).select(
             "key", F.size("words").alias("n_words")),
         "decode_text": _decode_text,
@@ -142,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "truncate_context": lambda spark, d: T.truncate_context(_answer(spark, d, ANS.contexts), limit=300, keep=100),
         "clip_output": lambda spark, d: T.clip_output(_answer(spark, d, ANS.contexts), "context", 200),
         "summarize_context": _summarize_context,
+        "diverse_summary": _diverse_summary,
         "filled_summaries": lambda spark, d: D.fill_failed(_summarize_context(spark, d), "summary"),
         "build_prompts": _build_prompts,
         # knowledge graphs
@@ -270,6 +274,19 @@ def _summarize_context(spark, sf_dir):
     return T.summarize_context(qs, T.relevant_only(T.best_chunks(qs, ch, table=table)), ch)
 
 
+def _diverse_summary(spark, sf_dir):
+    qs = _questions(spark, sf_dir)
+    ch, table = _index(spark, sf_dir)
+    return T.diverse_summary(qs, materialize(T.relevant_only(T.best_chunks(qs, ch, table=table))), ch)
+
+
+def _chunk_by_vocabulary(spark, sf_dir):
+    """Chunks of at most 200 tokens of an installed vocabulary."""
+    import public_tokenizers
+    counter = vocabulary_cost(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return D.chunk_documents(_doc_objects(spark, sf_dir), 200, counter)
+
+
 def _replies(spark, sf_dir):
     """Model replies about every document, six forms in turn: regular, comma
     in the reason, fraction as score, no answer, no score, two replies."""

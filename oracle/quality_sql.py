@@ -62,7 +62,18 @@ KEYS_CTE = r"""
 page_keys AS (
   SELECT regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS key FROM pages)"""
 
+def keys_sql() -> str:
+    parts = []
+    for table, cols in LOGICAL.items():
+        for i, (c, _) in enumerate(cols):
+            col = "CAST(NULL AS INTEGER)" if (table, c) in EMPTY else c
+            parts.append(f"""SELECT '{NAMES.get(table, table)}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, COUNT(*) AS row_count,
+  COUNT(*) - COUNT({col}) AS nulls, COUNT(*) > 0 AND COUNT({col}) = COUNT(*) AND COUNT(DISTINCT {col}) = COUNT(*) AS is_key FROM {table}""")
+    return with_adapter("\nUNION ALL\n".join(parts))
+
+
 SQL = {
+    "discovered_keys": keys_sql(),
     "schema_catalog": catalog_sql(),
     "null_violations": null_violations_sql(),
     "duplicate_order_items": with_adapter("""

@@ -241,7 +241,36 @@ best AS (
                  FROM ks3) WHERE r <= 3)"""
 
 
+def _diverse() -> str:
+    """Maximal marginal relevance: three rounds, each taking the best free
+    sentence of a question and raising the others' similarity to it."""
+    sql = rf"""ms AS (
+  SELECT k.query_id, k.rank, k.file, k.chunk, unnest(regexp_extract_all(c.text, {SENT})) AS s,
+         generate_subscripts(regexp_extract_all(c.text, {SENT}), 1) AS sent_no
+  FROM kept k JOIN rchunks c ON c.file = k.file AND c.chunk = k.chunk),
+mq AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), {TERMS})) AS asked FROM questions),
+m0 AS (
+  SELECT m.query_id, rank, file, chunk, sent_no, {strip('s')} AS sentence,
+         list_distinct(regexp_extract_all(lower({strip('s')}), {TERMS})) AS own, q.asked,
+         COALESCE(len(list_intersect(own, q.asked)) / NULLIF(len(q.asked), 0)::DOUBLE, 0.0) AS relevance, 0.0::DOUBLE AS sim, FALSE AS taken
+  FROM ms m JOIN mq q ON q.query_id = m.query_id WHERE {strip('s')} <> '')"""
+    for i in range(3):
+        sql += f""",
+p{i} AS (SELECT query_id, rank AS r, file AS f, chunk AS c, sent_no AS n, sentence AS ps, own AS po FROM m{i} WHERE NOT taken AND sim < 1.0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * relevance - 0.5 * sim, 9) DESC, rank, file, chunk, sent_no) = 1),
+m{i + 1} AS (
+  SELECT m.query_id, rank, file, chunk, sent_no, sentence, own, relevance,
+         greatest(sim, CASE WHEN p.n IS NULL THEN 0.0 WHEN sentence = ps THEN 1.0
+           ELSE COALESCE(len(list_intersect(own, po)) / NULLIF(len(list_distinct(list_concat(own, po))), 0)::DOUBLE, 0.0) END) AS sim,
+         taken OR COALESCE(rank = r AND file = f AND chunk = c AND sent_no = n, FALSE) AS taken
+  FROM m{i} m LEFT JOIN p{i} p ON p.query_id = m.query_id)"""
+    return sql
+
+
 SQL.update({
+    "diverse_summary": RETRIEVAL + ",\n" + _diverse() + """
+SELECT q.query_id, COALESCE(string_agg(sentence, ' ' ORDER BY rank, file, chunk, sent_no), '') AS summary
+FROM questions q LEFT JOIN (SELECT * FROM m3 WHERE taken) t ON t.query_id = q.query_id GROUP BY q.query_id""",
     "word_counts": f"""WITH {DOCS}
 SELECT key, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM docs""",
     "decode_text": f"WITH {DOCS}\nSELECT key, text FROM docs",

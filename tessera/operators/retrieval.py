@@ -284,3 +284,45 @@ def summarize_context(questions: DataFrame, top: DataFrame, chunks: DataFrame, n
         F.array_sort(F.collect_list(F.struct("rank", "file", "chunk", "sent_no", "sentence"))),
         lambda x: x["sentence"]), " ").alias("summary"))
     return questions.select("query_id").join(agg, "query_id", "left").fillna({"summary": ""})
+
+
+def diverse_summary(questions: DataFrame, top: DataFrame, chunks: DataFrame, n: int = 3, weight: float = 0.5,
+                    text: str = "text") -> DataFrame:
+    """T9 without repetition: ``(query_id, summary)`` by maximal marginal
+    relevance. Of the sentences of a question's chunks, one at a time is
+    taken: the one with the largest ``weight * relevance - (1 - weight) *
+    similarity`` (ties: rank, file, chunk, sentence position), where relevance is
+    the share of the question's terms in the sentence and similarity the
+    largest Jaccard similarity of terms with a taken one. A sentence with the
+    text or all the terms of a taken one is never taken, so copies in several
+    chunks appear once. The ``n`` sentences are joined in reading order.
+
+    All steps are windows over one partitioning by question; a question has
+    the sentences of its kept chunks only."""
+    src = top.select("query_id", "file", "chunk", "rank").join(
+        chunks.select("file", "chunk", F.col(text).alias("__t")), ["file", "chunk"])
+    sent = src.select("query_id", "rank", "file", "chunk",
+                      F.posexplode(F.regexp_extract_all("__t", F.lit(SENTENCE), 0)).alias("sent_no", "__s")) \
+        .withColumn("sentence", strip_ws("__s")).filter(F.col("sentence") != "")
+    asked = questions.select("query_id", F.array_distinct(terms("text")).alias("asked"))
+    own = F.array_distinct(terms("sentence"))
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("own", "asked")), F.size("asked")), F.lit(0.0))
+    state = (sent.join(asked, "query_id").withColumn("own", own).withColumn("relevance", share)
+             .withColumn("similar", F.lit(0.0)).withColumn("taken", F.lit(False))
+             .select("query_id", "rank", "file", "chunk", "sent_no", "sentence", "own", "relevance", "similar", "taken"))
+    place = ["rank", "file", "chunk", "sent_no"]
+    whole = Window.partitionBy("query_id")
+    for _ in range(n):
+        value = F.round(weight * F.col("relevance") - (1 - weight) * F.col("similar"), 9)
+        free = ~F.col("taken") & (F.col("similar") < 1.0)
+        best = F.min(F.when(free, F.struct((-value).alias("v"), *place, "sentence", "own"))).over(whole)
+        state = state.withColumn("best", best)
+        same = F.lit(True)
+        for c in place:
+            same = same & (F.col(c) == F.col(f"best.{c}"))
+        jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("own", "best.own")), F.size(F.array_union("own", "best.own"))), F.lit(0.0))
+        state = state.withColumn("taken", F.col("taken") | F.coalesce(same, F.lit(False))).withColumn("similar", F.greatest(
+            "similar", F.when(F.col("best").isNull(), 0.0).when(F.col("sentence") == F.col("best.sentence"), 1.0).otherwise(jaccard)))
+    taken = state.filter("taken").groupBy("query_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(*place, "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    return questions.select("query_id").join(taken, "query_id", "left").fillna({"summary": ""})

@@ -99,6 +99,48 @@ def test_summarize_context(spark):
     assert got == {1: "A cat sat. On the mat a cat slept.", 2: ""}
 
 
+def diverse_brute(asked, rows, n, weight=0.5):
+    """rows: (rank, file, chunk, sent_no, sentence); maximal marginal relevance by loops."""
+    import re
+    words = lambda s: set(re.findall(r"[^\W\d_]+", s.lower()))
+    q, taken = words(asked), []
+    while len(taken) < n:
+        best = None
+        for row in sorted(rows):
+            sims = [1.0 if row[4] == t[4] else len(words(row[4]) & words(t[4])) / max(1, len(words(row[4]) | words(t[4]))) for t in taken]
+            if row in taken or any(s >= 1.0 for s in sims):
+                continue
+            value = round(weight * (len(words(row[4]) & q) / max(1, len(q))) - (1 - weight) * max(sims, default=0.0), 9)
+            if best is None or value > best[0]:
+                best = (value, row)
+        if best is None:
+            break
+        taken.append(best[1])
+    return " ".join(r[4] for r in sorted(taken))
+
+
+def test_diverse_summary_equals_brute_force_and_repeats_nothing(spark):
+    import random
+    rnd = random.Random(6)
+    vocabulary = ["red", "fox", "sea", "late", "stone", "wind", "hill", "9"]
+    for n in (1, 3, 6):
+        chunks, rows = [], {1: [], 2: [], 3: []}
+        copy = "The red fox came late."
+        for f in range(5):
+            sents = [copy] + [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 6))) + rnd.choice(".!?") for _ in range(6)]
+            chunks.append((f"f{f}", 1, " ".join(sents)))
+            for q in rows:
+                rows[q] += [(f + 1, f"f{f}", 1, i, s) for i, s in enumerate(sents)]
+        asked = {1: "late red fox", 2: "stone wind 9 sea", 3: "42"}
+        cdf = spark.createDataFrame(chunks, "file string, chunk int, text string")
+        qdf = spark.createDataFrame([*asked.items(), (4, "fox")], "query_id bigint, text string")
+        top = spark.createDataFrame([(q, f"f{f}", 1, f + 1) for q in asked for f in range(5)],
+                                    "query_id bigint, file string, chunk int, rank int")
+        got = {r.query_id: r.summary for r in T.diverse_summary(qdf, top, cdf, n).collect()}
+        assert got == {q: diverse_brute(asked[q], rows[q], n) for q in asked} | {4: ""}
+        assert all(s.count(copy) <= 1 for s in got.values()) and copy in got[1]
+
+
 def test_best_chunks_equal_full_scoring(spark):
     import random
     rnd = random.Random(11)
