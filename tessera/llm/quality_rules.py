@@ -3,22 +3,24 @@ between a trusted-target and the raw-corpus multinomial.
 
 Features are word bigrams after character folding (runs of upper-case
 letters, lower-case letters and digits become one sign each, everything else
-stays), hashed into ``BUCKETS`` bins. Both multinomials are counted over all
+stays), hashed into ``BUCKETS`` bins, and the lower-cased words themselves,
+hashed into ``WORD_BUCKETS`` bins. Both multinomials are counted over all
 documents: the target over the documents with a trusted id, the raw one over
-the whole corpus. A document's score is the mean of ``ln(p_target / p_raw)``
-over its bigrams.
-
-These shapes say nothing about the words themselves, so a second ratio is
-taken over the lower-cased words, hashed into ``WORD_BUCKETS`` bins. Its target
-is smoothed by ``WORD_PRIOR`` words of the raw corpus: a word that no trusted
-document has counts the more against a document, the more trusted text there
-is. A document is kept that passes the base rules and reaches ``THRESHOLD``
+the whole corpus. A document's two scores are the means of
+``ln(p_target / p_raw)`` over its bigrams and over its words. The target of the
+words is mixed with a fixed share ``WORD_SHARE`` of the raw multinomial, so a
+word that no trusted document has weighs ``ln(WORD_SHARE)`` at any table
+size. A document is kept that passes the base rules and reaches ``THRESHOLD``
 and ``WORD_THRESHOLD``. Word order is not judged.
 
-The per-document histograms are written once; they are far smaller than the
-text. Besides them only the word bins of a document are shuffled, once, to the
-trusted ids. The ratio tables have at most ``BUCKETS`` and ``WORD_BUCKETS``
-rows, so broadcasting them is bounded.
+Two passes over the texts, and no features are shuffled. The first counts
+all bins at once, raw and of the documents whose id is in a fixed-size bit
+table of the trusted ids. The few ids that are in the table by chance are
+found by an exact join of ids alone, and their documents' counts are taken
+off again (if the table fills up, that correction covers more documents). The
+second computes the base rules and looks the bins up in the ratio table,
+which has at most ``WORD_BUCKETS + BUCKETS`` rows and is broadcast; a document's
+bins are summed where they are, one narrow row each is exchanged.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ BUCKETS = 4096
 SMOOTHING = 1.0
 THRESHOLD = -1.0
 WORD_BUCKETS = 1 << 20
-WORD_PRIOR = 300.0
+WORD_SHARE = 2e-4  # of the raw multinomial in the target of the words
+FILTER_BITS = 1 << 23
 WORD_THRESHOLD = -3.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -55,92 +58,146 @@ def repeated_words(w: str) -> list[tuple[str, str]]:
     ]
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash`` and the base columns of every document. NULL
-    text counts as empty: 0 words, base_failed."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", t.alias("t"), words(F.col("text")).alias("w"))
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def with_base_rules(df: DataFrame) -> DataFrame:
+    """The base columns, from the text ``t`` (not NULL) and its words ``w``;
+    other columns stay."""
+    kept = [c for c in df.columns if c not in ("t", "w")]
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.select(
-        "doc_id", F.xxhash64("t").alias("text_hash"), "w", F.size("w").cast("long").alias("n_words"),
+        *kept, "w", F.size("w").cast("long").alias("n_words"),
         (F.char_length("t") - count_chars_in(F.col("t"), BLANK_CHARS)).cast("long").alias("word_chars"),
         count_chars_in(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("lines"))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     for name, sql in repeated_words("w"):
         df = df.withColumn(name, F.expr(sql))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                     failed.alias("base_failed"))
+    return df.withColumn("base_failed", failed).select(*kept, *BASE)
 
 
 def fold(text):
     """Letter and digit runs folded to one sign each."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, "\\p{Lu}+", "A")
+    t = F.regexp_replace(text, "\\p{Lu}+", "A")
     t = F.regexp_replace(t, "\\p{Ll}+", "a")
     return F.regexp_replace(t, "[0-9]+", "0")
 
 
-def bigram_histogram(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, text_hash, bucket, n``: hashed counts of folded bigrams (the
-    first word pairs with the text start)."""
-    df = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
-                     words(fold(F.col("text"))).alias("f"))
-    grams = F.expr(f"transform(f, (x, i) -> CAST(pmod(xxhash64(coalesce(get(f, i - 1), '^'), x), {buckets}) AS INT))")
-    return (df.select("doc_id", "text_hash", F.explode(grams).alias("bucket"))
-            .groupBy("doc_id", "text_hash", "bucket").agg(F.count(F.lit(1)).alias("n")))
-
-
-def log_ratios(hist: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
-               smoothing: float = SMOOTHING) -> DataFrame:
-    """``bucket, llr`` for every bucket that occurs (at most ``buckets``
-    rows). Without trusted documents both multinomials agree by definition
-    and every ratio is 0."""
-    good = trusted.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("good", F.lit(1))
-    both = (hist.join(good, "doc_id", "left").groupBy("bucket")
-            .agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("target")))
-    total = both.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target")).first()
-    n_raw, n_target = float(total["n_raw"] or 0), float(total["n_target"] or 0)
-    if n_target == 0:
-        return both.select("bucket", F.lit(0.0).alias("llr"))
-    pad = smoothing * buckets
-    return both.select("bucket", F.log(((F.col("target") + smoothing) / (n_target + pad))
-                                       / ((F.col("raw") + smoothing) / (n_raw + pad))).alias("llr"))
-
-
-def word_scores(docs: DataFrame, trusted: DataFrame, buckets: int = WORD_BUCKETS, prior: float = WORD_PRIOR) -> DataFrame:
-    """``w_id, w_hash, word_score``: mean log-likelihood ratio of the hashed
-    words of every document that has some (0 without trusted documents)."""
-    bins = F.transform(words(F.lower("text")), lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    df = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("w_hash"), bins.alias("b"))
+def with_features(df: DataFrame) -> DataFrame:
+    """``b``, the word bins, and ``s``, the bins of the folded bigrams (the
+    first word pairs with the text start), from ``t`` and ``w``."""
+    df = df.withColumn("f", words(fold(F.col("t"))))
+    grams = F.expr(f"transform(f, (x, i) -> CAST(pmod(xxhash64(coalesce(get(f, i - 1), '^'), x), {BUCKETS}) AS INT))")
+    bins = F.transform("w", lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(WORD_BUCKETS)).cast("int"))
+    return df.withColumn("b", bins).withColumn("s", grams).drop("f")
+
+
+def texts(docs: DataFrame, *columns) -> DataFrame:
+    """``columns``, the text ``t`` (NULL as empty) and its words ``w``."""
+    return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("t"), words(F.col("text")).alias("w"))
+
+
+def _dense(rows: DataFrame, size: int, value: str, missing) -> DataFrame:
+    """One row with the array of ``value`` by ``bucket`` (0 to ``size`` - 1)."""
+    every = rows.sparkSession.range(size).join(rows, F.col("id") == F.col("bucket"), "left") \
+        .select("id", F.coalesce(value, F.lit(missing)).alias("v"))
+    runs = every.groupBy(F.expr("id div 1024").alias("run")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("v"))
+    return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "v"))), lambda x: x["v"])).alias("v"))
+
+
+def _bit(key):
+    return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+
+
+def bit_table(rows: DataFrame, *key: str) -> DataFrame:
+    """One row with the bit table of the hashed key columns, as an array of
+    longs; its size is fixed."""
+    bit = _bit(key)
+    words_ = (rows.select(F.shiftright(bit, 6).alias("bucket"), bit.bitwiseAND(F.lit(63)).cast("int").alias("k"))
+              .groupBy("bucket").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")))
+    return materialize(_dense(words_, FILTER_BITS // 64, "bits", 0))
+
+
+def in_table(table: DataFrame, *key: str):
+    """Condition: the row's key may be in the table."""
+    bit = _bit(key)
+    word = F.get(table.scalar(), F.shiftright(bit, 6).cast("int"))
+    return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _all_bins():
+    """Word bins, then bigram bins, as one array."""
+    return F.concat("b", F.transform("s", lambda x: x + WORD_BUCKETS))
+
+
+def bin_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``bucket, raw, target`` of the word bins and (from ``WORD_BUCKETS`` on)
+    of the bigram bins: at most ``WORD_BUCKETS + BUCKETS`` rows."""
     good = trusted.select("doc_id").filter(F.col("doc_id").isNotNull())
-    raw = df.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
-    target = (df.select("doc_id", "b").join(good, "doc_id", "left_semi").select(F.explode("b").alias("bucket"))
-              .groupBy("bucket").agg(F.count(F.lit(1)).alias("target")))
-    both = materialize(raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")))
-    total = both.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target")).first()
-    n_raw, n_target = float(total["n_raw"] or 1), float(total["n_target"] or 0)
-    p_raw = F.col("raw") / n_raw
-    llr = both.select("bucket", F.log((F.col("target") + prior * p_raw) / ((n_target + prior) * p_raw)).alias("llr"))
-    return (df.select(F.col("doc_id").alias("w_id"), "w_hash", F.explode("b").alias("bucket"))
-            .join(F.broadcast(llr), "bucket").groupBy("w_id", "w_hash").agg(F.avg("llr").alias("word_score")))
+    marked = F.col("doc_id").isNotNull() & in_table(bit_table(good, "doc_id"), "doc_id")
+    counts = materialize(
+        with_features(texts(docs, marked.cast("int").alias("m"))).select("m", F.explode(_all_bins()).alias("bucket"))
+        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("m").alias("marked")))
+    # ids that are in the table by chance, and the counts of their documents
+    chance = materialize(docs.select("doc_id").filter(marked).join(good, "doc_id", "left_anti").distinct())
+    wrong = docs.filter(marked & in_table(bit_table(chance, "doc_id"), "doc_id")).select("doc_id", "text")
+    wrong = with_features(texts(wrong, "doc_id")).select("doc_id", _all_bins().alias("bins")).join(chance, "doc_id", "left_semi")
+    over = wrong.select(F.explode("bins").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("over"))
+    return counts.join(over, "bucket", "left").select(
+        "bucket", "raw", (F.col("marked") - F.coalesce("over", F.lit(0))).alias("target"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``bucket, llr`` of every bin that occurs. Without trusted documents both
+    multinomials agree by definition and every ratio is 0."""
+    counts = materialize(bin_counts(docs, trusted))
+    is_word = F.col("bucket") < WORD_BUCKETS
+    total = counts.agg(*[F.sum(F.when(kind, F.col(c))).alias(f"{name}_{c}")
+                         for name, kind in (("w", is_word), ("s", ~is_word)) for c in ("raw", "target")]).first()
+    w_raw, w_target, s_raw, s_target = (float(total[f"{k}_{c}"] or 0) for k in "ws" for c in ("raw", "target"))
+    if not w_target:
+        return counts.select("bucket", F.lit(0.0).alias("llr"))
+    by_word = F.log((1 - WORD_SHARE) * (F.col("target") / w_target) / (F.col("raw") / w_raw) + WORD_SHARE)
+    pad = SMOOTHING * BUCKETS
+    by_bigram = F.log(((F.col("target") + SMOOTHING) / (s_target + pad)) / ((F.col("raw") + SMOOTHING) / (s_raw + pad)))
+    return materialize(counts.select("bucket", F.when(is_word, by_word).otherwise(by_bigram).alias("llr")))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Base columns, ``base_failed``, ``score`` and ``word_score`` (mean
-    log-likelihood ratios, NULL without words) and ``kept`` for every row of ``docs`` (needs
-    ``doc_id, text``; other columns are ignored). ``trusted`` names the
-    trusted ids. Rows with NULL ids are scored and never trusted; repeated
-    rows get equal results; an empty table gives no rows."""
-    hist = materialize(bigram_histogram(docs))
-    llr = F.broadcast(log_ratios(hist, trusted))
-    scores = (hist.join(llr, "bucket").groupBy("doc_id", "text_hash")
-              .agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score"))
-              .select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "score"))
-    by_word = word_scores(docs, trusted)
-    scores = scores.join(by_word, F.col("s_id").eqNullSafe(F.col("w_id")) & (F.col("s_hash") == F.col("w_hash")), "left")
-    base = base_rules(docs)
-    out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
+    """``doc_id, text_hash``, the base columns, ``base_failed``, ``score`` and
+    ``word_score`` (mean log-likelihood ratios, NULL without words) and ``kept``
+    for every row of ``docs`` (needs ``doc_id, text``; other columns are
+    ignored). ``trusted`` names the trusted ids. NULL text counts as empty: 0
+    words, base_failed. Rows with NULL ids are scored and never trusted;
+    repeated rows get equal results; an empty table gives no rows."""
+    ratios = log_ratios(docs, trusted)  # at most WORD_BUCKETS + BUCKETS rows
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = with_features(texts(docs, "doc_id", text_hash.alias("text_hash"), F.monotonically_increasing_id().alias("row")))
+    rows = rows.withColumn("bins", _all_bins()).drop("b", "s")
+    rows = with_base_rules(rows)
+    key = ["row", "doc_id", "text_hash", *BASE]
+    is_word = F.col("bucket") < WORD_BUCKETS
+    # a row's bins are summed in its own task; one narrow row each is exchanged
+    scored = (rows.select(*key, F.explode_outer("bins").alias("bucket")).join(F.broadcast(ratios), "bucket", "left")
+              .groupBy(*key).agg(F.avg(F.when(is_word, F.col("llr"))).alias("word_score"),
+                                 F.avg(F.when(~is_word, F.col("llr"))).alias("score")))
     verdict = ~F.col("base_failed") & (F.round("score", 6) >= threshold) & (F.round("word_score", 6) >= WORD_THRESHOLD)
-    return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", "score", "word_score", F.coalesce(verdict, F.lit(False)).alias("kept"))
+    return scored.select("doc_id", "text_hash", *BASE, "score", "word_score", F.coalesce(verdict, F.lit(False)).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their
+    columns. Rows whose id and text hash are not in the bit table of the
+    rejected ones stay where they are read; only the others, the rejected and
+    the few in the table by chance, are compared exactly."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    carried = docs.select(row, "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    rejected = materialize(quality_rules(docs, trusted, threshold).filter(~F.col("kept"))
+                           .select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct())
+    named = rejected.select(F.col("r_id").alias("doc_id"), F.col("r_hash").alias("text_hash"))
+    marked = in_table(bit_table(named, "doc_id", "text_hash"), "doc_id", "text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
+    doubtful = carried.filter(marked).join(rejected, same, "left_anti")
+    return carried.filter(~marked).select("row.*").unionByName(doubtful.select("row.*"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -292,40 +293,64 @@ def spark_hash(a, b):
     return (h - (1 << 64) if h >> 63 else h) % quality_rules.BUCKETS
 
 
+def unsigned_bin(word, size):
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % size
+
+
 def brute_scores(rows, trusted):
+    """Mean log ratios of the folded bigrams and of the words of every row."""
     def fold(t):
-        t = "".join("A" if c.isupper() else "a" if c.islower() else c for c in t or "")
+        t = "".join("A" if unicodedata.category(c) == "Lu" else "a" if unicodedata.category(c) == "Ll" else c for c in t or "")
         return WORDS.findall(re.sub("[0-9]+", "0", re.sub("a+", "a", re.sub("A+", "A", t))))
-    hists = []
+    shapes, by_word = [], []
     for r in rows:
         f = ["^"] + fold(r[1])
-        hists.append(Counter(spark_hash(a, b) for a, b in zip(f, f[1:])))
-    raw, good = Counter(), Counter()
-    for r, h in zip(rows, hists):
-        raw.update(h)
-        if r[0] in trusted:
-            good.update(h)
-    n, m, pad = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS
-    ratio = {b: math.log((good[b] + 1) / (m + pad)) - math.log((raw[b] + 1) / (n + pad)) for b in raw}
-    return [sum(c * ratio[b] for b, c in h.items()) / sum(h.values()) if h else None for h in hists]
-
-
-def test_quality_rules(spark):
-    rows = [r for r in edge_rows() if not (r[1] or "").startswith("naïve")]
+        shapes.append(Counter(spark_hash(a, b) for a, b in zip(f, f[1:])))
+        by_word.append(Counter(unsigned_bin(w.lower(), quality_rules.WORD_BUCKETS) for w in WORDS.findall(r[1] or "")))
+
+    def counted(hists):
+        raw, good = Counter(), Counter()
+        for r, h in zip(rows, hists):
+            raw.update(h)
+            if r[0] in trusted:
+                good.update(h)
+        return raw, good, sum(raw.values()), sum(good.values())
+    raw, good, n, m = counted(shapes)
+    pad = quality_rules.BUCKETS
+    shape = {b: math.log((good[b] + 1) / (m + pad)) - math.log((raw[b] + 1) / (n + pad)) if m else 0.0 for b in raw}
+    raw, good, n, m = counted(by_word)
+    share = quality_rules.WORD_SHARE
+    word = {b: math.log((1 - share) * (good[b] / m) / (raw[b] / n) + share) if m else 0.0 for b in raw}
+
+    def mean(h, ratio):
+        return round(sum(c * ratio[b] for b, c in h.items()) / sum(h.values()), 6) if h else None
+    return [(mean(h, shape), mean(w, word)) for h, w in zip(shapes, by_word)]
+
+
+def test_quality_rules(spark, monkeypatch):
+    rows = edge_rows()
     docs = spark.createDataFrame(rows, edge_docs(spark).schema)
     trusted = {r[0] for r in rows[7:14]}
     ids = spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long")
-    got = quality_rules.quality_rules(docs, ids).collect()
-    want = []
-    for r, s in zip(rows, brute_scores(rows, trusted)):
-        b = brute_base(r[1])
-        want.append((r[0], *b, None if s is None else round(s, 6), not b[-1] and round(s, 6) >= quality_rules.THRESHOLD))
-    have = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-             None if r.score is None else round(r.score, 6), r.kept) for r in got]
-    assert sorted(have, key=str) == sorted(want, key=str)
+    for some, bits in ((trusted, quality_rules.FILTER_BITS), (trusted, 64), (set(), 64)):  # 64: many ids are in the table by chance
+        monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+        got = quality_rules.quality_rules(docs, ids.filter(ids.doc_id.isin(list(some)) | ids.doc_id.isNull())).collect()
+        want = []
+        for r, (s, w) in zip(rows, brute_scores(rows, some)):
+            b = brute_base(r[1])
+            want.append((r[0], *b, s, w, not b[-1] and s >= quality_rules.THRESHOLD and w >= quality_rules.WORD_THRESHOLD))
+        have = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+                 None if r.score is None else round(r.score, 6), None if r.word_score is None else round(r.word_score, 6), r.kept)
+                for r in got]
+        assert sorted(have, key=str) == sorted(want, key=str)
     assert quality_rules.quality_rules(empty_docs(spark), ids).count() == 0
     none = quality_rules.quality_rules(docs, ids.limit(0)).collect()
     assert {r.kept for r in none if not r.base_failed} == {True}
+    kept = quality_rules.kept_documents(docs, ids)
+    assert kept.columns == docs.columns
+    judged = quality_rules.quality_rules(docs, ids).filter("kept")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in judged.collect())
 
 
 def test_quality_rules_reject_nonsense_of_the_same_shape(spark):
