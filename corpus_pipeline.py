@@ -14,13 +14,11 @@ from tessera.session import materialize, scratch_path
 
 
 def rules_stage(spark, docs, sf_dir):
-    """Documents that the quality rules keep (operator 10). Verdicts are
-    matched back by id and text hash, so repeated rows share theirs."""
+    """Documents that the quality rules keep (operator 10), judged where they
+    are read. NULL and blank texts fail the base rules; an empty table stays
+    empty; repeated rows share a verdict."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    verdict = materialize(quality_rules.quality_rules(docs, trusted).select("doc_id", "text_hash", "kept"))
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
-    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]) & (text_hash == kept["k_hash"]), "left_semi")
+    return quality_rules.kept_documents(docs, trusted)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
