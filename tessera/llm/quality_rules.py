@@ -13,14 +13,14 @@ word that no trusted document has weighs ``ln(WORD_SHARE)`` at any table
 size. A document is kept that passes the base rules and reaches ``THRESHOLD``
 and ``WORD_THRESHOLD``. Word order is not judged.
 
-Two passes over the texts, and no features are shuffled. The first counts
-all bins at once, raw and of the documents whose id is in a fixed-size bit
-table of the trusted ids. The few ids that are in the table by chance are
-found by an exact join of ids alone, and their documents' counts are taken
-off again (if the table fills up, that correction covers more documents). The
-second computes the base rules and looks the bins up in the ratio table,
-which has at most ``WORD_BUCKETS + BUCKETS`` rows and is broadcast; a document's
-bins are summed where they are, one narrow row each is exchanged.
+The texts are read once: base columns and bins of every row are written, and
+no bins are shuffled. All bins are counted at once, raw and of the documents
+whose id is in a fixed-size bit table of the trusted ids. The few ids that are
+in the table by chance are found by an exact join of ids alone, and their
+documents' counts are taken off again (if the table fills up, that correction
+covers more documents). The ratio table has at most ``WORD_BUCKETS + BUCKETS``
+rows and is broadcast; a document's bins are summed where they are, and
+one narrow row each is exchanged.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ MAX_REPEAT_PERCENT = 50
 
 
 def repeated_words(w: str) -> list[tuple[str, str]]:
-    """SQL steps ``(column, expression)`` that count the words of array ``w``
-    lying in a 3-word window that occurs twice or more. Windows are compared
-    by a 64-bit hash; a text without equal windows stops after one pass."""
+    """SQL steps ``(column, expression)`` that count the words lying in a
+    3-word window that occurs twice or more, from the array ``w`` of their
+    64-bit hashes. Windows are compared by a hash of these; a text without
+    equal windows stops after one pass."""
     return [
         ("tri", f"""IF(size({w}) < 4, CAST(array() AS ARRAY<BIGINT>),
             transform(slice({w}, 1, size({w}) - 2), (x, i) -> xxhash64(x, {w}[i + 1], {w}[i + 2])))"""),
@@ -67,11 +68,11 @@ def with_base_rules(df: DataFrame) -> DataFrame:
     kept = [c for c in df.columns if c not in ("t", "w")]
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.select(
-        *kept, "w", F.size("w").cast("long").alias("n_words"),
+        *kept, F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"), F.size("w").cast("long").alias("n_words"),
         (F.char_length("t") - count_chars_in(F.col("t"), BLANK_CHARS)).cast("long").alias("word_chars"),
         count_chars_in(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("lines"))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    for name, sql in repeated_words("w"):
+    for name, sql in repeated_words("hashes"):
         df = df.withColumn(name, F.expr(sql))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed).select(*kept, *BASE)
@@ -127,32 +128,36 @@ def in_table(table: DataFrame, *key: str):
     return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _all_bins():
-    """Word bins, then bigram bins, as one array."""
-    return F.concat("b", F.transform("s", lambda x: x + WORD_BUCKETS))
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, bins`` and the base columns of every row: the one
+    pass over the texts, written once. ``bins`` are the word bins, then (from
+    ``WORD_BUCKETS`` on) the bigram bins; written they take about as much
+    room as the compressed texts."""
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = with_features(texts(docs, "doc_id", text_hash.alias("text_hash")))
+    bins = F.concat("b", F.transform("s", lambda x: x + WORD_BUCKETS))
+    return materialize(with_base_rules(rows.withColumn("bins", bins).drop("b", "s")))
 
 
-def bin_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``bucket, raw, target`` of the word bins and (from ``WORD_BUCKETS`` on)
-    of the bigram bins: at most ``WORD_BUCKETS + BUCKETS`` rows."""
+def bin_counts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``bucket, raw, target``: at most ``WORD_BUCKETS + BUCKETS`` rows."""
     good = trusted.select("doc_id").filter(F.col("doc_id").isNotNull())
     marked = F.col("doc_id").isNotNull() & in_table(bit_table(good, "doc_id"), "doc_id")
-    counts = materialize(
-        with_features(texts(docs, marked.cast("int").alias("m"))).select("m", F.explode(_all_bins()).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("m").alias("marked")))
+    counts = materialize(rows.select(marked.cast("int").alias("m"), F.explode("bins").alias("bucket"))
+                         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("m").alias("marked")))
     # ids that are in the table by chance, and the counts of their documents
-    chance = materialize(docs.select("doc_id").filter(marked).join(good, "doc_id", "left_anti").distinct())
-    wrong = docs.filter(marked & in_table(bit_table(chance, "doc_id"), "doc_id")).select("doc_id", "text")
-    wrong = with_features(texts(wrong, "doc_id")).select("doc_id", _all_bins().alias("bins")).join(chance, "doc_id", "left_semi")
-    over = wrong.select(F.explode("bins").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("over"))
+    chance = materialize(rows.select("doc_id").filter(marked).join(good, "doc_id", "left_anti").distinct())
+    wrong = rows.filter(marked & in_table(bit_table(chance, "doc_id"), "doc_id")).select("doc_id", "bins")
+    over = (wrong.join(chance, "doc_id", "left_semi").select(F.explode("bins").alias("bucket"))
+            .groupBy("bucket").agg(F.count(F.lit(1)).alias("over")))
     return counts.join(over, "bucket", "left").select(
         "bucket", "raw", (F.col("marked") - F.coalesce("over", F.lit(0))).alias("target"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def log_ratios(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     """``bucket, llr`` of every bin that occurs. Without trusted documents both
     multinomials agree by definition and every ratio is 0."""
-    counts = materialize(bin_counts(docs, trusted))
+    counts = materialize(bin_counts(rows, trusted))
     is_word = F.col("bucket") < WORD_BUCKETS
     total = counts.agg(*[F.sum(F.when(kind, F.col(c))).alias(f"{name}_{c}")
                          for name, kind in (("w", is_word), ("s", ~is_word)) for c in ("raw", "target")]).first()
@@ -172,19 +177,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     ignored). ``trusted`` names the trusted ids. NULL text counts as empty: 0
     words, base_failed. Rows with NULL ids are scored and never trusted;
     repeated rows get equal results; an empty table gives no rows."""
-    ratios = log_ratios(docs, trusted)  # at most WORD_BUCKETS + BUCKETS rows
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = with_features(texts(docs, "doc_id", text_hash.alias("text_hash"), F.monotonically_increasing_id().alias("row")))
-    rows = rows.withColumn("bins", _all_bins()).drop("b", "s")
-    rows = with_base_rules(rows)
-    key = ["row", "doc_id", "text_hash", *BASE]
+    rows = judged_rows(docs)
+    ratios = log_ratios(rows, trusted)  # at most WORD_BUCKETS + BUCKETS rows
     is_word = F.col("bucket") < WORD_BUCKETS
     # a row's bins are summed in its own task; one narrow row each is exchanged
-    scored = (rows.select(*key, F.explode_outer("bins").alias("bucket")).join(F.broadcast(ratios), "bucket", "left")
-              .groupBy(*key).agg(F.avg(F.when(is_word, F.col("llr"))).alias("word_score"),
-                                 F.avg(F.when(~is_word, F.col("llr"))).alias("score")))
+    scored = (rows.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.explode("bins").alias("bucket"))
+              .join(F.broadcast(ratios), "bucket").groupBy("s_id", "s_hash")
+              .agg(F.avg(F.when(is_word, F.col("llr"))).alias("word_score"), F.avg(F.when(~is_word, F.col("llr"))).alias("score")))
+    out = rows.drop("bins").join(scored, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
     verdict = ~F.col("base_failed") & (F.round("score", 6) >= threshold) & (F.round("word_score", 6) >= WORD_THRESHOLD)
-    return scored.select("doc_id", "text_hash", *BASE, "score", "word_score", F.coalesce(verdict, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", *BASE, "score", "word_score", F.coalesce(verdict, F.lit(False)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
