@@ -15,10 +15,10 @@ and ``WORD_THRESHOLD``. Word order is not judged.
 
 The texts are read once: base columns and bins of every row are written, and
 no bins are shuffled. All bins are counted at once, raw and of the documents
-whose id is in a fixed-size bit table of the trusted ids. The few ids that are
-in the table by chance are found by an exact join of ids alone, and their
-documents' counts are taken off again (if the table fills up, that correction
-covers more documents). The ratio table has at most ``WORD_BUCKETS + BUCKETS``
+whose id is in a bit table of the trusted ids (``KEY_BITS`` bits an id, at most
+``MAX_FILTER_BITS``). The few ids that are in the table by chance are found by an
+exact join of ids alone, and their documents' counts are taken off again (if
+the table fills up, that correction covers more documents). The ratio table has at most ``WORD_BUCKETS + BUCKETS``
 rows and is broadcast; a document's bins are summed where they are, and
 one narrow row each is exchanged.
 """
@@ -36,7 +36,7 @@ SMOOTHING = 1.0
 THRESHOLD = -1.0
 WORD_BUCKETS = 1 << 20
 WORD_SHARE = 2e-4  # of the raw multinomial in the target of the words
-FILTER_BITS = 1 << 23
+KEY_BITS, MAX_FILTER_BITS = 16, 1 << 27  # bits of a bit table per key, and at most
 WORD_THRESHOLD = -3.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -108,22 +108,22 @@ def _dense(rows: DataFrame, size: int, value: str, missing) -> DataFrame:
     return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "v"))), lambda x: x["v"])).alias("v"))
 
 
-def _bit(key):
-    return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
-
-
-def bit_table(rows: DataFrame, *key: str) -> DataFrame:
-    """One row with the bit table of the hashed key columns, as an array of
-    longs; its size is fixed."""
-    bit = _bit(key)
+def bit_table(rows: DataFrame, *key: str) -> tuple[DataFrame, int]:
+    """The bit table of the hashed key columns, one row with an array of
+    longs, and its size in bits, which has a bound."""
+    size = 64
+    while size < min(KEY_BITS * rows.count(), MAX_FILTER_BITS):
+        size *= 2
+    bit = F.pmod(F.xxhash64(*key), F.lit(size))
     words_ = (rows.select(F.shiftright(bit, 6).alias("bucket"), bit.bitwiseAND(F.lit(63)).cast("int").alias("k"))
               .groupBy("bucket").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")))
-    return materialize(_dense(words_, FILTER_BITS // 64, "bits", 0))
+    return materialize(_dense(words_, size // 64, "bits", 0)), size
 
 
-def in_table(table: DataFrame, *key: str):
+def in_table(found: tuple[DataFrame, int], *key: str):
     """Condition: the row's key may be in the table."""
-    bit = _bit(key)
+    table, size = found
+    bit = F.pmod(F.xxhash64(*key), F.lit(size))
     word = F.get(table.scalar(), F.shiftright(bit, 6).cast("int"))
     return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 

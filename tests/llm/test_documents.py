@@ -333,8 +333,8 @@ def test_quality_rules(spark, monkeypatch):
     docs = spark.createDataFrame(rows, edge_docs(spark).schema)
     trusted = {r[0] for r in rows[7:14]}
     ids = spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long")
-    for some, bits in ((trusted, quality_rules.FILTER_BITS), (trusted, 64), (set(), 64)):  # 64: many ids are in the table by chance
-        monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+    for some, bits in ((trusted, quality_rules.MAX_FILTER_BITS), (trusted, 64), (set(), 64)):  # 64: many ids are in the table by chance
+        monkeypatch.setattr(quality_rules, "MAX_FILTER_BITS", bits)
         got = quality_rules.quality_rules(docs, ids.filter(ids.doc_id.isin(list(some)) | ids.doc_id.isNull())).collect()
         want = []
         for r, (s, w) in zip(rows, brute_scores(rows, some)):
