@@ -1,16 +1,20 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs (lines, cut every ``PIECE`` characters) become a set of
-64-bit digests. Its sketch has ``CELLS`` cells in three parts; every digest is
+A text's paragraphs become a set of 64-bit digests. A line is cut after words
+that their own hash chooses (on average every 24 words), so an insertion changes
+the pieces around it and no others; shorter texts add the finer cuts of
+``SCALES``, so they share pieces with an edited version too. A stretch without
+chosen words is cut on a grid. The sketch has
+``CELLS`` cells in three parts; every digest is
 added to one cell of each part (count, XOR of digests, XOR of check sums). The
 sketches of two versions are subtracted cell by cell, so common paragraphs
 cancel, and peeling recovers the digests that differ: a cell that holds a
 single digest (count +-1 and a fitting check sum) gives it away, it is taken
 out of its other cells, and so on. If cells remain, the sketch was too small:
 the digests are dealt to more sketches of the same size by a fresh hash (a
-larger sketch in total), and each part that fails again is retried four times
-larger. The likeness is the Jaccard index that follows from the numbers of
-paragraphs and of recovered differences.
+larger sketch in total), and each part that fails again is retried larger. The
+likeness is the Jaccard index that follows from the numbers of paragraphs and
+of recovered differences.
 
 SQL functions only. The one shuffle of the texts brings each next to its
 successor: ids are cut into at most ``256 * FINE`` ranges, ordered inside a
@@ -24,19 +28,34 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-PIECE = 200
+TOKEN = "\\S{1,40}\\s*|\\s+"  # a word with the blanks after it
+SCALES = ((24, 1 << 31), (6, 1500), (1, 400))  # words per piece, for texts of fewer characters than this
+GRID = 16  # without chosen words, a piece ends after this many times the usual words
 PART = 6
 CELLS = 3 * PART
 ROUNDS = 8
 SHARE = 6  # expected differences per sketch on a retry
+MOST_PARTS = 48  # sketches per failed one and retry
 COARSE, FINE = 256, 64
 RANGE_CHARS = 2_000_000
 MAX_LEVEL = 16
 
 
+def _pieces(w: str, words: int) -> str:
+    """SQL: digests of the pieces of token array ``w``."""
+    ends = (f"filter(transform({w}, (x, i) -> IF(i + 1 = size({w}) OR contains(x, '\\n') OR pmod(xxhash64(x), {words}) = 0 "
+            f"OR (i + 1) % {GRID * words} = 0, i + 1, 0)), e -> e > 0)")
+    before = "IF(j = 0, 0, element_at(ends, j))"
+    return (f"transform(array({ends}), ends -> transform(ends, (e, j) -> "
+            f"xxhash64(slice({w}, {before} + 1, e - {before}))))[0]")
+
+
 def digests(text: str) -> str:
     """SQL: distinct paragraph digests of a text."""
-    return f"array_distinct(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}', 0), x -> xxhash64(x)))"
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    tokens = f"regexp_extract_all({text}, '{TOKEN}', 0)".replace("\\", "\\\\")
+    scales = ", ".join(f"IF(char_length({text}) < {chars}L, {_pieces('w', words)}, {none})" for words, chars in SCALES)
+    return f"transform(array({tokens}), w -> IF(size(w) = 0, {none}, array_distinct(concat({scales}))))[0]"
 
 
 def _entry(k: str, level: str) -> str:
@@ -55,9 +74,11 @@ def _hits(x: str, i: str) -> str:
 
 def sketch(keys: str, level: str) -> str:
     """SQL: the cells (n, k, h) of a digest array."""
-    return f"""transform(array(transform({keys}, k -> struct(k AS k, {_entry('k', level)}))), z ->
-        transform(sequence(0, {CELLS - 1}), i -> aggregate(filter(z, x -> {_hits('x', 'i')}),
-            struct(0L AS n, 0L AS k, 0L AS h), (s, x) -> struct(s.n + 1L AS n, s.k ^ x.k AS k, s.h ^ x.h AS h))))[0]"""
+    def part(j):
+        return (f"transform(sequence({j * PART}, {(j + 1) * PART - 1}), i -> aggregate(filter(z, x -> x.c{j} = i), "
+                f"struct(0L AS n, 0L AS k, 0L AS h), (s, x) -> struct(s.n + 1L AS n, s.k ^ x.k AS k, s.h ^ x.h AS h)))")
+    return (f"transform(array(transform({keys}, k -> struct(k AS k, {_entry('k', level)}))), "
+            f"z -> concat({part(0)}, {part(1)}, {part(2)}))[0]")
 
 
 def subtract(a: str, b: str) -> str:
@@ -122,25 +143,33 @@ def with_successor(docs: DataFrame) -> DataFrame:
             .select("doc_id", "t", F.coalesce("next_t", "border_t").alias("next_t")))
 
 
+def _deal(level: int):
+    """Failed sketches as rows of more sketches with a share of the digests
+    each."""
+    parts = f"CAST(least({MOST_PARTS}, greatest(4, ceil((size(a) + size(b)) / {SHARE}))) AS INT)"
+    own = f"pmod(xxhash64(k, 'deal', {level}), {parts}) = i"
+    return F.expr(f"transform(sequence(0, {parts} - 1), i -> struct(filter(a, k -> {own}) AS a, filter(b, k -> {own}) AS b))")
+
+
 def differences(pairs: DataFrame) -> DataFrame:
     """``row, kind, found``: recovered differences of the digest arrays ``a``
-    and ``b`` of every (row, kind)."""
-    solved, todo = [], pairs.select("row", "kind", "a", "b")
-    for level in range(MAX_LEVEL):
+    and ``b`` of every (row, kind) whose first sketch did not peel."""
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    solved, failed = [], pairs
+    for level in range(1, MAX_LEVEL):
         lv = f"{level}"
-        got = todo.select("row", "kind", "a", "b", F.expr(sketch("a", lv)).alias("sa"), F.expr(sketch("b", lv)).alias("sb"))
-        got = got.select("row", "kind", "a", "b", F.expr(subtract("sa", "sb")).alias("cells"))
+        # digests are small on disk: spread them, or few tasks would do all sketches
+        todo = failed.repartition(tasks, "row", "kind") if level == 1 else failed
+        todo = todo.select("row", "kind", F.explode(_deal(level)).alias("x")).select("row", "kind", "x.a", "x.b")
+        got = todo.select("row", "kind", "a", "b", F.expr(subtract(sketch("a", lv), sketch("b", lv))).alias("cells"))
         got = got.select("row", "kind", "a", "b", F.expr(peel("cells", lv)).alias("p"))
         got = materialize(got.select("row", "kind", "p.ok", "p.found", F.when(~F.col("p.ok"), F.col("a")).alias("a"),
                                      F.when(~F.col("p.ok"), F.col("b")).alias("b")))
         solved.append(got.filter("ok").select("row", "kind", "found"))
-        failed = got.filter("NOT ok")
+        failed = got.filter("NOT ok").select("row", "kind", "a", "b")
         if failed.isEmpty():
             break
-        parts = f"CAST(greatest(4, ceil((size(a) + size(b)) / {SHARE})) AS INT)" if level == 0 else "4"
-        deal = (f"transform(sequence(0, {parts} - 1), i -> struct(filter(a, k -> pmod(xxhash64(k, 'deal', {lv}), {parts}) = i) "
-                f"AS a, filter(b, k -> pmod(xxhash64(k, 'deal', {lv}), {parts}) = i) AS b))")
-        todo = failed.select("row", "kind", F.explode(F.expr(deal)).alias("x")).select("row", "kind", "x.a", "x.b")
     else:
         raise RuntimeError("sketches kept failing to peel")
     out = solved[0]
@@ -168,22 +197,26 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     v = with_successor(docs).withColumn("n_chars", F.char_length("t").cast("long"))
     v = v.withColumn("edited", F.concat(F.substring("t", F.lit(1), (n - third).cast("int")),
                                         F.substring("next_t", F.lit(1), third)))
-    v = materialize(v.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                             F.expr(digests("t")).alias("own"), F.expr(digests("edited")).alias("changed"),
-                             F.expr(digests("next_t")).alias("after"), F.monotonically_increasing_id().alias("row")))
-    pairs = v.select("row", F.col("own").alias("a"), F.explode(F.array(
+    v = v.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("t")).alias("own"),
+                 F.expr(digests("edited")).alias("changed"), F.expr(digests("next_t")).alias("after"))
+    v = v.select("*", *[F.expr(sketch(c, "0")).alias(s) for c, s in (("own", "s0"), ("changed", "s1"), ("after", "s2"))])
+    v = v.select("*", F.expr(peel(subtract("s0", "s1"), "0")).alias("edit"), F.expr(peel(subtract("s0", "s2"), "0")).alias("next"))
+    first = materialize(v.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n0"),
+        F.size("changed").alias("n1"), F.size("after").alias("n2"), F.expr(printed("s0", "own")).alias("fingerprint"),
+        F.expr(printed("s1", "changed")).alias("edited_fingerprint"),
+        F.when(F.col("edit.ok"), F.col("edit.found")).alias("d_edited"),
+        F.when(F.col("next.ok"), F.col("next.found")).alias("d_next"),
+        F.when(~F.col("edit.ok") | ~F.col("next.ok"), F.col("own")).alias("own"),
+        F.when(~F.col("edit.ok"), F.col("changed")).alias("changed"), F.when(~F.col("next.ok"), F.col("after")).alias("after")))
+    pairs = first.select("row", F.col("own").alias("a"), F.explode(F.array(
         F.struct(F.lit("edited").alias("kind"), F.col("changed").alias("b")),
-        F.struct(F.lit("next").alias("kind"), F.col("after").alias("b")))).alias("x")).select("row", "x.kind", "a", "x.b")
+        F.struct(F.lit("next").alias("kind"), F.col("after").alias("b")))).alias("x")) \
+        .select("row", "x.kind", "a", "x.b").filter("b IS NOT NULL")
     found = differences(pairs).groupBy("row").agg(
-        F.sum(F.when(F.col("kind") == "edited", F.col("found"))).alias("d_edited"),
-        F.sum(F.when(F.col("kind") == "next", F.col("found"))).alias("d_next"))
-    own = v.select("row", "doc_id", "n_chars", "edited_sha256", "own", "changed", F.size("own").alias("n0"),
-                   F.size("changed").alias("n1"), F.size("after").alias("n2"),
-                   F.expr(sketch("own", "0")).alias("s0"), F.expr(sketch("changed", "0")).alias("s1"))
-    own = own.select("row", "doc_id", "n_chars", "edited_sha256", "n0", "n1", "n2",
-                     F.expr(printed("s0", "own")).alias("fingerprint"),
-                     F.expr(printed("s1", "changed")).alias("edited_fingerprint"))
-    return own.join(found, "row").select(
+        F.sum(F.when(F.col("kind") == "edited", F.col("found"))).alias("more_edited"),
+        F.sum(F.when(F.col("kind") == "next", F.col("found"))).alias("more_next"))
+    return first.join(found, "row", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        _likeness(F.col("d_edited"), F.col("n0"), F.col("n1")).alias("near_edited"),
-        _likeness(F.col("d_next"), F.col("n0"), F.col("n2")).alias("near_next"))
+        _likeness(F.coalesce("d_edited", "more_edited"), F.col("n0"), F.col("n1")).alias("near_edited"),
+        _likeness(F.coalesce("d_next", "more_next"), F.col("n0"), F.col("n2")).alias("near_next"))

@@ -231,6 +231,24 @@ def test_packing(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+def brute_pack(lengths, caps):
+    """The rule of the module by plain search."""
+    bins, where = [], []  # [capacity, used]
+    for i, n in enumerate(lengths):
+        fit = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= n]
+        if fit:
+            b = min(fit)[1]
+        else:
+            def price(c):
+                coming = sum(m for m in lengths[i + 1:] if m <= c - n)
+                return (256 + c + c * c / 65536) / (n + min(c - n, coming)), c
+            b = len(bins)
+            bins.append([min((c for c in caps if c >= n), key=price), 0])
+        where.append(b)
+        bins[b][1] += n
+    return where, [c for c, _ in bins], [min(c for c in caps if c >= u) for _, u in bins]
+
+
 def test_pack_lengths_is_best_fit():
     where, offsets, sizes = packing.pack_lengths([9, 7, 3, 1], (10,))
     assert where == [0, 1, 1, 0] and offsets == [0, 0, 7, 9] and sizes == [10, 10]
@@ -238,6 +256,40 @@ def test_pack_lengths_is_best_fit():
         packing.pack_lengths([11], (10,))
 
 
+def test_pack_lengths_choose_and_downsize():
+    """Equal to the plain search; bins are opened above the smallest size that
+    fits, some are downsized, and the whole costs less than smallest sizes."""
+    rng = random.Random(3)
+    caps, larger, downsized, cost, plain = packing.CAPACITIES, 0, 0, 0.0, 0.0
+    for _ in range(60):
+        lengths = sorted((int(min(8192, rng.lognormvariate(6, 1.2))) + 1 for _ in range(rng.randrange(1, 120))), reverse=True)
+        lengths = [min(n, 8192) for n in lengths]
+        where, _, sizes = packing.pack_lengths(lengths, caps)
+        want, opened, final = brute_pack(lengths, caps)
+        assert (where, sizes) == (want, final)
+        first = {}
+        for b, n in zip(where, lengths):
+            first.setdefault(b, n)
+        larger += sum(c > min(k for k in caps if k >= first[b]) for b, c in enumerate(opened))
+        downsized += sum(a < b for a, b in zip(final, opened))
+        cost += sum(map(packing.bin_cost, sizes))
+        bins = []
+        for n in lengths:  # the smallest size that fits, best fit otherwise
+            fit = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= n]
+            b = min(fit)[1] if fit else len(bins)
+            if not fit:
+                bins.append([min(c for c in caps if c >= n), 0])
+            bins[b][1] += n
+        plain += sum(packing.bin_cost(c) for c, _ in bins)
+    assert larger > 50 and downsized > 5 and cost < plain
+
+
+def test_packing_does_not_depend_on_the_partitioning(spark):
+    rows = edge_docs(spark).union(edge_docs(spark))
+    order = lambda df: sorted(map(str, packing.pack_documents(df, (16, 64, 256)).collect()))
+    assert order(rows) == order(rows.repartition(7, "text"))
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: 1 + i % 3 for i, s in enumerate(order)}

@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
+import xxhash
 
 from tessera.llm import fingerprints, ngram_join, suffix_dedup
-from tests.llm.cases import edge_docs, edge_rows, empty_docs
+from tests.llm.cases import edge_docs, edge_rows, empty_docs, sentence
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,6 +120,23 @@ def test_substring_dedup_empty_table(spark):
     assert suffix_dedup.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def brute_pieces(text):
+    """Pieces of a text as strings, cut by the rule of the docstring."""
+    out = set()
+    for words in [24] + [6] * (len(text) < 1500) + [1] * (len(text) < 400):
+        piece = ""
+        for i, x in enumerate(re.findall(r"\S{1,40}\s*|\s+", text, re.ASCII), 1):
+            piece += x
+            h = xxhash.xxh64(x.encode(), seed=42).intdigest()
+            h -= (h >> 63) << 64
+            if "\n" in x or h % words == 0 or i % (16 * words) == 0:
+                out.add(piece)
+                piece = ""
+        if piece:
+            out.add(piece)
+    return out
+
+
 def test_fingerprints(spark):
     rows = edge_rows()
     got = fingerprints.fingerprint_versions(edge_docs(spark)).collect()
@@ -126,10 +145,8 @@ def test_fingerprints(spark):
     by_id = {}
     for g in got:
         by_id.setdefault(g.doc_id, []).append(g)
-    piece = re.compile(r"[^\n]{1,%d}" % fingerprints.PIECE)
-
     def jaccard(x, y):
-        a, b = set(piece.findall(x)), set(piece.findall(y))
+        a, b = brute_pieces(x), brute_pieces(y)
         return 1.0 if not a | b else round(len(a & b) / len(a | b), 6)
     for r, follower in zip(named, named[1:]):
         if len(by_id[r[0]]) > 1 or len(by_id[follower[0]]) > 1:
@@ -149,3 +166,15 @@ def test_fingerprints_empty_table_and_single_document(spark):
     assert fingerprints.fingerprint_versions(empty_docs(spark)).count() == 0
     one = fingerprints.fingerprint_versions(edge_docs(spark).filter("doc_id = 28")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_fingerprints_of_short_lines_and_insertions(spark):
+    """Short one-line texts are nearer to their edited version than to a
+    stranger, and a word at the start of a long line changes few pieces."""
+    rng = random.Random(5)
+    short = [sentence(rng, 9 + i % 20) for i in range(60)] + ["spam " * 80, "a" * 300]
+    got = fingerprints.fingerprint_versions(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")).collect()
+    assert all(r.near_edited > r.near_next for r in got)
+    line = sentence(rng, 2000)
+    pair = spark.createDataFrame([(1, line), (2, "inserted " + line)], "doc_id long, text string")
+    assert all(r.near_next > 0.75 for r in fingerprints.fingerprint_versions(pair).collect())
