@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 TOKEN = "\\S{1,40}\\s*|\\s+"  # a word with the blanks after it
-SCALES = ((24, 1 << 31), (6, 1500), (1, 400))  # words per piece, for texts of fewer characters than this
-GRID = 16  # without chosen words, a piece ends after this many times the usual words
+# Average words per piece, grid in words, for texts of fewer characters than this.
+SCALES = ((24, 384, 1 << 31), (6, 30, 1500), (1, 1, 400))
 PART = 6
 CELLS = 3 * PART
 ROUNDS = 8
@@ -41,10 +41,10 @@ RANGE_CHARS = 2_000_000
 MAX_LEVEL = 16
 
 
-def _pieces(w: str, words: int) -> str:
+def _pieces(w: str, words: int, grid: int) -> str:
     """SQL: digests of the pieces of token array ``w``."""
     ends = (f"filter(transform({w}, (x, i) -> IF(i + 1 = size({w}) OR contains(x, '\\n') OR pmod(xxhash64(x), {words}) = 0 "
-            f"OR (i + 1) % {GRID * words} = 0, i + 1, 0)), e -> e > 0)")
+            f"OR (i + 1) % {grid} = 0, i + 1, 0)), e -> e > 0)")
     before = "IF(j = 0, 0, element_at(ends, j))"
     return (f"transform(array({ends}), ends -> transform(ends, (e, j) -> "
             f"xxhash64(slice({w}, {before} + 1, e - {before}))))[0]")
@@ -54,7 +54,7 @@ def digests(text: str) -> str:
     """SQL: distinct paragraph digests of a text."""
     none = "CAST(array() AS ARRAY<BIGINT>)"
     tokens = f"regexp_extract_all({text}, '{TOKEN}', 0)".replace("\\", "\\\\")
-    scales = ", ".join(f"IF(char_length({text}) < {chars}L, {_pieces('w', words)}, {none})" for words, chars in SCALES)
+    scales = ", ".join(f"IF(char_length({text}) < {chars}L, {_pieces('w', words, grid)}, {none})" for words, grid, chars in SCALES)
     return f"transform(array({tokens}), w -> IF(size(w) = 0, {none}, array_distinct(concat({scales}))))[0]"
 
 

@@ -260,10 +260,13 @@ def test_pack_lengths_choose_and_downsize():
     """Equal to the plain search; bins are opened above the smallest size that
     fits, some are downsized, and the whole costs less than smallest sizes."""
     rng = random.Random(3)
-    caps, larger, downsized, cost, plain = packing.CAPACITIES, 0, 0, 0.0, 0.0
-    for _ in range(60):
-        lengths = sorted((int(min(8192, rng.lognormvariate(6, 1.2))) + 1 for _ in range(rng.randrange(1, 120))), reverse=True)
-        lengths = [min(n, 8192) for n in lengths]
+    larger = downsized = 0
+    cost = plain = 0.0
+    many = [(packing.CAPACITIES, [min(8192, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(rng.randrange(1, 120))])
+            for _ in range(60)]
+    few = [((12, 22, 30), [rng.randrange(1, 31) for _ in range(rng.randrange(1, 9))]) for _ in range(300)]
+    for caps, lengths in many + few + [((12, 22, 30), [20, 11, 10]), (packing.CAPACITIES, [])]:
+        lengths.sort(reverse=True)
         where, _, sizes = packing.pack_lengths(lengths, caps)
         want, opened, final = brute_pack(lengths, caps)
         assert (where, sizes) == (want, final)
@@ -281,7 +284,7 @@ def test_pack_lengths_choose_and_downsize():
                 bins.append([min(c for c in caps if c >= n), 0])
             bins[b][1] += n
         plain += sum(packing.bin_cost(c) for c, _ in bins)
-    assert larger > 50 and downsized > 5 and cost < plain
+    assert larger > 50 and downsized > 5 and cost < plain, (larger, downsized, cost, plain)
 
 
 def test_packing_does_not_depend_on_the_partitioning(spark):

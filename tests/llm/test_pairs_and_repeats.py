@@ -123,13 +123,13 @@ def test_substring_dedup_empty_table(spark):
 def brute_pieces(text):
     """Pieces of a text as strings, cut by the rule of the docstring."""
     out = set()
-    for words in [24] + [6] * (len(text) < 1500) + [1] * (len(text) < 400):
+    for words, grid in [(24, 384)] + [(6, 30)] * (len(text) < 1500) + [(1, 1)] * (len(text) < 400):
         piece = ""
         for i, x in enumerate(re.findall(r"\S{1,40}\s*|\s+", text, re.ASCII), 1):
             piece += x
             h = xxhash.xxh64(x.encode(), seed=42).intdigest()
             h -= (h >> 63) << 64
-            if "\n" in x or h % words == 0 or i % (16 * words) == 0:
+            if "\n" in x or h % words == 0 or i % grid == 0:
                 out.add(piece)
                 piece = ""
         if piece:
