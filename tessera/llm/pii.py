@@ -28,9 +28,13 @@ CVV, not 19). What is left is tried in any other grouping.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.text import free_name, quoted
+
 ROUNDS = 8
 
 # Patterns of the values that are looked for (Java regular expressions).
@@ -207,25 +211,39 @@ def pseudonym(m: str, key: str) -> str:
         ELSE {_card(m, key)} END"""
 
 
-def pseudonymise(docs: DataFrame, key: str = "pseudonym-key-1", text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret of this session: its setting ``spark.tessera.pseudonymKey``.
+    Without it the key is a public one, fit for test tables only, with a
+    warning."""
+    key = spark.conf.get("spark.tessera.pseudonymKey", None)
+    if not key:
+        warnings.warn("spark.tessera.pseudonymKey is not set: the pseudonyms can be undone by anybody", stacklevel=3)
+    return key or "pseudonym-key-1"
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with personal values in ``text`` replaced and a column
     ``pii_found`` (values replaced). All other columns and rows stay; NULL
     text stays NULL with 0 values; an input column of that name is replaced.
-    The key is a secret of the caller. One projection: no shuffle, and texts
+    The key is a secret of the caller, any string; without one it is the
+    session's (``session_key``). One projection: no shuffle, and texts
     without a digit, ``@`` or ``AKIA`` cost one scan."""
-    cols = [c for c in docs.columns if c != "pii_found"]
+    key = session_key(docs.sparkSession) if key is None else key
+    key = key.replace("\\", "\\\\").replace("'", "\\'")
+    cols = [c for c in docs.columns if c.lower() != "pii_found"]
+    found, cut, renewed = (free_name(docs, c) for c in ("__found", "__parts", "__new"))
     t = F.col(text)
     likely = t.rlike("[0-9@]|AKIA")
-    df = docs.select(*cols, F.when(likely, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)))
-                     .otherwise(F.array().cast("array<string>")).alias("__found"))
-    df = df.withColumn("__parts", F.expr(f"""transform(__found, m -> IF(m RLIKE '^[0-9]([ -]?[0-9]){{12}}[0-9 -]*$',
+    df = docs.select(*map(quoted, cols), F.when(likely, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)))
+                     .otherwise(F.array().cast("array<string>")).alias(found))
+    df = df.withColumn(cut, F.expr(f"""transform({found}, m -> IF(m RLIKE '^[0-9]([ -]?[0-9]){{12}}[0-9 -]*$',
         {_number_parts('m')}, array(struct(m AS v, true AS pii))))"""))
-    df = df.withColumn("__new", F.expr(f"""transform(__parts, q -> transform(q, x ->
+    df = df.withColumn(renewed, F.expr(f"""transform({cut}, q -> transform(q, x ->
         struct(x.v AS v, IF(x.pii, {pseudonym('x.v', key)}, x.v) AS new)))"""))
-    new = F.transform("__new", lambda q: F.array_join(F.transform(q, lambda x: x["new"]), ""))
+    new = F.transform(renewed, lambda q: F.array_join(F.transform(q, lambda x: x["new"]), ""))
     parts = F.zip_with(F.split(t, ANY), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.size(F.filter(F.flatten("__new"), lambda x: x["v"] != x["new"]))
+    changed = F.size(F.filter(F.flatten(renewed), lambda x: x["v"] != x["new"]))
     return df.select(
-        *[F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(t).alias(text) if c == text else F.col(c)
+        *[F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(t).alias(text) if c == text else F.col(quoted(c))
           for c in cols],
-        F.when(F.size("__found") > 0, changed).otherwise(0).alias("pii_found"))
+        F.when(F.size(found) > 0, changed).otherwise(0).alias("pii_found"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -15,6 +15,19 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with leading underscores, so that no column of ``df`` has it."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (empty for NULL)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
