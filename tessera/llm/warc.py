@@ -4,7 +4,8 @@ An ARC file starts with a version block that names its header layout (version
 1: five fields, version 2: ten); every record is one header line, as many
 bytes as its last field declares, and a line feed. The converter parses these
 and synthesises what WARC wants and ARC lacks: a record id (UUID of address,
-date and payload digest), an ISO time stamp, the record type and SHA-256
+date, payload digest, archive and place in it, so that repeated rows have ids
+of their own and a rerun task the same ones), an ISO time stamp, the record type and SHA-256
 digests. Payloads that occur more than once become revisit records.
 
 Archives are real files: one row holds one archive of bounded size and is
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +151,7 @@ def write_arc(pages: DataFrame, path: str, captured: str = CAPTURED) -> None:
         state = {"version": 1, "name": ""}
 
         def begin(count):
-            state.update(version=1 + count % 2, name=f"part-{count}.arc")
+            state.update(version=1 + count % 2, name=f"part-{TaskContext.get().partitionId():05d}-{count}.arc")
             return arc_version_block(state["name"], state["version"], captured)
 
         def records():
@@ -176,10 +178,10 @@ def read_arc_files(spark: SparkSession, path: str, content: bool = True) -> Data
                     http, payload = split_message(message)
                     digest = hashlib.sha256(payload).hexdigest()
                     page = http.get("x-page-id")
-                    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{head['URL']} {head['Archive-date']} {digest} {page}")
+                    row_key = f"{name.rsplit('/', 1)[-1]}:{at:012d}"
+                    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{head['URL']} {head['Archive-date']} {digest} {page} {row_key}")
                     rows.append((int(page) if page else None, head["URL"], head["Archive-date"], head["Content-type"],
-                                 f"<urn:uuid:{ident}>", message if content else None, len(payload), digest,
-                                 f"{name.rsplit('/', 1)[-1]}:{at:012d}"))
+                                 f"<urn:uuid:{ident}>", message if content else None, len(payload), digest, row_key))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
                 out["page_id"] = out["page_id"].astype("Int64")
                 yield out
@@ -206,8 +208,9 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN
     def build(frames):
         def begin(count):
             body = b"software: tessera\r\nformat: WARC File Format 1.0\r\n"
+            archive = f"info {warc} {TaskContext.get().partitionId()} {count}"
             return warc_record([("WARC-Type", "warcinfo"), ("WARC-Date", "2024-01-01T00:00:00Z"),
-                                ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'info {count}')}>"),
+                                ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, archive)}>"),
                                 ("Content-Type", "application/warc-fields")], body)
 
         def records():
