@@ -61,10 +61,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(ws), min(WIDTH, len(ws))) + np.uint64(len(ws) < WIDTH) * np.uint64(len(ws)))
 
 
-def member_id(s: np.ndarray) -> tuple[int, int]:
-    """128-bit digest of a set as two signed numbers."""
+def member_id(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128-bit digest of a set as two signed numbers, the second cut to
+    ``bits`` bits."""
     d = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True) >> (64 - bits)
+
+
+def member_name(s: np.ndarray, taken: frozenset, bits: int) -> int:
+    """Name of a set in all joins: the second half of its digest, or the first
+    where several sets have that second half (``taken``)."""
+    high, low = member_id(s, bits)
+    return high if low in taken else low
 
 
 def shared_at_least(n: int) -> int:
@@ -104,7 +112,7 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1).astype(np.int64)
 
 
-def _survey(frames):
+def _survey(frames, bits):
     """Per document its set size and member id; per batch the shingles that
     recur in it (kind 1)."""
     for f in frames:
@@ -112,7 +120,7 @@ def _survey(frames):
         held, held_size = [], 0
         for doc_id, text in zip(f["doc_id"], f["text"]):
             s = shingle_set(text)
-            a, b = member_id(s) if len(s) else (None, None)
+            a, b = member_id(s, bits) if len(s) else (None, None)
             ids.append(doc_id if isinstance(doc_id, str) else None), sizes.append(len(s)), hi.append(a), lo.append(b)
             held.append(s)
             held_size += len(s)
@@ -120,21 +128,41 @@ def _survey(frames):
                 sets.append((len(held), np.concatenate(held)))
                 held, held_size = [], 0
         sets.append((len(held), np.concatenate(held) if held else np.empty(0, np.uint64)))
-        yield pd.DataFrame({"kind": 0, "doc_id": pd.Series(ids, dtype=object), "n": sizes, "member": pd.array(lo, "Int64"),
-                            "check": pd.array(hi, "Int64"), "copies": 1})
+        yield pd.DataFrame({"kind": 0, "doc_id": pd.Series(ids, dtype=object), "text_hash": f["text_hash"].to_numpy(), "n": sizes,
+                            "member": pd.array(lo, "Int64"), "check": pd.array(hi, "Int64"), "copies": 1})
         for docs, all_ in sets:
             token, count = np.unique(all_, return_counts=True)
             keep = count >= max(3, docs // 400)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.Series([None] * int(keep.sum()), dtype=object), "n": 0,
-                                "member": token[keep].view(np.int64), "check": 0, "copies": count[keep]})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.Series([None] * int(keep.sum()), dtype=object), "text_hash": 0,
+                                "n": 0, "member": token[keep].view(np.int64), "check": 0, "copies": count[keep]})
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        _survey, "kind int, doc_id string, n long, member long, check long, copies long")
+def survey(docs: DataFrame, bits: int = 64) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
+        lambda frames: _survey(frames, bits),
+        "kind int, doc_id string, text_hash long, n long, member long, check long, copies long")
     return materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
+def _clashes(found: DataFrame) -> DataFrame:
+    """Ids that several sets have (the other half of their digests differs)."""
+    return (found.filter("n > 0").groupBy("member").agg(F.min("check").alias("x"), F.max("check").alias("y"))
+            .filter("x <> y").select("member"))
+
+
+def name_members(found: DataFrame) -> tuple[DataFrame, frozenset]:
+    """``found`` with members under names that no two sets share, and the ids
+    that are not used as names. Of N sets about N^2 / 2^65 ids clash (some 70
+    at 5e10 sets), so few reach the driver; that a first half equals another
+    set's name as well has a chance of 70 N / 2^64 there, and is an error."""
+    taken = frozenset(r["member"] for r in _clashes(found).collect())
+    if taken:
+        found = found.withColumn("member", F.when(F.col("member").isin(list(taken)), F.col("check")).otherwise(F.col("member")))
+        if not _clashes(found).isEmpty():
+            raise ValueError("two different sets share both halves of their ids")
+    return found, taken
+
+
 def hot_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The ``HOT_TOKENS`` most frequent shingles with their counts. They only
     set the order of tokens; any order gives the same links."""
@@ -145,7 +173,7 @@ def hot_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], top["copies"].to_numpy(dtype=np.int64)[order]
 
 
-def postings(docs: DataFrame, hot) -> DataFrame:
+def postings(docs: DataFrame, hot, taken: frozenset, bits: int) -> DataFrame:
     """``token, member, n`` for the prefix tokens of every set."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -157,7 +185,7 @@ def postings(docs: DataFrame, hot) -> DataFrame:
                 if len(s):
                     p = prefix(s, *shared.value)
                     tokens.append(p)
-                    members.append(np.full(len(p), member_id(s)[1], dtype=np.int64))
+                    members.append(np.full(len(p), member_name(s, taken, bits), dtype=np.int64))
                     sizes.append(np.full(len(p), len(s), dtype=np.int32))
             if tokens:
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "member": np.concatenate(members),
@@ -189,7 +217,7 @@ def trees(posts: DataFrame) -> DataFrame:
     return t.select("token", "member", "n", F.col("first.member").alias("pivot"), F.col("first.n").alias("pivot_n"))
 
 
-def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+def member_sets(docs: DataFrame, members: DataFrame, taken: frozenset, bits: int) -> DataFrame:
     """``member, n, tokens`` of the given members, computed again from the
     texts. A filter of ``FILTER_BITS`` bits (fixed size) keeps most other sets
     from leaving their task; the join behind it is exact."""
@@ -202,7 +230,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 s = shingle_set(text)
                 if not len(s):
                     continue
-                m = member_id(s)[1]
+                m = member_name(s, taken, bits)
                 if may_contain(shared.value, np.array([m]))[0]:
                     rows.append((m, len(s), s.view(np.int64)))
                     size += len(s)
@@ -392,37 +420,61 @@ def second_descent(t: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     return dealt.mapInPandas(_descend, "src long, dst long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (needs
-    ``doc_id, text``; other columns are ignored).
-
-    Texts without words have 0 shingles and link with nothing. Rows with a
-    NULL id have a NULL component and link nothing to others by themselves;
-    rows that share an id are one document. An empty table gives no rows."""
+def _classes(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``found`` (one row per document: ``doc_id, text_hash, n, member``), the
+    links between members and the label of every linked member."""
     ship_package(docs.sparkSession)
-    rows = survey(docs)
-    t = materialize(trees(postings(docs, hot_tokens(rows))))
-    sets = member_sets(docs, t.select("member").distinct())
+    rows = survey(docs, bits)
+    found, taken = name_members(rows.filter("kind = 0"))
+    t = materialize(trees(postings(docs, hot_tokens(rows), taken, bits)))
+    sets = member_sets(docs, t.select("member").distinct(), taken, bits)
     stars = (t.filter("member <> pivot AND 100 * least(n, pivot_n) >= 80 * greatest(n, pivot_n)")
              .select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct())
     links = materialize(verify(stars, sets))
     labels = connected_components(links)
     more = materialize(second_descent(t, labels, sets))
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = connected_components(links)
+    return found, links, labels
+
+
+def class_heads(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """The documents to keep if one of each class of near duplicates stays:
+    ``doc_id, text_hash`` (``xxhash64`` of the text) and ``copies``, the rows
+    that have both. A document is its id with its text here, so rows that
+    share an id without being near duplicates are kept apart. The head of a
+    class is its smallest id, then text hash. Texts without words are in no
+    class, each of their rows is its own head; so are rows with a NULL id. An
+    empty table gives no rows."""
+    found, _, labels = _classes(docs, bits)
+    own = found.filter("n > 0 AND doc_id IS NOT NULL")
+    first = (own.groupBy("member", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+             .groupBy("member").agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("head")))
+    by_label = labels.select(F.col("node").alias("member"), "label")
+    heads = (first.join(by_label, "member", "left").groupBy(F.coalesce("label", "member").alias("label"))
+             .agg(F.min("head").alias("head")).select("head.*"))
+    return heads.unionByName(found.filter("n = 0 OR doc_id IS NULL")
+                             .select("doc_id", "text_hash", F.lit(1).cast("long").alias("copies")))
 
-    found = rows.filter("kind = 0")
-    members = found.filter("n > 0 AND doc_id IS NOT NULL").select("member", "check", "doc_id").distinct()
-    clash = members.groupBy("member").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y")
-    if not clash.isEmpty():
-        raise ValueError("two different sets share a 64-bit member id")
+
+def jaccard_components(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (needs
+    ``doc_id, text``; other columns are ignored).
+
+    Texts without words have 0 shingles and link with nothing. Rows with a
+    NULL id have a NULL component and link nothing to others by themselves;
+    rows that share an id are one document. An empty table gives no rows.
+    Results do not depend on ``bits``, the length of a set's usual id: sets
+    whose ids clash go by the other half of their 128-bit digest."""
+    found, links, labels = _classes(docs, bits)
+    members = found.filter("n > 0 AND doc_id IS NOT NULL").select("member", "doc_id").distinct()
     by_label = labels.select(F.col("node").alias("member"), "label")
     # rows that share an id join their members
     shared = members.groupBy("doc_id").agg(F.min("member").alias("a"), F.max("member").alias("b")).filter("a <> b")
     if not shared.isEmpty():
         extra = members.join(shared, "doc_id").select(F.col("a").alias("src"), F.col("member").alias("dst"))
-        by_label = connected_components(links.unionByName(more).unionByName(extra)).select(
-            F.col("node").alias("member"), "label")
+        by_label = connected_components(links.unionByName(extra)).select(F.col("node").alias("member"), "label")
     first = (members.groupBy("member").agg(F.min("doc_id").alias("first")).join(by_label, "member", "left")
              .select("member", "first", F.coalesce("label", "member").alias("label")))
     smallest = first.groupBy("label").agg(F.min("first").alias("component"))
