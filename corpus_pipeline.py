@@ -6,10 +6,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, packing, pii, quality_rules
+from tessera.llm.text import free_name
 from tessera.session import materialize, scratch_path
 
 
@@ -22,15 +22,20 @@ def rules_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Of each group of near duplicates the document with the smallest id
-    (operator 3). Texts without words and rows without an id are in no group
-    and stay; of rows that repeat an id one stays."""
-    groups = materialize(ngram_join.jaccard_components(docs))
-    heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    named = docs.join(heads, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(order))
-    return (named.filter("__copy = 1").select(*docs.columns)
-            .unionByName(docs.filter(F.col("doc_id").isNull()).select(*docs.columns)))
+    """One document of each group of near duplicates (operator 3): its
+    smallest id, then text hash. A document is its id with its text: of rows
+    equal in both one stays (the smallest hash of the whole row), unrelated
+    texts under one id all stay. Texts without words and rows without an id
+    are in no group and stay. An empty table stays empty."""
+    tag = free_name(docs, "text_hash")
+    keep = materialize(ngram_join.class_heads(docs)).withColumnRenamed("text_hash", tag)
+    named = docs.withColumn(tag, F.xxhash64("text"))
+    out = named.join(keep.filter("copies = 1"), ["doc_id", tag], "left_semi").select(*docs.columns)
+    repeated = keep.filter("copies > 1")
+    if not repeated.isEmpty():
+        row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+        out = out.unionByName(named.join(repeated, ["doc_id", tag], "left_semi").groupBy("doc_id", tag).agg(row).select("row.*"))
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pseudonym_stage(spark, docs, sf_dir):
@@ -43,12 +48,15 @@ def pseudonym_stage(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """The mix itself (operator 8)."""
+    """The mix itself (operator 8): every row as often as the mix takes it,
+    in part where a target ends. NULL and blank texts have no words and are
+    not taken; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark, docs, sf_dir):
-    """Where each document's words go (operator 6)."""
+    """Where each document's words go (operator 6). Rows without words have
+    no piece; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack_documents(docs)
 
 
