@@ -65,6 +65,27 @@ def test_jaccard_components(spark, monkeypatch, block):
         assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_jaccard_components_with_clashing_ids(spark, bits):
+    """Many sets share an id of a few bits; they go by the other half."""
+    for rows in (edge_rows(), near_rows()):
+        docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(3)
+        got = ngram_join.jaccard_components(docs, bits=bits)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
+
+
+def test_class_heads_keep_apart_texts_under_one_id(spark):
+    a, b, c = (sentence(random.Random(k), 60) for k in range(3))
+    near = b + " more"
+    rows = [(1, a), (1, b), (2, near), (2, c), (3, c), (3, c), (1, a), (4, None), (4, ""), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {r.h: r.text for r in docs.selectExpr("xxhash64(text) AS h", "text").collect()}
+    got = [(r.doc_id, texts[r.text_hash], r.copies) for r in ngram_join.class_heads(docs).collect()]
+    want = [(1, a, 2), (1, b, 1), (2, c, 1), (4, None, 1), (4, "", 1), (4, "", 1), (None, a, 1), (None, a, 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert ngram_join.class_heads(empty_docs(spark)).count() == 0
+
+
 def test_jaccard_empty_table(spark):
     assert ngram_join.jaccard_components(empty_docs(spark)).count() == 0
 
