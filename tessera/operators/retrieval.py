@@ -55,6 +55,23 @@ def term_stats(table: DataFrame) -> DataFrame:
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
 
 
+def frequencies(chunks: DataFrame, table: DataFrame) -> DataFrame:
+    """``(term, df)`` for ``annotate.tfidf``: the number of chunks ``(file,
+    chunk)`` that have a term; the empty term has the number of chunk rows.
+
+    Counted over the term table, without a shuffle of its rows. It has a chunk
+    once per length, so texts of several lengths under one name are counted
+    out again: only their rows are grouped."""
+    several = (table.groupBy("file", "chunk").agg(F.min("dl").alias("a"), F.max("dl").alias("b"))
+               .filter("a <> b").select("file", "chunk"))
+    several = materialize(several)  # none where names are unique
+    more = (table.join(several, ["file", "chunk"], "left_semi").groupBy("term", "file", "chunk")
+            .agg((F.lit(1) - F.count(F.lit(1))).alias("df")).select("term", "df"))
+    counted = table.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(more)
+    size = chunks.agg(F.lit("").alias("term"), F.count(F.lit(1)).alias("df"))
+    return counted.groupBy("term").agg(F.sum("df").alias("df")).unionByName(size)
+
+
 def term_weight(idf, tf, dl, avgdl, k1: float, b: float):
     """BM25 weight of one term in one chunk."""
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
@@ -65,17 +82,24 @@ def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -
     with the question, from a ``term_table``.
 
     Only the question terms are joined to the index. Term weights are rounded
-    to 9 decimals and summed as exact decimals, so that sums do not depend on
-    the engine or the summation order; the sum per (question, chunk) is
-    partial before its shuffle."""
+    to 9 decimals and summed as whole billionths, so that sums do not depend on
+    the engine or the summation order; a sum is rounded half up to 6 decimals.
+
+    The question terms and their frequencies are written, so their size is
+    known and they are broadcast while they are small. The postings of the
+    question terms are weighed once and partitioned by chunk before they meet
+    the questions: the shuffle carries postings, not pairs of question and
+    chunk, and the sums per pair need none of their own."""
     stats = term_stats(table).scalar()
     n, avgdl = stats.getField("n"), stats.getField("avgdl")
-    df = table.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = question_terms(questions).join(df, "term")
+    asked = materialize(question_terms(questions))
+    df = materialize(table.join(asked.select("term").distinct(), "term", "left_semi")
+                     .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = F.round(term_weight(idf, F.col("tf"), F.col("dl"), avgdl, k1, b), 9).cast("decimal(18,9)")
-    return (q.join(table, "term").groupBy("query_id", "file", "chunk")
-            .agg(F.round(F.sum(w), 6).cast("double").alias("bm25")))
+    own = table.join(df, "term").select("file", "chunk", "term", (w * 1_000_000_000).cast("long").alias("w"))
+    return (own.repartition("file", "chunk").join(asked, "term").groupBy("query_id", "file", "chunk")
+            .agg(F.expr("(sum(w) + 500) DIV 1000 / 1e6D").alias("bm25")))
 
 
 def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "text",
@@ -85,24 +109,18 @@ def score_chunks(questions: DataFrame, chunks: DataFrame | None, text: str = "te
     BM25 scaled to 0-10 by the best chunk of that question. ``table`` is a
     prebuilt ``term_table``.
 
-    The best score is a grouped max (one row per question) joined back on
-    (question, hash bucket of the chunk): a question that pairs with most
-    chunks is spread over ``TOPK_BUCKETS`` partitions."""
+    The best score is a grouped max, one row per question, broadcast back to
+    the pairs: they are never shuffled, however many chunks a question pairs
+    with, and both uses read one shuffle of postings."""
     s = bm25(questions, table if table is not None else term_table(chunks, text), k1, b)
-    best = (s.groupBy("query_id").agg(F.max("bm25").alias("__best"))
-            .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(TOPK_BUCKETS - 1)).cast("array<bigint>"))))
-    return (s.withColumn("__b", _bucket(TOPK_BUCKETS)).join(best, ["query_id", "__b"])
-            .select("query_id", "file", "chunk", "bm25", _scale("__best")))
+    best = s.groupBy("query_id").agg(F.max("bm25").alias("__best"))
+    return s.join(F.broadcast(best), "query_id").select("query_id", "file", "chunk", "bm25", _scale("__best"))
 
 
 def _scale(best: str):
     return F.round(F.try_divide(F.col("bm25") * 10, F.col(best)), 6).alias("score")
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets))
-
-
 def best_chunks(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K, text: str = "text",
                 k1: float = K1, b: float = B, table: DataFrame | None = None) -> DataFrame:
     """T2 and T4 in one: ``(query_id, file, chunk, bm25, score, rank)`` of the
@@ -122,26 +140,14 @@ def scaled_top(scored: DataFrame, k: int) -> DataFrame:
             .select("query_id", "file", "chunk", "bm25", _scale("__best"), "rank"))
 
 
-# Hash buckets per question for the first top-k phase: a question that
-# pairs with most chunks is spread over this many tasks.
-TOPK_BUCKETS = 64
-
-
-def top_chunks(scored: DataFrame, k: int = TOP_K, buckets: int = TOPK_BUCKETS) -> DataFrame:
+def top_chunks(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     """T4: the k best chunks per question (score desc, then file, chunk).
 
-    Two phases, exact because the order is total: the k best per (question,
-    hash bucket of the chunk), then the k best per question among at most
-    ``k * buckets`` rows. No task sorts all pairs of one question. The
-    first phase asks for the (question, bucket) partitioning explicitly: an
-    input already hash-partitioned by question alone would otherwise satisfy
-    the window and keep a hot question in one task."""
-    order = [F.col("score").desc(), "file", "chunk"]
-    first = (scored.withColumn("__b", _bucket(buckets)).repartition("query_id", "__b")
-             .withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__b").orderBy(*order)))
-             .filter(F.col("__r") <= k).drop("__b", "__r"))
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    Two phases, exact because the order is total: every task keeps the k best
+    of its rows per question where they are (``WindowGroupLimit``), and only
+    these are shuffled by question."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file", "chunk")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def relevant_only(top: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -196,10 +202,12 @@ def answers(questions: DataFrame, top: DataFrame, chunks: DataFrame, text: str =
     """``top`` with ``reason`` and ``answer`` as T3 leaves them, an offline
     stand-in for the scoring model's answer: the chunk's sentence with the
     most distinct question terms (ties: the first), looked for in the whole
-    chunk. Only kept rows meet their texts. A chunk without a sentence
-    answers with nothing; the reason states the BM25 value."""
-    j = (top.join(questions.select("query_id", F.array_distinct(terms("text")).alias("__qt")), "query_id")
-         .join(chunks.select("file", "chunk", F.col(text).alias("__t")), ["file", "chunk"]))
+    chunk. Only kept rows meet their texts; they are written first, so their
+    size is known and the texts are not shuffled to them. A chunk without a
+    sentence answers with nothing; the reason states the BM25 value."""
+    top = materialize(top)
+    j = (top.join(chunks.select("file", "chunk", F.col(text).alias("__t")), ["file", "chunk"])
+         .join(questions.select("query_id", F.array_distinct(terms("text")).alias("__qt")), "query_id"))
     sentences = F.filter(F.transform(F.regexp_extract_all("__t", F.lit(SENTENCE), 0), strip_ws), lambda x: x != "")
     rated = F.transform(sentences, lambda x, i: F.struct(
         F.size(F.array_intersect(terms(x), F.col("__qt"))).alias("hits"), (-i).alias("pos"), x.alias("sentence")))
@@ -249,8 +257,8 @@ def build_prompts(questions: DataFrame, top: DataFrame, contexts: DataFrame, chu
     (question, top chunk), one summary and one graph prompt per question."""
     a = chunks.select(F.lit("annotate").alias("kind"), F.lit(None).cast("bigint").alias("query_id"),
                       "file", "chunk", _render(PROMPTS["annotate"], chunk=F.col(text)).alias("prompt"))
-    s = (top.join(questions.select("query_id", F.col("text").alias("__q")), "query_id")
-         .join(chunks.select("file", "chunk", F.col(text).alias("__c")), ["file", "chunk"])
+    s = (materialize(top).join(chunks.select("file", "chunk", F.col(text).alias("__c")), ["file", "chunk"])
+         .join(questions.select("query_id", F.col("text").alias("__q")), "query_id")
          .select(F.lit("score").alias("kind"), "query_id", "file", "chunk",
                  _render(PROMPTS["score"], question=F.col("__q"), chunk=F.col("__c")).alias("prompt")))
     qc = contexts.join(questions.select("query_id", F.col("text").alias("__q")), "query_id")
@@ -269,7 +277,7 @@ def summarize_context(questions: DataFrame, top: DataFrame, chunks: DataFrame, n
     top chunks, scored by the number of distinct question terms they contain,
     best ``n`` (ties: rank, file, chunk, sentence position) re-joined in
     reading order. Questions without hits get an empty summary."""
-    src = top.select("query_id", "file", "chunk", "rank").join(
+    src = materialize(top.select("query_id", "file", "chunk", "rank")).join(
         chunks.select("file", "chunk", F.col(text).alias("__t")), ["file", "chunk"])
     sent = src.select("query_id", "rank", "file", "chunk",
                       F.posexplode(F.regexp_extract_all("__t", F.lit(SENTENCE), 0)).alias("__p", "__s")) \
