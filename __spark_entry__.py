@@ -181,14 +181,20 @@ GRAPH_MIN_COUNT = 1
 
 
 def _corpus_graph(spark, sf_dir, n_keywords):
-    ann = AN.annotate_chunks(_chunks(spark, sf_dir), n_keywords=n_keywords)
+    return _keyword_graph(_chunks(spark, sf_dir), n_keywords)
+
+
+def _keyword_graph(chunks, n_keywords):
+    # nodes and edges both read the keywords
+    ann = materialize(AN.annotate_chunks(chunks, n_keywords=n_keywords).select("key", "chunk_no", "keywords"))
     return G.term_graph(ann, [], ["key", "chunk_no"], GRAPH_MIN_COUNT)
 
 
 def _graph_changed(spark, sf_dir):
     """G6 between the term graph of 5 and of 8 keywords per chunk."""
-    on, oe = _corpus_graph(spark, sf_dir, 5)
-    nn, ne = _corpus_graph(spark, sf_dir, 8)
+    ch = _chunks(spark, sf_dir)
+    on, oe = _keyword_graph(ch, 5)
+    nn, ne = _keyword_graph(ch, 8)
     return G.graph_changed(on, oe.drop("weight"), nn, ne.drop("weight"), [])
 
 
@@ -229,8 +235,8 @@ def _question_graphs(spark, sf_dir):
     best = T.best_chunks(_questions(spark, sf_dir), None, table=table)
     kept = materialize(T.relevant_only(best).select("query_id", "file", "chunk"))
     keys = ["file", "chunk"]
-    kw = AN.keywords(AN.tfidf(ch.join(kept, keys, "left_semi"), "text", keys, corpus=ch), keys=keys)
-    nodes, edges = G.term_graph(kept.join(kw, keys), ["query_id"], keys)
+    kw = AN.keywords(AN.tfidf(ch.join(kept, keys, "left_semi"), "text", keys, statistics=T.frequencies(ch, table)), keys=keys)
+    nodes, edges = G.term_graph(materialize(kept.join(kw, keys)), ["query_id"], keys)
     raw = G.graph_json(nodes, edges.drop("weight"), ["query_id"]).withColumn(
         "raw", F.concat(F.lit("```json\n"), F.col("raw"), F.lit("\n```")))
     return G.parse_graph(raw)

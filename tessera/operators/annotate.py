@@ -6,11 +6,11 @@ for the reference's hosted-model call, plus an optional model hook.
 * summary  - the n sentences with the highest mean term TF-IDF, in text order
 
 Chunks are partitioned once by their key; term counts per sentence and per
-chunk need no further exchange. Document frequencies are one grouped count.
-The weights, one row per chunk and term with the sentences it is in, are
-written once and give keywords and sentence scores, so no sentence is joined
-to its terms. Every top-n is a per-chunk ``row_number`` filter, and a chunk's
-terms are bounded by the chunk budget, so no window partition grows with the
+chunk need no further exchange. Document frequencies are one grouped count,
+written once: while they are small they are broadcast, and the texts are all
+that is shuffled. The weights of a chunk, one entry per term with the sentences
+it is in, are gathered in its row and give keywords and sentence scores there;
+a chunk's terms are bounded by the chunk budget, so no row grows with the
 corpus.
 """
 
@@ -109,20 +109,26 @@ def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2
     spread = chunks.select(*keys, F.col(text).alias(text)).repartition(*keys)
     per_term = sentence_terms(spread, text, keys).groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.collect_list("sent_no").alias("found"))
-    idf = _idf(spread, chunks, corpus, statistics, text, keys)
-    # one row per chunk and term, read by both branches below
-    w = materialize(per_term.join(idf, "term", "left").select(
-        *keys, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf"), "found"))
-    kw = keywords(w.filter("term IS NOT NULL").select(*keys, "term", "tfidf"), n_keywords, keys)
-    score = (w.select(*keys, "tfidf", F.explode("found").alias("sent_no")).groupBy(*keys, "sent_no")
-             .agg(F.coalesce(F.round(F.avg("tfidf"), 9), F.lit(0.0)).alias("score")))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "sent_no")
-    best = (score.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n_sentences)
-            .groupBy(*keys).agg(F.array_sort(F.collect_list("sent_no")).alias("best")))
+    idf = materialize(_idf(spread, chunks, corpus, statistics, text, keys))
+    w = per_term.join(idf, "term", "left").select(
+        *keys, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf"), "found")
+    # one row per chunk: its keywords, and every occurrence of a term as (sentence, weight) in order
+    w = w.groupBy(*keys).agg(F.collect_list(F.struct((-F.col("tfidf")).alias("least"), "term", "found")).alias("w"))
+    w = w.select(*keys, F.slice(F.array_sort(F.transform(F.filter("w", lambda x: x["term"].isNotNull()), lambda x: F.struct(
+        x["least"].alias("least"), x["term"].alias("term")))), 1, n_keywords)["term"].alias("keywords"),
+        F.array_sort(F.flatten(F.transform("w", lambda x: F.transform(x["found"], lambda s: F.struct(
+            s.alias("sent_no"), (-x["least"]).alias("tfidf")))))).alias("uses"))
+    w = w.select("*", F.filter(F.sequence(F.lit(0), F.size("uses") - 1), lambda i: (i == 0) | (
+        F.get("uses", i)["sent_no"] != F.get("uses", i - 1)["sent_no"])).alias("at"))
+    mean = F.expr("""zip_with(at, slice(concat(at, array(size(uses))), 2, size(at)), (a, b) -> struct(
+        -coalesce(round(aggregate(slice(uses, a + 1, b - a), 0D, (x, y) -> x + coalesce(y.tfidf, 0D))
+            / nullif(size(filter(slice(uses, a + 1, b - a), y -> y.tfidf IS NOT NULL)), 0), 9), 0D) AS least,
+        uses[a].sent_no AS sent_no))""")
+    best = w.select(*keys, "keywords", F.array_sort(F.slice(F.array_sort(mean), 1, n_sentences)["sent_no"]).alias("best"))
     runs = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0)
     summary = F.array_join(F.transform("best", lambda i: strip_ws(F.element_at("runs", i))), " ")
     out = (spread.select(*keys, strip_ws(F.regexp_extract(F.col(text), SENTENCE, 0)).alias("title"), runs.alias("runs"))
-           .join(kw, keys, "left").join(best, keys, "left")
+           .join(best, keys, "left")
            .select(*keys, "title", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), summary.alias("summary")))
     annotation = F.concat_ws("\n",
                              F.concat(F.lit("Title: "), F.col("title")),
@@ -140,7 +146,7 @@ def chunk_topics(annotated: DataFrame, keys=CHUNK_KEY) -> DataFrame:
     one that most chunks of the corpus have as a keyword too (ties: smallest
     term), with that number. No vocabulary limit; chunks without keywords
     have no topic."""
-    kw = annotated.select(*keys, F.explode("keywords").alias("topic"))
+    kw = materialize(annotated.select(*keys, F.explode("keywords").alias("topic")))  # read twice
     use = kw.groupBy("topic").agg(F.count(F.lit(1)).alias("topic_chunks"))
     best = F.min(F.struct((-F.col("topic_chunks")).alias("n"), "topic")).alias("b")
     return (kw.join(use, "topic").groupBy(*keys).agg(best)

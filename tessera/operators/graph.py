@@ -106,9 +106,12 @@ def graph_changed(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFra
     ``(keys..., element, change, id, label, from, to, type)`` rows;
     ``element`` is node/edge, ``change`` added/removed. Empty = unchanged."""
     old, new = graph_rows(old_nodes, old_edges, keys), graph_rows(new_nodes, new_edges, keys)
-    added = new.exceptAll(old).withColumn("change", F.lit("added"))
-    removed = old.exceptAll(new).withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    # both differences from one count per row: how many more there are in the new graph
+    rows = new.withColumn("n", F.lit(1)).unionByName(old.withColumn("n", F.lit(-1)))
+    rows = rows.groupBy(*keys, *ROW).agg(F.sum("n").alias("n")).filter("n <> 0")
+    change = F.when(F.col("n") > 0, F.lit("added")).otherwise(F.lit("removed")).alias("change")
+    each = F.explode(F.array_repeat(change, F.abs("n").cast("int"))).alias("change")
+    return rows.select(*keys, *ROW, each)
 
 
 def graph_digests(rows: DataFrame, keys: list[str]) -> DataFrame:
