@@ -125,6 +125,11 @@ def _hashed(df: DataFrame) -> DataFrame:
     return HashingTF(inputCol="__grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df)
 
 
+def ordinary(paras: DataFrame) -> DataFrame:
+    """The paragraphs without a word of licence notices."""
+    return paras.filter(~F.col("paragraph").rlike("(?i)licen[sc]|copyright|public domain|redistribut|hereby granted"))
+
+
 def training_rows(paras: DataFrame) -> DataFrame:
     """``label, text, held``: template variants (every ``k``-th word left
     out) and the bounded unknown sample; a third is held out.
@@ -142,7 +147,7 @@ def training_rows(paras: DataFrame) -> DataFrame:
                            .alias("w")).select("label", "k", F.expr(
                                "array_join(filter(w, (x, i) -> k = 0 OR (i + 1) % (k + 2) <> 0 OR size(w) < 4), ' ')")
                                .alias("text"))
-    unknown = (paras.filter(~F.col("paragraph").rlike("(?i)licen[sc]|copyright|public domain|redistribut|hereby granted"))
+    unknown = (ordinary(paras)
                .select(F.lit(0.0).alias("label"), F.array_join(F.slice(F.split("paragraph", " ", SAMPLE_WORDS + 1), 1,
                                                                        SAMPLE_WORDS), " ").alias("text"),
                        F.xxhash64("doc_id", "paragraph_no", "paragraph").alias("h")))
@@ -153,13 +158,18 @@ def training_rows(paras: DataFrame) -> DataFrame:
     return rows.select("label", "text", (F.pmod("h", F.lit(3)) == 1).alias("held"))
 
 
-def distinctive_tokens(rows: DataFrame) -> list[str]:
-    """Template tokens found in at most 1 % of the unknown rows (bounded by
-    the templates)."""
-    t = rows.select("label", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).groupBy("t").agg(
-        F.count_if(F.col("label") > 0).alias("in_template"), F.count_if(F.col("label") == 0).alias("in_other"))
-    limit = UNKNOWN_SAMPLE // 100
-    return [r["t"] for r in t.filter(f"in_template > 0 AND in_other <= {limit}").select("t").collect()]
+def distinctive_tokens(rows: DataFrame, paras: DataFrame) -> list[str]:
+    """Template tokens (of the labelled ``rows``) found in at most 1 % of the
+    ordinary paragraphs, counted over all of ``paras`` and their whole texts; in
+    a small table, in at most 1 % of ``UNKNOWN_SAMPLE``. The tokens are
+    bounded by the templates."""
+    known = [r["t"] for r in rows.filter("label > 0").select(F.explode(tokens(F.col("text"))).alias("t")).distinct().orderBy("t").collect()]
+    has = F.array_intersect(tokens(F.col("paragraph")), F.array(*map(F.lit, known)))
+    # the empty token counts the paragraphs
+    found = ordinary(paras).select(F.explode(F.concat(has, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["t"]: r["n"] for r in found.collect()}
+    limit = max(UNKNOWN_SAMPLE, found.get("", 0)) // 100
+    return [t for t in known if found.get(t, 0) <= limit]
 
 
 def fit(rows: DataFrame):
@@ -234,7 +244,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     repeat their findings, empty tables and texts give no rows."""
     paras = paragraphs(docs)
     rows = materialize(training_rows(paras))
-    found = materialize(passages(paras, distinctive_tokens(rows)).withColumn("__grams", F.expr(grams("__tokens"))))
+    found = materialize(passages(paras, distinctive_tokens(rows, paras)).withColumn("__grams", F.expr(grams("__tokens"))))
     model, temperature, families = fit(rows)
     p = model.transform(_hashed(found)).withColumn("raw", vector_to_array("rawPrediction")).withColumn(
         "own", F.array_position(F.array(*map(F.lit, families)), F.col("family")))
