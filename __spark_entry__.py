@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.token_costs import vocabulary_cost
 from tessera.session import materialize
-from tessera.sources.objects import read_object_lines, read_objects
+from tessera.sources.objects import read_object_lines, read_objects, write_objects
 from tessera.sources.sales import discover_keys, load_sales, schema_catalog, customers_from, table_dump
 from tessera.operators import sales as S
 from tessera.operators import report as R
@@ -387,17 +387,17 @@ def _decode_text(spark, sf_dir):
 
 
 def _written_objects(spark, docs, *folders):
-    """Object store stand-in: one text object per document, in folders named
-    after ``folders`` and ``doc_id``; returns the root. A line break ends
+    """Object store stand-in: one text object per document, named after
+    ``doc_id``, in folders named after ``folders``; returns the root. A line break ends
     every object."""
     import uuid
     from tessera.session import scratch_path
     root = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
-    docs.select(*folders, "doc_id", "text").write.partitionBy(*folders, "doc_id").text(root)
+    write_objects(docs, root, [*folders, "doc_id"])
     return root
 
 
-DOC_FOLDER = "doc_id=(-?[0-9]+)/"
+DOC_NAME = "doc_id=(-?[0-9]+)[.]txt"
 
 
 def _read_objects(spark, sf_dir):
@@ -405,14 +405,14 @@ def _read_objects(spark, sf_dir):
     English ones read back and decoded."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = read_objects(spark, _written_objects(spark, docs, "lang"), prefix="lang=en/")
-    return D.decode_text(found).select(F.regexp_extract("key", DOC_FOLDER, 1).cast("long").alias("doc_id"), "length", "text")
+    return D.decode_text(found).select(F.regexp_extract("key", DOC_NAME, 1).cast("long").alias("doc_id"), "length", "text")
 
 
 def _chunk_object_lines(spark, sf_dir):
     """D3 over objects read in byte ranges, cut by block maps at 200 tokens."""
     root = _written_objects(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "lang")
     lines = read_object_lines(spark, root)
-    name = F.regexp_replace(F.regexp_replace("key", "/[^/]*$", ".txt"), "(source|lang|doc_id)=", "")
+    name = F.regexp_replace("key", "(source|lang|doc_id)=", "")
     return chunk_blocks(line_blocks(lines.withColumn("key", name)), 200)
 
 
@@ -427,9 +427,9 @@ def _streamed(spark, sf_dir, result):
     waves = [docs.filter("doc_id % 2 = 0 AND doc_id % 3 <> 0").unionByName(older),
              docs.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0")]
     src, root = (scratch_path(spark, f"{n}-{uuid.uuid4().hex}") for n in ("incoming", "corpus-index"))
-    key = F.concat(F.regexp_extract("path", DOC_FOLDER, 1), F.lit(".txt"))
+    key = F.concat(F.regexp_extract("path", DOC_NAME, 1), F.lit(".txt"))
     for n, wave in enumerate(waves):
-        wave.withColumn("wave", F.lit(n)).write.mode("append").partitionBy("wave", "doc_id").text(src)
+        write_objects(wave.withColumn("wave", F.lit(n)), src, ["wave", "doc_id"])
         index_new_objects(spark, src, root, key)
     return result(spark, root)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.chunking import length_cost
-from tessera.operators.indexing import MAX_TOKENS
+from tessera.operators.indexing import FRAME_ROWS, MAX_TOKENS
 from tessera.session import materialize, ship_package
 
 FAN = 64
@@ -105,20 +105,27 @@ def line_blocks(lines: DataFrame, block_bytes: int = 1 << 19) -> DataFrame:
 
     def run(batches):
         key, start, at, size, held = None, None, 0, 0, []
+        rows, waiting = [], 0
 
-        def block():
-            return pd.DataFrame({"key": [key], "block": [at], "text": ["\n".join(held)]})
+        def frame_of(rows):
+            return pd.DataFrame(rows, columns=["key", "block", "text"])
         for frame in batches:
             for k, r, line in zip(frame["key"], frame["range"], frame["line"]):
                 if (k, r) != (key, start) or size >= block_bytes:
                     if held:
-                        yield block()
+                        rows.append((key, at, "\n".join(held)))
+                        waiting += size
+                        if waiting >= block_bytes or len(rows) >= FRAME_ROWS:
+                            yield frame_of(rows)
+                            rows, waiting = [], 0
                     at = int(r) if (k, r) != (key, start) else at + size
                     key, start, size, held = k, r, 0, []
                 held.append(line)
                 size += len(line) + 1
         if held:
-            yield block()
+            rows.append((key, at, "\n".join(held)))
+        if rows:
+            yield frame_of(rows)
     return lines.select("key", "range", "line").mapInPandas(run, "key string, block long, text string")
 
 
@@ -158,10 +165,17 @@ def chunk_blocks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, counter: Calla
     blocks = materialize(blocks.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")))
 
     def maps(batches):
+        most = max(1, (1 << 22) // (16 * (max_tokens + 2)))  # rows of about 4 MB of maps
         for frame in batches:
+            rows = []
             for k, b, t in zip(frame["key"], frame["block"], frame["text"]):
                 state, closed = block_map(_costs(t.split(), counter), max_tokens)
-                yield pd.DataFrame({"key": [k], "block": [b], "state": [_packed(state)], "closed": [_packed(closed)]})
+                rows.append((k, b, _packed(state), _packed(closed)))
+                if len(rows) >= most:
+                    yield pd.DataFrame(rows, columns=["key", "block", "state", "closed"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "block", "state", "closed"])
 
     levels = [materialize(blocks.mapInPandas(maps, MAPS))]
     top = levels[0].agg(F.max("block")).first()[0]  # one number

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
+from tessera.session import ship_package
+
 BINARY_FILE_SCHEMA = StructType([
     StructField("path", StringType(), False),
     StructField("modificationTime", TimestampType(), False),
@@ -58,6 +60,54 @@ def _found_below(reader, root: str, prefix: str | None):
         raise
 
 
+# Characters that a folder name has as %XX, as Spark's partitioned writers have it.
+_ESCAPED = {chr(i) for i in range(1, 32)} | set("\"#%'*/:=?\\{[]^\x7f")
+
+
+def folder_name(column: str, value) -> str:
+    """``column=value`` as Spark's partitioned writers name the folder."""
+    if value is None or value == "":
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in str(value))
+
+
+def write_objects(df: DataFrame, root: str, folders: list[str], text: str = "text") -> None:
+    """Write one text object per value of ``folders`` below ``root``:
+    ``a=1/b=2.txt`` has the texts of its rows, each ended by a line break
+    (NULL: an empty line). Objects have no folder of their own: a listing takes
+    a step per folder.
+
+    Rows are partitioned by their folders, so all tasks write and an object has
+    one writer; a task creates its files itself. Nothing is renamed afterwards,
+    file by file on the driver, as a partitioned table write does. A repeated
+    task writes the same files again."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        at, out = None, None
+        for frame in batches:
+            for *names, line in zip(*(frame[c] for c in [*folders, "__line"])):
+                *within, name = map(folder_name, folders, names)
+                folder = "/".join([base.rstrip("/"), *within])
+                if (folder, name) != at:
+                    if out:
+                        out.close()
+                    if at is None or folder != at[0]:
+                        store.create_dir(folder, recursive=True)
+                    at, out = (folder, name), store.open_output_stream(f"{folder}/{name}.txt")
+                out.write(line)
+        if out:
+            out.close()
+        yield from ()
+    named = df.select(*[F.col(c).cast("string").alias(c) for c in folders],
+                      F.encode(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), "UTF-8").alias("__line"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (named.repartition(parts, *folders).sortWithinPartitions(*folders, "__line")
+     .mapInPandas(run, "n long").write.format("noop").mode("overwrite").save())
+
+
 def read_objects(spark: SparkSession, root: str, prefix: str | None = None,
                  glob: str | None = None) -> DataFrame:
     """``(key, length, modificationTime, content)`` for every file below
