@@ -52,12 +52,22 @@ def _found_below(reader, root: str, prefix: str | None):
     ``spark.sql.sources.parallelPartitionDiscovery.threshold``. ``None`` if
     there is nothing."""
     base = root.rstrip("/")
-    try:
-        return reader.load(f"{base}/{_glob_safe(prefix)}*" if prefix else base)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not prefix:
+        wanted = [[base]]
+    elif prefix.endswith("/"):
+        # a prefix that is a folder is listed as one: a pattern would make every object in it a path of its own.
+        # Folders in it whose names Spark takes as hidden are named beside it, if there are any.
+        folder = f"{base}/{_glob_safe(prefix)}"
+        wanted = [[folder, folder + "[_.]*"], [folder]]
+    else:
+        wanted = [[f"{base}/{_glob_safe(prefix)}*"]]
+    for paths in wanted:
+        try:
+            return reader.load(paths)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
 
 
 # Characters that a folder name has as %XX, as Spark's partitioned writers have it.

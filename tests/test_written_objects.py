@@ -39,3 +39,23 @@ def test_distinctive_tokens_are_counted_over_all_paragraphs(spark):
     paras = licenses.paragraphs(docs)
     known = licenses.distinctive_tokens(licenses.training_rows(paras), paras)
     assert "version" not in known and "public" not in known and "foundation" in known and "apache" in known
+
+
+def test_folder_prefix_is_listed_as_a_folder(spark, workdir):
+    for name in ("pre/_d/x.txt", "pre/sub/y.txt", "pre/z.txt", "prefix.txt", "other/z.txt"):
+        os.makedirs(os.path.join(workdir, os.path.dirname(name)), exist_ok=True)
+        with open(os.path.join(workdir, name), "w") as f:
+            f.write("a")
+    from tessera.sources import objects
+    asked = []
+
+    class Reader:
+        def load(self, paths):
+            asked.append(paths)
+            return paths
+    objects._found_below(Reader(), "/r", "pre/")
+    assert asked == [["/r/pre/", "/r/pre/[_.]*"]]
+    for prefix, want in (("pre/", ["pre/_d/x.txt", "pre/sub/y.txt", "pre/z.txt"]), ("other/", ["other/z.txt"]), ("none/", []),
+                         ("pre", ["pre/sub/y.txt", "pre/z.txt", "prefix.txt"])):
+        for read in (read_objects, read_object_lines):
+            assert sorted(r.key for r in read(spark, workdir, prefix).collect()) == want
