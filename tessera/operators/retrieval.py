@@ -140,12 +140,16 @@ def scaled_top(scored: DataFrame, k: int) -> DataFrame:
             .select("query_id", "file", "chunk", "bm25", _scale("__best"), "rank"))
 
 
-def top_chunks(scored: DataFrame, k: int = TOP_K) -> DataFrame:
+def top_chunks(scored: DataFrame, k: int = TOP_K, buckets: int | None = None) -> DataFrame:
     """T4: the k best chunks per question (score desc, then file, chunk).
 
     Two phases, exact because the order is total: every task keeps the k best
     of its rows per question where they are (``WindowGroupLimit``), and only
-    these are shuffled by question."""
+    these are shuffled by question. With ``buckets`` the rows are first spread
+    by (question, hash bucket of the chunk), for a table that is partitioned by
+    question already, so that a hot question is not one task's."""
+    if buckets is not None:
+        scored = scored.repartition("query_id", F.pmod(F.xxhash64("file", "chunk"), F.lit(buckets)))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file", "chunk")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
