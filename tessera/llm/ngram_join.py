@@ -50,6 +50,7 @@ FILTER_BITS = 1 << 24
 BLOCK = 512
 FANOUT = 8
 SHARE = 20
+SEEN = 1 << 18
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -174,18 +175,25 @@ def hot_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, hot, taken: frozenset, bits: int) -> DataFrame:
-    """``token, member, n`` for the prefix tokens of every set."""
+    """``token, member, n`` for the prefix tokens of every set. A set that its
+    task has had before (of the last ``SEEN`` ones at least) is passed over, so
+    copies in one task are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(frames):
+        seen = set()
         for f in frames:
             tokens, members, sizes = [], [], []
             for text in f["text"]:
                 s = shingle_set(text)
-                if len(s):
+                m = member_name(s, taken, bits) if len(s) else None
+                if len(s) and m not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(m)
                     p = prefix(s, *shared.value)
                     tokens.append(p)
-                    members.append(np.full(len(p), member_name(s, taken, bits), dtype=np.int64))
+                    members.append(np.full(len(p), m, dtype=np.int64))
                     sizes.append(np.full(len(p), len(s), dtype=np.int32))
             if tokens:
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "member": np.concatenate(members),
@@ -210,8 +218,10 @@ def _size_compatible(t: DataFrame) -> DataFrame:
 
 
 def trees(posts: DataFrame) -> DataFrame:
-    """Roots with at least two members: ``token, member, n, pivot, pivot_n``."""
-    t = materialize(_size_compatible(posts.distinct()))
+    """Roots with at least two members: ``token, member, n, pivot, pivot_n``.
+    The prefix tokens are shuffled once, by token: that also brings copies
+    together."""
+    t = materialize(_size_compatible(posts.repartition("token").distinct()))
     t = _size_compatible(_enough(t).select("token", "member", "n"))
     t = _enough(t).withColumn("first", F.min(F.struct("member", "n")).over(Window.partitionBy("token")))
     return t.select("token", "member", "n", F.col("first.member").alias("pivot"), F.col("first.n").alias("pivot_n"))

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -199,3 +200,14 @@ def test_fingerprints_of_short_lines_and_insertions(spark):
     line = sentence(rng, 2000)
     pair = spark.createDataFrame([(1, line), (2, "inserted " + line)], "doc_id long, text string")
     assert all(r.near_next > 0.75 for r in fingerprints.fingerprint_versions(pair).collect())
+
+
+def test_prefix_tokens_are_shuffled_once_and_without_copies(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 3) * 7 + j}" for j in range(12))) for i in range(30)], "doc_id long, text string").coalesce(1)
+    plans, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    posts = ngram_join.postings(docs, (np.empty(0, np.uint64), np.empty(0, np.int64)), frozenset(), 64)
+    assert posts.count() == posts.distinct().count() > 0  # ten copies of each text in one task
+    twice = posts.unionByName(posts)
+    assert sorted(ngram_join.trees(twice).collect()) == sorted(ngram_join.trees(posts).collect())
+    assert all(p.count("Exchange hashpartitioning(token") == p.count("Exchange") == 1 for p in plans)
