@@ -85,15 +85,28 @@ def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> struct(x.n - y.n AS n, x.k ^ y.k AS k, x.h ^ y.h AS h))"
 
 
+def difference(a: str, b: str, level: str) -> str:
+    """SQL: the cells of ``a``'s sketch less ``b``'s, made in one pass over
+    both: counts of ``b`` are negative, XOR has no sign."""
+    def part(j):
+        return (f"transform(sequence({j * PART}, {(j + 1) * PART - 1}), i -> aggregate(filter(z, x -> x.c{j} = i), "
+                f"struct(0L AS n, 0L AS k, 0L AS h), (s, x) -> struct(s.n + x.sign AS n, s.k ^ x.k AS k, s.h ^ x.h AS h)))")
+
+    def entries(keys, sign):
+        return f"transform({keys}, k -> struct(k AS k, {sign}L AS sign, {_entry('k', level)}))"
+    return f"transform(array(concat({entries(a, 1)}, {entries(b, -1)})), z -> concat({part(0)}, {part(1)}, {part(2)}))[0]"
+
+
 def peel(cells: str, level: str) -> str:
-    """SQL: ``struct(ok, found)`` of a difference sketch."""
+    """SQL: ``struct(ok, found)`` of a difference sketch. A round that finds no
+    pure cell is the last."""
     pure = (f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND {_check('c.k')} = c.h), "
             f"c -> struct(c.k AS k, c.n AS sign, {_entry('c.k', level)})))")
     clear = (f"transform(s.cells, (c, i) -> aggregate(filter(p, x -> {_hits('x', 'i')}), c, "
              f"(q, x) -> struct(q.n - x.sign AS n, q.k ^ x.k AS k, q.h ^ x.h AS h)))")
-    step = (f"transform(array({pure}), p -> IF(size(p) = 0, s, "
-            f"struct({clear} AS cells, s.found + CAST(size(p) AS BIGINT) AS found)))[0]")
-    return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} AS cells, 0L AS found), (s, r) -> {step},
+    step = (f"IF(s.done, s, transform(array({pure}), p -> IF(size(p) = 0, struct(s.cells AS cells, s.found AS found, true AS done), "
+            f"struct({clear} AS cells, s.found + CAST(size(p) AS BIGINT) AS found, false AS done)))[0])")
+    return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} AS cells, 0L AS found, false AS done), (s, r) -> {step},
         s -> struct(forall(s.cells, c -> c.n = 0 AND c.k = 0 AND c.h = 0) AS ok, s.found AS found))"""
 
 
@@ -143,26 +156,36 @@ def with_successor(docs: DataFrame) -> DataFrame:
             .select("doc_id", "t", F.coalesce("next_t", "border_t").alias("next_t")))
 
 
-def _deal(level: int):
-    """Failed sketches as rows of more sketches with a share of the digests
-    each."""
-    parts = f"CAST(least({MOST_PARTS}, greatest(4, ceil((size(a) + size(b)) / {SHARE}))) AS INT)"
-    own = f"pmod(xxhash64(k, 'deal', {level}), {parts}) = i"
-    return F.expr(f"transform(sequence(0, {parts} - 1), i -> struct(filter(a, k -> {own}) AS a, filter(b, k -> {own}) AS b))")
+def _deal(a: str, b: str, level: int) -> str:
+    """SQL: the digests of a failed sketch dealt to several, ``a, b`` each.
+    Every digest is hashed to its sketch once."""
+    parts = f"CAST(least({MOST_PARTS}, greatest(4, ceil((size({a}) + size({b})) / {SHARE}))) AS INT)"
+
+    def placed(x):
+        return f"transform({x}, k -> struct(CAST(pmod(xxhash64(k, 'deal', {level}), n) AS INT) AS i, k AS k))"
+
+    def own(x):
+        return f"transform(filter({x}, y -> y.i = j), y -> y.k)"
+    return (f"transform(array({parts}), n -> transform(array(struct({placed(a)} AS a, {placed(b)} AS b)), "
+            f"d -> transform(sequence(0, n - 1), j -> struct({own('d.a')} AS a, {own('d.b')} AS b)))[0])[0]")
+
+
+def _retried(ok: str, a: str, b: str) -> str:
+    """SQL: ``a, b, p`` (what peeled) of the first retry's sketches; NULL where
+    the sketch before had peeled."""
+    cells = difference("t.a", "t.b", "1")
+    return f"IF({ok}, NULL, transform({_deal(a, b, 1)}, t -> struct(t.a AS a, t.b AS b, {peel(cells, '1')} AS p)))"
 
 
 def differences(pairs: DataFrame) -> DataFrame:
     """``row, kind, found``: recovered differences of the digest arrays ``a``
-    and ``b`` of every (row, kind) whose first sketch did not peel."""
-    spark = pairs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    and ``b`` of every (row, kind) left after the first retry, which is made
+    beside the first sketches: few digests are written or come here."""
     solved, failed = [], pairs
-    for level in range(1, MAX_LEVEL):
+    for level in range(2, MAX_LEVEL):
         lv = f"{level}"
-        # digests are small on disk: spread them, or few tasks would do all sketches
-        todo = failed.repartition(tasks, "row", "kind") if level == 1 else failed
-        todo = todo.select("row", "kind", F.explode(_deal(level)).alias("x")).select("row", "kind", "x.a", "x.b")
-        got = todo.select("row", "kind", "a", "b", F.expr(subtract(sketch("a", lv), sketch("b", lv))).alias("cells"))
+        todo = failed.select("row", "kind", F.explode(F.expr(_deal("a", "b", level))).alias("x")).select("row", "kind", "x.a", "x.b")
+        got = todo.select("row", "kind", "a", "b", F.expr(difference("a", "b", lv)).alias("cells"))
         got = got.select("row", "kind", "a", "b", F.expr(peel("cells", lv)).alias("p"))
         got = materialize(got.select("row", "kind", "p.ok", "p.found", F.when(~F.col("p.ok"), F.col("a")).alias("a"),
                                      F.when(~F.col("p.ok"), F.col("b")).alias("b")))
@@ -201,22 +224,25 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
                  F.expr(digests("edited")).alias("changed"), F.expr(digests("next_t")).alias("after"))
     v = v.select("*", *[F.expr(sketch(c, "0")).alias(s) for c, s in (("own", "s0"), ("changed", "s1"), ("after", "s2"))])
     v = v.select("*", F.expr(peel(subtract("s0", "s1"), "0")).alias("edit"), F.expr(peel(subtract("s0", "s2"), "0")).alias("next"))
+    v = v.select("*", F.expr(_retried("edit.ok", "own", "changed")).alias("edits"), F.expr(_retried("next.ok", "own", "after")).alias("nexts"))
+
+    def peeled(x):
+        return F.expr(f"IF({x}.ok, {x}.found, aggregate(filter({x}s, t -> t.p.ok), 0L, (s, t) -> s + t.p.found))")
+
+    def left(x):
+        return F.expr(f"transform(filter({x}s, t -> NOT t.p.ok), t -> struct('{'edited' if x == 'edit' else 'next'}' AS kind, t.a AS a, t.b AS b))")
+    nothing = F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, a: ARRAY<BIGINT>, b: ARRAY<BIGINT>>>)")
     first = materialize(v.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n0"),
         F.size("changed").alias("n1"), F.size("after").alias("n2"), F.expr(printed("s0", "own")).alias("fingerprint"),
-        F.expr(printed("s1", "changed")).alias("edited_fingerprint"),
-        F.when(F.col("edit.ok"), F.col("edit.found")).alias("d_edited"),
-        F.when(F.col("next.ok"), F.col("next.found")).alias("d_next"),
-        F.when(~F.col("edit.ok") | ~F.col("next.ok"), F.col("own")).alias("own"),
-        F.when(~F.col("edit.ok"), F.col("changed")).alias("changed"), F.when(~F.col("next.ok"), F.col("after")).alias("after")))
-    pairs = first.select("row", F.col("own").alias("a"), F.explode(F.array(
-        F.struct(F.lit("edited").alias("kind"), F.col("changed").alias("b")),
-        F.struct(F.lit("next").alias("kind"), F.col("after").alias("b")))).alias("x")) \
-        .select("row", "x.kind", "a", "x.b").filter("b IS NOT NULL")
+        F.expr(printed("s1", "changed")).alias("edited_fingerprint"), peeled("edit").alias("d_edited"), peeled("next").alias("d_next"),
+        F.concat(F.coalesce(left("edit"), nothing), F.coalesce(left("next"), nothing)).alias("left")))
+    pairs = first.select("row", F.explode("left").alias("x")).select("row", "x.kind", "x.a", "x.b")
     found = differences(pairs).groupBy("row").agg(
         F.sum(F.when(F.col("kind") == "edited", F.col("found"))).alias("more_edited"),
         F.sum(F.when(F.col("kind") == "next", F.col("found"))).alias("more_next"))
+    none = F.lit(0).cast("long")
     return first.join(found, "row", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        _likeness(F.coalesce("d_edited", "more_edited"), F.col("n0"), F.col("n1")).alias("near_edited"),
-        _likeness(F.coalesce("d_next", "more_next"), F.col("n0"), F.col("n2")).alias("near_next"))
+        _likeness(F.col("d_edited") + F.coalesce("more_edited", none), F.col("n0"), F.col("n1")).alias("near_edited"),
+        _likeness(F.col("d_next") + F.coalesce("more_next", none), F.col("n0"), F.col("n2")).alias("near_next"))

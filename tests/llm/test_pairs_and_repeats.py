@@ -211,3 +211,27 @@ def test_prefix_tokens_are_shuffled_once_and_without_copies(spark, monkeypatch):
     twice = posts.unionByName(posts)
     assert sorted(ngram_join.trees(twice).collect()) == sorted(ngram_join.trees(posts).collect())
     assert all(p.count("Exchange hashpartitioning(token") == p.count("Exchange") == 1 for p in plans)
+
+
+def test_first_retry_writes_and_shuffles_no_digests(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 100 + j}" for j in range(80))) for i in range(20)], "doc_id long, text string")
+    plans, written, write = [], [], fingerprints.materialize
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(write(df))
+        return written[-1]
+    monkeypatch.setattr(fingerprints, "materialize", spy)
+    out = fingerprints.fingerprint_versions(docs).collect()
+    assert len(out) == 20 and all(r.near_next == 0 and 0 < r.near_edited < 1 for r in out)
+    assert not any("hashpartitioning(row" in p for p in plans)
+    first = next(t for t in written if "fingerprint" in t.columns)
+    digests = "aggregate(left, 0, (s, x) -> s + size(x.a) + size(x.b))"
+    assert first.selectExpr(f"sum({digests}) AS n").first().n < 20 * 2 * 160 / 4
+
+
+def test_difference_equals_subtracted_sketches(spark):
+    rows = spark.createDataFrame([([1, 2, 3], [3, 4]), ([], [7]), ([5], []), ([], [])], "a array<bigint>, b array<bigint>")
+    for r in rows.selectExpr(fingerprints.difference("a", "b", "1") + " AS x",
+                             fingerprints.subtract(fingerprints.sketch("a", "1"), fingerprints.sketch("b", "1")) + " AS y").collect():
+        assert r.x == r.y
