@@ -44,6 +44,8 @@ BLOCK = 128        # postings of a term's first block
 GROWTH = 4         # how much larger each further block is
 BINS = 256         # impact classes of the histogram that levels are cut from
 PART_ROWS = 65_536 # postings of a block in one hash part
+TASK_ROWS = 2_000_000   # postings that a task sorts and writes, at most about
+TASK_PAIRS = 1_000_000  # pairs of question and chunk that a task sums, at most about
 PROBES = 8         # chunks scored exactly per result row, for the second threshold
 SLACK = 0.000001   # scores are ranked after rounding to 6 decimals
 
@@ -85,7 +87,8 @@ def build_postings(table: DataFrame, k1: float = K1, b: float = B, block: int =
     placed = p.join(levels, ["term", "bin"]).select(
         "term", F.pmod(F.xxhash64("file", "chunk"), F.col("parts")).cast("int").alias("part"), "file", "chunk", w.alias("w"), "level")
     path = f"{root}/blocks"
-    placed.repartition("level", "term", "part").sortWithinPartitions("level", "term").write.partitionBy("level").parquet(path)
+    rows = hist.agg(F.sum("n")).first()[0] or 0
+    _spread(placed, rows, TASK_ROWS, "level", "term", "part").sortWithinPartitions("level", "term").write.partitionBy("level").parquet(path)
     blocks = spark.read.schema(placed.schema).parquet(path)
     best = blocks.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("best"))
     directory = materialize(best.join(levels.select("term", "level", "idf", "parts").distinct(), ["term", "level"])
@@ -99,10 +102,25 @@ def _idf(n, df):
 
 def _sums(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     """``(query_id, file, chunk, have)`` over the postings of the wanted blocks
-    ``(query_id, term, level, parts)``."""
-    keys = wanted.select("query_id", "term", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return (blocks.join(keys, ["term", "level", "part"]).groupBy("query_id", "file", "chunk")
-            .agg(F.sum("w").alias("have")))
+    ``(query_id, term, level, n, parts)``.
+
+    The wanted postings are partitioned by chunk before they meet the
+    questions (broadcast while they are small), so pairs of question and chunk
+    are summed where they arise. The directory tells how many there are: a
+    task has about ``TASK_PAIRS`` of them, however large the table is."""
+    pairs = wanted.agg(F.sum("n")).first()[0] or 0
+    keys = wanted.select("term", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct()
+    own = blocks.join(keys, ["term", "level", "part"], "left_semi").select("term", "level", "file", "chunk", "w")
+    return (_spread(own, pairs, TASK_PAIRS, "file", "chunk").join(wanted.select("query_id", "term", "level"), ["term", "level"])
+            .groupBy("query_id", "file", "chunk").agg(F.sum("w").alias("have")))
+
+
+def _spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """Partitioned by ``keys``, into more than the session's number of
+    partitions where these would have over ``each`` of ``rows``."""
+    parts = -(-rows // each)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*([parts] if parts > usual else []), *keys)
 
 
 def plan_blocks(questions: DataFrame, index: Postings, k: int = TOP_K) -> DataFrame:
@@ -110,7 +128,7 @@ def plan_blocks(questions: DataFrame, index: Postings, k: int = TOP_K) -> DataFr
     read)`` for every block of every question term: is the term optional, and
     has the block to be read in the second pass?"""
     q = question_terms(questions)
-    d = q.join(index.directory, "term")
+    d = materialize(q.join(index.directory, "term"))  # rows of the directory
     first = _sums(d.filter("level = 0"), index.blocks.filter("level = 0"))
     order = Window.partitionBy("query_id").orderBy(F.col("have").desc(), "file", "chunk")
     kth = (first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)

@@ -79,3 +79,17 @@ def test_hot_block_is_spread_over_parts(spark, monkeypatch):
     assert parts.filter("n > 200 AND p < 4").count() == 0
     assert sorted(P.top_k(questions, index).select(*COLS).collect()) == sorted(
         T.best_chunks(questions, None, table=table).select(*COLS).collect())
+
+
+def test_pairs_of_a_task_are_bounded_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_PAIRS", 200, raising=False)
+    monkeypatch.setattr(P, "TASK_ROWS", 500, raising=False)
+    questions, table = frames(spark)
+    index = P.build_postings(table, block=16)
+    plan = P.materialize(P.plan_blocks(questions, index))
+    sums = P._sums(plan, index.blocks)
+    sizes = [r.n for r in sums.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 800 and sum(sizes) > 2000
+    assert "hashpartitioning(query_id" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sorted(P.top_k(questions, index).select(*COLS).collect()) == sorted(
+        T.best_chunks(questions, None, table=table).select(*COLS).collect())
