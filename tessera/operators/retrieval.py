@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import strip_ws, terms
 from tessera.operators.annotate import SENTENCE
-from tessera.session import materialize
+from tessera.session import materialize, parts_of
 
 # Fixed values of the reference.
 TOP_K = 3
@@ -28,6 +28,9 @@ CONTEXT_LINE = "Related report: "
 
 K1, B = 1.2, 0.75
 
+TASK_CHARS = 8_000_000  # characters of text whose terms a task counts, at most about
+TASK_PAIRS = 2_000_000  # pairs of question term and chunk that a task sums, at most about
+
 
 def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
     """The inverted index ``(file, chunk, dl, term, tf)`` of chunks
@@ -38,9 +41,12 @@ def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
     Chunks are partitioned before their terms are exploded: texts are smaller
     than term rows, ``tf`` then needs no shuffle of its own, and the written
     rows of a chunk stay together. A chunk is one row, so its length is the
-    size of its term array."""
-    t = chunks.select("file", "chunk", text).repartition("file", "chunk").select("file", "chunk", terms(text).alias("__t"))
-    t = t.select("file", "chunk", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    size of its term array. There are as many partitions as the texts need
+    (they are read once more for it), so the counts of a task fit its memory."""
+    n = parts_of(chunks.sparkSession, chunks.agg(F.sum(F.char_length(text))).first()[0], TASK_CHARS)
+    t = chunks.select("file", "chunk", text).repartition(n, "file", "chunk").select("file", "chunk", terms(text).alias("__t"))
+    # plain explode would have the terms found a second time, by a filter for empty arrays below the shuffle
+    t = t.select("file", "chunk", F.size("__t").alias("dl"), F.explode_outer("__t").alias("term")).filter("term IS NOT NULL")
     return materialize(t.groupBy("file", "chunk", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -89,7 +95,8 @@ def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -
     known and they are broadcast while they are small. The postings of the
     question terms are weighed once and partitioned by chunk before they meet
     the questions: the shuffle carries postings, not pairs of question and
-    chunk, and the sums per pair need none of their own."""
+    chunk, and the sums per pair need none of their own. The frequencies tell
+    how many pairs there will be: a task sums about ``TASK_PAIRS`` of them."""
     stats = term_stats(table).scalar()
     n, avgdl = stats.getField("n"), stats.getField("avgdl")
     asked = materialize(question_terms(questions))
@@ -98,7 +105,8 @@ def bm25(questions: DataFrame, table: DataFrame, k1: float = K1, b: float = B) -
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = F.round(term_weight(idf, F.col("tf"), F.col("dl"), avgdl, k1, b), 9).cast("decimal(18,9)")
     own = table.join(df, "term").select("file", "chunk", "term", (w * 1_000_000_000).cast("long").alias("w"))
-    return (own.repartition("file", "chunk").join(asked, "term").groupBy("query_id", "file", "chunk")
+    pairs = asked.join(df, "term").agg(F.sum("df")).first()[0]
+    return (own.repartition(parts_of(table.sparkSession, pairs, TASK_PAIRS), "file", "chunk").join(asked, "term").groupBy("query_id", "file", "chunk")
             .agg(F.expr("(sum(w) + 500) DIV 1000 / 1e6D").alias("bm25")))
 
 

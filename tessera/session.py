@@ -72,6 +72,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(spark: SparkSession, total: int | float | None, each: int) -> int:
+    """Number of partitions of about ``each`` out of ``total``, at least one per
+    core. Given to ``repartition`` it holds whatever the session's number of partitions is, and
+    AQE does not merge them: a task's work stays the same as the table grows."""
+    return max(spark.sparkContext.defaultParallelism, -(-int(total or 0) // each))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers when it is on the
     driver's path only (once per session). Local masters need it too: their

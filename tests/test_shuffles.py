@@ -71,3 +71,26 @@ def test_graph_difference_counts_each_row_once(spark):
     df = G.graph_changed(a, none, b, none, [])
     assert len(exchanges(df)) == 1
     assert sorted((r.change, r.id) for r in df.collect()) == [("added", "z")] * 2 + [("removed", "x")] * 2 + [("removed", "y")]
+
+
+def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    ch = chunks(spark)
+    asked = questions(spark).filter("query_id < 3")
+    want = sorted(T.best_chunks(asked, None, table=T.term_table(ch)).collect())
+    monkeypatch.setattr(T, "TASK_CHARS", 100)
+    monkeypatch.setattr(T, "TASK_PAIRS", 7)
+    table = T.term_table(ch)
+    parts = {f.rsplit("/", 1)[1].split("-")[1] for f in table.inputFiles()}
+    assert len(parts) > 4  # the session's number of partitions
+    scored = T.bm25(asked, table)
+    pairs = T.question_terms(asked).join(table, "term").count()
+    assert f"file, chunk, {-(-pairs // 7)}" in exchanges(scored) and pairs > 28
+    assert sorted(T.best_chunks(asked, None, table=table).collect()) == want
+
+
+def test_terms_are_found_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(T, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    rows = spark.createDataFrame([("a", 1, None), ("b", 1, ""), ("c", 1, "x y x")], "file string, chunk int, text string")
+    assert sorted(map(tuple, T.term_table(rows).collect())) == [("c", 1, 3, "x", 2), ("c", 1, 3, "y", 1)]
+    assert plans[0].count("regexp_extract_all") == 1, plans[0]
