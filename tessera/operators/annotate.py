@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import strip_ws, terms
 from tessera.operators.indexing import guarded
-from tessera.session import materialize
+from tessera.session import materialize, parts_of
 
 SENTENCE = r"[^.!?]+[.!?]*"
 CHUNK_KEY = ["key", "chunk_no"]
+TASK_CHARS = 4_000_000  # characters of text that a task annotates, at most about
 
 
 def sentences(chunks: DataFrame, text: str = "chunk", keys=CHUNK_KEY) -> DataFrame:
@@ -105,8 +106,13 @@ def annotate_chunks(chunks: DataFrame, n_keywords: int = 8, n_sentences: int = 2
 
     ``model_fn`` (optional) replaces the annotation text with a per-chunk
     call made in Arrow batches with per-row error isolation (D10); a failed
-    call leaves NULL, which ``fill_failed`` turns into the marker."""
-    spread = chunks.select(*keys, F.col(text).alias(text)).repartition(*keys)
+    call leaves NULL, which ``fill_failed`` turns into the marker.
+
+    The terms of a task's chunks are sorted by chunk, so the texts are dealt to
+    as many partitions as they need (they are read once more for it): a task
+    sorts what fits its memory, and nothing is spilled as the table grows."""
+    n = parts_of(chunks.sparkSession, chunks.agg(F.sum(F.char_length(text))).first()[0], TASK_CHARS)
+    spread = chunks.select(*keys, F.col(text).alias(text)).repartition(n, *keys)
     per_term = sentence_terms(spread, text, keys).groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.collect_list("sent_no").alias("found"))
     idf = materialize(_idf(spread, chunks, corpus, statistics, text, keys))

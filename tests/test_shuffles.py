@@ -88,6 +88,19 @@ def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
     assert sorted(T.best_chunks(asked, None, table=table).collect()) == want
 
 
+def test_annotation_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    ch = chunks(spark).select(AN.F.col("file").alias("key"), AN.F.col("chunk").alias("chunk_no"), AN.F.col("text").alias("chunk"))
+    want = sorted(AN.annotate_chunks(ch).collect())
+    monkeypatch.setattr(AN, "TASK_CHARS", 100)
+    chars = sum(len(r.chunk) for r in ch.collect())
+    df = AN.annotate_chunks(ch)
+    assert set(exchanges(df)) == {f"key, chunk_no, {-(-chars // 100)}"} and chars > 400
+    assert sorted(df.collect()) == want
+    none = ch.filter("false")
+    assert AN.annotate_chunks(none).count() == 0
+    assert T.term_table(none.select(AN.F.col("key").alias("file"), AN.F.col("chunk_no").alias("chunk"), AN.F.col("chunk").alias("text"))).count() == 0
+
+
 def test_terms_are_found_once(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(T, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
