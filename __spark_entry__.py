@@ -344,13 +344,14 @@ def _hash_run(spark, sf_dir):
     """D7 by hash over the documents: the previous index holds all of them,
     English ones with an older text of as many chunks, which a comparison
     by chunk count would not see. Returns ``(status, updates, previous)``."""
-    docs = _doc_objects(spark, sf_dir).join(
-        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    # read by the hashes and by several steps of the run
+    docs = materialize(_doc_objects(spark, sf_dir).join(
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").select("key", "lang", "text"))
     older = F.when(F.col("lang") == "en", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
     hashes = docs.select("key", F.sha2(older, 256).alias("text_hash"))
     ch = _chunks(spark, sf_dir)
-    prior = ch.join(D.chunk_counts(ch), "key").join(hashes, "key").select(
-        "key", "chunk_no", "chunks", F.regexp_extract("chunk", AN.SENTENCE, 0).alias("summary"), "text_hash")
+    first = ch.select("key", "chunk_no", F.regexp_extract("chunk", AN.SENTENCE, 0).alias("summary"))
+    prior = first.join(D.chunk_counts(ch), "key").join(hashes, "key").select("key", "chunk_no", "chunks", "summary", "text_hash")
     objs = docs.select("key", F.encode("text", "UTF-8").alias("content"))
     return *index_updates(objs, prior, by="hash"), prior
 

@@ -45,8 +45,11 @@ def index_updates(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX_
                   n_keywords: int = 8, n_sentences: int = 2, model_fn=None, extractor=None):
     """Returns ``(status, updates)``: the statuses of ``changed_chunks`` and
     all index rows of the processed keys. Keyword weights use the chunks of
-    this run."""
+    this run. With ``checkpoint`` the chunks to annotate are written too, as
+    they are read more than once."""
     status, todo, chunks = changed_chunks(objects, index, max_tokens, counter, by, checkpoint, extractor)
+    if checkpoint:
+        todo = materialize(todo)
     ann = annotate_chunks(todo, n_keywords, n_sentences, model_fn=model_fn, corpus=chunks)
     return status, with_summaries(todo, ann).select(*index_columns(by))
 
@@ -93,6 +96,8 @@ def changed_chunks(objects: DataFrame, index: DataFrame, max_tokens: int = D.MAX
     if by == "hash":
         counts = counts.join(docs.select("key", F.sha2("text", 256).alias("text_hash")), "key")
     st = D.index_status(counts, index, by=by)
+    if checkpoint:
+        st = materialize(st)  # one row per document; the texts are hashed for it once
     changed = st.filter(F.col("status") == D.STATUS_PROCESSED).drop("status")
     todo = chunks.join(changed, "key")
     status = reduce(DataFrame.unionByName,

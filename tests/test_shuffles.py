@@ -5,6 +5,7 @@ import re
 from tessera.operators import annotate as AN
 from tessera.operators import graph as G
 from tessera.operators import retrieval as T
+from tessera.plans.indexing_run import index_updates
 
 TEXTS = ["The cat sat. A dog ran!", "A dog and a cat. The end.", "Nothing here? No. A bird", "the the the"]
 
@@ -107,3 +108,13 @@ def test_terms_are_found_once(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 1, None), ("b", 1, ""), ("c", 1, "x y x")], "file string, chunk int, text string")
     assert sorted(map(tuple, T.term_table(rows).collect())) == [("c", 1, 3, "x", 2), ("c", 1, 3, "y", 1)]
     assert plans[0].count("regexp_extract_all") == 1, plans[0]
+
+
+def test_index_run_hashes_and_joins_texts_once(spark):
+    objs = spark.createDataFrame([("a.txt", b"One. Two."), ("b.txt", b"Three."), ("c.txt", b" ")], "key string, content binary")
+    empty = spark.createDataFrame([], "key string, chunk_no int, chunks int, summary string, text_hash string")
+    status, updates = index_updates(objs, empty, by="hash")
+    for df in (status, updates):
+        assert "sha2" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.key, r.status) for r in status.collect()) == [("a.txt", "Processed"), ("b.txt", "Processed"), ("c.txt", "Empty")]
+    assert sorted(r.key for r in updates.collect()) == ["a.txt", "b.txt"]
