@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a write in this block are removed when it has ended;
+    without it they stay until the driver happens to collect its garbage, and
+    the disk holds those of all steps before."""
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet to the shared checkpoint folder and
     continue from the written copy: the lineage is cut, later branches read
@@ -68,8 +85,21 @@ def materialize(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Remove the files of a table from ``materialize`` that nothing reads any
+    more; a table of another kind is left alone."""
+    path = getattr(table, "_written", None)
+    if path:
+        jvm = table.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parts_of(spark: SparkSession, total: int | float | None, each: int) -> int:
