@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.token_costs import vocabulary_cost
-from tessera.session import materialize
+from tessera.session import materialize, release
 from tessera.sources.objects import read_object_lines, read_objects, write_objects
 from tessera.sources.sales import discover_keys, load_sales, schema_catalog, customers_from, table_dump
 from tessera.operators import sales as S
@@ -212,6 +212,7 @@ def _graph_state(spark, sf_dir):
 def _topic_model(spark, sf_dir):
     """D5 topics: eight topic weights per chunk of the documents."""
     ch, table = _index(spark, sf_dir)
+    release(ch)  # the terms are all that is read on
     return TP.topic_model(table)[0]
 
 
@@ -251,8 +252,10 @@ def _chunks(spark, sf_dir, max_tokens=D.MAX_TOKENS):
 
 def _rchunks(spark, sf_dir):
     """Chunks in the retrieval shape ``(file, chunk, text)``."""
-    return _chunks(spark, sf_dir).select(F.col("key").alias("file"), F.col("chunk_no").alias("chunk"),
-                                         F.col("chunk").alias("text"))
+    ch = _chunks(spark, sf_dir)
+    out = ch.select(F.col("key").alias("file"), F.col("chunk_no").alias("chunk"), F.col("chunk").alias("text"))
+    out._written = ch._written
+    return out
 
 
 def _index(spark, sf_dir):

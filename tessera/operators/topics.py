@@ -6,15 +6,17 @@ the topic weights of its term and of its chunk, and sums the shares per chunk
 and per term. Shares are summed as whole millionths: the result depends neither on
 partitioning nor on the order of rows, and a rerun with the same seed is equal.
 
-Chunks are dealt to blocks of at most about ``BLOCK_ROWS`` postings. A block
-numbers its terms and holds a chunk as one row of term numbers, packed once. A
+Chunks are dealt to blocks of at most about ``BLOCK_ROWS`` postings. Postings
+are gathered by chunk where they are read; a block numbers its terms and holds a
+chunk as one row of term numbers, packed once. A
 step hands a block the counts of its own terms and chunks and gets their new
 counts back, so what is shuffled by term is one row per block and term, never
 a posting, and a chunk's weights never leave its block.
 
 Nothing grows on the driver: there is no vocabulary limit and no matrix of all
 terms; only ``k`` totals per step are collected. A common term has one row per
-block. Every step is written to the shared folder, which cuts the lineage.
+block. Every step is written to the shared folder, which cuts the lineage; the step
+before it is then removed.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, ship_package
+from tessera.session import materialize, release, ship_package
 
 ALPHA, BETA = 0.1, 0.01  # weight of every topic in a chunk, of every term in a topic, before any count
 UNIT = 1_000_000         # shares are counted in millionths
@@ -37,22 +39,22 @@ SLICE = 500_000          # postings weighed at once inside a block
 
 
 def _start(terms: DataFrame, k: int, seed: int) -> DataFrame:
-    """``(tid, x0..)``: a hash of term, topic and seed below 2^30; the first
-    weights are ``0.5 + x / 2^30``."""
-    return terms.select("tid", *[F.pmod(F.xxhash64(F.col("term"), F.lit(seed), F.lit(i)), F.lit(1 << 30)).alias(f"x{i}") for i in range(k)])
+    """``(block, kind, id, tid, x0..)``: a hash of term, topic and seed below
+    2^30; the first weights are ``0.5 + x / 2^30``."""
+    return terms.select("block", F.lit(0).alias("kind"), "id", "tid", *[F.pmod(F.xxhash64(F.col("term"), F.lit(seed), F.lit(i)), F.lit(1 << 30)).alias(f"x{i}") for i in range(k)])
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows of a block: kind 0 is a term with its number in the block, kind 1
     a chunk with the numbers and frequencies of its terms."""
     rows = rows.reset_index(drop=True)
-    ends = np.cumsum([len(x) for x in rows["tids"]])
-    terms, at = np.unique(np.concatenate(list(rows["tids"])), return_inverse=True)
+    ends = np.cumsum([len(x) for x in rows["names"]])
+    at, terms = pd.factorize(np.concatenate(list(rows["names"])))
     block = rows["block"].iloc[0]
     nothing = [None] * len(terms)
-    vocabulary = pd.DataFrame({"block": block, "kind": 0, "id": np.arange(len(terms)), "tid": terms, "file": nothing,
+    vocabulary = pd.DataFrame({"block": block, "kind": 0, "id": np.arange(len(terms)), "term": terms, "file": nothing,
                                "chunk": pd.array(nothing, "Int32"), "terms": nothing, "tfs": nothing})
-    chunks = pd.DataFrame({"block": block, "kind": 1, "id": np.arange(len(rows)), "tid": 0, "file": rows["file"],
+    chunks = pd.DataFrame({"block": block, "kind": 1, "id": np.arange(len(rows)), "term": None, "file": rows["file"],
                            "chunk": rows["chunk"].astype("Int32"),
                            "terms": pd.Series(np.split(at.astype(np.int32), ends[:-1]), dtype=object), "tfs": rows["tfs"]})
     return pd.concat([vocabulary, chunks], ignore_index=True)
@@ -122,22 +124,26 @@ def topic_model(table: DataFrame, k: int = 8, steps: int = 12, seed: int = 7) ->
     ship_package(spark)
     n = table.count()
     blocks = max(-(-n // BLOCK_ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)), 1)
-    names = materialize(table.select("term").distinct().select("term", F.monotonically_increasing_id().alias("tid")))
     block = F.pmod(F.xxhash64(*CHUNK), F.lit(blocks)).cast("int").alias("block")
-    packed = (table.select(block, *CHUNK, "term", "tf").join(names, "term").repartition("block")
-              .groupBy("block", *CHUNK).agg(F.collect_list("tid").alias("tids"), F.collect_list("tf").alias("tfs")))
+    packed = (table.select(block, *CHUNK, "term", "tf").groupBy("block", *CHUNK)
+              .agg(F.collect_list("term").alias("names"), F.collect_list("tf").alias("tfs")))
     packed = materialize(packed.groupBy("block").applyInPandas(
-        _pack, "block int, kind int, id int, tid long, file string, chunk int, terms array<int>, tfs array<long>"))
+        _pack, "block int, kind int, id int, term string, file string, chunk int, terms array<int>, tfs array<long>"))
+    own = packed.filter("kind = 0").select("block", "id", "term")
+    names = materialize(own.select("term").distinct().select("term", F.monotonically_increasing_id().alias("tid")))
     chunks = packed.filter("kind = 1").select(*[F.col(c).alias(c) for c in ("block", "id", *CHUNK, "terms", "tfs")])
     named = chunks.filter("file IS NOT NULL AND chunk IS NOT NULL")
-    state = packed.filter("kind = 0").select("block", "kind", "id", "tid").join(_start(names, k, seed), "tid")
+    starts = own.join(names, "term").select("block", "id", "term", "tid")
+    state = _start(starts, k, seed)
     counts = [f"x{i}" for i in topics]
     every = Window.partitionBy("tid")
     totals, step = None, None
     for s in range(steps):
         mine = (chunks if s == 0 else named).select("block", "id", "terms", "tfs")
-        step = materialize(mine.groupBy("block").cogroup(state.select("block", "kind", "id", "tid", *counts).groupBy("block")).applyInPandas(
+        last, step = step, materialize(mine.groupBy("block").cogroup(state.select("block", "kind", "id", "tid", *counts).groupBy("block")).applyInPandas(
             _shares(k, totals), f"block int, kind int, id int, tid long, {', '.join(c + ' long' for c in counts)}"))
+        if last is not None:
+            release(last)
         by_term = step.filter("kind = 0")
         if s < 2:  # then the terms stay the same
             size = by_term.select("tid").distinct().count()

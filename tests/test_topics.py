@@ -88,3 +88,23 @@ def test_steps_shuffle_no_postings_and_equal_the_plain_rule(spark, monkeypatch):
         assert got == want and ((None, 1) in got) == (steps == 1)
     # only the two tables made once shuffle rows by term or by chunk name
     assert sum("Exchange hashpartitioning(term" in p or "Exchange hashpartitioning(file" in p for p in plans) <= 2
+
+
+def test_postings_are_gathered_before_they_are_shuffled_and_old_steps_removed(spark, monkeypatch):
+    import os
+    t = table(spark)
+    written, write = [], TP.materialize
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(write(df))
+        return written[-1]
+    monkeypatch.setattr(TP, "materialize", spy)
+    chunks, terms = TP.topic_model(t, k=2, steps=5)
+    packed = plans[0]
+    assert packed.index("Exchange hashpartitioning(block") < packed.rindex("partial_collect_list")
+    assert not any("term" in p and "SortMergeJoin" in p and "tf#" in p for p in plans)
+    there = [os.path.isdir(w._written.removeprefix("file:")) for w in written]
+    assert there == [True, True] + [False] * 4 + [True]  # packed chunks, names, the last of five steps
+    assert chunks.count() == 80 and terms.count() > 10
