@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import B, K1, TOP_K, question_terms, scaled_top, term_stats, term_weight
-from tessera.session import materialize, scratch_path
+from tessera.session import materialize, release, scratch_path, shuffles_dropped
 
 BLOCK = 128        # postings of a term's first block
 GROWTH = 4         # how much larger each further block is
@@ -84,11 +84,16 @@ def build_postings(table: DataFrame, k1: float = K1, b: float = B, block: int =
     levels = materialize(levels.select("term", "bin", "level", _idf(n, F.col("df")).alias("idf"),
                                        F.ceil(size / PART_ROWS).cast("int").alias("parts")))
     w = F.round(term_weight(F.col("idf"), F.col("tf"), F.col("dl"), mean, k1, b), 9).cast("decimal(18,9)")
-    placed = p.join(levels, ["term", "bin"]).select(
+    rows = hist.agg(F.sum("n")).first()[0] or 0
+    release(hist)
+    placed = _spread(p, rows, TASK_ROWS, "term", "bin") if rows > TASK_ROWS * usual_parts(spark) else p
+    placed = placed.join(levels, ["term", "bin"]).select(
         "term", F.pmod(F.xxhash64("file", "chunk"), F.col("parts")).cast("int").alias("part"), "file", "chunk", w.alias("w"), "level")
     path = f"{root}/blocks"
-    rows = hist.agg(F.sum("n")).first()[0] or 0
-    _spread(placed, rows, TASK_ROWS, "level", "term", "part").sortWithinPartitions("level", "term").write.partitionBy("level").parquet(path)
+    # written where the join has them: a block's postings are not shuffled a second time
+    with shuffles_dropped(spark):
+        (placed.sortWithinPartitions("level", "term", "file", "chunk").write.option("compression", "zstd")
+         .partitionBy("level").parquet(path))
     blocks = spark.read.schema(placed.schema).parquet(path)
     best = blocks.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("best"))
     directory = materialize(best.join(levels.select("term", "level", "idf", "parts").distinct(), ["term", "level"])
@@ -119,8 +124,11 @@ def _spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
     """Partitioned by ``keys``, into more than the session's number of
     partitions where these would have over ``each`` of ``rows``."""
     parts = -(-rows // each)
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(*([parts] if parts > usual else []), *keys)
+    return df.repartition(*([parts] if parts > usual_parts(df.sparkSession) else []), *keys)
+
+
+def usual_parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def plan_blocks(questions: DataFrame, index: Postings, k: int = TOP_K) -> DataFrame:

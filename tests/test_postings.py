@@ -93,3 +93,17 @@ def test_pairs_of_a_task_are_bounded_and_not_shuffled(spark, monkeypatch):
     assert "hashpartitioning(query_id" not in sums._jdf.queryExecution().executedPlan().toString()
     assert sorted(P.top_k(questions, index).select(*COLS).collect()) == sorted(
         T.best_chunks(questions, None, table=table).select(*COLS).collect())
+
+
+def test_postings_are_shuffled_once_to_their_blocks(spark, monkeypatch):
+    import os
+    questions, table = frames(spark)
+    asked, spread, tables, write = [], P._spread, [], P.materialize
+    monkeypatch.setattr(P, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(P, "_spread", lambda df, rows, each, *keys: asked.append(keys) or spread(df, rows, each, *keys))
+    monkeypatch.setattr(P, "materialize", lambda df: tables.append(write(df)) or tables[-1])
+    index = P.build_postings(table, block=16)
+    assert asked == [("term", "bin")]
+    assert not os.path.isdir(tables[0]._written.removeprefix("file:"))  # the histogram
+    assert sorted(P.top_k(questions, index).select(*COLS).collect()) == sorted(
+        T.best_chunks(questions, None, table=table).select(*COLS).collect())
