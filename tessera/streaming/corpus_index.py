@@ -3,7 +3,7 @@ micro-batch an object came in.
 
 Two streams work on one index folder:
 
-* ``start_ingest`` takes new objects (``binaryFile`` file stream), chunks those
+* ``start_ingest`` takes new objects, chunks those
   that are new or changed by hash, and commits per micro-batch their chunks, the
   status of every object, and the *changes* of the document frequencies: +1 for
   a term of a new chunk, -1 for one of a chunk that is replaced. Stored chunks
@@ -25,14 +25,17 @@ of a batch that stopped in between repeats only the rename.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import terms
 from tessera.operators.annotate import annotate_chunks
 from tessera.plans.indexing_run import INDEX_COLUMNS, changed_chunks, with_summaries
-from tessera.session import materialize
-from tessera.sources.objects import BINARY_FILE_SCHEMA, relative_key
+from tessera.session import materialize, parts_of
+from tessera.sources.objects import BINARY_FILE_SCHEMA, OBJECTS, list_objects, object_folder, read_contents, relative_key
 from tessera.sources.store import commit_part, commits, make_folder, move, read_parts
 from tessera.streaming.index_stream import query_id
 
@@ -40,6 +43,7 @@ CHUNK_SCHEMA = "key string, chunk_no int, chunk string, chunks int, text_hash st
 STATUS_SCHEMA = "key string, status string, chunks int"
 CHANGE_SCHEMA = "term string, change long"
 TERM_SCHEMA = "term string, df long"
+LIST_ROWS = 5_000  # objects in a file of a listing
 CORPUS = ""  # the term that counts chunks; terms are runs of letters, never empty
 
 
@@ -93,17 +97,42 @@ def _ingest(spark, root, key, options):
     return apply
 
 
+def _list_new(spark: SparkSession, base: str, root: str) -> str:
+    """Add the objects below ``base`` that are in no listing yet to the
+    listings of the index, as a few files of rows; returns their folder."""
+    listed = f"{root}/listed/{hashlib.sha256(base.encode()).hexdigest()[:16]}"
+    make_folder(spark, listed)
+    known = spark.read.schema(OBJECTS).option("recursiveFileLookup", "true").parquet(listed)
+    new = materialize(list_objects(spark, base).join(known.select("key"), "key", "left_anti"))
+    n = new.count()
+    if n:
+        staged = f"{root}/staged/listed-{uuid.uuid4().hex}"
+        new.repartition(parts_of(spark, n, LIST_ROWS)).write.parquet(staged)
+        move(spark, staged, f"{listed}/{uuid.uuid4().hex}")
+    return listed
+
+
 def start_ingest(spark: SparkSession, src: str, root: str, checkpoint: str, key=None, available_now: bool = True, **options):
     """Start the stream of objects below ``src``. ``key`` is a column over
     ``path`` (default: the path relative to ``src``); ``options`` are those of
     ``changed_chunks`` (``max_tokens``, ``counter``, ``extractor``). An object
     replaces the one with the same key; as a file stream takes every path
     once, a new version comes under a new path and ``key`` maps both to the
-    object. A deleted object stays indexed, as in the reference. Objects that fail keep their old chunks."""
+    object. A deleted object stays indexed, as in the reference. Objects that fail keep their old chunks.
+
+    With ``available_now`` tasks list what is there and the stream is one of listings (``root/listed``), whose rows
+    tasks read: a file stream of the objects themselves keeps every path on the driver. It is used where
+    the stream goes on, or ``src`` is no folder that Python opens."""
     for folder in ("changes", "staged"):
         make_folder(spark, f"{root}/{folder}")
-    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true").load(src))
+    base = object_folder(spark, src) if available_now else None
+    if base is None:
+        stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                  .option("recursiveFileLookup", "true").load(src))
+    else:
+        listed = (spark.readStream.schema(OBJECTS).option("recursiveFileLookup", "true").parquet(_list_new(spark, base, root)))
+        stream = read_contents(listed, base).select(
+            F.concat(F.lit(base + "/"), "key").alias("path"), F.timestamp_millis("modified").alias("modificationTime"), "length", "content")
     apply = _ingest(spark, root, relative_key(src) if key is None else key, options)
     return _started(stream.writeStream.foreachBatch(apply), checkpoint, available_now)
 
