@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
-from tessera.session import materialize, parts_of, ship_package
+from tessera.session import materialize, parts_of, ship_package, shuffles_dropped
 
 BINARY_FILE_SCHEMA = StructType([
     StructField("path", StringType(), False),
@@ -255,8 +255,9 @@ def write_objects(df: DataFrame, root: str, folders: list[str], text: str = "tex
     named = df.select(*[F.col(c).cast("string").alias(c) for c in folders],
                       F.encode(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), "UTF-8").alias("__line"))
     parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    (named.repartition(parts, *folders).sortWithinPartitions(*folders, "__line")
-     .mapInPandas(run, "n long").write.format("noop").mode("overwrite").save())
+    with shuffles_dropped(df.sparkSession):
+        (named.repartition(parts, *folders).sortWithinPartitions(*folders, "__line")
+         .mapInPandas(run, "n long").write.format("noop").mode("overwrite").save())
 
 
 def read_objects(spark: SparkSession, root: str, prefix: str | None = None,

@@ -33,6 +33,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from tessera.operators.indexing import pack_index
+from tessera.session import shuffles_dropped
 
 INDEX_SCHEMA = "key string, chunk_no int, chunks int, summary string"
 HASH_SCHEMA = INDEX_SCHEMA + ", text_hash string"
@@ -169,7 +170,8 @@ def commit_part(df: DataFrame, root: str, fmt: str, keys: list[str], full: bool
         return before
     part = uuid.uuid4().hex
     path = f"{root}/part={part}"
-    df.write.format(fmt).save(path)
+    with shuffles_dropped(spark):
+        df.write.format(fmt).save(path)
     table = base64.b64encode(key_table(spark.read.schema(df.schema).format(fmt).load(path), keys)).decode()
     make_folder(spark, f"{root}/_commits")
     while True:  # each round that fails is a commit of another writer

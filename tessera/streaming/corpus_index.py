@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import terms
 from tessera.operators.annotate import annotate_chunks
 from tessera.plans.indexing_run import INDEX_COLUMNS, changed_chunks, with_summaries
-from tessera.session import materialize, parts_of
+from tessera.session import materialize, parts_of, release, shuffles_dropped
 from tessera.sources.objects import BINARY_FILE_SCHEMA, OBJECTS, list_objects, object_folder, read_contents, relative_key
 from tessera.sources.store import commit_part, commits, make_folder, move, read_parts
 from tessera.streaming.index_stream import query_id
@@ -91,9 +91,12 @@ def _ingest(spark, root, key, options):
         todo = materialize(todo.select("key", "chunk_no", "chunk", "chunks", "text_hash"))
         commit_part(status, f"{root}/status", "parquet", ["key"], batch=number, stream=stream)
         replaced = before.join(todo.select("key").distinct(), "key", "left_semi")
-        frequency_changes(todo, replaced).write.mode("overwrite").parquet(staged)
+        with shuffles_dropped(spark):
+            frequency_changes(todo, replaced).write.mode("overwrite").parquet(staged)
         commit_part(todo, f"{root}/chunks", "parquet", ["key"], batch=number, stream=stream)
         move(spark, staged, published)
+        for table in (objects, before, todo):
+            release(table)
     return apply
 
 
@@ -109,6 +112,7 @@ def _list_new(spark: SparkSession, base: str, root: str) -> str:
         staged = f"{root}/staged/listed-{uuid.uuid4().hex}"
         new.repartition(parts_of(spark, n, LIST_ROWS)).write.parquet(staged)
         move(spark, staged, f"{listed}/{uuid.uuid4().hex}")
+    release(new)
     return listed
 
 
